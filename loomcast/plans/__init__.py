@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from loomcast.plans import prep  # noqa: F401
+from loomcast.plans import prep, windowing  # noqa: F401
 from loomcast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
