@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.operators.split import CHUNK
 
@@ -62,7 +62,7 @@ def train_prefix(
     df: DataFrame,
     keys: Sequence[str],
     k: int,
-    sums: dict[str, Column],
+    sums: dict[str, Column | str],
     *,
     firsts: dict[str, str] | None = None,
     lasts: dict[str, str] | None = None,
@@ -70,27 +70,32 @@ def train_prefix(
 ) -> DataFrame:
     """Aggregates over the training rows of every fold: (keys, fold, train_size, test_size, ...).
 
-    ``sums`` are summed; ``firsts``/``lasts`` give the value of a column in the first/last
+    ``sums`` (columns or SQL texts) are summed; ``firsts``/``lasts`` give the value of a column in the first/last
     training row. One aggregation with map-side combine, then a window over k+1 rows per series.
     """
     firsts, lasts = firsts or {}, lasts or {}
     rows = with_blocks(df, k).filter(F.col("block") < k)
     blocks = rows.groupBy(*keys, "block", "first", "test_size").agg(
-        *[F.sum(c).alias(a) for a, c in sums.items()],
+        *[F.expr(f"sum({c}) AS {a}") if isinstance(c, str) else F.sum(c).alias(a) for a, c in sums.items()],
         *[F.min_by(c, "idx").alias(a) for a, c in firsts.items()],
         *[F.max_by(c, "idx").alias(a) for a, c in lasts.items()],
     )
-    upto = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    out = blocks.select(
-        *keys, F.col("block").alias("fold"),
-        (F.col("first") + F.col("block") * F.col("test_size")).alias("train_size"), "test_size",
-        *[F.sum(a).over(upto).alias(a) for a in sums],
-        *[F.first(a).over(upto).alias(a) for a in firsts],
+    upto = upto_block(keys)
+    out = blocks.selectExpr(
+        *[f"`{c}`" for c in keys], "block AS fold", "first + block * test_size AS train_size", "test_size",
+        *[f"sum({a}) {upto} AS {a}" for a in sums],
+        *[f"first({a}) {upto} AS {a}" for a in firsts],
         *lasts,
     )
     return out.filter(F.col("train_size") > min_train)
 
 
+def upto_block(keys: Sequence[str]) -> str:
+    """SQL text of the window over a series' blocks up to the current one."""
+    by = ", ".join(f"`{c}`" for c in keys)
+    return f"OVER (PARTITION BY {by} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
 def attach_fold_values(rows: DataFrame, per_fold: DataFrame, keys: Sequence[str], *, size: int = CHUNK) -> DataFrame:
     """Join per-(series, fold) values to test rows; long test blocks are spread by chunk of h."""
     names = [c for c in per_fold.columns if c not in (*keys, "fold", "train_size", "test_size")]

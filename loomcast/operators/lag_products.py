@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from loomcast.operators.folds import attach_fold_values, test_rows, with_blocks
+from loomcast.operators.folds import attach_fold_values, test_rows, upto_block, with_blocks
 from loomcast.operators.split import CHUNK, windowed, with_series_totals
 
 HORIZON = 4096  # test values per solver row; longer test blocks are split
@@ -47,46 +47,40 @@ def lag_products(
 
     rows = windowed(centre, keys, make, before=lags, size=size).filter(F.col("block") < k)
 
-    def lag(c: str, i: int) -> Column:
-        return F.col(c) if i == 0 else F.col(f"_{c}_{i}")
-
-    usable = F.col("idx") >= lags
-    at_head = F.col("idx") == lags
-    at_end = F.col("idx") == F.col("first") + F.col("block") * F.col("test_size") - 1
-    running, ends = {}, {}
-    missing = sum((F.col(c).isNull().cast("int") for c in cols[1:]), F.col(cols[0]).isNull().cast("int"))
-    running["gaps"] = missing
-    running["rows"] = F.when(usable, F.lit(1)).otherwise(F.lit(0))
-    for c in cols:
-        running[f"s_{c}"] = F.when(usable, F.col(c))
-    for u in cols:
-        for v in cols:
-            for i in range(lags + 1):
-                # a row before position ``lags`` has no full set of lags
-                running[f"c_{u}_{v}_{i}"] = F.when(usable, F.col(u) * lag(v, i))
-    for c in cols:
-        for i in range(lags + 1):
-            running[f"h_{c}_{i}"] = F.when(at_head, lag(c, i))
-            ends[f"t_{c}_{i}"] = F.when(at_end, lag(c, i))
-    by = [*keys, "block", "first", "test_size", *[f"mu_{c}" for c in cols]]
-    blocks = rows.groupBy(*by).agg(
-        *[F.sum(e).alias(a) for a, e in running.items()], *[F.sum(e).alias(a) for a, e in ends.items()])
-    upto = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-
-    def pack(names, over=True) -> Column:
-        return F.array(*[F.sum(a).over(upto) if over else F.col(a) for a in names])
-
-    out = blocks.select(
-        *keys, F.col("block").alias("fold"),
-        (F.col("first") + F.col("block") * F.col("test_size")).alias("train_size"), "test_size",
-        F.sum("gaps").over(upto).alias("gaps"), F.sum("rows").over(upto).alias("rows"),
-        F.array(*[f"mu_{c}" for c in cols]).alias("mu"),
-        pack([f"s_{c}" for c in cols]).alias("s"),
-        pack([f"c_{u}_{v}_{i}" for u in cols for v in cols for i in range(lags + 1)]).alias("c"),
-        pack([f"h_{c}_{i}" for c in cols for i in range(lags + 1)]).alias("head"),
-        pack([f"t_{c}_{i}" for c in cols for i in range(lags + 1)], over=False).alias("tail"),
+    # SQL texts: hundreds of small expressions, each a single call instead of a tree of calls
+    def lag(c: str, i: int) -> str:
+        return f"`{c}`" if i == 0 else f"`_{c}_{i}`"
+
+    span = range(lags + 1)
+    cross = [(u, v, i) for u in cols for v in cols for i in span]
+    each = [(c, i) for c in cols for i in span]
+    usable, at_head = f"idx >= {lags}", f"idx = {lags}"
+    at_end = "idx = first + block * test_size - 1"
+    mus = [f"`mu_{c}`" for c in cols]
+    blocks = rows.groupBy(*keys, "block", "first", "test_size", *[f"mu_{c}" for c in cols]).agg(
+        F.expr("sum(" + " + ".join(f"CAST(`{c}` IS NULL AS INT)" for c in cols) + ") AS gaps"),
+        F.expr(f"count_if({usable}) AS rows"),
+        *[F.expr(f"sum(CASE WHEN {usable} THEN `{c}` END) AS `s_{c}`") for c in cols],
+        # a row before position ``lags`` has no full set of lags
+        *[F.expr(f"sum(CASE WHEN {usable} THEN `{u}` * {lag(v, i)} END) AS `c_{u}_{v}_{i}`") for u, v, i in cross],
+        *[F.expr(f"sum(CASE WHEN {at_head} THEN {lag(c, i)} END) AS `h_{c}_{i}`") for c, i in each],
+        *[F.expr(f"sum(CASE WHEN {at_end} THEN {lag(c, i)} END) AS `t_{c}_{i}`") for c, i in each],
+    )
+    upto = upto_block(keys)
+
+    def running(names) -> str:
+        return "array(" + ", ".join(f"sum(`{a}`) {upto}" for a in names) + ")"
+
+    out = blocks.selectExpr(
+        *[f"`{c}`" for c in keys], "block AS fold", "first + block * test_size AS train_size", "test_size",
+        f"sum(gaps) {upto} AS gaps", f"sum(rows) {upto} AS rows",
+        f"array({', '.join(mus)}) AS mu",
+        running([f"s_{c}" for c in cols]) + " AS s",
+        running([f"c_{u}_{v}_{i}" for u, v, i in cross]) + " AS c",
+        running([f"h_{c}_{i}" for c, i in each]) + " AS head",
+        "array(" + ", ".join(f"`t_{c}_{i}`" for c, i in each) + ") AS tail",
     )
-    return out.filter((F.col("train_size") > min_train))
+    return out.filter(F.col("train_size") > min_train)
 
 
 def test_chunks(

@@ -277,27 +277,46 @@ def window_forecast(const, weights, state, n_out, steps, skip=0):
     return np.concatenate(parts, axis=2)[:, :, inside:inside + steps]
 
 
-def penalised(gram, rhs, l1, l2, rounds=200):
-    """Coordinate descent on the normal matrix: min 1/2 b'Gb - r'b + sum l1|b| + 1/2 sum l2 b^2.
+def penalised(gram, rhs, yy, l1, l2, free, rounds=500):
+    """min 1/2 |y - Xb|^2 + sum l1 |b| + 1/2 sum l2 b^2 from the normal matrix, by coordinate descent.
 
-    gram (B, Z, Z), rhs (B, Z), l1 and l2 (Z,); columns are put on the correlation scale first.
+    gram (B, Z, Z), rhs (B, Z), yy (B,), l1 and l2 (Z - free,). The first ``free`` columns carry no
+    penalty and are projected out, the others put on the correlation scale, y on unit length; so
+    the penalties mean the same for every series.
     """
-    scale = np.sqrt(np.maximum(np.einsum("bii->bi", gram), 0.0))
-    scale[scale == 0.0] = 1.0
-    a = gram / scale[:, :, None] / scale[:, None, :]
-    y = rhs / scale
-    diag = np.einsum("bii->bi", a) + l2 + 1e-11
-    beta = np.linalg.solve(a + np.diag(l2 + l1 * 1e-3 + 1e-11), y[:, :, None])[:, :, 0]
-    grad = np.einsum("bij,bj->bi", a, beta)
+    outer = gram[:, :free, :free]
+    size = np.sqrt(np.maximum(np.einsum("bii->bi", outer), 0.0))
+    size[size == 0.0] = 1.0
+    eye = 1e-12 * np.eye(free)
+    inverse = np.linalg.inv(outer / size[:, :, None] / size[:, None, :] + eye) / size[:, :, None] / size[:, None, :]
+    cross = gram[:, free:, :free] @ inverse
+    g = gram[:, free:, free:] - cross @ gram[:, :free, free:]
+    r = rhs[:, free:] - np.einsum("bpf,bf->bp", cross, rhs[:, :free])
+    length = yy - np.einsum("bf,bfg,bg->b", rhs[:, :free], inverse, rhs[:, :free])
+    length = np.sqrt(np.maximum(length, 0.0))
+    length[length == 0.0] = 1.0
+    raw = np.einsum("bii->bi", gram)[:, free:]
+    left = np.einsum("bii->bi", g)
+    flat = left <= 1e-10 * np.maximum(raw, 1e-300)
+    scale = np.sqrt(np.where(flat, 1.0, left))
+    a = g / scale[:, :, None] / scale[:, None, :]
+    y = np.where(flat, 0.0, r / scale) / length[:, None]
+    a[flat] = 0.0
+    diag = np.einsum("bii->bi", a) + l2 + 1e-12
+    beta = np.zeros_like(y)
+    grad = np.zeros_like(y)
     for _ in range(rounds):
         moved = 0.0
         for j in range(a.shape[1]):
             part = y[:, j] - grad[:, j] + a[:, j, j] * beta[:, j]
             new = np.sign(part) * np.maximum(np.abs(part) - l1[j], 0.0) / diag[:, j]
+            new[flat[:, j]] = 0.0
             step = new - beta[:, j]
             beta[:, j] = new
             grad += a[:, :, j] * step[:, None]
             moved = max(moved, float(np.max(np.abs(step), initial=0.0)))
-        if moved < 1e-12 * max(1.0, float(np.max(np.abs(beta), initial=0.0))):
+        if moved < 1e-10:
             break
-    return beta / scale
+    b = beta * length[:, None] / scale
+    base = np.einsum("bfg,bg->bf", inverse, rhs[:, :free] - np.einsum("bfp,bp->bf", gram[:, :free, free:], b))
+    return np.concatenate([base, b], axis=1)
