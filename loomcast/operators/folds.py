@@ -96,6 +96,33 @@ def upto_block(keys: Sequence[str]) -> str:
     return f"OVER (PARTITION BY {by} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
+def train_prefix_packed(
+    df: DataFrame, keys: Sequence[str], k: int, sums: Sequence[str], *,
+    per_block: Sequence[str] = (), extra_keys: Sequence[str] = (), min_train: int = 0,
+) -> DataFrame:
+    """Like ``train_prefix`` for hundreds of sums (SQL texts): they travel as one array ``packed``.
+
+    ``per_block`` gives an array ``ends`` of sums over the last block of the training set alone.
+    ``df`` may already carry the block columns. One window function adds up the arrays of a
+    series' k+1 blocks, so the plan does not grow with the number of sums.
+    """
+    rows = (df if "block" in df.columns else with_blocks(df, k)).filter(F.col("block") < k)
+
+    def pack(texts, name):
+        return F.expr("array(" + ", ".join(f"coalesce(sum({t}), 0D)" for t in texts) + f") AS {name}")
+
+    aggs = [pack(sums, "packed")] + ([pack(per_block, "ends")] if per_block else [])
+    blocks = rows.groupBy(*keys, "block", "first", "test_size", *extra_keys).agg(*aggs)
+    out = blocks.selectExpr(
+        *[f"`{c}`" for c in keys], "block AS fold", "first + block * test_size AS train_size", "test_size",
+        *[f"`{c}`" for c in extra_keys],
+        f"aggregate(collect_list(packed) {upto_block(keys)}, array_repeat(0D, {len(sums)}), "
+        "(a, b) -> zip_with(a, b, (x, y) -> x + y)) AS packed",
+        *(["ends"] if per_block else []),
+    )
+    return out.filter(F.col("train_size") > min_train)
+
+
 def attach_fold_values(rows: DataFrame, per_fold: DataFrame, keys: Sequence[str], *, size: int = CHUNK) -> DataFrame:
     """Join per-(series, fold) values to test rows; long test blocks are spread by chunk of h."""
     names = [c for c in per_fold.columns if c not in (*keys, "fold", "train_size", "test_size")]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomcast.operators.folds import attach_fold_values, test_rows, upto_block, with_blocks
+from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix_packed, with_blocks
 from loomcast.operators.split import CHUNK, windowed, with_series_totals
 
 HORIZON = 4096  # test values per solver row; longer test blocks are split
@@ -56,31 +56,26 @@ def lag_products(
     each = [(c, i) for c in cols for i in span]
     usable, at_head = f"idx >= {lags}", f"idx = {lags}"
     at_end = "idx = first + block * test_size - 1"
-    mus = [f"`mu_{c}`" for c in cols]
-    blocks = rows.groupBy(*keys, "block", "first", "test_size", *[f"mu_{c}" for c in cols]).agg(
-        F.expr("sum(" + " + ".join(f"CAST(`{c}` IS NULL AS INT)" for c in cols) + ") AS gaps"),
-        F.expr(f"count_if({usable}) AS rows"),
-        *[F.expr(f"sum(CASE WHEN {usable} THEN `{c}` END) AS `s_{c}`") for c in cols],
-        # a row before position ``lags`` has no full set of lags
-        *[F.expr(f"sum(CASE WHEN {usable} THEN `{u}` * {lag(v, i)} END) AS `c_{u}_{v}_{i}`") for u, v, i in cross],
-        *[F.expr(f"sum(CASE WHEN {at_head} THEN {lag(c, i)} END) AS `h_{c}_{i}`") for c, i in each],
-        *[F.expr(f"sum(CASE WHEN {at_end} THEN {lag(c, i)} END) AS `t_{c}_{i}`") for c, i in each],
+    # a row before position ``lags`` has no full set of lags
+    sums = (
+        [" + ".join(f"CAST(`{c}` IS NULL AS DOUBLE)" for c in cols), f"CAST({usable} AS DOUBLE)"]
+        + [f"CASE WHEN {usable} THEN `{c}` END" for c in cols]
+        + [f"CASE WHEN {usable} THEN `{u}` * {lag(v, i)} END" for u, v, i in cross]
+        + [f"CASE WHEN {at_head} THEN {lag(c, i)} END" for c, i in each]
     )
-    upto = upto_block(keys)
-
-    def running(names) -> str:
-        return "array(" + ", ".join(f"sum(`{a}`) {upto}" for a in names) + ")"
-
-    out = blocks.selectExpr(
-        *[f"`{c}`" for c in keys], "block AS fold", "first + block * test_size AS train_size", "test_size",
-        f"sum(gaps) {upto} AS gaps", f"sum(rows) {upto} AS rows",
-        f"array({', '.join(mus)}) AS mu",
-        running([f"s_{c}" for c in cols]) + " AS s",
-        running([f"c_{u}_{v}_{i}" for u, v, i in cross]) + " AS c",
-        running([f"h_{c}_{i}" for c, i in each]) + " AS head",
-        "array(" + ", ".join(f"`t_{c}_{i}`" for c, i in each) + ") AS tail",
-    )
-    return out.filter(F.col("train_size") > min_train)
+    mus = [f"mu_{c}" for c in cols]
+    out = train_prefix_packed(
+        rows, keys, k, sums, per_block=[f"CASE WHEN {at_end} THEN {lag(c, i)} END" for c, i in each],
+        extra_keys=mus, min_train=min_train)
+    at_s, at_c = 3, 3 + len(cols)
+    return out.select(
+        *keys, "fold", "train_size", "test_size",
+        F.get("packed", F.lit(0)).cast("bigint").alias("gaps"), F.get("packed", F.lit(1)).cast("bigint").alias("rows"),
+        F.array(*mus).alias("mu"),
+        F.slice("packed", at_s, len(cols)).alias("s"),
+        F.slice("packed", at_c, len(cross)).alias("c"),
+        F.slice("packed", at_c + len(cross), len(each)).alias("head"),
+        F.col("ends").alias("tail"))
 
 
 def test_chunks(

@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomcast.functions.scalars import scaled_time
+from loomcast.functions.scalars import powers, scaled_time
 from loomcast.operators import solvers as sv
-from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix
+from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix_packed
 from loomcast.operators.solver_tasks import _key_ddl, _matrix, _spread
 from loomcast.operators.split import CHUNK
 
@@ -54,27 +54,21 @@ def with_design(df: DataFrame, design: Sequence[Column], y: str = "y") -> DataFr
         F.when(F.col("_ok"), F.col(y)).alias("_y"))
 
 
-def normal_sums(z: int) -> dict[str, str]:
+def normal_sums(z: int) -> list[str]:
     """Upper triangle of X'X, then X'y and y'y, of the columns of ``with_design``."""
-    sums = {f"g_{i}_{j}": f"_x_{i} * _x_{j}" for i in range(z) for j in range(i, z)}
-    sums |= {f"r_{i}": f"_x_{i} * _y" for i in range(z)}
-    return sums | {"yy": "_y * _y"}
-
-
-def _packed(df: DataFrame, z: int, *keep: str) -> DataFrame:
-    return df.select(
-        *keep,
-        F.array(*[f"g_{i}_{j}" for i in range(z) for j in range(i, z)]).alias("gram"),
-        F.array(*[f"r_{i}" for i in range(z)]).alias("rhs"), "yy")
+    return ([f"_x_{i} * _x_{j}" for i in range(z) for j in range(i, z)]
+            + [f"_x_{i} * _y" for i in range(z)] + ["_y * _y"])
 
 
 def _unpack(batch: pa.RecordBatch, z: int):
+    """Columns, X'X (B, Z, Z), X'y (B, Z) and y'y (B,) from the array ``packed``."""
     col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-    flat = _matrix(col["gram"], z * (z + 1) // 2)
+    half = z * (z + 1) // 2
+    flat = _matrix(col["packed"], half + z + 1)
     gram = np.empty((batch.num_rows, z, z))
     up = np.triu_indices(z)
-    gram[:, up[0], up[1]] = gram[:, up[1], up[0]] = flat
-    return col, gram, _matrix(col["rhs"], z), np.nan_to_num(col["yy"].to_numpy(zero_copy_only=False).astype(float))
+    gram[:, up[0], up[1]] = gram[:, up[1], up[0]] = flat[:, :half]
+    return col, gram, flat[:, half:half + z], flat[:, -1]
 
 
 def _nested(values: np.ndarray) -> pa.Array:
@@ -139,8 +133,8 @@ def additive_forecasts(
     """
     design = additive_design(m, knots, order, regressors)
     z, free = len(design), 2 + len(regressors)
-    sums = _packed(train_prefix(with_design(df, design), keys, k, normal_sums(z), min_train=min_train),
-                   z, *keys, "fold", "test_size")
+    sums = train_prefix_packed(
+        with_design(df, design), keys, k, normal_sums(z), min_train=min_train).drop("train_size")
     keep = [*keys, "fold", "test_size"]
     fits = _spread(sums, *keys, "fold").mapInArrow(
         _penalised_task(keep, z, free, knots, grid),
@@ -156,19 +150,15 @@ def polynomial_fits(df: DataFrame, keys: Sequence[str], degree: int, y: str = "y
 
     2 * degree + 1 power sums hold the whole normal matrix.
     """
-    u = scaled_time("idx", "n")
-    power = [F.lit(1.0)]
-    for _ in range(2 * degree):
-        power.append(power[-1] * u)
-    known = F.col(y).isNotNull()
-    sums = df.groupBy(*keys, "n").agg(
-        *[F.sum(F.when(known, p)).alias(f"p_{i}") for i, p in enumerate(power)],
-        *[F.sum(F.when(known, power[i] * F.col(y))).alias(f"r_{i}") for i in range(degree + 1)])
     z = degree + 1
-    packed = sums.select(
-        *keys, "n",
-        F.array(*[f"p_{i + j}" for i in range(z) for j in range(i, z)]).alias("gram"),
-        F.array(*[f"r_{i}" for i in range(z)]).alias("rhs"), F.lit(0.0).alias("yy"))
+    known = df.filter(F.col(y).isNotNull()).select(*keys, "n", F.col(y).alias("_y"), scaled_time("idx", "n").alias("_u"))
+    power = known.select("*", powers("_u", 2 * degree).alias("_p")).select(
+        *keys, "n", "_y", *[F.get("_p", F.lit(i)).alias(f"_p_{i}") for i in range(2 * degree + 1)])
+    sums = power.groupBy(*keys, "n").agg(
+        F.array(*[F.expr(f"sum(_p_{i})") for i in range(2 * degree + 1)]).alias("p"),
+        F.array(*[F.expr(f"sum(_p_{i} * _y)") for i in range(z)]).alias("r"))
+    hankel = [F.get("p", F.lit(i + j)) for i in range(z) for j in range(i, z)]
+    packed = sums.select(*keys, "n", F.concat(F.array(*hankel), "r", F.array(F.lit(0.0))).alias("packed"))
     keep = [*keys, "n"]
     return _spread(packed, *keys).mapInArrow(
         _plain_task(keep, z), f"{_key_ddl(df, keys)}, n bigint, beta array<double>")
