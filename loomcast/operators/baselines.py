@@ -82,18 +82,3 @@ def regressor_fits(df: DataFrame, keys: Sequence[str], x: str, k: int, min_train
         "p_n": F.when(both, F.lit(1)), "p_x": u, "p_y": v, "p_xx": u * u, "p_xy": u * v}, min_train=min_train)
     slope, icpt = slope_intercept(F.col("p_n"), F.col("p_x"), F.col("p_y"), F.col("p_xx"), F.col("p_xy"))
     return fits.select(*keys, "fold", "train_size", "test_size", slope.alias("slope"), icpt.alias("intercept"))
-
-
-def recursive_steps(coef: Column, state: Column, intercept: Column, steps: Column) -> Column:
-    """Apply a linear one-step model to its own output ``steps`` times.
-
-    ``state``: the last inputs, oldest first; ``coef`` in the same order. Returns the new values.
-    """
-    width = F.size(state)
-
-    def advance(acc, _):
-        window = F.slice(acc, F.size(acc) - width + 1, width)
-        value = F.aggregate(F.zip_with(window, coef, lambda a, b: a * b), intercept, lambda s, p: s + p)
-        return F.concat(acc, F.array(value))
-
-    return F.slice(F.aggregate(F.sequence(F.lit(1), steps), state, advance), width + 1, steps)

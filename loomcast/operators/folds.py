@@ -98,15 +98,18 @@ def upto_block(keys: Sequence[str]) -> str:
 
 def train_prefix_packed(
     df: DataFrame, keys: Sequence[str], k: int, sums: Sequence[str], *,
-    per_block: Sequence[str] = (), extra_keys: Sequence[str] = (), min_train: int = 0,
+    per_block: Sequence[str] = (), extra_keys: Sequence[str] = (), min_train: int = 0, whole: bool = False,
 ) -> DataFrame:
     """Like ``train_prefix`` for hundreds of sums (SQL texts): they travel as one array ``packed``.
 
     ``per_block`` gives an array ``ends`` of sums over the last block of the training set alone.
-    ``df`` may already carry the block columns. One window function adds up the arrays of a
+    ``whole`` gives fold k alone: it trains on every row. ``df`` may already carry the block
+    columns. One window function adds up the arrays of a
     series' k+1 blocks, so the plan does not grow with the number of sums.
     """
-    rows = (df if "block" in df.columns else with_blocks(df, k)).filter(F.col("block") < k)
+    rows = df if "block" in df.columns else with_blocks(df, k)
+    if not whole:
+        rows = rows.filter(F.col("block") < k)
 
     def pack(texts, name):
         return F.expr("array(" + ", ".join(f"coalesce(sum({t}), 0D)" for t in texts) + f") AS {name}")
@@ -120,6 +123,8 @@ def train_prefix_packed(
         "(a, b) -> zip_with(a, b, (x, y) -> x + y)) AS packed",
         *(["ends"] if per_block else []),
     )
+    if whole:
+        out = out.filter(F.col("fold") == k)
     return out.filter(F.col("train_size") > min_train)
 
 

@@ -30,12 +30,13 @@ def centred(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, size: in
 
 def lag_products(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], lags: int, k: int, min_train: int = 0,
-    *, size: int = CHUNK,
+    *, size: int = CHUNK, whole: bool = False,
 ) -> DataFrame:
     """(keys, fold, train_size, test_size, gaps, rows, mu, s, c, head, tail) per training set.
 
     ``c`` holds, for each ordered pair of columns (u, v), sum u_t v_(t-k) for k = 0..lags;
     ``head``/``tail`` the lags 0..lags of each column at the first and last usable row.
+    ``whole``: one training set per series, all of it, as fold k.
     """
     centre = centred(df.select(*keys, "idx", "n", *cols), keys, cols, size=size)
     centre = with_blocks(centre, k).filter(F.col("block") <= k)
@@ -45,7 +46,7 @@ def lag_products(
     def make(w):
         return {f"_{c}_{i}": F.lag(c, i).over(w) for c in cols for i in range(1, lags + 1)}
 
-    rows = windowed(centre, keys, make, before=lags, size=size).filter(F.col("block") < k)
+    rows = windowed(centre, keys, make, before=lags, size=size)
 
     # SQL texts: hundreds of small expressions, each a single call instead of a tree of calls
     def lag(c: str, i: int) -> str:
@@ -66,7 +67,7 @@ def lag_products(
     mus = [f"mu_{c}" for c in cols]
     out = train_prefix_packed(
         rows, keys, k, sums, per_block=[f"CASE WHEN {at_end} THEN {lag(c, i)} END" for c, i in each],
-        extra_keys=mus, min_train=min_train)
+        extra_keys=mus, min_train=min_train, whole=whole)
     at_s, at_c = 3, 3 + len(cols)
     return out.select(
         *keys, "fold", "train_size", "test_size",

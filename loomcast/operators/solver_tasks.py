@@ -12,10 +12,10 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from loomcast.operators import folds, solvers as sv
-from loomcast.operators.lag_products import HORIZON, solver_rows
+from loomcast.operators import solvers as sv
+from loomcast.operators.lag_products import HORIZON, lag_products, solver_rows
 from loomcast.operators.split import CHUNK
 
 # Executors need not have the package installed: its functions travel with the task.
@@ -52,13 +52,15 @@ def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int,
     gaps = col["gaps"].to_numpy(zero_copy_only=False)
     head = _matrix(col["head"], v * width).reshape(b, v, width)
     tail = _matrix(col["tail"], v * width).reshape(b, v, width)
+    start = _matrix(col["state"], v * width).reshape(b, v, width) if "state" in col else None
     mu = _matrix(col["mu"], v)
     s = sv.normal_matrix(rows, _matrix(col["s"], v), _matrix(col["c"], v * v * width).reshape(b, v, v, width), head, tail)
     future = None
     if exog:
         future = [_ragged(col[f"actual_{c}"]) - mu[:, i, None] for i, c in enumerate(cols) if i >= v - exog]
         s, tail, beta = sv.remove_regressors(s, tail, exog)
-    fitted = sv.Models(s, tail, spec.get("long", 6)) if spec["kind"] == "arma" else None
+    fitted = sv.Models(s, tail if start is None else start, spec.get("long", 6)) if spec["kind"] == "arma" else None
+    tail = tail if start is None else start
 
     def run(cand, pick, steps, skip):
         if spec["kind"] == "arma":
@@ -126,7 +128,10 @@ def score_task(keys, cols, lags, exog, spec, candidates):
 
 
 def forecast_task(keys, cols, lags, exog, spec, candidates):
-    """Forecast path of the candidate chosen in column ``candidate``."""
+    """``steps`` forecasts of the candidate chosen in column ``candidate``, from step ``h`` on.
+
+    A column ``state`` (lags 0.. of another series) replaces the end of the training set.
+    """
 
     def run(batches):
         for batch in batches:
@@ -134,8 +139,7 @@ def forecast_task(keys, cols, lags, exog, spec, candidates):
                 if part.num_rows == 0:
                     continue
                 predict = _forecaster(part, cols, lags, exog, spec)
-                column = part.column(part.schema.get_field_index(f"actual_{cols[0]}"))
-                lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+                lengths = part.column(part.schema.get_field_index("steps")).to_numpy(zero_copy_only=False)
                 chosen = part.column(part.schema.get_field_index("candidate")).to_numpy(zero_copy_only=False)
                 out = np.full((part.num_rows, int(lengths.max(initial=0))), np.nan)
                 for no in np.unique(chosen):
@@ -183,7 +187,7 @@ class GridSearch:
             self.lags = max(c["n_in"] for c in candidates) + spec["n_out"] - 1
         if horizon <= self.lags:
             raise ValueError("horizon must exceed the number of lags")
-        self.df = df
+        self.df, self.k, self.size, self.horizon = df, k, size, horizon
         self.rows = solver_rows(df, keys, cols, self.lags, k, min_train, size=size, horizon=horizon)
         self._ddl = _key_ddl(df, keys)
 
@@ -220,14 +224,53 @@ class GridSearch:
         return df.withColumn("_p", F.get(table, F.col("candidate"))).select(
             *df.columns, *[F.col(f"_p.{k}").alias(k) for k in names])
 
-    def forecasts(self, chosen: DataFrame) -> DataFrame:
-        """(keys, fold, h, candidate, yhat) for the candidate chosen per series."""
-        picked = self.rows.join(chosen.select(*self.keys, F.col("candidate").cast("int").alias("candidate")), self.keys)
-        raw = _spread(picked, *self.keys, "fold", "h").mapInArrow(
+    def _paths(self, rows: DataFrame) -> DataFrame:
+        raw = _spread(rows, *self.keys, "fold", "h").mapInArrow(
             forecast_task(*self._args()), f"{self._ddl}, fold int, h bigint, candidate int, yhat array<double>")
         return raw.select(*self.keys, "fold", F.col("h").alias("_h0"), "candidate", F.posexplode("yhat").alias("_p", "yhat")).select(
             *self.keys, "fold", (F.col("_h0") + F.col("_p")).alias("h"), "candidate", "yhat")
 
+    def forecasts(self, chosen: DataFrame) -> DataFrame:
+        """(keys, fold, h, candidate, yhat) over the test blocks for the candidate chosen per series."""
+        pick = chosen.select(*self.keys, F.col("candidate").cast("int").alias("candidate"))
+        rows = self.rows.withColumn("steps", F.size(f"actual_{self.cols[0]}")).join(pick, self.keys)
+        return self._paths(rows)
+
+    def _whole(self) -> DataFrame:
+        return lag_products(self.df, self.keys, self.cols, self.lags, self.k, size=self.size, whole=True).drop(
+            "train_size", "test_size")
+
+    def _parts(self, rows: DataFrame, steps: Column) -> DataFrame:
+        """One row per part of the horizon: ``h`` the first step, ``steps`` how many."""
+        parts = rows.withColumn("_n", steps).filter("_n > 0").withColumn("h", F.explode(F.expr(
+            f"sequence(0L, cast(_n as bigint) - 1, {self.horizon}L)")))
+        return parts.withColumn("steps", F.least(F.col("_n") - F.col("h"), F.lit(self.horizon)).cast("int")).drop("_n")
+
+    def future(self, chosen: DataFrame, steps: int) -> DataFrame:
+        """Fit the chosen candidate on the whole series and forecast beyond its end."""
+        if self.exog:
+            raise ValueError("regressors have no values beyond the end of the series")
+        pick = chosen.select(*self.keys, F.col("candidate").cast("int").alias("candidate"))
+        return self._paths(self._parts(self._whole().join(pick, self.keys), F.lit(steps)))
+
+    def transfer(self, source: Column, targets: DataFrame, candidate: int, steps: Column) -> DataFrame:
+        """The model of one series, applied to others from the end of their own values.
+
+        ``source`` selects the training series, ``targets`` holds (keys, idx, n, cols) of the known
+        part of the others, ``steps`` (a column of keys and n) says how far to go.
+        """
+        fit = self._whole().filter(source).select(F.struct("gaps", "rows", "mu", "s", "c", "head", "tail").alias("f"))
+        end = targets.filter(F.col("idx") >= F.col("n") - 1 - self.lags)
+        newest = F.sort_array(F.collect_list(F.struct((-F.col("idx")).alias("o"), *self.cols)))
+        state = end.groupBy(*self.keys, "n").agg(newest.alias("_e"), F.count(F.lit(1)).alias("_m")).filter(
+            F.col("_m") == self.lags + 1)
+        rows = state.select("*", fit.scalar().alias("f")).select(
+            *self.keys, "n", F.lit(self.k).alias("fold"), F.lit(candidate).alias("candidate"), "f.*", "_e")
+        shifted = F.concat(*[
+            F.zip_with(F.col(f"_e.{c}"), F.array_repeat(F.get("mu", F.lit(i)), self.lags + 1), lambda y, m: y - m)
+            for i, c in enumerate(self.cols)])
+        return self._paths(self._parts(rows.withColumn("state", shifted).drop("_e"), steps).drop("n"))
+
 
 def arma_grid(p, d, q, sp=(0,), sd=(0,), sq=(0,), m: int = 1) -> list[dict]:
     """Candidates in the order of nested loops; sp, sd, sq are the seasonal orders."""

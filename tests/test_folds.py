@@ -70,12 +70,3 @@ def test_constant_series(panel_of):
     out = bl.forecasts(panel_of({"a": [5] * 30}), K, 4, 5, 3).collect()
     assert all(r["mean"] == 5 and r.random_walk == 5 and r.drift == 5 and r.seasonal_naive == 5 for r in out)
     assert all(r.ar1 is None for r in out)
-
-
-def test_recursive_steps(spark):
-    out = spark.range(1).select(bl.recursive_steps(
-        F.array(F.lit(0.0), F.lit(1.0), F.lit(0.5)), F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), F.lit(1.0), F.lit(3)).alias("v")).first()[0]
-    a = [1.0, 2.0, 4.0]
-    for _ in range(3):
-        a.append(1.0 + a[-2] + 0.5 * a[-1])
-    assert out == a[3:]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomcast.operators import scoring as so, trend as tr
 from loomcast.operators.lag_products import lag_products
@@ -53,6 +54,28 @@ def test_ar2_equals_direct_regression(two):
     assert np.allclose([r.yhat for r in sorted(paths, key=lambda r: r.h)], np.array(path[cut:]) + 1e6)
 
 
+def test_future_and_transfer(two, panel_of):
+    search = GridSearch(two, K, ["y"], arma_grid([3], [0], [0]), ARMA, 4, 10, horizon=9, size=11)
+    y = np.array(series(1, 140)) - 1e6
+    lags = search.lags
+    t = np.arange(lags, 140)
+    x = np.column_stack([np.ones(len(t)), y[t - 1], y[t - 2], y[t - 3]])
+    beta = np.linalg.lstsq(x, y[t], rcond=None)[0]
+
+    def walk(start, steps):
+        path = list(start)
+        for _ in range(steps):
+            path.append(beta @ [1, path[-1], path[-2], path[-3]])
+        return np.array(path[-steps:]) + 1e6
+
+    pick = two.select("series_id").distinct().selectExpr("series_id", "0 AS candidate")
+    ahead = [r for r in search.future(pick, 25).collect() if r.series_id == "a"]
+    assert np.allclose([r.yhat for r in sorted(ahead, key=lambda r: r.h)], walk(y, 25))
+    other = series(8, 30)
+    got = search.transfer(F.col("series_id") == "a", panel_of({"z": other}), 0, F.lit(140) - F.col("n")).collect()
+    assert np.allclose([r.yhat for r in sorted(got, key=lambda r: r.h)], walk(np.array(other) - 1e6, 110), rtol=1e-9)
+
+
 def test_status_of_bad_series(panel_of):
     p = panel_of({"gap": [None if i == 7 else float(i % 5) for i in range(60)], "flat": [4.0] * 60, "ok": series(3, 60)})
     out = GridSearch(p, K, ["y"], arma_grid([1], [0], [0, 1]), ARMA, 4, 10).fold_scores().collect()
