@@ -32,6 +32,23 @@ def candidate_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def selection_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Like ``candidate_scores`` with the last fold kept out of the mean that selects.
+
+    A candidate chosen by its mean over all folds is judged on what it was chosen by; here
+    ``mean_mae`` selects and ``holdout_mae`` judges. ``by`` ends with the candidate column(s);
+    all candidates of a series share its folds.
+    """
+    seen = scores.groupBy(*by).agg(
+        F.max_by("mae", "fold").alias("holdout_mae"), F.max("fold").alias("last_fold"),
+        F.sum("mae").alias("_sum"), F.count("mae").alias("_known"), F.count(F.lit(1)).alias("folds"))
+    return seen.select(
+        *by,
+        F.when((F.col("_known") == F.col("folds")) & (F.col("folds") > 1),
+               (F.col("_sum") - F.col("holdout_mae")) / (F.col("folds") - 1)).alias("mean_mae"),
+        "holdout_mae", "folds")
+
+
 def best_candidate(scores: DataFrame, keys: Sequence[str], candidate: str = "candidate") -> DataFrame:
     """Lowest mean MAE, missing scores last, the first candidate wins a tie.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomcast.operators import scoring as so, trend as tr
+from loomcast.operators import scoring as so, slices, trend as tr
 from loomcast.operators.folds import test_rows
 from loomcast.operators.solver_tasks import GridSearch, arma_grid
 from loomcast.plans import panels as P
@@ -169,3 +169,25 @@ def val7(spark, sf):
     """Early folds are too short for the larger orders: those fail, the others go on."""
     search = GridSearch(P.orders_monthly(spark, sf), K, ["y"], PDQ, ARMA, 5, 0)
     return search.fold_scores().groupBy("series_id", "fold", "status").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query("fc14_transfer_three_inputs")
+def fc14_three(spark, sf):
+    """Model on the last three values of one series, continued on shortened others to equal length."""
+    df = P.orders_monthly(spark, sf)
+    search = GridSearch(df, K, ["y"], arma_grid([3], [0], [0]), ARMA, 5, 20)
+    known = slices.drop_tail(df, 30).filter("series_id <> '1-URGENT'")
+    out = search.transfer(F.col("series_id") == "1-URGENT", known, 0, F.lit(30))
+    return out.select("series_id", "h", rnd("yhat", 2).alias("yhat"))
+
+
+@query("set2_observed_and_future")
+def set2_future(spark, sf):
+    """Every series followed by 12 forecasts of its best order, fitted on all its values."""
+    search = GridSearch(P.lineitem_monthly(spark, sf), K, ["y"], arma_grid(range(3), range(2), range(2)), ARMA, 5, 20)
+    best = so.best_candidate(search.scores(), K)
+    ends = search.df.filter("idx = n - 1").select("series_id", "n")
+    ahead = search.future(best, 12).join(ends, "series_id").select(
+        "series_id", (F.col("n") + F.col("h")).alias("idx"), F.lit(True).alias("is_forecast"), F.col("yhat").alias("y"))
+    seen = search.df.select("series_id", "idx", F.lit(False).alias("is_forecast"), "y")
+    return seen.unionByName(ahead).select("series_id", "idx", "is_forecast", rnd("y", 2).alias("y"))

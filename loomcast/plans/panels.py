@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomcast.functions.scalars import nan_to_null
 from loomcast.sources.series import panel
 from loomcast.sources.tables import read_table
 
@@ -13,39 +14,39 @@ K = ["series_id"]
 def orders_monthly(spark: SparkSession, sf: str, fill: float | None = 0.0) -> DataFrame:
     """order value per priority and month; the incomplete last month is dropped."""
     df = read_table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "series_id")
-    return panel(df, K, "o_orderdate", "month", {"y": F.sum("o_totalprice")}, fill=fill, drop_last=1)
+    return panel(df, K, "o_orderdate", "month", {"y": F.sum(nan_to_null("o_totalprice"))}, fill=fill, drop_last=1)
 
 
 def orders_monthly_pair(spark: SparkSession, sf: str) -> DataFrame:
     """order value and number of orders."""
     df = read_table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "series_id")
     return panel(df, K, "o_orderdate", "month",
-                 {"y": F.sum("o_totalprice"), "x": F.count("o_orderkey").cast("double")}, drop_last=1)
+                 {"y": F.sum(nan_to_null("o_totalprice")), "x": F.count("o_orderkey").cast("double")}, drop_last=1)
 
 
 def lineitem_monthly(spark: SparkSession, sf: str) -> DataFrame:
     """line value per return flag and status."""
     df = read_table(spark, sf, "lineitem").withColumn(
         "series_id", F.concat("l_returnflag", F.lit("-"), "l_linestatus"))
-    return panel(df, K, "l_shipdate", "month", {"y": F.sum("l_extendedprice")}, drop_last=1)
+    return panel(df, K, "l_shipdate", "month", {"y": F.sum(nan_to_null("l_extendedprice"))}, drop_last=1)
 
 
 def events_hourly(spark: SparkSession, sf: str) -> DataFrame:
     """event value per type and hour."""
     df = read_table(spark, sf, "events").withColumnRenamed("event_type", "series_id")
-    return panel(df, K, "ts", "hour", {"y": F.sum("value")})
+    return panel(df, K, "ts", "hour", {"y": F.sum(nan_to_null("value"))})
 
 
 def events_daily(spark: SparkSession, sf: str) -> DataFrame:
     """F3d: event value per type and day."""
     df = read_table(spark, sf, "events").withColumnRenamed("event_type", "series_id")
-    return panel(df, K, "ts", "day", {"y": F.sum("value")})
+    return panel(df, K, "ts", "day", {"y": F.sum(nan_to_null("value"))})
 
 
 def parts_monthly(spark: SparkSession, sf: str) -> DataFrame:
     """quantity per part, the wide panel (one series per part)."""
     df = read_table(spark, sf, "lineitem").withColumn("series_id", F.col("l_partkey"))
-    return panel(df, K, "l_shipdate", "month", {"y": F.sum("l_quantity")}, drop_last=1)
+    return panel(df, K, "l_shipdate", "month", {"y": F.sum(nan_to_null("l_quantity"))}, drop_last=1)
 
 
 def _panel_sql(table: str, key: str, time: str, step: str, aggs: dict[str, str], drop: int) -> str:

@@ -205,6 +205,30 @@ def val10(spark, sf):
         (F.col("candidate") == F.col("winner")).alias("is_best"))
 
 
+@query("val10_selection_and_holdout",
+       f"WITH {F1_FORMS}, sel AS (SELECT series_id, candidate, model, avg(CASE WHEN fold < 4 THEN mae END) AS mean_mae, "
+       "max(CASE WHEN fold = 4 THEN mae END) AS holdout FROM per_fold GROUP BY 1, 2, 3), "
+       "pick AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mean_mae, candidate) AS rn FROM sel) "
+       f"SELECT series_id, model, {r('mean_mae', 2)} AS selection_mae, {r('holdout', 2)} AS holdout_mae FROM pick WHERE rn = 1")
+def val10_holdout(spark, sf):
+    by = ["series_id", "candidate", "model"]
+    scores = so.selection_scores(so.fold_scores(_f1_long(spark, sf), by), by)
+    return so.best_candidate(scores, K).select(
+        "series_id", "model", rnd("mean_mae", 2).alias("selection_mae"), rnd("holdout_mae", 2).alias("holdout_mae"))
+
+
+@query("fc2_last_year_validation",
+       f"WITH {folds_sql(P.F1, 5, 20)}, e AS (SELECT t.series_id, t.fold, avg(abs(t.y - p.y)) AS mae FROM test t "
+       "JOIN panel p ON p.series_id = t.series_id AND p.idx = t.idx - 12 GROUP BY 1, 2) "
+       f"SELECT series_id, {r('avg(mae)', 2)} AS mean_mae FROM e GROUP BY 1")
+def fc2_last_year(spark, sf):
+    """Same month of the year before as the forecast (one step ahead of each season)."""
+    df = P.orders_monthly(spark, sf)
+    lagged = wn.lag_by_key(df, K, "y", 12, "yhat")
+    rows = fd.test_rows(lagged, 5, 20)
+    return so.candidate_scores(so.fold_scores(rows, K), K).select("series_id", rnd("mean_mae", 2).alias("mean_mae"))
+
+
 @query("snk2_result_table",
        f"WITH {F1_FORMS} SELECT series_id, model, round(mean_mae, 3) AS mean_mae, CAST(NULL AS DOUBLE) AS seconds, "
        "round(last_mae, 3) AS last_mae FROM score WHERE model IN ('mean', 'ar1', 'seasonal_naive')")

@@ -120,7 +120,9 @@ def win18(spark, sf):
 def win9(spark, sf):
     df = tb.read_table(spark, sf, "orders").select(
         "o_orderkey", F.col("o_orderstatus").alias("series_id"), "o_orderdate")
-    out = split.row_numbers(df, K, ["o_orderdate", "o_orderkey"], F.unix_date(F.to_date("o_orderdate")), "day_nr")
+    # a bucket is a run of keys within one day, so that no single day or status is one task
+    bucket = F.struct("o_orderdate", F.floor(F.col("o_orderkey") / split.CHUNK))
+    out = split.row_numbers(df, K, ["o_orderdate", "o_orderkey"], bucket, "day_nr")
     return out.select("o_orderkey", "series_id", "day_nr")
 
 

@@ -47,3 +47,29 @@ def test_filter_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan
     plan = QUERIES["prj1_select"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+@needs_data
+@pytest.mark.parametrize("sf,want", [
+    ("0.01", {"1-URGENT": 2291033.11, "2-HIGH": 2235388.63, "3-MEDIUM": 2211221.72, "4-NOT SPECIFIED": 2046430.90, "5-LOW": 1836867.47}),
+    ("0.1", {"1-URGENT": 7290516.14, "2-HIGH": 6599905.74, "3-MEDIUM": 5870095.45, "4-NOT SPECIFIED": 6546575.91, "5-LOW": 6015371.93}),
+])
+def test_golden_last_year_validation(spark, sf, want):
+    got = {r.series_id: r.mean_mae for r in QUERIES["fc2_last_year_validation"](spark, f"/root/testdata/sf{sf}").collect()}
+    assert got == pytest.approx(want, abs=0.011)
+
+
+@needs_data
+def test_wide_panel_reads_its_table_once(spark):
+    """All branches of a grid search share one scan: the exchange above it is reused."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def records():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+    rows = spark.read.parquet(f"{ROOT}/lineitem.parquet").count()
+    before = records()
+    QUERIES["fc4_arima_wide_panel"](spark, ROOT).write.format("noop").mode("overwrite").save()
+    assert records() - before == rows
