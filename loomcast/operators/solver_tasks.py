@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,14 +39,15 @@ def _ragged(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _slices(batch: pa.RecordBatch, z: int):
-    step = max(1, DOUBLES_PER_SLICE // (z * z))
+def _slices(batch: pa.RecordBatch, z: int, longest: int):
+    """Parts of a batch whose normal matrices and forecast paths fit in a bounded buffer."""
+    step = max(1, DOUBLES_PER_SLICE // max(z * z, longest))
     for start in range(0, batch.num_rows, step):
         yield batch.slice(start, step)
 
 
 def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int, spec: dict):
-    """-> function(candidate, rows, steps, skip) giving (forecasts (b, steps) of column 1, status (b,))."""
+    """-> function(candidate, rows, steps) giving (forecasts (b, steps) of column 1, status (b,))."""
     v, width, b = len(cols), lags + 1, part.num_rows
     col = {name: part.column(i) for i, name in enumerate(part.schema.names)}
     rows = col["rows"].to_numpy(zero_copy_only=False).astype(float)
@@ -62,18 +64,17 @@ def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int,
     fitted = sv.Models(s, tail if start is None else start, spec.get("long", 6)) if spec["kind"] == "arma" else None
     tail = tail if start is None else start
 
-    def run(cand, pick, steps, skip):
+    starts = col["h"].to_numpy(zero_copy_only=False)
+
+    def run(cand, pick, steps):
         if spec["kind"] == "arma":
-            if "fit" not in cand:
-                cand["fit"] = fitted.fit(cand)
-            const, coef, extra, _, params = cand["fit"]
-            out = sv.recurse(const[pick], coef[pick], extra[pick], tail[pick][:, :, :coef.shape[3]], steps, skip)
+            const, coef, extra, _, params = fitted.fit(cand)
+            state = tail[pick][:, :, :coef.shape[3]]
+            out = sv.recurse(const[pick], coef[pick], extra[pick], state, steps, starts[pick])
         else:
             n_in, n_out = cand["n_in"], spec["n_out"]
-            if "fit" not in cand:
-                cand["fit"] = sv.window_fit(s, s.shape[1] // width, width, n_in, n_out, cand["ridge"])
-            const, weights, params = cand["fit"]
-            out = sv.window_forecast(const[pick], weights[pick], tail[pick][:, :, :n_in], n_out, steps, skip)
+            const, weights, params = sv.window_fit(s, s.shape[1] // width, width, n_in, n_out, cand["ridge"])
+            out = sv.window_forecast(const[pick], weights[pick], tail[pick][:, :, :n_in], n_out, steps, starts[pick])
         yhat = out[:, 0] + mu[pick, :1]
         if exog:
             yhat = yhat + beta[pick, :1] + sum(beta[pick, 1 + e, None] * f[pick][:, :steps] for e, f in enumerate(future))
@@ -83,12 +84,6 @@ def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int,
     return run
 
 
-def _by_start(part: pa.RecordBatch):
-    """Row numbers that share the first step of their test part."""
-    starts = part.column(part.schema.get_field_index("h")).to_numpy(zero_copy_only=False)
-    return [(int(h), np.flatnonzero(starts == h)) for h in np.unique(starts)]
-
-
 def _width(cols, lags):
     return len(cols) * (lags + 1) + 1
 
@@ -98,23 +93,21 @@ def score_task(keys, cols, lags, exog, spec, candidates):
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, _width(cols, lags)):
-                if part.num_rows == 0:
-                    continue
+            lengths = batch.column(batch.schema.get_field_index(f"actual_{cols[0]}")).value_lengths()
+            for part in _slices(batch, _width(cols, lags), pc.max(lengths).as_py() or 0):
                 predict = _forecaster(part, cols, lags, exog, spec)
                 target = _ragged(part.column(part.schema.get_field_index(f"actual_{cols[0]}")))
                 known = ~np.isnan(target)
                 err = np.full((part.num_rows, len(candidates)), np.nan)
                 state = np.zeros((part.num_rows, len(candidates)), dtype=np.int32)
+                everything = np.arange(part.num_rows)
                 for no, cand in enumerate(candidates):
-                    cand = dict(cand)
-                    for skip, pick in _by_start(part):
-                        with np.errstate(all="ignore"):
-                            yhat, status = predict(cand, pick, target.shape[1], skip)
-                            gap = np.where(known[pick], np.abs(target[pick] - yhat), 0.0).sum(axis=1)
-                        status = np.where((status == sv.OK) & ~np.isfinite(gap), sv.UNSTABLE, status)
-                        err[pick, no] = np.where(status == sv.OK, gap, np.nan)
-                        state[pick, no] = status
+                    with np.errstate(all="ignore"):
+                        yhat, status = predict(cand, everything, target.shape[1])
+                        gap = np.where(known, np.abs(target - yhat), 0.0).sum(axis=1)
+                    status = np.where((status == sv.OK) & ~np.isfinite(gap), sv.UNSTABLE, status)
+                    err[:, no] = np.where(status == sv.OK, gap, np.nan)
+                    state[:, no] = status
                 keep = [part.column(part.schema.get_field_index(c)) for c in [*keys, "fold"]]
                 offsets = pa.array(np.arange(part.num_rows + 1) * len(candidates), pa.int32())
                 flat = err.ravel()
@@ -135,21 +128,17 @@ def forecast_task(keys, cols, lags, exog, spec, candidates):
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, _width(cols, lags)):
-                if part.num_rows == 0:
-                    continue
+            longest = pc.max(batch.column(batch.schema.get_field_index("steps"))).as_py() or 0
+            for part in _slices(batch, _width(cols, lags), longest):
                 predict = _forecaster(part, cols, lags, exog, spec)
                 lengths = part.column(part.schema.get_field_index("steps")).to_numpy(zero_copy_only=False)
                 chosen = part.column(part.schema.get_field_index("candidate")).to_numpy(zero_copy_only=False)
                 out = np.full((part.num_rows, int(lengths.max(initial=0))), np.nan)
                 for no in np.unique(chosen):
-                    cand = dict(candidates[no])
-                    for skip, pick in _by_start(part):
-                        pick = pick[chosen[pick] == no]
-                        if len(pick):
-                            with np.errstate(all="ignore"):
-                                yhat, status = predict(cand, pick, out.shape[1], skip)
-                            out[pick] = np.where((status == sv.OK)[:, None] & np.isfinite(yhat), yhat, np.nan)
+                    pick = np.flatnonzero(chosen == no)
+                    with np.errstate(all="ignore"):
+                        yhat, status = predict(candidates[no], pick, out.shape[1])
+                    out[pick] = np.where((status == sv.OK)[:, None] & np.isfinite(yhat), yhat, np.nan)
                 inside = np.arange(out.shape[1]) < lengths[:, None]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
                 flat = out[inside]
@@ -185,8 +174,7 @@ class GridSearch:
             self.lags = max(1, max(sv.needed_lags(c, spec["long"]) for c in candidates))
         else:
             self.lags = max(c["n_in"] for c in candidates) + spec["n_out"] - 1
-        if horizon <= self.lags:
-            raise ValueError("horizon must exceed the number of lags")
+            horizon = max(horizon - horizon % spec["n_out"], spec["n_out"])
         self.df, self.k, self.size, self.horizon = df, k, size, horizon
         self.rows = solver_rows(df, keys, cols, self.lags, k, min_train, size=size, horizon=horizon)
         self._ddl = _key_ddl(df, keys)

@@ -165,28 +165,42 @@ class Models:
         return beta[:, 0, :], coef, extra, sse, x.shape[1]
 
 
+def _jump(move, state, times):
+    """Apply an affine step (B, N+1, N+1) ``times`` times to states (B, V, K) by matrix power."""
+    b = len(state)
+    full = np.concatenate([state.reshape(b, -1), np.ones((b, 1))], axis=1)
+    power = np.linalg.matrix_power(move, int(times))
+    return np.einsum("bij,bj->bi", power, full)[:, :-1].reshape(state.shape)
+
+
 def recurse(const, coef, extra, state, steps, skip=0):
     """Iterate the recursion; ``state`` (B, V, K) newest first -> forecasts (B, V, steps) after ``skip``.
 
-    Far starts jump by a matrix power instead of walking there.
+    ``skip`` may differ by row. Far starts jump by a matrix power instead of walking there; then
+    all rows walk together.
     """
     b, v, k = state.shape
-    done = 0
-    if skip > extra.shape[2]:
-        state = _walk(const, coef, extra, state, extra.shape[2])[1]
-        done = extra.shape[2]
-        move = np.zeros((b, v * k + 1, v * k + 1))
-        move[:, -1, -1] = 1.0
-        for u in range(v):
-            move[:, u * k, :-1] = coef[:, u].reshape(b, v * k)
-            move[:, u * k, -1] = const[:, u]
-            for i in range(1, k):
-                move[:, u * k + i, u * k + i - 1] = 1.0
-        full = np.concatenate([state.reshape(b, v * k), np.ones((b, 1))], axis=1)
-        jump = np.linalg.matrix_power(move, skip - done)
-        state = np.einsum("bij,bj->bi", jump, full)[:, :-1].reshape(b, v, k)
-        return _walk(const, coef, extra[:, :, :0], state, steps)[0]
-    return _walk(const, coef, extra, state, skip + steps)[0][:, :, skip:]
+    skip = np.broadcast_to(skip, (b,))
+    first = extra.shape[2]
+    if np.any(skip > 0):
+        state, extra = state.copy(), extra.copy()
+    for s in np.unique(skip[skip > 0]):
+        rows = np.flatnonzero(skip == s)
+        near = min(int(s), first)
+        moved = _walk(const[rows], coef[rows], extra[rows], state[rows], near)[1]
+        if s > near:
+            move = np.zeros((len(rows), v * k + 1, v * k + 1))
+            move[:, -1, -1] = 1.0
+            for u in range(v):
+                move[:, u * k, :-1] = coef[rows, u].reshape(len(rows), v * k)
+                move[:, u * k, -1] = const[rows, u]
+                for i in range(1, k):
+                    move[:, u * k + i, u * k + i - 1] = 1.0
+            moved = _jump(move, moved, s - near)
+        state[rows] = moved
+        extra[rows, :, :first - near] = extra[rows, :, near:]
+        extra[rows, :, first - near:] = 0.0
+    return _walk(const, coef, extra, state, steps)[0]
 
 
 def _walk(const, coef, extra, state, steps):
@@ -248,33 +262,32 @@ def window_fit(s_matrix, v, width, n_in, n_out, ridge):
 def window_forecast(const, weights, state, n_out, steps, skip=0):
     """Apply the direct map block after block; ``state`` (B, V, n_in) newest first."""
     b, v, n_in = state.shape
-    blocks_before, inside = divmod(skip, n_out)
-
-    def advance(current):
-        out = (const + np.einsum("bij,bj->bi", weights, current.reshape(b, v * n_in))).reshape(b, n_out, v)
-        path = np.concatenate([out[:, ::-1].swapaxes(1, 2), current], axis=2)
-        return out.swapaxes(1, 2), path[:, :, :n_in]
-
-    if blocks_before:
+    skip = np.broadcast_to(skip, (b,))
+    blocks, inside = np.divmod(skip, n_out)
+    if np.any(blocks > 0):
+        state = state.copy()
+    for times in np.unique(blocks[blocks > 0]):
+        rows = np.flatnonzero(blocks == times)
         size = v * n_in + 1
-        move = np.zeros((b, size, size))
+        move = np.zeros((len(rows), size, size))
         move[:, -1, -1] = 1.0
         for u in range(v):
             for i in range(n_in):
                 if i < n_out:
                     row = (n_out - 1 - i) * v + u
-                    move[:, u * n_in + i, :-1] = weights[:, row]
-                    move[:, u * n_in + i, -1] = const[:, row]
+                    move[:, u * n_in + i, :-1] = weights[rows, row]
+                    move[:, u * n_in + i, -1] = const[rows, row]
                 else:
                     move[:, u * n_in + i, u * n_in + i - n_out] = 1.0
-        full = np.concatenate([state.reshape(b, v * n_in), np.ones((b, 1))], axis=1)
-        state = np.einsum("bij,bj->bi", np.linalg.matrix_power(move, blocks_before), full)[:, :-1].reshape(b, v, n_in)
+        state[rows] = _jump(move, state[rows], times)
     parts, have = [], 0
-    while have < inside + steps:
-        out, state = advance(state)
-        parts.append(out)
+    while have < inside.max(initial=0) + steps:
+        out = (const + np.einsum("bij,bj->bi", weights, state.reshape(b, v * n_in))).reshape(b, n_out, v)
+        state = np.concatenate([out[:, ::-1].swapaxes(1, 2), state], axis=2)[:, :, :n_in]
+        parts.append(out.swapaxes(1, 2))
         have += n_out
-    return np.concatenate(parts, axis=2)[:, :, inside:inside + steps]
+    path = np.concatenate(parts, axis=2)
+    return np.take_along_axis(path, (inside[:, None] + np.arange(steps))[:, None, :], axis=2)
 
 
 def penalised(gram, rhs, yy, l1, l2, free, rounds=500):
