@@ -23,9 +23,8 @@ def parts_grid(spark, sf):
 
 
 def parts_closed_forms(spark, sf):
-    long = bl.long_forecasts(bl.forecasts(P.parts_monthly(spark, sf), K, FOLDS, MIN_TRAIN, 12), K)
-    by = ["series_id", "candidate", "model"]
-    return so.best_candidate(so.candidate_scores(so.fold_scores(long, by), by), K)
+    per_fold = bl.fold_scores(bl.forecasts(P.parts_monthly(spark, sf), K, FOLDS, MIN_TRAIN, 12), K)
+    return so.best_candidate(so.candidate_scores(per_fold, ["series_id", "candidate", "model"]), K)
 
 
 def parts_additive(spark, sf):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomcast.functions import errors
 from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix
 from loomcast.operators.split import CHUNK, windowed
 
@@ -74,6 +75,14 @@ def long_forecasts(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.select(*keys, "fold", "idx", "h", "y", F.inline(options))
 
 
+def fold_scores(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, candidate, model, fold, mae) of all closed forms: averaged first, then unfolded."""
+    means = wide.groupBy(*keys, "fold").agg(*[errors.mae("y", name).alias(name) for name in MODELS])
+    options = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(name).alias("model"),
+                                 F.col(name).alias("mae")) for i, name in enumerate(MODELS)])
+    return means.select(*keys, "fold", F.inline(options))
+
+
 def regressor_fits(df: DataFrame, keys: Sequence[str], x: str, k: int, min_train: int) -> DataFrame:
     """y on one regressor whose future is known, per (series, fold)."""
     both = F.col(x).isNotNull() & F.col("y").isNotNull()

@@ -17,21 +17,20 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], col: str, lags: int, *,
     """
     lagged = windowed(
         df, keys, lambda w: {f"_l{k}": F.lag(col, k).over(w) for k in range(1, lags + 1)}, before=lags, size=size)
-    y = F.col(col)
-    aggs = [F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")]
-    for k in range(1, lags + 1):
-        aggs += [F.sum(y * F.col(f"_l{k}")).alias(f"c{k}"),
-                 F.sum(F.when(F.col("idx") < k, y)).alias(f"h{k}"),
-                 F.sum(F.when(F.col("idx") >= F.col("n") - k, y)).alias(f"t{k}")]
-    sums = lagged.groupBy(*keys).agg(*aggs)
+    span = range(1, lags + 1)
+    # SQL texts: three sums per lag, each a single call
+    sums = lagged.groupBy(*keys).agg(
+        F.expr(f"count(`{col}`) AS n"), F.expr(f"sum(`{col}`) AS s"), F.expr(f"sum(`{col}` * `{col}`) AS q"),
+        F.expr("array(" + ", ".join(f"coalesce(sum(`{col}` * _l{k}), 0D)" for k in span) + ") AS c"),
+        F.expr("array(" + ", ".join(
+            f"coalesce(sum(CASE WHEN idx < {k} THEN `{col}` END), 0D) + coalesce(sum(CASE WHEN idx >= n - {k} THEN `{col}` END), 0D)"
+            for k in span) + ") AS e"))
     m = F.col("s") / F.col("n")
     var = F.nullif(F.col("q") - m * F.col("s"), F.lit(0.0))
-    rows = F.array(*[
-        F.struct(F.lit(k).alias("lag"), (
-            (F.col(f"c{k}") - m * (2 * F.col("s") - F.col(f"h{k}") - F.col(f"t{k}"))
-             + (F.col("n") - k) * m * m) / var).alias("r"))
-        for k in range(1, lags + 1)])
-    return sums.select(*keys, F.col("n").alias("n"), F.inline(rows))
+    lag = F.col("_p") + 1
+    rows = sums.select(*keys, "n", m.alias("m"), var.alias("var"), "s", F.posexplode(F.arrays_zip("c", "e")).alias("_p", "z"))
+    r = (F.col("z.c") - F.col("m") * (2 * F.col("s") - F.col("z.e")) + (F.col("n") - lag) * F.col("m") * F.col("m")) / F.col("var")
+    return rows.select(*keys, "n", lag.alias("lag"), r.alias("r"))
 
 
 def partial_autocorrelation(acf: DataFrame, keys: Sequence[str], lags: int) -> DataFrame:

@@ -293,9 +293,10 @@ def window_forecast(const, weights, state, n_out, steps, skip=0):
 def penalised(gram, rhs, yy, l1, l2, free, rounds=500):
     """min 1/2 |y - Xb|^2 + sum l1 |b| + 1/2 sum l2 b^2 from the normal matrix, by coordinate descent.
 
-    gram (B, Z, Z), rhs (B, Z), yy (B,), l1 and l2 (Z - free,). The first ``free`` columns carry no
-    penalty and are projected out, the others put on the correlation scale, y on unit length; so
-    the penalties mean the same for every series.
+    gram (B, Z, Z), rhs (B, Z), yy (B,); l1 and l2 (C, Z - free), one row per candidate
+    -> (B, C, Z). The first ``free`` columns carry no penalty and are projected out, the others put
+    on the correlation scale, y on unit length; so the penalties mean the same for every series.
+    All rows and candidates move together.
     """
     outer = gram[:, :free, :free]
     size = np.sqrt(np.maximum(np.einsum("bii->bi", outer), 0.0))
@@ -313,23 +314,23 @@ def penalised(gram, rhs, yy, l1, l2, free, rounds=500):
     flat = left <= 1e-10 * np.maximum(raw, 1e-300)
     scale = np.sqrt(np.where(flat, 1.0, left))
     a = g / scale[:, :, None] / scale[:, None, :]
-    y = np.where(flat, 0.0, r / scale) / length[:, None]
     a[flat] = 0.0
-    diag = np.einsum("bii->bi", a) + l2 + 1e-12
-    beta = np.zeros_like(y)
-    grad = np.zeros_like(y)
+    y = np.where(flat, 0.0, r / scale) / length[:, None]
+    own = np.einsum("bii->bi", a)
+    beta = np.zeros((*y.shape[:1], *l1.shape))
+    rest = np.repeat(y[:, None, :], l1.shape[0], axis=1)  # y - a beta
     for _ in range(rounds):
         moved = 0.0
-        for j in range(a.shape[1]):
-            part = y[:, j] - grad[:, j] + a[:, j, j] * beta[:, j]
-            new = np.sign(part) * np.maximum(np.abs(part) - l1[j], 0.0) / diag[:, j]
+        for j in range(y.shape[1]):
+            part = rest[:, :, j] + own[:, j, None] * beta[:, :, j]
+            new = np.sign(part) * np.maximum(np.abs(part) - l1[:, j], 0.0) / (own[:, j, None] + l2[:, j] + 1e-12)
             new[flat[:, j]] = 0.0
-            step = new - beta[:, j]
-            beta[:, j] = new
-            grad += a[:, :, j] * step[:, None]
+            step = new - beta[:, :, j]
+            beta[:, :, j] = new
+            rest -= step[:, :, None] * a[:, None, :, j]
             moved = max(moved, float(np.max(np.abs(step), initial=0.0)))
-        if moved < 1e-10:
+        if moved < 1e-9:
             break
-    b = beta * length[:, None] / scale
-    base = np.einsum("bfg,bg->bf", inverse, rhs[:, :free] - np.einsum("bfp,bp->bf", gram[:, :free, free:], b))
-    return np.concatenate([base, b], axis=1)
+    b = beta * (length[:, None] / scale)[:, None, :]
+    base = rhs[:, None, :free] - np.einsum("bfp,bcp->bcf", gram[:, :free, free:], b)
+    return np.concatenate([np.einsum("bfg,bcg->bcf", inverse, base), b], axis=2)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomcast.functions.scalars import powers, scaled_time
 from loomcast.operators import solvers as sv
 from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix_packed
-from loomcast.operators.solver_tasks import _key_ddl, _matrix, _spread
+from loomcast.operators.solver_tasks import DOUBLES_PER_SLICE, _key_ddl, _matrix, _spread
 from loomcast.operators.split import CHUNK
 
 PENALTY = 1e-3  # penalty on the correlation scale at prior scale 1
@@ -81,17 +81,16 @@ def _nested(values: np.ndarray) -> pa.Array:
 def _penalised_task(keep, z, free, knots, grid):
     seasonal = z - free - knots
 
+    l1 = np.array([[PENALTY / c["changepoint_scale"]] * knots + [0.0] * seasonal for c in grid])
+    l2 = np.array([[0.0] * knots + [PENALTY / c["seasonality_scale"] ** 2] * seasonal for c in grid])
+    step = max(1, DOUBLES_PER_SLICE // (z * max(z, len(grid))))
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            col, gram, rhs, yy = _unpack(batch, z)
-            out = np.empty((batch.num_rows, len(grid), z))
-            for no, cand in enumerate(grid):
-                l1 = np.array([PENALTY / cand["changepoint_scale"]] * knots + [0.0] * seasonal)
-                l2 = np.array([0.0] * knots + [PENALTY / cand["seasonality_scale"] ** 2] * seasonal)
-                out[:, no] = sv.penalised(gram, rhs, yy, l1, l2, free)
-            yield pa.RecordBatch.from_arrays([*[col[c] for c in keep], _nested(out)], names=[*keep, "betas"])
+            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                col, gram, rhs, yy = _unpack(part, z)
+                out = sv.penalised(gram, rhs, yy, l1, l2, free)
+                yield pa.RecordBatch.from_arrays([*[col[c] for c in keep], _nested(out)], names=[*keep, "betas"])
 
     return run
 

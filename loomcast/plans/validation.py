@@ -61,9 +61,12 @@ def _f1_long(spark, sf):
     return bl.long_forecasts(bl.forecasts(P.orders_monthly(spark, sf), K, 5, 20, 12), K)
 
 
+def _f1_fold_scores(spark, sf):
+    return bl.fold_scores(bl.forecasts(P.orders_monthly(spark, sf), K, 5, 20, 12), K)
+
+
 def _f1_scores(spark, sf):
-    per_fold = so.fold_scores(_f1_long(spark, sf), ["series_id", "candidate", "model"])
-    return so.candidate_scores(per_fold, ["series_id", "candidate", "model"])
+    return so.candidate_scores(_f1_fold_scores(spark, sf), ["series_id", "candidate", "model"])
 
 
 # ---- folds -------------------------------------------------------------------------------
@@ -174,9 +177,8 @@ def ord6(spark, sf):
 @query("val6_grid_search",
        f"WITH {F3_FORMS} SELECT series_id, candidate, model, {r('mean_mae', 4)} AS mean_mae FROM best")
 def val6(spark, sf):
-    long = bl.long_forecasts(bl.forecasts(P.events_hourly(spark, sf), K, 9, 200, 24), K)
-    by = ["series_id", "candidate", "model"]
-    best = so.best_candidate(so.candidate_scores(so.fold_scores(long, by), by), K)
+    per_fold = bl.fold_scores(bl.forecasts(P.events_hourly(spark, sf), K, 9, 200, 24), K)
+    best = so.best_candidate(so.candidate_scores(per_fold, ["series_id", "candidate", "model"]), K)
     return best.select("series_id", "candidate", "model", rnd("mean_mae", 4).alias("mean_mae"))
 
 
@@ -212,7 +214,7 @@ def val10(spark, sf):
        f"SELECT series_id, model, {r('mean_mae', 2)} AS selection_mae, {r('holdout', 2)} AS holdout_mae FROM pick WHERE rn = 1")
 def val10_holdout(spark, sf):
     by = ["series_id", "candidate", "model"]
-    scores = so.selection_scores(so.fold_scores(_f1_long(spark, sf), by), by)
+    scores = so.selection_scores(_f1_fold_scores(spark, sf), by)
     return so.best_candidate(scores, K).select(
         "series_id", "model", rnd("mean_mae", 2).alias("selection_mae"), rnd("holdout_mae", 2).alias("holdout_mae"))
 
