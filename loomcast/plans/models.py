@@ -10,6 +10,7 @@ from loomcast.operators.solver_tasks import GridSearch, arma_grid
 from loomcast.plans import panels as P
 from loomcast.plans.panels import r, rnd
 from loomcast.plans.registry import query
+from loomcast.plans.validation import folds_sql
 
 K = P.K
 ARMA = {"kind": "arma", "long": 4}
@@ -57,7 +58,6 @@ _AR1_SQL = (
 
 
 def _ar1_sql():
-    from loomcast.plans.validation import folds_sql
     return (f"WITH {folds_sql(P.F3, 9, 200)}, {_AR1_SQL} "
             f"SELECT series_id, fold, {r('avg(abs(y - yhat))', 4)} AS mae FROM fc GROUP BY 1, 2")
 
@@ -164,7 +164,20 @@ def fc16(spark, sf):
     return _best(GridSearch(P.lineitem_monthly(spark, sf), K, ["y"], grid, ARMA, 5, 20))
 
 
-@query("val7_failed_candidates_skipped")
+@query("fc7_regression_by_lag_products",
+       f"WITH {folds_sql(P.F4, 5, 20)}, fit AS (SELECT series_id, fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM train WHERE idx >= 1 GROUP BY 1, 2) "
+       f"SELECT t.series_id, t.fold, {r('avg(abs(y - a - b * x))', 2)} AS mae FROM test t JOIN fit f ON f.series_id = t.series_id AND f.fold = t.fold GROUP BY 1, 2")
+def fc7_engine(spark, sf):
+    """One regressor and order (0, 0, 0) through the grid engine, which leaves out the first row."""
+    search = GridSearch(P.orders_monthly_pair(spark, sf), K, ["y", "x"], arma_grid([0], [0], [0]), ARMA, 5, 20, exog=1)
+    return search.fold_scores().select("series_id", "fold", rnd("mae", 2).alias("mae"))
+
+
+@query("val7_failed_candidates_skipped",
+       f"WITH {folds_sql(P.F1, 5, 0)}, s AS (SELECT series_id, fold, "
+       "CASE WHEN greatest(train_size - 10, 0) <= 1 + p + q THEN 'short' ELSE 'ok' END AS status "
+       "FROM folds, range(5) a(p), range(3) b(d), range(5) c(q)) "
+       "SELECT series_id, fold, status, count(*) AS candidates FROM s GROUP BY 1, 2, 3")
 def val7(spark, sf):
     """Early folds are too short for the larger orders: those fail, the others go on."""
     search = GridSearch(P.orders_monthly(spark, sf), K, ["y"], PDQ, ARMA, 5, 0)

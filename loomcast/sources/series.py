@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.functions.calendar import position
 from loomcast.operators.split import CHUNK
+from loomcast.session import shared_dir
 
 
 def cells(df: DataFrame, keys: Sequence[str], time: str, step: str, aggs: dict[str, Column]) -> DataFrame:
@@ -70,3 +72,14 @@ def panel(
 ) -> DataFrame:
     """``cells`` + ``densify``."""
     return densify(cells(df, keys, time, step, aggs), keys, list(aggs), **densify_options)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a panel to the shared folder and read it back (an action).
+
+    For jobs that use a panel several times: later branches read the cells instead of joining
+    the spine again, and a lost executor costs only its own reads.
+    """
+    path = f"{shared_dir(df.sparkSession)}/panel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -70,3 +70,20 @@ def test_constant_series(panel_of):
     out = bl.forecasts(panel_of({"a": [5] * 30}), K, 4, 5, 3).collect()
     assert all(r["mean"] == 5 and r.random_walk == 5 and r.drift == 5 and r.seasonal_naive == 5 for r in out)
     assert all(r.ar1 is None for r in out)
+
+
+def test_partial_autocorrelation_solves_yule_walker(panel_of):
+    import numpy as np
+
+    from loomcast.operators import diagnostics as dg
+
+    rng = np.random.default_rng(3)
+    y = np.cumsum(rng.normal(size=60))
+    acf = dg.autocorrelation(panel_of({"a": list(y)}), K, "y", 6, size=11)
+    d = y - y.mean()
+    r = np.array([1.0] + [(d[k:] * d[:-k]).sum() / (d * d).sum() for k in range(1, 7)])
+    got = [x.r for x in sorted(acf.collect(), key=lambda x: x.lag)]
+    assert np.allclose(got, r[1:])
+    pacf = [x.pacf for x in sorted(dg.partial_autocorrelation(acf, K, 6).collect(), key=lambda x: x.lag)]
+    want = [np.linalg.solve([[r[abs(i - j)] for j in range(k)] for i in range(k)], r[1:k + 1])[-1] for k in range(1, 7)]
+    assert np.allclose(pacf, want)

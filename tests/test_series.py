@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomcast.functions.calendar import STEPS, period_start, position
 from loomcast.sources import tables as tb
-from loomcast.sources.series import panel
+from loomcast.sources.series import panel, stored
 
 K = ["series_id"]
 
@@ -39,6 +39,11 @@ def test_densify(spark, size):
     assert panel(df, K, "t", "day", {"y": F.sum("v")}, drop_last=6, size=size).count() == 0
 
 
+def test_stored_panel_is_the_same(panel_of):
+    p = panel_of({"a": [1, None, 3], "b": [4]})
+    assert sorted(stored(p).collect(), key=str) == sorted(p.collect(), key=str)
+
+
 def test_grid_order():
     grid = tb.grid({"p": [0, 1], "d": [0, 1]})
     assert grid == [{"p": 0, "d": 0}, {"p": 0, "d": 1}, {"p": 1, "d": 0}, {"p": 1, "d": 1}]
