@@ -8,7 +8,7 @@ import re
 import time
 
 from loomcast.operators import baselines as bl, scoring as so, trend as tr, windows as wn
-from loomcast.operators.solver_tasks import GridSearch, arma_grid
+from loomcast.operators.solver_tasks import GridSearch
 from loomcast.plans import QUERIES, panels as P
 from loomcast.plans.models import ARMA, PDQ
 from loomcast.session import local_session

@@ -6,6 +6,7 @@ Spark has summed the data down to it. Batches are solved with stacked linear alg
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Sequence
 
@@ -159,6 +160,14 @@ def _spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def with_candidate_parameters(df: DataFrame, candidates: list[dict]) -> DataFrame:
+    """Put the parameters of each candidate next to its number, from one literal."""
+    fields = ", ".join(f"{k}: {'int' if isinstance(v, int) else 'double'}" for k, v in candidates[0].items())
+    table = F.from_json(F.lit(json.dumps(candidates)), f"array<struct<{fields}>>")
+    return df.withColumn("_p", F.get(table, F.col("candidate"))).select(
+        *df.columns, *[F.col(f"_p.{k}").alias(k) for k in candidates[0]])
+
+
 class GridSearch:
     """A set of candidates on a panel: scores of all of them, the best, and its forecasts.
 
@@ -207,10 +216,7 @@ class GridSearch:
 
     def with_parameters(self, df: DataFrame) -> DataFrame:
         """Put the parameters of each candidate next to its number."""
-        names = list(self.candidates[0])
-        table = F.array(*[F.struct(*[F.lit(c[k]).alias(k) for k in names]) for c in self.candidates])
-        return df.withColumn("_p", F.get(table, F.col("candidate"))).select(
-            *df.columns, *[F.col(f"_p.{k}").alias(k) for k in names])
+        return with_candidate_parameters(df, self.candidates)
 
     def _paths(self, rows: DataFrame) -> DataFrame:
         raw = _spread(rows, *self.keys, "fold", "h").mapInArrow(

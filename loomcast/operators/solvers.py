@@ -91,7 +91,7 @@ class Models:
     def __init__(self, s_matrix, tail, long):
         self.s, self.tail, self.long = s_matrix, tail, long
         self.b, self.v, self.width = tail.shape
-        self._stage1 = {}
+        self._stage1, self._past = {}, {}
 
     def _pick(self, poly, var, at):
         """Row over z that gives the differenced value of a column, ``at`` steps back."""
@@ -121,6 +121,14 @@ class Models:
         y = np.array([self._pick(poly, u, at) for u in range(self.v)])
         return y[None] - np.swapaxes(beta, 1, 2) @ x
 
+    def _shock(self, poly, lags, at):
+        """(B, V): value of the shocks ``at`` steps before the end."""
+        key = (tuple(poly), tuple(lags), at)
+        if key not in self._past:
+            flat = np.concatenate([np.ones((self.b, 1)), self.tail.reshape(self.b, -1)], axis=1)
+            self._past[key] = np.einsum("bvz,bz->bv", self._shock_rows(poly, lags, at), flat)
+        return self._past[key]
+
     def fit(self, cand):
         """-> const (B, V), coef (B, V, V, K), extra (B, V, steps), sse (B, V), number of parameters."""
         poly = difference_polynomial(cand["d"], cand["sd"], cand["m"])
@@ -154,14 +162,11 @@ class Models:
         steps = max(ma, default=0)
         extra = np.zeros((self.b, self.v, steps))
         if ma:
-            flat = np.concatenate([np.ones((self.b, 1)), self.tail.reshape(self.b, -1)], axis=1)
             start = 1 + self.v * len(ar)
-            past = {back: np.einsum("bvz,bz->bv", self._shock_rows(poly, lags, back), flat)
-                    for back in {a - h for a in ma for h in range(1, a + 1)}}
             for pos, a in enumerate(ma):
                 theta = beta[:, start + pos * self.v:start + (pos + 1) * self.v, :]
                 for h in range(1, a + 1):
-                    extra[:, :, h - 1] += np.einsum("bsv,bs->bv", theta, past[a - h])
+                    extra[:, :, h - 1] += np.einsum("bsv,bs->bv", theta, self._shock(poly, lags, a - h))
         return beta[:, 0, :], coef, extra, sse, x.shape[1]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from loomcast.operators.split import CHUNK, running_sum, windowed, with_series_totals
 

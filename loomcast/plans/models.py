@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomcast.operators import scoring as so, slices, trend as tr
 from loomcast.operators.folds import test_rows
-from loomcast.operators.solver_tasks import GridSearch, arma_grid
+from loomcast.operators.solver_tasks import GridSearch, arma_grid, with_candidate_parameters
 from loomcast.plans import panels as P
 from loomcast.plans.panels import r, rnd
 from loomcast.plans.registry import query
@@ -99,9 +99,8 @@ def fc7_errors(spark, sf):
 def _additive(df, k, min_train, m, grid, **options):
     pred = tr.additive_forecasts(df, K, k, min_train, m, grid, **options)
     scores = so.candidate_scores(so.fold_scores(pred, ["series_id", "candidate"]), ["series_id", "candidate"])
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in c.items()]) for c in grid])
-    best = so.best_candidate(scores, K).withColumn("_p", F.get(table, F.col("candidate")))
-    return best.select("series_id", "candidate", "_p.*", rnd("mean_mae", 2).alias("mean_mae"),
+    best = with_candidate_parameters(so.best_candidate(scores, K), grid)
+    return best.select("series_id", "candidate", *grid[0], rnd("mean_mae", 2).alias("mean_mae"),
                        rnd("last_mae", 2).alias("last_mae"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -60,8 +61,6 @@ def grid(values: dict[str, Sequence], keep=None) -> list[dict]:
 
 def grid_column(values: dict[str, Sequence], types: dict[str, str]) -> Column:
     """The combinations as one array-of-structs literal: explode it instead of a cross join."""
-    entries = []
-    for no, combo in enumerate(grid(values)):
-        entries.append(F.struct(F.lit(no).alias("candidate"),
-                                *[F.lit(v).cast(types[k]).alias(k) for k, v in combo.items()]))
-    return F.array(*entries)
+    entries = [{"candidate": no, **combo} for no, combo in enumerate(grid(values))]
+    fields = ", ".join(f"{k}: {t}" for k, t in {"candidate": "int", **types}.items())
+    return F.from_json(F.lit(json.dumps(entries)), f"array<struct<{fields}>>")
