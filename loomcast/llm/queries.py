@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomcast.llm import packing, quality_rules, sharding, token_ids, token_output, url_filter
+from loomcast.llm import (fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding, token_ids,
+                          token_output, url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,30 @@ def op3(spark, sf):
     return token_ids.round_trip(table(spark, sf, "documents"), BYTE_BPE)
 
 
+@query("op2_fingerprints")
+def op2(spark, sf):
+    return fingerprints.searched(table(spark, sf, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality_classifier.score(docs, quality_classifier.learn(docs))
+
+
+@query("op5_warc", """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes, sha256(payload) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from f""")
+def op5(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -72,6 +97,11 @@ def op6(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op7_near_dedup")
+def op7(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), near_dedup.Near(words=4))
+
+
 @query("op8_token_output")
 def op8(spark, sf):
     return token_output.written_segments(table(spark, sf, "documents"), BYTE_BPE, end_id=50256, length=2048)
