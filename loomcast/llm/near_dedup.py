@@ -188,8 +188,8 @@ def verified_links(sets: DataFrame, near: Near) -> DataFrame:
     groups = groups.join(main, "cluster")
     strays = groups.filter("grp <> main")
     stray_blocks = strays.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / near.block).cast("int").alias("sb"))
-    deal = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
-    mine = F.pmod(F.xxhash64("node", F.lit(4)), F.col("sb"))
+    deal = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")  # the types of x and y, as task hashes them
+    mine = F.pmod(F.xxhash64("node", F.lit(4)), F.col("sb")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # a stray is in its own stray block with every block; a member in its block with every stray block
     left = strays.join(stray_blocks, "cluster").withColumn("y", every("blocks")) \
