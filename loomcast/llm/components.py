@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm.storage import stored
 
+ONE_TASK = 1 << 17  # links
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union-find over links: (node, smallest node of its component) for all nodes but the smallest."""
@@ -64,6 +65,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     after contracting the links inside partitions; a hub's neighbours are first reduced to their minimum."""
     spark = links.sparkSession
     edges = stored(links.select("a", "b").filter("a <> b").mapInArrow(contract, "a long, b long"))
+    if edges.count() <= ONE_TASK:  # few links are left: the same contraction, in one partition
+        edges = stored(edges.repartition(1).mapInArrow(contract, "a long, b long"))
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
         # large star: every larger neighbour of a node to the smallest of its neighbourhood
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")) \

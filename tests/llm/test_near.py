@@ -64,8 +64,7 @@ def near_rows():
     return rows + [(50, base), (900, None), (901, ""), (902, "one two")]
 
 
-@pytest.mark.parametrize("block", [4000, 9])
-@pytest.mark.parametrize("k", [4, 5])
+@pytest.mark.parametrize("block, k", [(4000, 5), (9, 4)])
 def test_components_equal_brute_force(spark, block, k):
     rows = near_rows()
     want = {rows[i][0]: v for i, v in plain_components(rows, k).items()}
@@ -87,7 +86,11 @@ def test_awkward_rows(spark):
     assert near_dedup.near_duplicates(nothing(spark)).count() == 0
 
 
-def test_components_of_long_chains_and_hubs(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_long_chains_and_hubs(spark, monkeypatch, one_task):
+    from loomcast.llm import components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", one_task)
     rng = random.Random(2)
     order = list(range(300))
     rng.shuffle(order)
