@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.functions import errors
-from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix
+from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix, with_blocks
+from loomcast.operators.lag_products import centred
 from loomcast.operators.split import CHUNK, windowed
 
 MODELS = ["mean", "random_walk", "drift", "seasonal_naive", "ar1"]
@@ -28,18 +29,20 @@ def ar1_steps(a: Column, phi: Column, last: Column, steps: Column) -> Column:
 
 def fold_fits(df: DataFrame, keys: Sequence[str], k: int, min_train: int, *, size: int = CHUNK) -> DataFrame:
     """Everything the closed forms need, per (series, fold), from one pass over the panel."""
-    lagged = windowed(df, keys, lambda w: {"x": F.lag("y", 1).over(w)}, before=1, size=size)
+    # moments around the level of block 0, which every fold trains on: a high level costs no digits
+    level = centred(with_blocks(df, k), keys, ["y"], size=size).withColumn("y", F.col("y") - F.col("mu_y"))
+    lagged = windowed(level, keys, lambda w: {"x": F.lag("y", 1).over(w)}, before=1, size=size)
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
     fits = train_prefix(
         lagged, keys, k,
         {"s_n": F.when(F.col("y").isNotNull(), F.lit(1)), "s_y": F.col("y"), "p_n": F.when(both, F.lit(1)),
          "p_x": x, "p_y": y, "p_xx": x * x, "p_xy": x * y},
-        firsts={"y_first": "y"}, lasts={"y_last": "y"}, min_train=min_train)
+        firsts={"y_first": "y", "mu": "mu_y"}, lasts={"y_last": "y"}, min_train=min_train)
     phi, a = slope_intercept(F.col("p_n"), F.col("p_x"), F.col("p_y"), F.col("p_xx"), F.col("p_xy"))
     return fits.select(
         *keys, "fold", "train_size", "test_size",
-        (F.col("s_y") / F.col("s_n")).alias("level"), "y_last",
+        (F.col("s_y") / F.col("s_n")).alias("level"), "y_last", "mu",
         ((F.col("y_last") - F.col("y_first")) / (F.col("train_size") - 1)).alias("drift"),
         phi.alias("phi"), a.alias("intercept"))
 
@@ -61,11 +64,11 @@ def forecasts(
     step = F.col("h") + 1
     return rows.select(
         *keys, "fold", "idx", "h", "y",
-        F.col("level").alias("mean"),
-        F.col("y_last").alias("random_walk"),
-        (F.col("y_last") + F.col("drift") * step).alias("drift"),
+        (F.col("mu") + F.col("level")).alias("mean"),
+        (F.col("mu") + F.col("y_last")).alias("random_walk"),
+        (F.col("mu") + F.col("y_last") + F.col("drift") * step).alias("drift"),
         "seasonal_naive",
-        ar1_steps(F.col("intercept"), F.col("phi"), F.col("y_last"), step).alias("ar1"))
+        (F.col("mu") + ar1_steps(F.col("intercept"), F.col("phi"), F.col("y_last"), step)).alias("ar1"))
 
 
 def long_forecasts(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,9 +88,12 @@ def fold_scores(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def regressor_fits(df: DataFrame, keys: Sequence[str], x: str, k: int, min_train: int) -> DataFrame:
     """y on one regressor whose future is known, per (series, fold)."""
+    level = centred(with_blocks(df, k), keys, [x, "y"])
     both = F.col(x).isNotNull() & F.col("y").isNotNull()
-    u, v = F.when(both, F.col(x)), F.when(both, F.col("y"))
-    fits = train_prefix(df, keys, k, {
-        "p_n": F.when(both, F.lit(1)), "p_x": u, "p_y": v, "p_xx": u * u, "p_xy": u * v}, min_train=min_train)
+    u, v = F.when(both, F.col(x) - F.col(f"mu_{x}")), F.when(both, F.col("y") - F.col("mu_y"))
+    fits = train_prefix(level, keys, k, {
+        "p_n": F.when(both, F.lit(1)), "p_x": u, "p_y": v, "p_xx": u * u, "p_xy": u * v},
+        firsts={"mu_x": f"mu_{x}", "mu_y": "mu_y"}, min_train=min_train)
     slope, icpt = slope_intercept(F.col("p_n"), F.col("p_x"), F.col("p_y"), F.col("p_xx"), F.col("p_xy"))
-    return fits.select(*keys, "fold", "train_size", "test_size", slope.alias("slope"), icpt.alias("intercept"))
+    return fits.select(*keys, "fold", "train_size", "test_size", slope.alias("slope"),
+                       (F.col("mu_y") + icpt - slope * F.col("mu_x")).alias("intercept"))

@@ -6,31 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomcast.operators.split import CHUNK, windowed
+from loomcast.operators.split import CHUNK, windowed, with_series_totals
 
 
 def autocorrelation(df: DataFrame, keys: Sequence[str], col: str, lags: int, *, size: int = CHUNK) -> DataFrame:
-    """r_1..r_lags per series as (keys, lag, r, n), from sums that combine map-side.
+    """r_1..r_lags per series as (keys, lag, r, n, pairs), from sums that combine map-side.
 
-    The mean is worked in afterwards: sum (y_t - m)(y_{t-k} - m) =
-    sum y_t y_{t-k} - m (sum of y from k on + sum of y up to n-1-k) + (n - k) m^2.
+    Values are centred before they are multiplied, so a high level costs no digits. A product counts where
+    both values are known; ``n`` is the number of known values, ``pairs`` that of products.
     """
+    totals = with_series_totals(df.select(*keys, "idx", "n", col), keys,
+                                {"_s": (F.sum(col), "sum"), "_m": (F.count(col), "sum")}, size=size)
+    flat = totals.withColumn("_v", F.col(col) - F.col("_s") / F.nullif(F.col("_m"), F.lit(0)))
     lagged = windowed(
-        df, keys, lambda w: {f"_l{k}": F.lag(col, k).over(w) for k in range(1, lags + 1)}, before=lags, size=size)
+        flat, keys, lambda w: {f"_l{k}": F.lag("_v", k).over(w) for k in range(1, lags + 1)}, before=lags, size=size)
     span = range(1, lags + 1)
-    # SQL texts: three sums per lag, each a single call
+    # SQL texts: two sums per lag, each a single call
     sums = lagged.groupBy(*keys).agg(
-        F.expr(f"count(`{col}`) AS n"), F.expr(f"sum(`{col}`) AS s"), F.expr(f"sum(`{col}` * `{col}`) AS q"),
-        F.expr("array(" + ", ".join(f"coalesce(sum(`{col}` * _l{k}), 0D)" for k in span) + ") AS c"),
-        F.expr("array(" + ", ".join(
-            f"coalesce(sum(CASE WHEN idx < {k} THEN `{col}` END), 0D) + coalesce(sum(CASE WHEN idx >= n - {k} THEN `{col}` END), 0D)"
-            for k in span) + ") AS e"))
-    m = F.col("s") / F.col("n")
-    var = F.nullif(F.col("q") - m * F.col("s"), F.lit(0.0))
-    lag = F.col("_p") + 1
-    rows = sums.select(*keys, "n", m.alias("m"), var.alias("var"), "s", F.posexplode(F.arrays_zip("c", "e")).alias("_p", "z"))
-    r = (F.col("z.c") - F.col("m") * (2 * F.col("s") - F.col("z.e")) + (F.col("n") - lag) * F.col("m") * F.col("m")) / F.col("var")
-    return rows.select(*keys, "n", lag.alias("lag"), r.alias("r"))
+        F.expr("count(_v) AS n"), F.expr("sum(_v * _v) AS q"),
+        F.expr("array(" + ", ".join(f"sum(_v * _l{k})" for k in span) + ") AS c"),
+        F.expr("array(" + ", ".join(f"count(_v * _l{k})" for k in span) + ") AS m"))
+    rows = sums.select(*keys, "n", "q", F.posexplode(F.arrays_zip("c", "m")).alias("_p", "z"))
+    return rows.select(*keys, "n", (F.col("_p") + 1).alias("lag"),
+                       (F.coalesce("z.c", F.lit(0.0)) / F.nullif(F.col("q"), F.lit(0.0))).alias("r"), F.col("z.m").alias("pairs"))
 
 
 def partial_autocorrelation(acf: DataFrame, keys: Sequence[str], lags: int) -> DataFrame:

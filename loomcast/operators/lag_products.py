@@ -20,9 +20,13 @@ HORIZON = 4096  # test values per solver row; longer test blocks are split
 
 
 def centred(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, size: int = CHUNK) -> DataFrame:
-    """Add ``mu_<col>``, the series mean: products of values near 0 keep their digits."""
-    totals = {f"_s_{c}": (F.sum(c), "sum") for c in cols}
-    totals |= {f"_m_{c}": (F.count(c), "sum") for c in cols}
+    """Add ``mu_<col>``, the mean over block 0: products of values near 0 keep their digits.
+
+    Block 0 is in every training set, so no test value has a part in it.
+    """
+    first = F.col("block") == 0
+    totals = {f"_s_{c}": (F.sum(F.when(first, F.col(c))), "sum") for c in cols}
+    totals |= {f"_m_{c}": (F.count(F.when(first, F.col(c))), "sum") for c in cols}
     out = with_series_totals(df, keys, totals, size=size)
     means = [F.coalesce(F.col(f"_s_{c}") / F.nullif(F.col(f"_m_{c}"), F.lit(0)), F.lit(0.0)).alias(f"mu_{c}") for c in cols]
     return out.select(*df.columns, *means)
@@ -32,14 +36,16 @@ def lag_products(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], lags: int, k: int, min_train: int = 0,
     *, size: int = CHUNK, whole: bool = False,
 ) -> DataFrame:
-    """(keys, fold, train_size, test_size, gaps, rows, mu, s, c, head, tail) per training set.
+    """(keys, fold, train_size, test_size, gaps, rows, early, mu, s, c, head, tail) per training set.
 
-    ``c`` holds, for each ordered pair of columns (u, v), sum u_t v_(t-k) for k = 0..lags;
-    ``head``/``tail`` the lags 0..lags of each column at the first and last usable row.
+    ``c`` holds, for each ordered pair of columns (u, v), sum u_t v_(t-k) for k = 0..lags over the
+    ``rows`` rows that have all lags; ``head``/``tail`` the lags 0..lags of each column at the first
+    and last of them. ``head`` is also the first values of the series backwards, and ``early`` the
+    number of rows before position ``lags``: a candidate of fewer lags adds those that it can use.
     ``whole``: one training set per series, all of it, as fold k.
     """
-    centre = centred(df.select(*keys, "idx", "n", *cols), keys, cols, size=size)
-    centre = with_blocks(centre, k).filter(F.col("block") <= k)
+    centre = with_blocks(df.select(*keys, "idx", "n", *cols), k).filter(F.col("block") <= k)
+    centre = centred(centre, keys, cols, size=size)
     for c in cols:
         centre = centre.withColumn(c, F.col(c) - F.col(f"mu_{c}"))
 
@@ -55,14 +61,15 @@ def lag_products(
     span = range(lags + 1)
     cross = [(u, v, i) for u in cols for v in cols for i in span]
     each = [(c, i) for c in cols for i in span]
-    usable, at_head = f"idx >= {lags}", f"idx = {lags}"
+    usable = f"idx >= {lags}"
     at_end = "idx = first + block * test_size - 1"
     # a row before position ``lags`` has no full set of lags
     sums = (
         [" + ".join(f"CAST(`{c}` IS NULL AS DOUBLE)" for c in cols), f"CAST({usable} AS DOUBLE)"]
         + [f"CASE WHEN {usable} THEN `{c}` END" for c in cols]
         + [f"CASE WHEN {usable} THEN `{u}` * {lag(v, i)} END" for u, v, i in cross]
-        + [f"CASE WHEN {at_head} THEN {lag(c, i)} END" for c, i in each]
+        + [f"CASE WHEN idx = {lags - i} THEN `{c}` END" for c, i in each]
+        + [f"CAST(idx < {lags} AS DOUBLE)"]
     )
     mus = [f"mu_{c}" for c in cols]
     out = train_prefix_packed(
@@ -72,6 +79,7 @@ def lag_products(
     return out.select(
         *keys, "fold", "train_size", "test_size",
         F.get("packed", F.lit(0)).cast("bigint").alias("gaps"), F.get("packed", F.lit(1)).cast("bigint").alias("rows"),
+        F.get("packed", F.lit(len(sums) - 1)).cast("bigint").alias("early"),
         F.array(*mus).alias("mu"),
         F.slice("packed", at_s, len(cols)).alias("s"),
         F.slice("packed", at_c, len(cross)).alias("c"),

@@ -50,14 +50,15 @@ def selection_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def best_candidate(scores: DataFrame, keys: Sequence[str], candidate: str = "candidate") -> DataFrame:
-    """Lowest mean MAE, missing scores last, the first candidate wins a tie.
+    """Lowest mean MAE, missing scores last, the first candidate wins a tie; NULL when all failed.
 
     An aggregate instead of a ranking window: it combines map-side and sorts nothing.
     """
     rank = F.struct(F.coalesce(F.col("mean_mae"), F.lit(float("inf"))).alias("m"), F.col(candidate).alias("c"))
     rest = [c for c in scores.columns if c not in keys]
     best = scores.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("b"))
-    return best.select(*keys, "b.*")
+    out = best.select(*keys, "b.*")
+    return out.withColumn(candidate, F.when(F.col("mean_mae").isNotNull(), F.col(candidate)))
 
 
 def result_table(models: dict[str, DataFrame], digits: int = 3) -> DataFrame:

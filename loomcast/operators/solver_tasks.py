@@ -26,9 +26,12 @@ cloudpickle.register_pickle_by_value(sys.modules["loomcast"])
 DOUBLES_PER_SLICE = 2_000_000
 
 
+def _raw(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return np.nan_to_num(flat.reshape(len(column), width))
+    return np.nan_to_num(_raw(column, width), posinf=np.nan, neginf=np.nan)
 
 
 def _ragged(column: pa.Array) -> np.ndarray:
@@ -47,40 +50,99 @@ def _slices(batch: pa.RecordBatch, z: int, longest: int):
         yield batch.slice(start, step)
 
 
+def lags_of(cand: dict, spec: dict) -> int:
+    """Largest lag of the data that a candidate touches: its sample begins at that position."""
+    return sv.needed_lags(cand, spec["long"]) if spec["kind"] == "arma" else cand["n_in"] + spec["n_out"] - 1
+
+
+def by_sample(candidates: list[dict], spec: dict) -> list[int]:
+    """Numbers of the candidates, those with the shortest sample first: samples then only grow."""
+    return sorted(range(len(candidates)), key=lambda no: -lags_of(candidates[no], spec))
+
+
+class _Samples:
+    """Normal matrices over the rows that a candidate with given lags can use, whatever others need."""
+
+    def __init__(self, common, rows, early, head):
+        self.common, self.rows, self.early, self.head = common, rows, early, head
+        self.at, self.s = head.shape[2] - 1, common
+
+    def of(self, lags: int):
+        if lags > self.at:
+            self.at, self.s = self.head.shape[2] - 1, self.common
+        b, v, width = self.head.shape
+        for t in range(self.at - 1, lags - 1, -1):
+            z = np.zeros((b, 1 + v * width))
+            z[:, 0] = 1.0
+            # lag i at position t is the value at position t - i
+            z[:, 1:].reshape(b, v, width)[:, :, :t + 1] = self.head[:, :, width - 1 - t:]
+            z[self.early <= t] = 0.0
+            self.s = self.s + z[:, :, None] * z[:, None, :]
+        self.at = lags
+        return self.s, self.rows + np.maximum(self.early - lags, 0)
+
+
 def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int, spec: dict):
-    """-> function(candidate, rows, steps) giving (forecasts (b, steps) of column 1, status (b,))."""
+    """-> function(candidate, rows, steps) giving (forecasts (b, steps) of column 1, status (b,), sse (b,), rows (b,))."""
     v, width, b = len(cols), lags + 1, part.num_rows
     col = {name: part.column(i) for i, name in enumerate(part.schema.names)}
     rows = col["rows"].to_numpy(zero_copy_only=False).astype(float)
+    early = col["early"].to_numpy(zero_copy_only=False)
     gaps = col["gaps"].to_numpy(zero_copy_only=False)
     head = _matrix(col["head"], v * width).reshape(b, v, width)
     tail = _matrix(col["tail"], v * width).reshape(b, v, width)
-    start = _matrix(col["state"], v * width).reshape(b, v, width) if "state" in col else None
+    start = unknown = None
+    if "state" in col:
+        start = _matrix(col["state"], v * width).reshape(b, v, width)
+        unknown = np.isnan(_raw(col["state"], v * width)).reshape(b, v, width)
     mu = _matrix(col["mu"], v)
-    s = sv.normal_matrix(rows, _matrix(col["s"], v), _matrix(col["c"], v * v * width).reshape(b, v, v, width), head, tail)
+    common = sv.normal_matrix(rows, _matrix(col["s"], v), _matrix(col["c"], v * v * width).reshape(b, v, v, width), head, tail)
+    common[rows == 0] = 0.0  # no row has all lags: the edges say nothing
+    samples = _Samples(common, rows, early, head)
     future = None
     if exog:
         future = [_ragged(col[f"actual_{c}"]) - mu[:, i, None] for i, c in enumerate(cols) if i >= v - exog]
-        s, tail, beta = sv.remove_regressors(s, tail, exog)
-    fitted = sv.Models(s, tail if start is None else start, spec.get("long", 6)) if spec["kind"] == "arma" else None
-    tail = tail if start is None else start
-
     starts = col["h"].to_numpy(zero_copy_only=False)
+    ready: dict = {}
+
+    def prepare(cand):
+        """Sample of the candidate's own length; kept for the next candidate with the same."""
+        need = lags_of(cand, spec)
+        if ready.get("lags") != need:
+            s, used = samples.of(need)
+            own, beta, shift = tail, None, np.zeros((b, v))
+            if exog:
+                s, own, beta = sv.remove_regressors(s, own, exog)
+            if spec["kind"] != "arma":  # the penalty must not see where zero is: centre on the training mean
+                s, own, shift = sv.recentre(s, own if start is None else start)
+            model = sv.Models(s, own if start is None else start, spec.get("long", 6)) if spec["kind"] == "arma" else None
+            ready.update(lags=need, s=s, used=used, tail=own, beta=beta, model=model, shift=shift)
+        return ready
 
     def run(cand, pick, steps):
+        now = prepare(cand)
+        from_tail = now["tail"] if start is None or spec["kind"] != "arma" else start
         if spec["kind"] == "arma":
-            const, coef, extra, _, params = fitted.fit(cand)
-            state = tail[pick][:, :, :coef.shape[3]]
-            out = sv.recurse(const[pick], coef[pick], extra[pick], state, steps, starts[pick])
+            const, coef, extra, sse, params = now["model"].fit(cand)
+            reach = coef.shape[3]
+            out = sv.recurse(const[pick], coef[pick], extra[pick], from_tail[pick][:, :, :reach], steps, starts[pick])
+            sse = sse[pick, 0]
         else:
             n_in, n_out = cand["n_in"], spec["n_out"]
-            const, weights, params = sv.window_fit(s, s.shape[1] // width, width, n_in, n_out, cand["ridge"])
-            out = sv.window_forecast(const[pick], weights[pick], tail[pick][:, :, :n_in], n_out, steps, starts[pick])
-        yhat = out[:, 0] + mu[pick, :1]
+            reach = n_in
+            const, weights, params = sv.window_fit(now["s"], now["s"].shape[1] // width, width, n_in, n_out, cand["ridge"])
+            out = sv.window_forecast(const[pick], weights[pick], from_tail[pick][:, :, :n_in], n_out, steps, starts[pick])
+            sse = np.full(len(pick), np.nan)
+        yhat = out[:, 0] + mu[pick, :1] + now["shift"][pick, :1]
         if exog:
+            beta = now["beta"]
             yhat = yhat + beta[pick, :1] + sum(beta[pick, 1 + e, None] * f[pick][:, :steps] for e, f in enumerate(future))
-        status = np.where(gaps[pick] > 0, sv.GAPS, np.where(rows[pick] <= params, sv.SHORT, sv.OK))
-        return yhat, status
+        missing = gaps[pick] > 0
+        if unknown is not None:
+            missing = missing | unknown[pick][:, :, :reach].any(axis=(1, 2))
+        used = now["used"][pick]
+        status = np.where(missing, sv.GAPS, np.where(used <= params, sv.SHORT, sv.OK))
+        return yhat, status, sse, used
 
     return run
 
@@ -91,6 +153,7 @@ def _width(cols, lags):
 
 def score_task(keys, cols, lags, exog, spec, candidates):
     """Sum of absolute errors of every candidate: abs_err and status arrays in candidate order."""
+    order = by_sample(candidates, spec)
 
     def run(batches):
         for batch in batches:
@@ -102,9 +165,9 @@ def score_task(keys, cols, lags, exog, spec, candidates):
                 err = np.full((part.num_rows, len(candidates)), np.nan)
                 state = np.zeros((part.num_rows, len(candidates)), dtype=np.int32)
                 everything = np.arange(part.num_rows)
-                for no, cand in enumerate(candidates):
+                for no in order:
                     with np.errstate(all="ignore"):
-                        yhat, status = predict(cand, everything, target.shape[1])
+                        yhat, status, _, _ = predict(candidates[no], everything, target.shape[1])
                         gap = np.where(known, np.abs(target - yhat), 0.0).sum(axis=1)
                     status = np.where((status == sv.OK) & ~np.isfinite(gap), sv.UNSTABLE, status)
                     err[:, no] = np.where(status == sv.OK, gap, np.nan)
@@ -138,7 +201,7 @@ def forecast_task(keys, cols, lags, exog, spec, candidates):
                 for no in np.unique(chosen):
                     pick = np.flatnonzero(chosen == no)
                     with np.errstate(all="ignore"):
-                        yhat, status = predict(candidates[no], pick, out.shape[1])
+                        yhat, status, _, _ = predict(candidates[no], pick, out.shape[1])
                     out[pick] = np.where((status == sv.OK)[:, None] & np.isfinite(yhat), yhat, np.nan)
                 inside = np.arange(out.shape[1]) < lengths[:, None]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
@@ -179,10 +242,8 @@ class GridSearch:
     def __init__(self, df: DataFrame, keys: Sequence[str], cols: Sequence[str], candidates: list[dict], spec: dict,
                  k: int, min_train: int = 0, *, exog: int = 0, size: int = CHUNK, horizon: int = HORIZON):
         self.keys, self.cols, self.candidates, self.spec, self.exog = list(keys), list(cols), candidates, spec, exog
-        if spec["kind"] == "arma":
-            self.lags = max(1, max(sv.needed_lags(c, spec["long"]) for c in candidates))
-        else:
-            self.lags = max(c["n_in"] for c in candidates) + spec["n_out"] - 1
+        self.lags = max(1, max(lags_of(c, spec) for c in candidates))
+        if spec["kind"] != "arma":
             horizon = max(horizon - horizon % spec["n_out"], spec["n_out"])
         self.df, self.k, self.size, self.horizon = df, k, size, horizon
         self.rows = solver_rows(df, keys, cols, self.lags, k, min_train, size=size, horizon=horizon)
@@ -201,17 +262,23 @@ class GridSearch:
         out = flat.groupBy(*self.keys, "candidate", "fold").agg(
             F.sum("z.abs_err").alias("_e"), F.count("z.abs_err").alias("_c"), F.count(F.lit(1)).alias("_m"),
             F.sum("steps").alias("_n"), F.max("z.status").alias("_s"))
-        return out.select(
+        scored = out.select(
             *self.keys, "candidate", "fold",
             F.when((F.col("_c") == F.col("_m")) & (F.col("_n") > 0), F.col("_e") / F.col("_n")).alias("mae"),
             F.get(names, F.col("_s")).alias("status"))
+        # a series of fewer periods than folds has one row per candidate without a fold
+        few = self.df.filter((F.col("idx") == 0) & (F.col("n") <= self.k)).select(
+            *self.keys, F.explode(F.sequence(F.lit(0), F.lit(len(self.candidates) - 1))).alias("candidate"))
+        return scored.unionByName(few.select(
+            *self.keys, "candidate", F.lit(None).cast("int").alias("fold"), F.lit(None).cast("double").alias("mae"),
+            F.lit("short").alias("status")))
 
     def scores(self) -> DataFrame:
         """(keys, candidate, mean_mae, last_mae, folds, failed) over the folds."""
         return self.fold_scores().groupBy(*self.keys, "candidate").agg(
             F.when(F.count("mae") == F.count(F.lit(1)), F.avg("mae")).alias("mean_mae"),
             F.max_by("mae", "fold").alias("last_mae"),
-            F.count(F.lit(1)).alias("folds"),
+            F.count("fold").alias("folds"),
             F.count_if(F.col("mae").isNull()).alias("failed"))
 
     def with_parameters(self, df: DataFrame) -> DataFrame:
@@ -226,7 +293,7 @@ class GridSearch:
 
     def forecasts(self, chosen: DataFrame) -> DataFrame:
         """(keys, fold, h, candidate, yhat) over the test blocks for the candidate chosen per series."""
-        pick = chosen.select(*self.keys, F.col("candidate").cast("int").alias("candidate"))
+        pick = chosen.filter("candidate is not null").select(*self.keys, F.col("candidate").cast("int").alias("candidate"))
         rows = self.rows.withColumn("steps", F.size(f"actual_{self.cols[0]}")).join(pick, self.keys)
         return self._paths(rows)
 
@@ -244,7 +311,7 @@ class GridSearch:
         """Fit the chosen candidate on the whole series and forecast beyond its end."""
         if self.exog:
             raise ValueError("regressors have no values beyond the end of the series")
-        pick = chosen.select(*self.keys, F.col("candidate").cast("int").alias("candidate"))
+        pick = chosen.filter("candidate is not null").select(*self.keys, F.col("candidate").cast("int").alias("candidate"))
         return self._paths(self._parts(self._whole().join(pick, self.keys), F.lit(steps)))
 
     def transfer(self, source: Column, targets: DataFrame, candidate: int, steps: Column) -> DataFrame:
@@ -253,13 +320,13 @@ class GridSearch:
         ``source`` selects the training series, ``targets`` holds (keys, idx, n, cols) of the known
         part of the others, ``steps`` (a column of keys and n) says how far to go.
         """
-        fit = self._whole().filter(source).select(F.struct("gaps", "rows", "mu", "s", "c", "head", "tail").alias("f"))
+        fit = self._whole().filter(source).select(F.struct("gaps", "rows", "early", "mu", "s", "c", "head", "tail").alias("f"))
         end = targets.filter(F.col("idx") >= F.col("n") - 1 - self.lags)
         newest = F.sort_array(F.collect_list(F.struct((-F.col("idx")).alias("o"), *self.cols)))
-        state = end.groupBy(*self.keys, "n").agg(newest.alias("_e"), F.count(F.lit(1)).alias("_m")).filter(
-            F.col("_m") == self.lags + 1)
+        state = end.groupBy(*self.keys, "n").agg(newest.alias("_e"))
         rows = state.select("*", fit.scalar().alias("f")).select(
             *self.keys, "n", F.lit(self.k).alias("fold"), F.lit(candidate).alias("candidate"), "f.*", "_e")
+        # values that a target lacks stay NULL: only a candidate that needs them has no forecast
         shifted = F.concat(*[
             F.zip_with(F.col(f"_e.{c}"), F.array_repeat(F.get("mu", F.lit(i)), self.lags + 1), lambda y, m: y - m)
             for i, c in enumerate(self.cols)])

@@ -47,11 +47,38 @@ def least_squares(gram, rhs, ridge=0.0, free=1):
     penalty[:free] = 0.0
     a = a + np.diag(penalty + 1e-11)
     y = rhs / scale[:, :, None]
-    beta = np.linalg.solve(a, y)
-    beta += np.linalg.solve(a, y - a @ beta)
+    beta = _solve(a, y)
+    beta += _solve(a, y - a @ beta)
     return beta / scale[:, :, None]
 
 
+def _solve(a, y):
+    """Stacked solve; a singular or non-finite matrix gives NaN in its own row and leaves the others alone."""
+    ok = np.isfinite(a).all(axis=(1, 2))
+    if ok.all():
+        try:
+            return np.linalg.solve(a, y)
+        except np.linalg.LinAlgError:
+            pass
+    out = np.full(y.shape, np.nan)
+    for i in np.flatnonzero(ok):
+        try:
+            out[i] = np.linalg.solve(a[i], y[i])
+        except np.linalg.LinAlgError:
+            pass
+    return out
+
+
+def recentre(s_matrix, tail):
+    """S and tail with the training mean of each column taken from its values, and these means (B, V)."""
+    b, v, width = tail.shape
+    rows = np.maximum(s_matrix[:, 0, 0], 1.0)
+    shift = s_matrix[:, 0, 1::width] / rows[:, None]
+    move = np.tile(np.eye(s_matrix.shape[1]), (b, 1, 1))
+    move[:, 1:, 0] = -np.repeat(shift, width, axis=1)
+    return move @ s_matrix @ np.swapaxes(move, 1, 2), tail - shift[:, :, None], shift
+
+
 def difference_polynomial(d, D, m):
     """Coefficients of (1 - B)^d (1 - B^m)^D, constant term first."""
     poly = np.array([1.0])
@@ -167,7 +194,9 @@ class Models:
                 theta = beta[:, start + pos * self.v:start + (pos + 1) * self.v, :]
                 for h in range(1, a + 1):
                     extra[:, :, h - 1] += np.einsum("bsv,bs->bv", theta, self._shock(poly, lags, a - h))
-        return beta[:, 0, :], coef, extra, sse, x.shape[1]
+        # both regressions must have more rows than parameters
+        params = max(x.shape[1], 1 + self.v * len(lags)) if ma else x.shape[1]
+        return beta[:, 0, :], coef, extra, sse, params
 
 
 def _jump(move, state, times):

@@ -81,18 +81,20 @@ def stationarity_report(
 def exponential_mean(df: DataFrame, keys: Sequence[str], col: str, span: float, name: str, *, size: int = CHUNK) -> DataFrame:
     """Exponentially weighted mean with bias-adjusted weights.
 
-    Weights fall by (1 - alpha) per row; rows further back than ``reach`` weigh less than the
-    double precision of the sum, so a bounded frame gives the same number.
+    A row weighs (1 - alpha) to the power of its distance in rows, known or not; missing values have no
+    weight. Rows further back than ``reach`` weigh less than the double precision of the sum.
     """
     alpha = 2.0 / (span + 1.0)
     keep = 1.0 - alpha
-    reach = math.ceil(math.log(1e-17) / math.log(keep))
+    reach = math.ceil(math.log(1e-17) / math.log(keep)) if keep > 0 else 0
+    seen = F.when(F.col(col).isNotNull(), F.struct(F.col("idx").alias("i"), F.col(col).cast("double").alias("v")))
     out = windowed(
-        df, keys, lambda w: {"_a": F.collect_list(col).over(w.rowsBetween(-reach, 0))},
+        df.withColumn("_seen", seen), keys, lambda w: {"_a": F.collect_list("_seen").over(w.rowsBetween(-reach, 0))},
         before=reach, size=size)
-    total = F.aggregate("_a", F.lit(0.0), lambda acc, v: acc * keep + v)
-    weight = (1.0 - F.pow(F.lit(keep), F.size("_a"))) / alpha
-    return out.withColumn(name, total / weight).drop("_a")
+    weight = lambda e: F.pow(F.lit(keep), (F.col("idx") - e["i"]).cast("double"))
+    total = F.aggregate("_a", F.lit(0.0), lambda acc, e: acc + e["v"] * weight(e))
+    weights = F.aggregate("_a", F.lit(0.0), lambda acc, e: acc + weight(e))
+    return out.withColumn(name, total / F.nullif(weights, F.lit(0.0))).drop("_a", "_seen")
 
 
 def align_to_threshold(
@@ -119,7 +121,17 @@ def undo_difference(
     """
     start = last_actual.select(*keys, F.lit(-1).cast("bigint").alias(idx), F.col(base).cast("double").alias(col))
     steps = pred.unionByName(start, allowMissingColumns=True)
-    return running_sum(steps, keys, {name: F.col(col)}, idx=idx, size=size).filter(F.col(idx) >= 0)
+    return _known_so_far(running_sum(steps, keys, {name: F.col(col), "_gaps": _gap(col)}, idx=idx, size=size), name) \
+        .filter(F.col(idx) >= 0)
+
+
+def _gap(col: str) -> Column:
+    return F.when(F.col(col).isNull(), 1.0).otherwise(0.0)
+
+
+def _known_so_far(df: DataFrame, name: str) -> DataFrame:
+    """A running value is unknown from its first unknown step on."""
+    return df.withColumn(name, F.when(F.col("_gaps") == 0, F.col(name))).drop("_gaps")
 
 
 def undo_seasonal_difference(
@@ -136,8 +148,8 @@ def undo_seasonal_difference(
         *keys, F.col("r").cast("int").alias("r"), F.lit(-1).cast("bigint").alias("_s"),
         F.col(base).cast("double").alias(col))
     rows = steps.unionByName(start, allowMissingColumns=True)
-    return running_sum(rows, [*keys, "r"], {name: F.col(col)}, idx="_s", size=size).filter(
-        "_s >= 0").drop("r", "_s")
+    out = running_sum(rows, [*keys, "r"], {name: F.col(col), "_gaps": _gap(col)}, idx="_s", size=size)
+    return _known_so_far(out, name).filter("_s >= 0").drop("r", "_s")
 
 
 def undo_against_fixed(pred: DataFrame, actual: DataFrame, keys: Sequence[str], col: str, base: str, name: str, offset: int) -> DataFrame:

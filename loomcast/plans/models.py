@@ -40,6 +40,33 @@ def fc4_all(spark, sf):
         "series_id", "candidate", "fold", rnd("mae", 2).alias("mae"), "status")
 
 
+_AR1_SQL = (
+    "l AS (SELECT *, lag(y) OVER (PARTITION BY series_id, fold ORDER BY idx) AS x FROM train), "
+    "fit AS (SELECT series_id, fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, "
+    "max(CASE WHEN idx = train_size - 1 THEN y END) AS y0 FROM l GROUP BY 1, 2), "
+    "fc AS (SELECT t.series_id, t.fold, t.y, a * (1 - power(b, h + 1)) / (1 - b) + power(b, h + 1) * y0 AS yhat "
+    "FROM test t JOIN fit f ON f.series_id = t.series_id AND f.fold = t.fold)")
+
+
+def _grid_members_sql():
+    return (
+        f"WITH {folds_sql(P.F1, 5, 20)}, {_AR1_SQL}, "
+        "m AS (SELECT series_id, fold, avg(y) AS level, (max_by(y, idx) - min_by(y, idx)) / (count(*) - 1) AS step, "
+        "max_by(y, idx) AS y0 FROM train GROUP BY 1, 2), "
+        "a AS (SELECT 0 AS p, 0 AS d, t.series_id, t.fold, abs(y - level) AS e FROM test t JOIN m USING (series_id, fold) "
+        "UNION ALL SELECT 0, 1, t.series_id, t.fold, abs(y - y0 - (h + 1) * step) FROM test t JOIN m USING (series_id, fold) "
+        "UNION ALL SELECT 1, 0, series_id, fold, abs(y - yhat) FROM fc) "
+        f"SELECT p, d, series_id, fold, {r('avg(e)', 2)} AS mae FROM a GROUP BY 1, 2, 3, 4")
+
+
+@query("fc4_closed_forms_inside_grid", _grid_members_sql())
+def fc4_members(spark, sf):
+    """(0,0,0), (0,1,0) and (1,0,0) as members of the 75 orders: their scores do not depend on the others."""
+    search = orders_arima(spark, sf)
+    scores = search.with_parameters(search.fold_scores()).filter("q = 0 and p + d <= 1")
+    return scores.select("p", "d", "series_id", "fold", rnd("mae", 2).alias("mae"))
+
+
 @query("fc4_arima_best_forecast")
 def fc4_forecast(spark, sf):
     search = orders_arima(spark, sf)
@@ -49,14 +76,6 @@ def fc4_forecast(spark, sf):
         "series_id", "fold", "idx", "candidate", rnd("y", 2).alias("y"), rnd("yhat", 2).alias("yhat"))
 
 
-_AR1_SQL = (
-    "l AS (SELECT *, lag(y) OVER (PARTITION BY series_id, fold ORDER BY idx) AS x FROM train), "
-    "fit AS (SELECT series_id, fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, "
-    "max(CASE WHEN idx = train_size - 1 THEN y END) AS y0 FROM l GROUP BY 1, 2), "
-    "fc AS (SELECT t.series_id, t.fold, t.y, a * (1 - power(b, h + 1)) / (1 - b) + power(b, h + 1) * y0 AS yhat "
-    "FROM test t JOIN fit f ON f.series_id = t.series_id AND f.fold = t.fold)")
-
-
 def _ar1_sql():
     return (f"WITH {folds_sql(P.F3, 9, 200)}, {_AR1_SQL} "
             f"SELECT series_id, fold, {r('avg(abs(y - yhat))', 4)} AS mae FROM fc GROUP BY 1, 2")
@@ -164,17 +183,19 @@ def fc16(spark, sf):
 
 
 @query("fc7_regression_by_lag_products",
-       f"WITH {folds_sql(P.F4, 5, 20)}, fit AS (SELECT series_id, fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM train WHERE idx >= 1 GROUP BY 1, 2) "
+       f"WITH {folds_sql(P.F4, 5, 20)}, fit AS (SELECT series_id, fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM train GROUP BY 1, 2) "
        f"SELECT t.series_id, t.fold, {r('avg(abs(y - a - b * x))', 2)} AS mae FROM test t JOIN fit f ON f.series_id = t.series_id AND f.fold = t.fold GROUP BY 1, 2")
 def fc7_engine(spark, sf):
-    """One regressor and order (0, 0, 0) through the grid engine, which leaves out the first row."""
+    """One regressor and order (0, 0, 0) through the grid engine, on all training rows."""
     search = GridSearch(P.orders_monthly_pair(spark, sf), K, ["y", "x"], arma_grid([0], [0], [0]), ARMA, 5, 20, exog=1)
     return search.fold_scores().select("series_id", "fold", rnd("mae", 2).alias("mae"))
 
 
 @query("val7_failed_candidates_skipped",
        f"WITH {folds_sql(P.F1, 5, 0)}, s AS (SELECT series_id, fold, "
-       "CASE WHEN greatest(train_size - 10, 0) <= 1 + p + q THEN 'short' ELSE 'ok' END AS status "
+       # a candidate's own lags, and the parameters of the larger of its two regressions
+       f"CASE WHEN greatest(train_size - d - greatest(p, CASE WHEN q > 0 THEN q + {ARMA['long']} ELSE 0 END), 0) "
+       f"<= greatest(1 + p + q, CASE WHEN q > 0 THEN 1 + {ARMA['long']} ELSE 0 END) THEN 'short' ELSE 'ok' END AS status "
        "FROM folds, range(5) a(p), range(3) b(d), range(5) c(q)) "
        "SELECT series_id, fold, status, count(*) AS candidates FROM s GROUP BY 1, 2, 3")
 def val7(spark, sf):

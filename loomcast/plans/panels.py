@@ -12,23 +12,23 @@ K = ["series_id"]
 
 
 def orders_monthly(spark: SparkSession, sf: str, fill: float | None = 0.0) -> DataFrame:
-    """order value per priority and month; the incomplete last month is dropped."""
+    """order value per priority and month."""
     df = read_table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "series_id")
-    return panel(df, K, "o_orderdate", "month", {"y": F.sum(nan_to_null("o_totalprice"))}, fill=fill, drop_last=1)
+    return panel(df, K, "o_orderdate", "month", {"y": F.sum(nan_to_null("o_totalprice"))}, fill=fill)
 
 
 def orders_monthly_pair(spark: SparkSession, sf: str) -> DataFrame:
     """order value and number of orders."""
     df = read_table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "series_id")
     return panel(df, K, "o_orderdate", "month",
-                 {"y": F.sum(nan_to_null("o_totalprice")), "x": F.count("o_orderkey").cast("double")}, drop_last=1)
+                 {"y": F.sum(nan_to_null("o_totalprice")), "x": F.count("o_orderkey").cast("double")})
 
 
 def lineitem_monthly(spark: SparkSession, sf: str) -> DataFrame:
     """line value per return flag and status."""
     df = read_table(spark, sf, "lineitem").withColumn(
         "series_id", F.concat("l_returnflag", F.lit("-"), "l_linestatus"))
-    return panel(df, K, "l_shipdate", "month", {"y": F.sum(nan_to_null("l_extendedprice"))}, drop_last=1)
+    return panel(df, K, "l_shipdate", "month", {"y": F.sum(nan_to_null("l_extendedprice"))})
 
 
 def events_hourly(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +46,7 @@ def events_daily(spark: SparkSession, sf: str) -> DataFrame:
 def parts_monthly(spark: SparkSession, sf: str) -> DataFrame:
     """quantity per part, the wide panel (one series per part)."""
     df = read_table(spark, sf, "lineitem").withColumn("series_id", F.col("l_partkey"))
-    return panel(df, K, "l_shipdate", "month", {"y": F.sum(nan_to_null("l_quantity"))}, drop_last=1)
+    return panel(df, K, "l_shipdate", "month", {"y": F.sum(nan_to_null("l_quantity"))})
 
 
 def _panel_sql(table: str, key: str, time: str, step: str, aggs: dict[str, str], drop: int) -> str:
@@ -68,14 +68,14 @@ def _panel_sql(table: str, key: str, time: str, step: str, aggs: dict[str, str],
     )
 
 
-F1 = _panel_sql("orders", "o_orderpriority", "o_orderdate", "month", {"y": "sum(o_totalprice)"}, 1)
+F1 = _panel_sql("orders", "o_orderpriority", "o_orderdate", "month", {"y": "sum(o_totalprice)"}, 0)
 F4 = _panel_sql("orders", "o_orderpriority", "o_orderdate", "month",
-                {"y": "sum(o_totalprice)", "x": "CAST(count(o_orderkey) AS DOUBLE)"}, 1)
+                {"y": "sum(o_totalprice)", "x": "CAST(count(o_orderkey) AS DOUBLE)"}, 0)
 F2 = _panel_sql("lineitem", "l_returnflag || '-' || l_linestatus", "l_shipdate", "month",
-                {"y": "sum(l_extendedprice)"}, 1)
+                {"y": "sum(l_extendedprice)"}, 0)
 F3 = _panel_sql("events", "event_type", "ts", "hour", {"y": "sum(value)"}, 0)
 F3D = _panel_sql("events", "event_type", "ts", "day", {"y": "sum(value)"}, 0)
-F5 = _panel_sql("lineitem", "l_partkey", "l_shipdate", "month", {"y": "sum(l_quantity)"}, 1)
+F5 = _panel_sql("lineitem", "l_partkey", "l_shipdate", "month", {"y": "sum(l_quantity)"}, 0)
 
 
 # Means of cent values often lie exactly half way between two rounded values; which side they

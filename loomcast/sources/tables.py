@@ -41,8 +41,12 @@ def write_panel(df: DataFrame, path: str, keys: Sequence[str], buckets: int = 64
 
 
 def inline_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small literal dimension; its size is known to the planner."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small literal dimension as a local relation, so that the planner knows its size."""
+    names = [c.strip().split()[0] for c in schema.replace(":", " ").split(",")]
+    kinds = [c.strip().split()[1] for c in schema.replace(":", " ").split(",")]
+    literal = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join("(" + ", ".join(f"CAST({literal(v)} AS {k})" for v, k in zip(row, kinds)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def date_spine(df: DataFrame, lo: str, hi: str, *, name: str = "ds", step: str = "1 day") -> DataFrame:
