@@ -21,12 +21,11 @@ smallest id are taken as one document with several texts. An empty table gives a
 are ignored.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -223,6 +222,28 @@ def _supported(members: DataFrame, near: Near) -> DataFrame:
         .join(total, "node").filter(F.col("k") * 100 >= F.col("size") * near.per_hundred).select("node")
 
 
+FILTER_BITS = 1 << 25  # four megabytes, whatever the number of members
+
+
+def _perhaps_in(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows whose id may be a member's, by a bit table of fixed size: no member is lost, and with few members
+    hardly another row is left. Texts of the others then need not be shuffled for the exact join."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    parts = members.select((place("node") + 1).alias("p")) \
+        .groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for k, bits in parts:
+        table[(k - 1) * len(bits):k * len(bits)] = np.frombuffer(bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def perhaps(p: pd.Series) -> pd.Series:
+        at = p.fillna(0).to_numpy().astype(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return docs.filter(F.col("doc_id").isNotNull()).filter(perhaps(place("doc_id")))
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept (doc_id is that id), one row per row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -237,7 +258,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     clusters = components(chains)
     members = clusters.select("node", F.col("root").alias("cluster")) \
         .union(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
-    texts = docs.join(stored(members), docs["doc_id"] == F.col("node")).select("node", "cluster", "text")
+    members = stored(members)
+    texts = _perhaps_in(docs, members).join(members, F.col("doc_id") == F.col("node")).select("node", "cluster", "text")
     sets = stored(sets_of(texts, near))
     found = components(verified_links(sets, near))
     of_class = rows.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")) \
