@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     # a class is an equal set; its node is the smallest id
     classes = rows.filter("n_shingles > 0").groupBy("h1", "h2") \
         .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).filter("node is not null")
+    classes = stored(classes)
     buckets = stored(classes.select("node", F.explode("bands").alias("band")))
     leaders = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     chains = buckets.join(leaders, "band").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")) \
@@ -262,8 +263,9 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     texts = _perhaps_in(docs, members).join(members, F.col("doc_id") == F.col("node")).select("node", "cluster", "text")
     sets = stored(sets_of(texts, near))
     found = components(verified_links(sets, near))
-    of_class = rows.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")) \
-        .join(found, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("of"))
+    # stored, so that the last join has plain exchanges on both sides and a class of many copies can be split
+    of_class = stored(classes.select("h1", "h2", "node").join(found, "node", "left")
+                      .select("h1", "h2", F.coalesce("root", "node").alias("of")))
     own = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
     return rows.drop("bands").join(of_class, ["h1", "h2"], "left") \
         .select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
