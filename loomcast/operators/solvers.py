@@ -261,7 +261,7 @@ def remove_regressors(s_matrix, tail, regressors):
         pick[e + 1, 1 + (own + e) * width] = 1.0
     y = np.zeros((1, z))
     y[0, 1] = 1.0
-    beta = least_squares(pick @ s_matrix @ pick.T, pick @ s_matrix @ y.T, ridge=1e-9)[:, :, 0]
+    beta = least_squares(pick @ s_matrix @ pick.T, pick @ s_matrix @ y.T)[:, :, 0]
     keep = np.zeros((b, 1 + width, z))
     keep[:, 0, 0] = 1.0
     for i in range(width):

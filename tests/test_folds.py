@@ -50,7 +50,7 @@ def test_best_candidate_rules(spark):
     df = spark.createDataFrame([("a", 0, 2.0), ("a", 1, 1.0), ("a", 2, 1.0), ("b", 0, None), ("b", 1, 9.0), ("c", 0, None)],
                                "series_id string, candidate int, mean_mae double")
     best = {r.series_id: r.candidate for r in so.best_candidate(df, K).collect()}
-    assert best == {"a": 1, "b": 1, "c": 0}
+    assert best == {"a": 1, "b": 1, "c": None}
 
 
 def test_failed_fold_voids_the_mean(spark):
