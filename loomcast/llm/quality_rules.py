@@ -120,6 +120,13 @@ def judged(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> t
     return step(df, kept=~at("base_failed") & (at("lost_chars") * 100 <= at("word_chars") * rules.max_lost)), names
 
 
+def _only_kept(df: DataFrame, kept: str) -> DataFrame:
+    """Rows to keep. A filter on the verdict alone would be moved below the steps, where every value it needs
+    is written out once per use; a condition that is not deterministic stays where it is."""
+    place = fresh(df, "_place")
+    return df.withColumn(place, F.spark_partition_id()).filter(F.col(kept) & (F.col(place) >= 0)).drop(place)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """doc_id and the figures and verdict of every row."""
     df, name = judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rules=rules)
@@ -130,10 +137,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def clean(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Kept documents with all their columns, the text without its failed lines."""
     df, name = judged(docs, text_col, rules)
-    return df.filter(F.col(name["kept"])).withColumn(text_col, F.col(name["cleaned"])).select(docs.columns)
+    return _only_kept(df, name["kept"]).withColumn(text_col, F.col(name["cleaned"])).select(docs.columns)
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Kept documents as they are."""
     df, name = judged(docs, text_col, rules)
-    return df.filter(F.col(name["kept"])).select(docs.columns)
+    return _only_kept(df, name["kept"]).select(docs.columns)
