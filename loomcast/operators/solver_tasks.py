@@ -307,12 +307,31 @@ class GridSearch:
             f"sequence(0L, cast(_n as bigint) - 1, {self.horizon}L)")))
         return parts.withColumn("steps", F.least(F.col("_n") - F.col("h"), F.lit(self.horizon)).cast("int")).drop("_n")
 
-    def future(self, chosen: DataFrame, steps: int) -> DataFrame:
-        """Fit the chosen candidate on the whole series and forecast beyond its end."""
-        if self.exog:
-            raise ValueError("regressors have no values beyond the end of the series")
+    def future(self, chosen: DataFrame, steps: int, known: DataFrame | None = None) -> DataFrame:
+        """Fit the chosen candidate on the whole series and forecast beyond its end.
+
+        With regressors, ``known`` holds their values there: (keys, h = 0, 1, ..., regressor columns). A step
+        without them, and a series without any, has a NULL forecast.
+        """
         pick = chosen.filter("candidate is not null").select(*self.keys, F.col("candidate").cast("int").alias("candidate"))
-        return self._paths(self._parts(self._whole().join(pick, self.keys), F.lit(steps)))
+        rows = self._parts(self._whole().join(pick, self.keys), F.lit(steps))
+        if not self.exog:
+            return self._paths(rows)
+        if known is None:
+            raise ValueError("the regressors' values beyond the end are needed")
+        names = self.cols[len(self.cols) - self.exog:]
+        # one array per part of the horizon, with a place for every step
+        first = (F.floor(F.col("h") / self.horizon) * self.horizon).cast("bigint")
+        cells = known.filter((F.col("h") >= 0) & (F.col("h") < steps)).groupBy(*self.keys, first.alias("h")).agg(*[
+            F.map_from_entries(F.collect_list(F.struct((F.col("h") - first).cast("int"), F.col(c).cast("double")))).alias(f"_m_{c}")
+            for c in names])
+        rows = rows.join(cells, [*self.keys, "h"], "left")
+
+        def values(c: str) -> Column:
+            known_at = lambda i: F.coalesce(F.try_element_at(F.col(f"_m_{c}"), i), F.lit(float("nan")))
+            return F.transform(F.sequence(F.lit(0), F.col("steps") - 1), known_at).alias(f"actual_{c}")
+
+        return self._paths(rows.select("*", *map(values, names)).drop(*[f"_m_{c}" for c in names]))
 
     def transfer(self, source: Column, targets: DataFrame, candidate: int, steps: Column) -> DataFrame:
         """The model of one series, applied to others from the end of their own values.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomcast.operators import scoring as so, slices, trend as tr
+from loomcast.operators import diagnostics as dg, scoring as so, slices, trend as tr
 from loomcast.operators.folds import test_rows
 from loomcast.operators.solver_tasks import GridSearch, arma_grid, with_candidate_parameters
 from loomcast.plans import panels as P
@@ -224,3 +224,106 @@ def set2_future(spark, sf):
         "series_id", (F.col("n") + F.col("h")).alias("idx"), F.lit(True).alias("is_forecast"), F.col("yhat").alias("y"))
     seen = search.df.select("series_id", "idx", F.lit(False).alias("is_forecast"), "y")
     return seen.unionByName(ahead).select("series_id", "idx", "is_forecast", rnd("y", 2).alias("y"))
+
+
+# ---- fitted models whose estimates can be written out in SQL -------------------------------
+
+@query("fc12_window_one_step",
+       f"WITH {folds_sql(P.F3, 9, 200)}, {_AR1_SQL} SELECT series_id, fold, {r('avg(abs(y - yhat))', 4)} AS mae FROM fc GROUP BY 1, 2")
+def fc12_one(spark, sf):
+    """A window of one value in and one out, applied step after step, is an autoregression of order 1."""
+    search = GridSearch(P.events_hourly(spark, sf), K, ["y"], [dict(n_in=1, ridge=0.0)], {"kind": "window", "n_out": 1}, 9, 200)
+    return search.fold_scores().select("series_id", "fold", rnd("mae", 4).alias("mae"))
+
+
+@query("fc16_simple_smoothing_two_regressions",
+       f"WITH {folds_sql(P.F2, 5, 20)}, "
+       "d AS (SELECT *, y - lag(y) OVER w AS z, lag(y) OVER w - lag(y, 2) OVER w AS z1, lag(y, 2) OVER w - lag(y, 3) OVER w AS z2 "
+       "FROM train WINDOW w AS (PARTITION BY series_id, fold ORDER BY idx)), "
+       "one AS (SELECT series_id, fold, regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a FROM d WHERE idx >= 3 GROUP BY 1, 2), "
+       "e AS (SELECT d.*, z - a - b * z1 AS shock, z1 - a - b * z2 AS shock1 FROM d JOIN one USING (series_id, fold) WHERE idx >= 3), "
+       "two AS (SELECT series_id, fold, regr_slope(z, shock1) AS theta, regr_intercept(z, shock1) AS c, max_by(y, idx) AS y0, "
+       "max_by(shock, idx) AS last FROM e GROUP BY 1, 2) "
+       f"SELECT t.series_id, t.fold, {r('avg(abs(y - y0 - (h + 1) * c - theta * last))', 2)} AS mae "
+       "FROM test t JOIN two USING (series_id, fold) GROUP BY 1, 2")
+def fc16_two(spark, sf):
+    """Order (0, 1, 1) with a first stage of one lag."""
+    search = GridSearch(P.lineitem_monthly(spark, sf), K, ["y"], arma_grid([0], [1], [1]), {"kind": "arma", "long": 1}, 5, 20)
+    return search.fold_scores().select("series_id", "fold", rnd("mae", 2).alias("mae"))
+
+
+_TWO = ("(var_pop({u}) * covar_pop({v}, {y}) - covar_pop({u}, {v}) * covar_pop({u}, {y})) "
+        "/ (var_pop({u}) * var_pop({v}) - power(covar_pop({u}, {v}), 2))")
+
+
+@query("fc6_vector_one_step",
+       f"WITH {folds_sql(P.F4, 5, 20)}, l AS (SELECT *, lag(y) OVER w AS u, lag(x) OVER w AS v FROM train "
+       "WINDOW w AS (PARTITION BY series_id, fold ORDER BY idx)), "
+       f"f AS (SELECT series_id, fold, {_TWO.format(u='v', v='u', y='y')} AS a, {_TWO.format(u='u', v='v', y='y')} AS b, "
+       "avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM l WHERE u IS NOT NULL GROUP BY 1, 2), "
+       "z AS (SELECT series_id, fold, max_by(y, idx) AS y0, max_by(x, idx) AS x0 FROM train GROUP BY 1, 2) "
+       f"SELECT series_id, fold, {r('my + a * (y0 - mu) + b * (x0 - mv)', 1)} AS yhat FROM f JOIN z USING (series_id, fold)")
+def fc6_one(spark, sf):
+    """First step of a vector autoregression of order 1 in two variables."""
+    search = GridSearch(P.orders_monthly_pair(spark, sf), K, ["y", "x"], arma_grid([1], [0], [0]), ARMA, 5, 20)
+    chosen = search.df.select("series_id").distinct().withColumn("candidate", F.lit(0))
+    return search.forecasts(chosen).filter("h = 0").select("series_id", "fold", rnd("yhat", 1).alias("yhat"))
+
+
+@query("fc14_transfer_engine_one_lag",
+       f"WITH {P.F1}, src AS (SELECT y, lag(y) OVER (ORDER BY idx) AS x FROM panel WHERE series_id = '1-URGENT'), "
+       "fit AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM src), "
+       "e AS (SELECT series_id, y AS y0 FROM panel WHERE idx = n - 21 AND series_id <> '1-URGENT') "
+       f"SELECT series_id, CAST(h AS BIGINT) AS h, {r('a * (1 - power(b, h + 1)) / (1 - b) + power(b, h + 1) * y0', 2)} AS yhat "
+       "FROM e, fit, range(20) t(h)")
+def fc14_one_lag(spark, sf):
+    """The grid engine's order (1, 0, 0) of one series, continued on the others."""
+    df = P.orders_monthly(spark, sf)
+    search = GridSearch(df, K, ["y"], arma_grid([1], [0], [0]), ARMA, 5, 20)
+    known = slices.drop_tail(df, 20).filter("series_id <> '1-URGENT'")
+    out = search.transfer(F.col("series_id") == "1-URGENT", known, 0, F.lit(20))
+    return out.select("series_id", "h", rnd("yhat", 2).alias("yhat"))
+
+
+@query("dia2_first_two_lags",
+       f"WITH {P.F3}, c AS (SELECT series_id, idx, y - avg(y) OVER (PARTITION BY series_id) AS v FROM panel), "
+       "l AS (SELECT series_id, v, lag(v) OVER w AS v1, lag(v, 2) OVER w AS v2 FROM c WINDOW w AS (PARTITION BY series_id ORDER BY idx)), "
+       "a AS (SELECT series_id, sum(v * v1) / sum(v * v) AS r1, sum(v * v2) / sum(v * v) AS r2 FROM l GROUP BY 1) "
+       f"SELECT series_id, 1 AS lag, {r('r1', 8)} AS pacf FROM a UNION ALL "
+       f"SELECT series_id, 2, {r('(r2 - r1 * r1) / (1 - r1 * r1)', 8)} FROM a")
+def dia2_two(spark, sf):
+    acf = dg.autocorrelation(P.events_hourly(spark, sf), K, "y", 2)
+    return dg.partial_autocorrelation(acf, K, 2).select("series_id", "lag", rnd("pacf", 8).alias("pacf"))
+
+
+def _ahead(df, cols, steps):
+    """The panel without its last rows, and the regressors of those rows by step."""
+    known = df.filter(F.col("idx") >= F.col("n") - steps).select(
+        *K, (F.col("idx") - F.col("n") + steps).alias("h"), *cols)
+    return slices.drop_tail(df, steps), known
+
+
+@query("fc7_future_regressor",
+       f"WITH {P.F4}, f AS (SELECT series_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM panel WHERE idx < n - 12 GROUP BY 1) "
+       f"SELECT series_id, CAST(idx - n + 12 AS BIGINT) AS h, {r('a + b * x', 1)} AS yhat FROM panel JOIN f USING (series_id) WHERE idx >= n - 12")
+def fc7_future(spark, sf):
+    """Twelve months beyond the end from one regressor that is known there."""
+    past, known = _ahead(P.orders_monthly_pair(spark, sf), ["x"], 12)
+    search = GridSearch(past, K, ["y", "x"], arma_grid([0], [0], [0]), ARMA, 5, 20, exog=1)
+    chosen = past.select("series_id").distinct().withColumn("candidate", F.lit(0))
+    return search.future(chosen, 12, known).select("series_id", "h", rnd("yhat", 1).alias("yhat"))
+
+
+@query("fc7_future_two_regressors",
+       f"WITH {P.F4}, two AS (SELECT *, CAST(pos % 12 AS DOUBLE) AS w FROM panel), "
+       f"f AS (SELECT series_id, {_TWO.format(u='w', v='x', y='y')} AS a, {_TWO.format(u='x', v='w', y='y')} AS b, "
+       "avg(y) AS my, avg(x) AS mx, avg(w) AS mw FROM two WHERE idx < n - 12 GROUP BY 1) "
+       f"SELECT series_id, CAST(idx - n + 12 AS BIGINT) AS h, {r('my + a * (x - mx) + b * (w - mw)', 1)} AS yhat "
+       "FROM two JOIN f USING (series_id) WHERE idx >= n - 12")
+def fc7_future_two(spark, sf):
+    """Number of orders and month of the year as regressors."""
+    df = P.orders_monthly_pair(spark, sf).withColumn("w", (F.col("pos") % 12).cast("double"))
+    past, known = _ahead(df, ["x", "w"], 12)
+    search = GridSearch(past, K, ["y", "x", "w"], arma_grid([0], [0], [0]), ARMA, 5, 20, exog=2)
+    chosen = past.select("series_id").distinct().withColumn("candidate", F.lit(0))
+    return search.future(chosen, 12, known).select("series_id", "h", rnd("yhat", 1).alias("yhat"))
