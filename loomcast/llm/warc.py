@@ -2,8 +2,8 @@
 
 ``write_stream`` writes records as one gzip stream per file. ``members`` inflates such a file once, from front
 to back, and gives every record a gzip member of its own; ``write_archives`` writes them as one file per
-archive, with a sidecar index (archive, number, offset, length, record id, type). ``read_back`` opens the
-records of an archive at the places that the index names.
+archive, with a sidecar index (archive, number, offset, length, record id, type). ``read_back`` reads every
+member of the archives and matches it with the index; only records' figures are shuffled, never payloads.
 
 Records with equal payloads of at least ``revisit_bytes`` bytes are stored once: that with the smallest id is
 the response, the others are revisits that name it. Smaller ones are all responses.
@@ -38,8 +38,9 @@ def classified(pages: DataFrame, revisit_bytes: int, id_col: str = "page_id", ht
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload")) \
         .withColumn("payload_bytes", F.octet_length("payload").cast("long")) \
         .withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
-    first = rows.filter(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest") \
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # stored: the planner then knows whether the payloads that repeat are few, and moves no payload for them
+    first = stored(rows.filter(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest")
+                   .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(first, "payload_digest", "left") \
         .withColumn("record_type", F.when(again, "revisit").otherwise("response")) \
@@ -170,8 +171,26 @@ READ_BACK = ("page_id long, payload_bytes long, payload_digest string, record_ty
              "archive string, offset long, length long")
 
 
+def members_of(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, data) of every gzip member that is not empty."""
+    at = 0
+    while at < len(content):
+        engine, data, feed, used = zlib.decompressobj(31), [], b"", 0
+        while not engine.eof:
+            feed = content[at + used:at + used + READ]
+            if not len(feed):
+                raise ValueError("archive ends inside a member")
+            used += len(feed)
+            data.append(engine.decompress(feed))
+        used -= len(engine.unused_data)
+        whole = b"".join(data)
+        if whole:
+            yield at, used, whole
+        at += used
+
+
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of the archives in ``path``, each read at its place in the index."""
+    """Pages of the archives in ``path``; a record that the index does not name, or names elsewhere, is an error."""
     number = re.compile(r"<urn:page:(-?\d*)>")
 
     def page(text: str | None) -> int | None:
@@ -184,10 +203,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 rows, archive = [], batch.column(0)[row].as_py()
-                content = memoryview(batch.column(1)[row].as_buffer())
-                for place in batch.column(2)[row].as_py():
-                    at, size = place["offset"], place["length"]
-                    (headers, _, payload), = records_of(inflated(content[at:at + size]))
+                for at, size, data in members_of(memoryview(batch.column(1)[row].as_buffer())):
+                    (headers, _, payload), = records_of(iter([data]))
                     kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"the record at {archive}:{at} is damaged")
@@ -197,11 +214,15 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    index = spark.read.schema("archive string, offset long, length long").parquet(f"{path}/index") \
-        .groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places"))
+    index = spark.read.schema("archive string, offset long, length long, record_type string").parquet(f"{path}/index") \
+        .select("archive", "offset", F.col("length").alias("_length"), F.col("record_type").alias("_type"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*") \
         .load(f"{path}/archives").select(F.regexp_extract("path", r"archive=([^/]+)/", 1).alias("archive"), "content")
-    return files.join(index, "archive").select("archive", "content", "places").mapInArrow(run, READ_BACK)
+    found = files.mapInArrow(run, READ_BACK).join(index, ["archive", "offset"], "full")
+    same = F.coalesce((F.col("length") == F.col("_length")) & (F.col("record_type") == F.col("_type")), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("index and archive differ at "), "archive", F.lit(":"), F.col("offset").cast("string")))
+    return found.withColumn("record_type", F.when(same, F.col("record_type")).otherwise(wrong.cast("string"))) \
+        .select(*[c.split()[0] for c in READ_BACK.split(", ")])
 
 
 def round_trip(pages: DataFrame, revisit_bytes: int = 100, records: int = 1000, id_col: str = "page_id",
