@@ -140,7 +140,7 @@ def ranked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     sizes = dealt.groupBy(key, "_group").count() \
         .select(key, "_group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     return dealt.withColumn("_in", F.row_number().over(within) - 1).join(sizes, [key, "_group"]) \
-        .withColumn("rank", (F.col("_before") + F.col("_in")).cast("long")).drop("_group", "_in", "_before")
+        .withColumn("rank", (F.col("_before") + F.col("_in")).cast("long")).select(*rows.columns, "rank")
 
 
 def place(cut: DataFrame, length: int) -> DataFrame:
