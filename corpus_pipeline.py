@@ -25,16 +25,17 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates on shingles of five words: that with the smallest id of each group stays.
 
-    Of rows that repeat an id, one stays of those that would; rows with a null id stay unless a document with
-    an id has the same shingles.
+    A null id counts as one above all others, the same for equal texts. Of rows that repeat the id that stays,
+    one stays.
     """
-    verdicts = near_dedup.near_duplicates(docs, near_dedup.Near())
-    key, n = fresh(docs, "_id"), fresh(docs, "_rows")
+    own, key, n = fresh(docs, "_own"), fresh(docs, "_key"), fresh(docs, "_rows")
+    above = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    docs_with = docs.withColumn(own, F.coalesce(F.col("doc_id"), above))
+    verdicts = near_dedup.near_duplicates(docs_with, near_dedup.Near(), id_col=own)
     kept = verdicts.filter("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
-    rows = docs.join(stored(kept), docs["doc_id"].eqNullSafe(F.col(key)))
-    once = rows.filter((F.col(n) == 1) | F.col("doc_id").isNull())
-    repeated = rows.filter((F.col(n) > 1) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return once.select(docs.columns).union(repeated.select(docs.columns))
+    rows = docs_with.join(stored(kept), F.col(own) == F.col(key))
+    return rows.filter(F.col(n) == 1).select(docs.columns) \
+        .union(rows.filter(F.col(n) > 1).dropDuplicates([own]).select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
