@@ -10,8 +10,9 @@ def _pair(y, yhat) -> tuple[Column, Column]:
 
 
 def mae(y="y", yhat="yhat") -> Column:
+    """Mean absolute error; NULL if an actual value has no forecast, so that all are compared on the same rows."""
     a, b = _pair(y, yhat)
-    return F.avg(F.abs(a - b))
+    return F.when(F.count(a) == F.count(a - b), F.avg(F.abs(a - b)))
 
 
 def rmse(y="y", yhat="yhat") -> Column:

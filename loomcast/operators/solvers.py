@@ -324,13 +324,14 @@ def window_forecast(const, weights, state, n_out, steps, skip=0):
     return np.take_along_axis(path, (inside[:, None] + np.arange(steps))[:, None, :], axis=2)
 
 
-def penalised(gram, rhs, yy, l1, l2, free, rounds=500):
+def penalised(gram, rhs, yy, l1, l2, free, rounds=20000):
     """min 1/2 |y - Xb|^2 + sum l1 |b| + 1/2 sum l2 b^2 from the normal matrix, by coordinate descent.
 
     gram (B, Z, Z), rhs (B, Z), yy (B,); l1 and l2 (C, Z - free), one row per candidate
     -> (B, C, Z). The first ``free`` columns carry no penalty and are projected out, the others put
     on the correlation scale, y on unit length; so the penalties mean the same for every series.
-    All rows and candidates move together.
+    All rows and candidates move together, but each stops by its own steps, so a result does not depend on
+    what else is in the batch; one that does not settle within ``rounds`` is NaN.
     """
     outer = gram[:, :free, :free]
     size = np.sqrt(np.maximum(np.einsum("bii->bi", outer), 0.0))
@@ -353,18 +354,21 @@ def penalised(gram, rhs, yy, l1, l2, free, rounds=500):
     own = np.einsum("bii->bi", a)
     beta = np.zeros((*y.shape[:1], *l1.shape))
     rest = np.repeat(y[:, None, :], l1.shape[0], axis=1)  # y - a beta
+    active = np.ones(beta.shape[:2], bool)
     for _ in range(rounds):
-        moved = 0.0
+        moved = np.zeros(beta.shape[:2])
         for j in range(y.shape[1]):
             part = rest[:, :, j] + own[:, j, None] * beta[:, :, j]
             new = np.sign(part) * np.maximum(np.abs(part) - l1[:, j], 0.0) / (own[:, j, None] + l2[:, j] + 1e-12)
             new[flat[:, j]] = 0.0
-            step = new - beta[:, :, j]
-            beta[:, :, j] = new
+            step = np.where(active, new - beta[:, :, j], 0.0)
+            beta[:, :, j] += step
             rest -= step[:, :, None] * a[:, None, :, j]
-            moved = max(moved, float(np.max(np.abs(step), initial=0.0)))
-        if moved < 1e-9:
+            moved = np.maximum(moved, np.abs(step))
+        active &= ~(moved < 1e-9)
+        if not active.any():
             break
+    beta[active] = np.nan
     b = beta * (length[:, None] / scale)[:, None, :]
     base = rhs[:, None, :free] - np.einsum("bfp,bcp->bcf", gram[:, :free, free:], b)
     return np.concatenate([np.einsum("bfg,bcg->bcf", inverse, base), b], axis=2)
