@@ -136,10 +136,10 @@ def prj1(spark, sf):
     return tb.read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
 
 
-@query("prj2_rename", "SELECT s_suppkey AS supplier, s_acctbal AS mean_temp, s_name, s_nationkey FROM supplier")
+@query("prj2_rename", "SELECT s_suppkey AS supplier, s_acctbal AS balance, s_name, s_nationkey FROM supplier")
 def prj2(spark, sf):
     return tb.read_table(spark, sf, "supplier").withColumnsRenamed(
-        {"s_suppkey": "supplier", "s_acctbal": "mean_temp"})
+        {"s_suppkey": "supplier", "s_acctbal": "balance"})
 
 
 @query("prj3_drop", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
@@ -344,20 +344,20 @@ def rsh4(spark, sf):
 # ---- joins -------------------------------------------------------------------------------
 
 @query("join1_attach_second_series",
-       "WITH a AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, avg(o_totalprice) AS mean_temp FROM orders GROUP BY 1, 2), "
-       "b AS (SELECT year(l_shipdate) AS y, month(l_shipdate) AS m, avg(l_extendedprice) AS ice_extent FROM lineitem GROUP BY 1, 2) "
-       f"SELECT CAST(a.y AS INT) AS year, CAST(a.m AS INT) AS month, {r('mean_temp')} AS mean_temp, {r('ice_extent')} AS ice_extent "
+       "WITH a AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, avg(o_totalprice) AS mean_order FROM orders GROUP BY 1, 2), "
+       "b AS (SELECT year(l_shipdate) AS y, month(l_shipdate) AS m, avg(l_extendedprice) AS mean_line FROM lineitem GROUP BY 1, 2) "
+       f"SELECT CAST(a.y AS INT) AS year, CAST(a.m AS INT) AS month, {r('mean_order')} AS mean_order, {r('mean_line')} AS mean_line "
        "FROM a JOIN b ON a.y = b.y AND a.m = b.m")
 def join1(spark, sf):
     temp = tb.read_table(spark, sf, "orders").groupBy(
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")
-    ).agg(F.avg("o_totalprice").alias("mean_temp"))
+    ).agg(F.avg("o_totalprice").alias("mean_order"))
     named = tb.read_table(spark, sf, "lineitem").groupBy(
         F.year("l_shipdate").alias("year"), F.date_format("l_shipdate", "MMMM").alias("month_name")
-    ).agg(F.avg("l_extendedprice").alias("ice_extent"))
-    ice = named.select("year", cal.month_number("month_name").alias("month"), "ice_extent")
-    return cl.attach_series(temp, ice, ["year", "month"]).select(
-        "year", "month", rnd("mean_temp").alias("mean_temp"), rnd("ice_extent").alias("ice_extent"))
+    ).agg(F.avg("l_extendedprice").alias("mean_line"))
+    lines = named.select("year", cal.month_number("month_name").alias("month"), "mean_line")
+    return cl.attach_series(temp, lines, ["year", "month"]).select(
+        "year", "month", rnd("mean_order").alias("mean_order"), rnd("mean_line").alias("mean_line"))
 
 
 @query("join2_population_dimension",
@@ -472,12 +472,12 @@ def agg9(spark, sf):
 @query("set1_append_patch_row",
        "SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n, "
        f"{r('avg(o_totalprice)')} AS mean_price FROM orders GROUP BY 1, 2 "
-       "UNION ALL SELECT 2018, 12, NULL, 0.5556")
+       "UNION ALL SELECT 2001, 9, NULL, 125000.5")
 def set1(spark, sf):
     df = tb.read_table(spark, sf, "orders").groupBy(
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")
     ).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("o_totalprice")).alias("mean_price"))
-    patch = tb.inline_rows(spark, [(2018, 12, 0.5556)], "year int, month int, mean_price double")
+    patch = tb.inline_rows(spark, [(2001, 9, 125000.5)], "year int, month int, mean_price double")
     return cl.append_rows(df, patch)
 
 

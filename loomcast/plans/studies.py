@@ -30,34 +30,34 @@ def prepare_monthly(spark, sf) -> DataFrame:
         F.concat(F.substring(year, 1, 1), F.lit(","), F.substring(year, 2, 3)).alias("year_text"),
         F.month("o_orderdate").alias("month"), "o_totalprice")
     temp = raw.withColumn("year", sc.strip_thousands("year_text").cast("int")).filter("year > 1995").groupBy(
-        "year", "month").agg(F.avg("o_totalprice").alias("mean_temp"))
-    ice = tb.read_table(spark, sf, "lineitem").groupBy(
+        "year", "month").agg(F.avg("o_totalprice").alias("mean_order"))
+    lines = tb.read_table(spark, sf, "lineitem").groupBy(
         F.year("l_shipdate").alias("year"), F.date_format("l_shipdate", "MMMM").alias("name")
-    ).agg(F.avg("l_extendedprice").alias("ice_extent"))
-    ice = ice.select("year", cal.month_number("name").alias("month"), "ice_extent").filter("year < 2001")
-    return cl.attach_series(temp, ice, ["year", "month"])
+    ).agg(F.avg("l_extendedprice").alias("mean_line"))
+    lines = lines.select("year", cal.month_number("name").alias("month"), "mean_line").filter("year < 2001")
+    return cl.attach_series(temp, lines, ["year", "month"])
 
 
 _PREPARE = (
-    "WITH a AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, avg(o_totalprice) AS mean_temp FROM orders "
+    "WITH a AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, avg(o_totalprice) AS mean_order FROM orders "
     "WHERE day(o_orderdate) = 1 AND year(o_orderdate) > 1995 GROUP BY 1, 2), "
-    "b AS (SELECT year(l_shipdate) AS y, month(l_shipdate) AS m, avg(l_extendedprice) AS ice_extent FROM lineitem "
+    "b AS (SELECT year(l_shipdate) AS y, month(l_shipdate) AS m, avg(l_extendedprice) AS mean_line FROM lineitem "
     "WHERE year(l_shipdate) < 2001 GROUP BY 1, 2), "
-    "c AS (SELECT a.y, a.m, mean_temp, ice_extent FROM a JOIN b ON a.y = b.y AND a.m = b.m) ")
+    "c AS (SELECT a.y, a.m, mean_order, mean_line FROM a JOIN b ON a.y = b.y AND a.m = b.m) ")
 
 
 @query("study_prepare_monthly",
-       _PREPARE + f"SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, {r('mean_temp')} AS mean_temp, {r('ice_extent')} AS ice_extent FROM c")
+       _PREPARE + f"SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, {r('mean_order')} AS mean_order, {r('mean_line')} AS mean_line FROM c")
 def study_monthly(spark, sf):
     return prepare_monthly(spark, sf).select(
-        "year", "month", rnd("mean_temp").alias("mean_temp"), rnd("ice_extent").alias("ice_extent"))
+        "year", "month", rnd("mean_order").alias("mean_order"), rnd("mean_line").alias("mean_line"))
 
 
 @query("study_prepare_yearly",
-       _PREPARE + f"SELECT CAST(y AS INT) AS year, {r('avg(mean_temp)')} AS mean_temp, {r('avg(ice_extent)')} AS ice_extent FROM c GROUP BY 1")
+       _PREPARE + f"SELECT CAST(y AS INT) AS year, {r('avg(mean_order)')} AS mean_order, {r('avg(mean_line)')} AS mean_line FROM c GROUP BY 1")
 def study_yearly(spark, sf):
     return prepare_monthly(spark, sf).groupBy("year").agg(
-        rnd(F.avg("mean_temp")).alias("mean_temp"), rnd(F.avg("ice_extent")).alias("ice_extent"))
+        rnd(F.avg("mean_order")).alias("mean_order"), rnd(F.avg("mean_line")).alias("mean_line"))
 
 
 # ---- comparison of models ------------------------------------------------------------------
