@@ -43,6 +43,12 @@ def test_no_cross_product_and_no_row_python(spark, name):
         assert bad not in plan
 
 
+@needs_data
+def test_dimension_join_leaves_the_fact_table_in_place(spark):
+    plan = QUERIES["join2_population_dimension"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LocalTableScan" in plan and "Exchange hashpartitioning" not in plan
+
+
 @needs_data
 def test_filter_and_columns_reach_the_scan(spark):
     plan = QUERIES["fil3_range"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
