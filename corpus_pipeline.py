@@ -33,7 +33,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs_with = docs.withColumn(own, F.coalesce(F.col("doc_id"), above))
     verdicts = near_dedup.near_duplicates(docs_with, near_dedup.Near(), id_col=own)
     kept = verdicts.filter("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
-    rows = docs_with.join(stored(kept), F.col(own) == F.col(key))
+    # the ids that stay grow with the documents: never broadcast
+    rows = docs_with.join(stored(kept).hint("merge"), F.col(own) == F.col(key))
     return rows.filter(F.col(n) == 1).select(docs.columns) \
         .union(rows.filter(F.col(n) > 1).dropDuplicates([own]).select(docs.columns))
 
