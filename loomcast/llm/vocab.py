@@ -16,7 +16,7 @@ import pyarrow as pa
 from loomcast.llm.bpe import PairTable, byte_letters, encode_words, load_model, spread
 from loomcast.llm.words import buffer_of, word_bounds, word_hashes
 
-KEEP = 3_000_000  # words remembered by a worker
+KEEP = 1_000_000  # words remembered by a worker
 PIECE = 1 << 20  # characters of a text handled at a time
 BATCH = 1 << 22  # characters of many texts handled at a time
 
