@@ -4,6 +4,8 @@ A term is a word or a pair of neighbouring words; its weight is the part of the
 hash votes with its weight on each bit, and the sign of the sum is the fingerprint's bit. For the search the bits are cut into
 blocks; two fingerprints that differ in at most ``radius`` bits agree on all but ``radius`` blocks, so each
 choice of the remaining blocks is a table keyed by their bits (a permutation that puts these blocks first).
+With no fewer bits than blocks none may agree, so there is a table per block, and a query is looked up with
+every value that differs from its own in so few bits that no pair is missed. The exact distance decides in both.
 
 Nulls and empties: a null text is empty; a text without words has the fingerprint of zeros. Equal texts have
 equal fingerprints. Rows with equal ids are each fingerprinted; null ids come first in the order. An empty
@@ -183,21 +185,62 @@ def distance(a: Column, b: Column) -> Column:
     return out
 
 
+def _tolerances(radius: int, blocks: int) -> list[int]:
+    """Bits that each block may differ in. One more in every block makes more than ``radius`` bits, so two
+    fingerprints within the radius keep to the tolerance of a block at least."""
+    each, more = divmod(radius + 1, blocks)
+    return [each - (b >= more) for b in range(blocks)]
+
+
+def _near_blocks(queries: DataFrame, prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Pairs by a table per block. A pair counts in the first block whose tolerance it keeps to, so it comes once."""
+    width, digits, bits = BITS // blocks, BITS // 4 // blocks, _tolerances(radius, blocks)
+    number = lambda at, n: F.conv(F.substring("fingerprint", at, n), 16, 10).cast("long")
+    half = lambda at: F.shiftleft(number(at, 8), 32).bitwiseOR(number(at + 8, 8))
+    text = lambda side: F.lower(F.concat(*[F.lpad(F.hex(f"{side}{k}"), 16, "0") for k in (0, 1)]))
+    keys = F.array(*[number(1 + b * digits, digits) + (b << width) for b in range(blocks)])
+    masks = F.array(*[F.array(*[F.lit(sum(1 << k for k in ones)).cast("long") for n in range(t + 1)
+                                for ones in combinations(range(width), n)]) for t in bits])
+    halves = lambda rows, side: rows.select("fingerprint").distinct() \
+        .select(half(1).alias(f"{side}0"), half(17).alias(f"{side}1"), keys.alias("keys"))
+    left = halves(queries, "q").select("q0", "q1", F.explode(F.flatten(F.zip_with(
+        "keys", masks, lambda key, of: F.transform(of, lambda m: key.bitwiseXOR(m))))).alias("key"))
+    right = halves(prints, "p").select("p0", "p1", F.explode("keys").alias("_key"))
+    other = [F.col(f"q{k}").bitwiseXOR(F.col(f"p{k}")) for k in (0, 1)]
+    apart = F.bit_count(other[0]) + F.bit_count(other[1])
+    first = F.lit(blocks)
+    for b in reversed(range(blocks)):
+        side, at = divmod(b * width, 64)
+        of = F.shiftrightunsigned(other[side], 64 - width - at).bitwiseAND(F.lit((1 << width) - 1))
+        first = F.when(F.bit_count(of) <= bits[b], b).otherwise(first)
+    here = F.shiftright("_key", width) == first
+    # one row of the left became hundreds, which the planner's size does not show: never broadcast
+    return left.join(right.hint("merge"), (F.col("key") == F.col("_key")) & (apart <= radius) & here) \
+        .select(text("q").alias("fingerprint"), text("p").alias("near"), apart.cast("int").alias("distance"))
+
+
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
     """All pairs (fingerprint, near, distance) of a query fingerprint and a fingerprint within ``radius`` bits.
 
-    Both sides are made distinct first, so copies meet once. ``blocks`` must divide 32 and exceed ``radius``;
-    more blocks make longer keys and more tables.
+    Both sides are made distinct first, so copies meet once. ``blocks`` must divide 32; more blocks than
+    ``radius`` make longer keys and more tables. With fewer, blocks must be 4, 8, 16 or 32: a block may then
+    differ in some bits, and the values looked up for a query grow with the choices of these bits.
     """
-    if not radius < blocks or (BITS // 4) % blocks:
-        raise ValueError("blocks must divide 32 and be more than radius")
+    if (BITS // 4) % blocks or blocks <= radius and blocks < 4:
+        raise ValueError("blocks must divide 32 and be more than radius or at least 4")
+    if radius >= blocks:
+        return _near_blocks(queries, prints, radius, blocks)
     left = _tables(queries.select("fingerprint").distinct(), radius, blocks)
     right = _tables(prints.select("fingerprint").distinct(), radius, blocks).withColumnRenamed("fingerprint", "near")
     return left.join(right, "key").select("fingerprint", "near").distinct() \
         .withColumn("distance", distance(F.col("fingerprint"), F.col("near")).cast("int")).filter(F.col("distance") <= radius)
 
 
-def searched(docs: DataFrame, every: int = 100, radius: int = 3, blocks: int = 4) -> DataFrame:
+# bits within which texts that share four fifths of their five-word shingles lie (README has the distances measured)
+NEAR_COPY = 22
+
+
+def searched(docs: DataFrame, every: int = 100, radius: int = NEAR_COPY, blocks: int = 8) -> DataFrame:
     """``compared`` with ``n_within``: for rows whose id is divisible by ``every`` the number of documents, itself
     included, whose fingerprint is within ``radius`` bits; null for other rows."""
     rows = stored(compared(docs))

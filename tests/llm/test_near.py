@@ -182,3 +182,35 @@ def test_search_counts_documents(spark):
     got = {r["doc_id"]: r["n_within"] for r in fingerprints.searched(df, every=10).collect()}
     assert all((n is None) == bool(i % 10) for i, n in got.items()) and all(got[i] >= 3 for i in got if i % 10 == 0)
     assert fingerprints.searched(nothing(spark)).count() == 0
+
+
+@pytest.mark.parametrize("radius, blocks", [(22, 8), (9, 8), (8, 4), (40, 32)])
+def test_search_finds_all_within_a_wide_radius(spark, radius, blocks):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2, (8, 128), dtype=np.uint8)
+    prints = [base[i % 8].copy() for i in range(240)]
+    for i, p in enumerate(prints):
+        p[rng.choice(128, i % (radius + 5), replace=False)] ^= 1
+    text = [np.packbits(p).tobytes().hex() for p in prints]
+    df = spark.createDataFrame([(t,) for t in text], "fingerprint string")
+    got = sorted((r[0], r[1], r[2]) for r in fingerprints.within_radius(df.limit(40), df, radius, blocks).collect())
+    want = {(a, b, int((p != q).sum())) for a, p in list(zip(text, prints))[:40] for b, q in zip(text, prints)}
+    assert got == sorted(w for w in want if w[2] <= radius)
+
+
+def test_search_counts_edited_texts(spark):
+    rows = []
+    for k in range(4):
+        words = prose(50 + k, 400).split(" ")
+        for e in range(10):  # document 10k and nine copies with up to six of 400 words changed each
+            w, r = list(words), random.Random(e)
+            for at in r.sample(range(len(w)), 6 * (e > 0)):
+                w[at] = f"edit{e}"
+            rows.append((10 * k + e, " ".join(w)))
+    plain = dict(rows)
+    for k in range(4):
+        for e in range(1, 10):
+            a, b = shingle_set(plain[10 * k], 5), shingle_set(plain[10 * k + e], 5)
+            assert len(a & b) >= 0.8 * len(a | b)
+    got = {r["doc_id"]: r["n_within"] for r in fingerprints.searched(spark.createDataFrame(rows, "doc_id long, text string"), every=10).collect()}
+    assert [got[10 * k] for k in range(4)] == [10] * 4
