@@ -97,10 +97,14 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, str | None]:
     first = docs.agg(F.min("doc_id")).first()[0]
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("i")).approxQuantile(
         "i", [k / runs for k in range(1, runs)], 0.25 / runs))) if first is not None else []
-    cuts = [int(c) for c in cuts if c > first]
-    # cuts are ids; the smallest row at or above a cut opens its run and also ends the run before
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    runs_of = F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))
+    cuts = [min(int(c), (1 << 63) - 1) for c in cuts if c > first]
+    # cuts are rounded: the smallest id at or above a cut opens its run, and its row also ends the run before
+    array = lambda ids: F.array(*[F.lit(c) for c in ids]).cast("array<long>")
+    run_of = lambda ids: F.size(F.filter(array(ids), lambda c: c <= F.col("doc_id")))
+    if cuts:
+        lowest = docs.filter("doc_id is not null").groupBy(run_of(cuts).alias("run")).agg(F.min("doc_id").alias("low"))
+        cuts = sorted(r["low"] for r in lowest.filter("run > 0").collect())
+    bounds, runs_of = array(cuts), run_of(cuts)
     opener = F.array_contains(bounds, F.col("doc_id"))
     rows = docs.withColumn("run", F.when(F.col("doc_id").isNull(), 0).otherwise(runs_of)) \
         .withColumn("copies", F.when(F.coalesce(opener, F.lit(False)), F.array(F.lit(True), F.lit(False)))

@@ -214,3 +214,13 @@ def test_search_counts_edited_texts(spark):
             assert len(a & b) >= 0.8 * len(a | b)
     got = {r["doc_id"]: r["n_within"] for r in fingerprints.searched(spark.createDataFrame(rows, "doc_id long, text string"), every=10).collect()}
     assert [got[10 * k] for k in range(4)] == [10] * 4
+
+
+@pytest.mark.parametrize("start, step", [((1 << 62) + 1, 3), (-(1 << 63), 1 << 58), ((1 << 63) - 200, 1)])
+def test_neighbours_of_ids_beyond_doubles(spark, start, step):
+    n = 64 if step > 3 else 200
+    rows = [(start + step * i, prose(i, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.compared(df).collect()}
+    want = {i: hashlib.sha256(fingerprints.edited(t, rows[(k + 1) % n][1]).encode()).hexdigest() for k, (i, t) in enumerate(rows)}
+    assert got == want
