@@ -1,6 +1,6 @@
 """WARC archives of pages, and a normaliser for archives compressed as one stream.
 
-``write_stream`` writes records as one gzip stream per file. ``members`` inflates such a file once, from front
+``write_stream`` writes records as one gzip stream per file. ``members`` inflates such a file, from front
 to back, and gives every record a gzip member of its own; ``write_archives`` writes them as one file per
 archive, with a sidecar index (archive, number, offset, length, record id, type). ``read_back`` reads every
 member of the archives and matches it with the index; only records' figures are shuffled, never payloads.
@@ -60,10 +60,23 @@ def record(rows: DataFrame) -> Column:
         line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body)
 
 
-def write_stream(rows: DataFrame, path: str, records: int) -> None:
-    """Archives of at most ``records`` records, each file one gzip stream, by Spark's text writer."""
-    rows.select(record(rows).alias("value")).write.option("maxRecordsPerFile", records) \
-        .option("lineSep", END).option("compression", "gzip").text(path)
+ARCHIVE_BYTES = 1 << 27  # payloads of an archive, unless one is larger
+
+
+def write_stream(rows: DataFrame, path: str, records: int, most: int = ARCHIVE_BYTES) -> None:
+    """Archives of at most ``records`` records and ``most`` bytes of payloads (or one record), each file one gzip
+    stream, by Spark's text writer. Payloads above ``most / records`` bytes go by powers of two of their size to
+    archives of fewer records, in folders ``large-...``."""
+    unit = max(1, most // records)
+    power = F.lit(0)
+    for k in range(32):  # a string has less than 2**31 bytes
+        power = F.when(F.col("payload_bytes") > (unit << k), k + 1).otherwise(power)
+    rows = rows.withColumn("_power", power)
+    large = sorted(r[0] for r in rows.select("_power").filter("_power > 0").distinct().collect())
+    for k in [0, *large]:
+        rows.filter(F.col("_power") == k).select(record(rows).alias("value")) \
+            .write.option("maxRecordsPerFile", min(records, max(1, most // (unit << k)))) \
+            .option("lineSep", END).option("compression", "gzip").text(f"{path}/large-{k}" if k else path)
 
 
 def inflated(content: memoryview) -> Iterator[bytes]:
@@ -153,7 +166,9 @@ INDEX = ["archive", "number", "offset", "length", "record_id", "record_type"]
 def write_archives(found: DataFrame, path: str) -> None:
     """``path``/archives/archive=NAME/part-...: one file per archive; ``path``/index: the sidecar as Parquet.
 
-    ``found`` is read twice, so it should be a stored table. An archive is made by one task, in order.
+    An archive is made by one task, in order: ``found`` must have its rows in one partition, as ``members`` gives
+    them. A stored table does not, since Spark reads a file of several row groups in several tasks. ``found`` is
+    made twice, which moves and keeps no member but compresses each a second time.
     """
     found.select(*INDEX).write.parquet(f"{path}/index")
     found.sortWithinPartitions("archive", "number").select("archive", F.col("member").cast("string").alias("value")) \
@@ -163,8 +178,9 @@ def write_archives(found: DataFrame, path: str) -> None:
 
 def normalise(spark: SparkSession, source: str, path: str) -> None:
     """Rewrite all archives in ``source`` to ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
-    write_archives(stored(members(files)), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz") \
+        .option("recursiveFileLookup", True).load(source)
+    write_archives(members(files), path)
 
 
 READ_BACK = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "

@@ -3,6 +3,7 @@
 import gzip
 import glob
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -141,6 +142,39 @@ def test_archives_are_gzip_files_of_one_member_a_record(spark):
         list(warc.records_of(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"])))
 
 
+def test_archives_of_several_splits(spark):
+    rows = [(i, random.Random(i).randbytes(3000).hex()) for i in range(400)]  # hardly compressed: many row groups
+    hadoop, kept = spark.sparkContext._jsc.hadoopConfiguration(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    hadoop.setInt("parquet.block.size", 1 << 14)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        path = scratch(spark)
+        df = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+        warc.write_stream(warc.classified(df, 100), f"{path}/a", 1000)
+        warc.normalise(spark, f"{path}/a", f"{path}/b")
+        got = {r["page_id"]: r["payload_bytes"] for r in warc.read_back(spark, f"{path}/b").collect()}
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == {i: 6000 for i, _ in rows}
+    for folder in glob.glob(f"{path.removeprefix('file:')}/b/archives/archive=*"):
+        assert len(glob.glob(f"{folder}/part-*")) == 1
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    rows = [(i, "p" * size) for i, size in enumerate([10] * 30 + [900] * 5 + [1700] * 4 + [50000, 50000, 3])]
+    path = scratch(spark)
+    df = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    warc.write_stream(warc.classified(df, 1 << 30), f"{path}/a", 10, 4000)
+    sizes = []
+    for name in glob.glob(f"{path.removeprefix('file:')}/a/**/*.gz", recursive=True):
+        sizes.append([len(p) for _, _, p in warc.records_of(iter([gzip.open(name).read()]))])
+    assert sorted(s for archive in sizes for s in archive) == sorted(len(t) for _, t in rows)
+    assert all(len(s) == 1 or len(s) <= 10 and sum(s) <= 4000 for s in sizes)
+    warc.normalise(spark, f"{path}/a", f"{path}/b")
+    assert {r["page_id"]: r["payload_bytes"] for r in warc.read_back(spark, f"{path}/b").collect()} == {i: len(t) for i, t in rows}
+
+
 URLS = [None, "", "no scheme casino", "http://A.Example.ORG/es/x?q#f", "https://example.org", "https://example.org/en/1x",
         "http://notexample.org/es/", "http://x.com/fr/a", "http://com/de/", "http://x.com/DE/", "http://free-bets.net/a",
         "http://casinos.net/", "http://a.net/casino", "http://a.net/free/free", "ftp://u:p@h.net:80?x=http://com/fr/", "a://b://org/",
