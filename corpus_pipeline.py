@@ -25,18 +25,18 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates on shingles of five words: that with the smallest id of each group stays.
 
-    A null id counts as one above all others, the same for equal texts. Of rows that repeat the id that stays,
-    one stays.
+    A null id counts as one above all others, the same for equal texts. Rows with equal ids and other texts are
+    documents of their own, of which any may stay. Of rows that repeat the id and the text that stay, one stays.
     """
-    own, key, n = fresh(docs, "_own"), fresh(docs, "_key"), fresh(docs, "_rows")
+    own, key, n, mark = fresh(docs, "_own"), fresh(docs, "_key"), fresh(docs, "_rows"), fresh(docs, "_mark")
     above = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     docs_with = docs.withColumn(own, F.coalesce(F.col("doc_id"), above))
-    verdicts = near_dedup.near_duplicates(docs_with, near_dedup.Near(), id_col=own)
-    kept = verdicts.filter("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
-    # the ids that stay grow with the documents: never broadcast
-    rows = docs_with.join(stored(kept).hint("merge"), F.col(own) == F.col(key))
+    verdicts = near_dedup.verdicts(docs_with, near_dedup.Near(), id_col=own)
+    kept = verdicts.filter("chosen").groupBy(F.col("mark").alias(key)).agg(F.count(F.lit(1)).alias(n))
+    # the rows that stay grow with the documents: never broadcast
+    rows = docs_with.withColumn(mark, near_dedup.mark(own, "text")).join(stored(kept).hint("merge"), F.col(mark) == F.col(key))
     return rows.filter(F.col(n) == 1).select(docs.columns) \
-        .union(rows.filter(F.col(n) > 1).dropDuplicates([own]).select(docs.columns))
+        .union(rows.filter(F.col(n) > 1).dropDuplicates([mark]).select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

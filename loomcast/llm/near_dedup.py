@@ -16,9 +16,9 @@ partner is capped.
 
 Nulls and empties: a null or empty text, or one without words, has an empty set, belongs to itself and is
 kept. A row with a null id takes the component of its copies with an id and is then not kept; without such a
-copy its component is null and it is kept. Rows with equal ids and texts are alike; classes with the same
-smallest id are taken as one document with several texts. An empty table gives an empty result. Other columns
-are ignored.
+copy its component is null and it is kept. Rows with equal ids and texts are alike; rows with equal ids and
+other texts are documents of their own: a class is known by its set's digest, never by an id. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.llm.components import components, local_forest
 from loomcast.llm.storage import partitions, stored
@@ -58,7 +58,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
         return int(one.sum(dtype=np.uint64).view(np.int64)), int(two.sum(dtype=np.uint64).view(np.int64))
 
 
-SETS = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+SETS = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, mark long"
 
 
 def described(docs: DataFrame, near: Near) -> DataFrame:
@@ -76,8 +76,8 @@ def described(docs: DataFrame, near: Near) -> DataFrame:
                 keys = band_keys(signatures(flat, offsets, near.bands * near.rows), near.bands, near.rows).view(np.int64)
                 bands = pa.array([k if n else [] for k, n in zip(keys, size.tolist())], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands],
-                    ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                    [part.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands,
+                     part.column(2)], ["doc_id", "n_shingles", "h1", "h2", "bands", "mark"])
 
     return docs.mapInArrow(run, SETS)
 
@@ -225,11 +225,16 @@ def _supported(members: DataFrame, near: Near) -> DataFrame:
 FILTER_BITS = 1 << 25  # four megabytes, whatever the number of members
 
 
+def mark(id_col: str, text_col: str) -> Column:
+    """64 bits of an id with its text: rows with equal ids and other texts are told apart by it."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def _perhaps_in(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows whose id may be a member's, by a bit table of fixed size: no member is lost, and with few members
+    """Rows whose mark may be a member's, by a bit table of fixed size: no member is lost, and with few members
     hardly another row is left. Texts of the others then need not be shuffled for the exact join."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    parts = members.select((place("node") + 1).alias("p")) \
+    parts = members.select((place("mark") + 1).alias("p")) \
         .groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     for k, bits in parts:
@@ -241,16 +246,23 @@ def _perhaps_in(docs: DataFrame, members: DataFrame) -> DataFrame:
         at = p.fillna(0).to_numpy().astype(np.int64)
         return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
 
-    return docs.filter(F.col("doc_id").isNotNull()).filter(perhaps(place("doc_id")))
+    return docs.filter(F.col("doc_id").isNotNull()).filter(perhaps(place("mark")))
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept (doc_id is that id), one row per row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return verdicts(docs, near, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def verdicts(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with the row's ``mark`` and ``chosen``: of a component, only one id with one text is."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       mark(id_col, text_col).alias("mark"))
     rows = stored(described(docs, near))
-    # a class is an equal set; its node is the smallest id
-    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2") \
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).filter("node is not null")
+    # a class is an equal set; its node is 64 bits of the digest, and a row with the smallest id has its text
+    low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
+    classes = rows.filter("n_shingles > 0").groupBy("h1", "h2").agg(low.alias("low"), F.first("bands").alias("bands")) \
+        .filter("low is not null").withColumn("node", F.xxhash64("h1", "h2"))
     classes = stored(classes)
     buckets = stored(classes.select("node", F.explode("bands").alias("band")))
     leaders = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -259,13 +271,17 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     clusters = components(chains)
     members = clusters.select("node", F.col("root").alias("cluster")) \
         .union(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
-    members = stored(members)
-    texts = _perhaps_in(docs, members).join(members, F.col("doc_id") == F.col("node")).select("node", "cluster", "text")
+    members = stored(members.join(classes.select("node", "low.mark"), "node"))
+    texts = _perhaps_in(docs, members).join(members, "mark").select("node", "cluster", "text")
     sets = stored(sets_of(texts, near))
     found = components(verified_links(sets, near))
-    # stored, so that the last join has plain exchanges on both sides and a class of many copies can be split
-    of_class = stored(classes.select("h1", "h2", "node").join(found, "node", "left")
-                      .select("h1", "h2", F.coalesce("root", "node").alias("of")))
-    own = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
+    # stored, so that the last joins have plain exchanges on both sides and a class of many copies can be split
+    of_class = stored(classes.select("h1", "h2", "node", "low").join(found, "node", "left")
+                      .select("h1", "h2", "low", F.coalesce("root", "node").alias("root")))
+    of_root = stored(of_class.groupBy("root").agg(F.min("low").alias("of")))
+    of_class = stored(of_class.join(of_root, "root").select("h1", "h2", "of"))
+    own = F.when(F.col("n_shingles") > 0, F.col("of.doc_id")).otherwise(F.col("doc_id"))
+    kept = F.col("doc_id").eqNullSafe(own)
+    one = (F.col("n_shingles") == 0) | F.col("of").isNull() | (F.col("mark") == F.col("of.mark"))
     return rows.drop("bands").join(of_class, ["h1", "h2"], "left") \
-        .select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+        .select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"), "mark", (kept & one).alias("chosen"))

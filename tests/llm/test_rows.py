@@ -249,6 +249,16 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.dedup(spark, df, "").collect()) == [0, 1]
 
 
+def test_equal_ids_of_other_texts_are_documents_of_their_own(spark):
+    near = lambda seed: prose(seed, 200) + " end"
+    rows = [(5, prose(10 + i, 60)) for i in range(30)] + [(3, prose(50, 200)), (5, near(50)), (7, prose(51, 200)), (7, near(51))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(tuple(r) for r in corpus_pipeline.dedup(spark, df, "").collect())
+    sevens = [t for i, t in got if i == 7]
+    assert len(sevens) == 1 and sevens[0] in (prose(51, 200), near(51))  # any one of a group with equal ids
+    assert [r for r in got if r[0] != 7] == sorted(rows[:31])
+
+
 def test_fresh_names(spark):
     df = spark.createDataFrame([(1, 2)], "A int, a_ int")
     assert fresh(df, "a") == "a__" and fresh(df, "b") == "b"
