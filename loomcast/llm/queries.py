@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomcast.llm import (fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding, token_ids,
+from loomcast.llm import (byte_bpe, fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding, token_ids,
                           token_output, url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None):
@@ -145,3 +146,8 @@ from judged j left join n_rep using (doc_id)""".replace("seps(x)", "(" + " + ".j
 def op10(spark, sf):
     return quality_rules.judge(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op11_byte_bpe")
+def op11(spark, sf):
+    return byte_bpe.round_trip(table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
