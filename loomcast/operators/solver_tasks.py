@@ -7,21 +7,17 @@ Spark has summed the data down to it. Batches are solved with stacked linear alg
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.operators import solvers as sv
 from loomcast.operators.lag_products import HORIZON, lag_products, solver_rows
 from loomcast.operators.split import CHUNK
-
-# Executors need not have the package installed: its functions travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules["loomcast"])
+from loomcast.shipping import shipped
 
 DOUBLES_PER_SLICE = 2_000_000
 
@@ -254,7 +250,7 @@ class GridSearch:
 
     def fold_scores(self) -> DataFrame:
         """(keys, candidate, fold, mae, status) - a failed candidate has NULL and a reason."""
-        raw = _spread(self.rows, *self.keys, "fold", "h").mapInArrow(
+        raw = _spread(self.rows, *self.keys, "fold", "h").transform(shipped).mapInArrow(
             score_task(*self._args()),
             f"{self._ddl}, fold int, steps bigint, abs_err array<double>, status array<int>")
         flat = raw.select(*self.keys, "fold", "steps", F.posexplode(F.arrays_zip("abs_err", "status")).alias("candidate", "z"))
@@ -286,7 +282,7 @@ class GridSearch:
         return with_candidate_parameters(df, self.candidates)
 
     def _paths(self, rows: DataFrame) -> DataFrame:
-        raw = _spread(rows, *self.keys, "fold", "h").mapInArrow(
+        raw = _spread(rows, *self.keys, "fold", "h").transform(shipped).mapInArrow(
             forecast_task(*self._args()), f"{self._ddl}, fold int, h bigint, candidate int, yhat array<double>")
         return raw.select(*self.keys, "fold", F.col("h").alias("_h0"), "candidate", F.posexplode("yhat").alias("_p", "yhat")).select(
             *self.keys, "fold", (F.col("_h0") + F.col("_p")).alias("h"), "candidate", "yhat")

@@ -20,6 +20,7 @@ from loomcast.operators import solvers as sv
 from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix_packed
 from loomcast.operators.solver_tasks import DOUBLES_PER_SLICE, _key_ddl, _matrix, _spread
 from loomcast.operators.split import CHUNK
+from loomcast.shipping import shipped
 
 PENALTY = 1e-3  # penalty on the correlation scale at prior scale 1
 
@@ -135,7 +136,7 @@ def additive_forecasts(
     sums = train_prefix_packed(
         with_design(df, design), keys, k, normal_sums(z), min_train=min_train).drop("train_size")
     keep = [*keys, "fold", "test_size"]
-    fits = _spread(sums, *keys, "fold").mapInArrow(
+    fits = _spread(sums, *keys, "fold").transform(shipped).mapInArrow(
         _penalised_task(keep, z, free, knots, grid),
         f"{_key_ddl(df, keys)}, fold int, test_size bigint, betas array<array<double>>")
     rows = attach_fold_values(test_rows(df, k, min_train), fits, keys, size=size)
@@ -159,7 +160,7 @@ def polynomial_fits(df: DataFrame, keys: Sequence[str], degree: int, y: str = "y
     hankel = [F.get("p", F.lit(i + j)) for i in range(z) for j in range(i, z)]
     packed = sums.select(*keys, "n", F.concat(F.array(*hankel), "r", F.array(F.lit(0.0))).alias("packed"))
     keep = [*keys, "n"]
-    return _spread(packed, *keys).mapInArrow(
+    return _spread(packed, *keys).transform(shipped).mapInArrow(
         _plain_task(keep, z), f"{_key_ddl(df, keys)}, n bigint, beta array<double>")
 
 
