@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm.storage import stored
+from loomcast.shipping import shipped
 
 ONE_TASK = 1 << 17  # links
 
@@ -64,9 +65,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     smallest. Large and small stars alternate (Kiveris et al. 2014) until all links are stars, each round
     after contracting the links inside partitions; a hub's neighbours are first reduced to their minimum."""
     spark = links.sparkSession
-    edges = stored(links.select("a", "b").filter("a <> b").mapInArrow(contract, "a long, b long"))
+    edges = stored(links.select("a", "b").filter("a <> b").transform(shipped).mapInArrow(contract, "a long, b long"))
     if edges.count() <= ONE_TASK:  # few links are left: the same contraction, in one partition
-        edges = stored(edges.repartition(1).mapInArrow(contract, "a long, b long"))
+        edges = stored(edges.repartition(1).transform(shipped).mapInArrow(contract, "a long, b long"))
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
         # large star: every larger neighbour of a node to the smallest of its neighbourhood
@@ -78,7 +79,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("u"), "m").filter("u <> m") \
             .union(least.select(F.col("a").alias("u"), "m")).distinct()
-        forest = stored(small.select(F.col("u").alias("a"), F.col("m").alias("b")).mapInArrow(contract, "a long, b long"))
+        forest = stored(small.select(F.col("u").alias("a"), F.col("m").alias("b")).transform(shipped).mapInArrow(contract, "a long, b long"))
         edges = forest
         # done when no node has two roots and no root has one
         check = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))

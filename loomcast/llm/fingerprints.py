@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.llm.storage import partitions, stored
 from loomcast.llm.words import buffer_of, mix, slices, word_bounds, word_hashes
+from loomcast.shipping import shipped
 
 BITS = 128
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
@@ -84,7 +85,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), prints], ["doc_id", "fingerprint"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fingerprint string")
+        .transform(shipped).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def in_order(docs: DataFrame) -> tuple[DataFrame, str | None]:
@@ -168,7 +169,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if texts:
             yield emit(names, texts, following)
 
-    return rows.select("run", "own", "doc_id", "text").mapInArrow(run, COMPARED)
+    return rows.select("run", "own", "doc_id", "text").transform(shipped).mapInArrow(run, COMPARED)
 
 
 def _tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:

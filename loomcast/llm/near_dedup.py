@@ -33,6 +33,7 @@ from loomcast.llm.components import components, local_forest
 from loomcast.llm.storage import partitions, stored
 from loomcast.llm.superminhash import band_keys, signatures
 from loomcast.llm.words import mix, shingles, slices, words_of
+from loomcast.shipping import shipped
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def described(docs: DataFrame, near: Near) -> DataFrame:
                     [part.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands,
                      part.column(2)], ["doc_id", "n_shingles", "h1", "h2", "bands", "mark"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.transform(shipped).mapInArrow(run, SETS)
 
 
 def sets_of(docs: DataFrame, near: Near) -> DataFrame:
@@ -92,7 +93,7 @@ def sets_of(docs: DataFrame, near: Near) -> DataFrame:
                 data = pa.array([s.tobytes() for s in shingle_sets(part.column(2), near.words)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), data], ["node", "cluster", "shingles"])
 
-    return docs.mapInArrow(run, "node long, cluster long, shingles binary")
+    return docs.transform(shipped).mapInArrow(run, "node long, cluster long, shingles binary")
 
 
 def compare(node: np.ndarray, group: np.ndarray, probe: np.ndarray, sets: list[np.ndarray], per_hundred: int):
@@ -150,7 +151,7 @@ def _links(rows: DataFrame, near: Near) -> DataFrame:
                         near.per_hundred) if len(sets) > 1 else []
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return rows.groupBy("task").applyInArrow(run, "a long, b long")
+    return rows.transform(shipped).groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def _grouped(sets: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -215,7 +216,7 @@ def _supported(members: DataFrame, near: Near) -> DataFrame:
                 fill = lambda c: pa.array(np.full(len(s), batch.column(c)[row].as_py()))
                 yield pa.RecordBatch.from_arrays([fill(0), fill(1), pa.array(s)], ["node", "cluster", "h"])
 
-    each = members.select("node", "cluster", "shingles").mapInArrow(spread, "node long, cluster long, h long")
+    each = members.select("node", "cluster", "shingles").transform(shipped).mapInArrow(spread, "node long, cluster long, h long")
     shared = each.groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster", "h")
     total = members.select("node", (F.octet_length("shingles") / 8).alias("size"))
     return each.join(shared, ["cluster", "h"], "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("k")) \

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loomcast.llm.storage import partitions, stored
 from loomcast.llm.vocab import Vocabulary
+from loomcast.shipping import shipped
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -45,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col: st
                 yield _batch(rows, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, PIECES)
+        .transform(shipped).mapInArrow(run, PIECES)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -164,7 +165,7 @@ def place(cut: DataFrame, length: int) -> DataFrame:
                                              [*names, "sequence_id", "offset"])
 
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    return ranked(cut, "length", order).mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return ranked(cut, "length", order).transform(shipped).mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col: str = "doc_id",

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm.storage import fresh, stored
 from loomcast.llm.words import buffer_of, slices, word_bounds, word_hashes
+from loomcast.shipping import shipped
 
 BAD, NONE, GOOD = 0, 1, 2
 SLOTS = 1 << 13
@@ -174,7 +175,7 @@ def vote_codes(docs: DataFrame) -> DataFrame:
                 code = votes(figures(batch.column(0).slice(lo, hi - lo))) @ power
                 yield pa.RecordBatch.from_arrays([pa.array(code)], ["pattern"])
 
-    return docs.mapInArrow(run, "pattern long")
+    return docs.transform(shipped).mapInArrow(run, "pattern long")
 
 
 @dataclass(frozen=True)
@@ -235,7 +236,7 @@ def learn(docs: DataFrame, fit: Fit = Fit(), text_col: str = "text") -> Model:
         return pa.table({"slot": pa.array(np.arange(len(w))), "w": pa.array(w)})
 
     rows = texts.withColumn("key", F.xxhash64("text"))
-    trained = rows.mapInArrow(drawn, "grp long, y double, x binary").groupBy("grp").applyInArrow(weigh, "slot long, w double") \
+    trained = rows.transform(shipped).mapInArrow(drawn, "grp long, y double, x binary").groupBy("grp").applyInArrow(weigh, "slot long, w double") \
         .groupBy("slot").agg(F.avg("w")).collect()  # one row per feature
     weights = np.zeros(SLOTS + RELATIONS)
     for slot, w in trained:
@@ -257,7 +258,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
-        .mapInArrow(run, "doc_id long, bad double, kept boolean")
+        .transform(shipped).mapInArrow(run, "doc_id long, bad double, kept boolean")
 
 
 def kept_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -271,4 +272,4 @@ def kept_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
                 keep = shared.value.bad(texts.slice(lo, hi - lo)) < shared.value.threshold
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(shipped).mapInArrow(run, docs.schema)

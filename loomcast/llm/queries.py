@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomcast.llm import (byte_bpe, fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding, token_ids,
+from loomcast.llm import (byte_bpe, fingerprints, lexical_search, near_dedup, packing, quality_classifier, quality_rules, sharding, token_ids,
                           token_output, url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,32 @@ def op10(spark, sf):
 @query("op11_byte_bpe")
 def op11(spark, sf):
     return byte_bpe.round_trip(table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query("op12_lexical_search", """
+with t as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as terms
+  from documents),
+s as (select cast(count(*) as bigint) as docs, cast(sum(len(terms)) as bigint) as total from t where len(terms) > 0),
+p as (select r, doc_id, cast(len(terms) as bigint) as n, unnest(terms) as term from t),
+q as (
+  select item, item_id, unnest(list_distinct(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+'))) as term
+  from (select row_number() over () as item, * from benchmark)),
+f as (select r, doc_id, n, term, cast(count(*) as bigint) as tf from p where term in (select term from q) group by all),
+d as (select term, count(*) as df from f group by term),
+c as (
+  select r, doc_id, term,
+         cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+           * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) as part
+  from f join d using (term), s),
+scored as (
+  select item, item_id, r, doc_id, cast(sum(part) as bigint) as score from c join q using (term) group by all),
+ranked as (
+  select item_id, doc_id, score,
+         row_number() over (partition by item order by score desc, doc_id nulls last) as rank
+  from scored where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 10""")
+def op12(spark, sf):
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

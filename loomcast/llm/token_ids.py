@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm.vocab import Vocabulary
+from loomcast.shipping import shipped
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,7 +26,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             ids = vocab.encode(texts)
             yield pa.RecordBatch.from_arrays([names, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _input(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return _input(docs, id_col, text_col).transform(shipped).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -37,7 +38,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = [vocab.decode(x.values.to_numpy()) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").transform(shipped).mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +57,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _input(docs, id_col, text_col) \
-        .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        .transform(shipped).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

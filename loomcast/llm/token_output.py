@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm.storage import stored
 from loomcast.llm.vocab import Vocabulary
+from loomcast.shipping import shipped
 
 SEQUENCES = ("sequence_id long, n_tokens long, input_ids binary, cu_seqlens array<int>, position_ids binary, "
              "doc_ids array<long>, doc_starts array<long>, doc_tokens array<long>")
@@ -143,7 +144,7 @@ def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int =
             yield from _small(_sequences(names, ids, length, first, kind))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, SEQUENCES)
+        .transform(shipped).mapInArrow(run, SEQUENCES)
 
 
 def _small(batch: pa.RecordBatch, rows: int = 256):
@@ -178,7 +179,7 @@ def segments(packed: DataFrame, kind: str = "<u2") -> DataFrame:
             kinds = [pa.int64()] * 7 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return packed.mapInArrow(run, SEGMENTS)
+    return packed.transform(shipped).mapInArrow(run, SEGMENTS)
 
 
 def written_segments(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:

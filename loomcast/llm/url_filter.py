@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from loomcast.shipping import shipped
 
 # Terms of the vocabulary (lower case).
 STRICT = ("casino", "escort", "hentai", "phishing", "porn", "viagra", "warez", "xxx")
@@ -86,7 +87,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], strict: Seque
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)) \
         .select("page_id", "url", "host", "path", F.col("fit")["rule"].alias("rule"), F.col("fit")["verdict"].alias("ruled"))
-    counted = rows.mapInArrow(run, "page_id long, host string, path string, rule string, ruled string, "
+    counted = rows.transform(shipped).mapInArrow(run, "page_id long, host string, path string, rule string, ruled string, "
                                    "strict_hits long, soft_hits long")
     own = F.when((F.col("strict_hits") > 0) | (F.col("soft_hits") >= soft_hits), "block").otherwise("allow")
     return counted.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"),

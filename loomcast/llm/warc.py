@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomcast.llm.storage import scratch, stored
+from loomcast.shipping import shipped
 
 END = "\r\n\r\n"
 # Spark's text writer must put something behind a row: an empty gzip member, so that the file stays valid
@@ -157,7 +158,7 @@ def members(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return files.select("path", "content").mapInArrow(run, MEMBERS)
+    return files.select("path", "content").transform(shipped).mapInArrow(run, MEMBERS)
 
 
 INDEX = ["archive", "number", "offset", "length", "record_id", "record_type"]
@@ -234,7 +235,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         .select("archive", "offset", F.col("length").alias("_length"), F.col("record_type").alias("_type"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*") \
         .load(f"{path}/archives").select(F.regexp_extract("path", r"archive=([^/]+)/", 1).alias("archive"), "content")
-    found = files.mapInArrow(run, READ_BACK).join(index, ["archive", "offset"], "full")
+    found = files.transform(shipped).mapInArrow(run, READ_BACK).join(index, ["archive", "offset"], "full")
     same = F.coalesce((F.col("length") == F.col("_length")) & (F.col("record_type") == F.col("_type")), F.lit(False))
     wrong = F.raise_error(F.concat(F.lit("index and archive differ at "), "archive", F.lit(":"), F.col("offset").cast("string")))
     return found.withColumn("record_type", F.when(same, F.col("record_type")).otherwise(wrong.cast("string"))) \
