@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomcast.llm import (byte_bpe, fingerprints, lexical_search, near_dedup, packing, quality_classifier, quality_rules, sharding, token_ids,
+from loomcast.llm import (byte_bpe, conversation_repair, fingerprints, lexical_search, near_dedup, packing, quality_classifier,
+                          quality_rules, sharding, token_ids,
                           token_output, url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +181,8 @@ ranked as (
 select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 10""")
 def op12(spark, sf):
     return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf):
+    return conversation_repair.repair(table(spark, sf, "conversations"))
