@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loomcast.llm.storage import partitions, stored
 from loomcast.llm.vocab import Vocabulary
+from loomcast.llm.words import slices
 from loomcast.shipping import shipped
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -35,8 +36,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, end = Vocabulary.at(tokenizer), np.array([end_id], np.uint32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo, hi in slices(batch.column(1), 1 << 20):
+                part = batch.slice(lo, hi - lo)
                 names, rows = part.column(0).to_pylist(), []
                 for name, ids in zip(names, vocab.encode(part.column(1).to_pylist())):
                     ids = np.concatenate([ids, end]).astype("<u4", copy=False)

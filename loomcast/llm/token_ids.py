@@ -2,7 +2,7 @@
 
 Nulls and empties: a null text is empty, an empty text has no id and decodes to the empty text. Rows with
 equal or null ``doc_id`` are encoded one by one; an empty table gives an empty result; other columns are
-ignored.
+ignored. A very long text is encoded in parts and needs memory for its ids.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm.vocab import Vocabulary
+from loomcast.llm.words import slices
 from loomcast.shipping import shipped
 
 
@@ -64,8 +65,8 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], most: int = 1000):
+def _rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        for lo in range(0, batch.num_rows, most):
-            part = batch.slice(lo, most)
+        for lo, hi in slices(batch.column(1), 1 << 20):
+            part = batch.slice(lo, hi - lo)
             yield part.column(0), part.column(1).to_pylist()

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomcast.llm.storage import stored
 from loomcast.llm.vocab import Vocabulary
+from loomcast.llm.words import slices
 from loomcast.shipping import shipped
 
 SEQUENCES = ("sequence_id long, n_tokens long, input_ids binary, cu_seqlens array<int>, position_ids binary, "
@@ -129,8 +130,8 @@ def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int =
             raise ValueError(f"ids of this vocabulary do not fit {kind}")
         first, names, ids, held = TaskContext.get().partitionId() << 40, [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo, hi in slices(batch.column(1), 1 << 20):
+                part = batch.slice(lo, hi - lo)
                 for name, x in zip(part.column(0).to_pylist(), vocab.encode(part.column(1).to_pylist())):
                     x = np.concatenate([x, end]).astype(kind)
                     names.append(name)

@@ -1,9 +1,9 @@
 """Ids of whole texts from a public tokenizer file, with a bounded memory of words already encoded.
 
-Texts are cut at white space by array arithmetic and words are compared by 64-bit hashes. Each new word is
-pre-tokenised once (the library's own pre-tokeniser, or the whole library where the file has a normaliser,
+Texts are cut at white space by array arithmetic; words are found by 64-bit hashes and compared byte by byte, so two
+words of one hash never share ids. Each new word of at most ``LONGEST`` bytes is pre-tokenised once (the library's own pre-tokeniser, or the whole library where the file has a normaliser,
 for letters outside ASCII and Latin-1), merged by ``bpe.encode_words`` and kept in a pool. The ids of a
-text are then gathered from the pool.
+text are then gathered from the pool. A very long text is taken in parts, a very long word is encoded alone.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 
 from loomcast.llm.bpe import PairTable, byte_letters, encode_words, load_model, spread
-from loomcast.llm.words import buffer_of, word_bounds, word_hashes
+from loomcast.llm.words import FOLD, buffer_of, word_bounds, word_hashes
 
-KEEP = 1_000_000  # words remembered by a worker
+KEEP = 500_000  # words remembered by a worker
+LONGEST = 256  # bytes of a word that is remembered
 PIECE = 1 << 20  # characters of a text handled at a time
-BATCH = 1 << 22  # characters of many texts handled at a time
+BATCH = 1 << 19  # characters of many texts handled at a time
 
 # fixed patterns of the public vocabularies, for ASCII and the letters of Latin-1
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -75,6 +76,8 @@ class Vocabulary:
     def _forget(self):
         self.hash = np.zeros(0, np.uint64)
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.letters, self.written = np.zeros(1 << 16, np.uint8), 0  # bytes of the remembered words
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +120,22 @@ class Vocabulary:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
         self.pool[self.used:self.used + len(ids)] = ids
+        own, size = self._folded(np.frombuffer(b"".join(words), np.uint8)), np.fromiter(map(len, words), np.int64, len(words))
+        if self.written + len(own) > len(self.letters):
+            self.letters = np.resize(self.letters, 2 * (self.written + len(own)))
+        self.letters[self.written:self.written + len(own)] = own
         place = np.searchsorted(self.hash, hashes)
         self.hash = np.insert(self.hash, place, hashes)
         self.start = np.insert(self.start, place, at[0] + self.used)
         self.count = np.insert(self.count, place, at[1])
+        self.at = np.insert(self.at, place, self.written + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
         self.used += len(ids)
+        self.written += len(own)
+
+    def _folded(self, data: np.ndarray) -> np.ndarray:
+        """Bytes as the hash takes them: a file with a normaliser ignores case."""
+        return FOLD[data] if self.normalised else data
 
     def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.searchsorted(self.hash, hashes)
@@ -130,22 +144,42 @@ class Vocabulary:
         known[inside] = self.hash[place[inside]] == hashes[inside]
         return place, known
 
+    def _other(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which ranges are not the word that is remembered under their hash."""
+        length = ends - starts
+        other = length != self.size[place]
+        length = np.where(other, 0, length)
+        differ = self._folded(data[spread(starts, length)]) != self.letters[spread(self.at[place], length)]
+        if differ.any():
+            total = np.concatenate([[0], np.cumsum(differ)])
+            edge = np.concatenate([[0], np.cumsum(length)])
+            other |= total[edge[1:]] > total[edge[:-1]]
+        return other
+
     def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ranges of bytes, one after another, and the number of ids of each range."""
-        hashes = word_hashes(data, starts, ends, fold=self.normalised)
+        usual = np.flatnonzero(ends - starts <= LONGEST)
+        hashes = word_hashes(data, starts[usual], ends[usual], fold=self.normalised)
         distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
         place, known = self._lookup(distinct)
         if not known.all():
             if len(self.hash) + int((~known).sum()) > KEEP:
                 self._forget()
                 known[:] = False
-            new = first[~known]
-            raw = data.tobytes()
-            self._remember(distinct[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            new = usual[first[~known]]
+            self._remember(distinct[~known], [data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
             place, _ = self._lookup(distinct)
         place = place[code]
-        n = self.count[place]
-        return self.pool[spread(self.start[place], n)], n
+        n, begin = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        alone = np.concatenate([np.flatnonzero(ends - starts > LONGEST),
+                                usual[self._other(data, starts[usual], ends[usual], place)] if len(usual) else usual])
+        n[usual], begin[usual] = self.count[place], self.start[place]
+        pool = self.pool[:self.used]
+        if len(alone):
+            ids, at = self._encode_new([data[a:b].tobytes() for a, b in zip(starts[alone].tolist(), ends[alone].tolist())])
+            n[alone], begin[alone] = at[1], at[0] + len(pool)
+            pool = np.concatenate([pool, ids.astype(np.uint32)])
+        return pool[spread(begin, n)], n
 
     def _ranges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What is encoded on its own: words, with the space before them and the white space between them

@@ -12,8 +12,8 @@ U = np.uint64
 BLOCK = 1 << 18
 _ODD, _MIX1, _MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_FOLD = np.arange(256)
-_FOLD[65:91] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,27 +25,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 with np.errstate(over="ignore"):
-    _BYTE = mix((_FOLD.astype(np.uint64) + U(1)) * _ODD)
+    _BYTE = mix((FOLD.astype(np.uint64) + U(1)) * _ODD)
     _EXACT = mix((np.arange(256, dtype=np.uint64) + U(1)) * _ODD)
-_BASE = 0xD1342543DE82EF95
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(BLOCK.bit_length(), (n + 1).bit_length())
-    if size not in _POWERS:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, U(base))
-            p[0] = U(1)
-            with np.errstate(over="ignore"):
-                out.append(np.multiply.accumulate(p))
-        if size > 4 * BLOCK:  # a word of many megabytes: not worth keeping
-            return out[0], out[1]
-        _POWERS[size] = (out[0], out[1])
-    return _POWERS[size]
-
-
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null texts are empty."""
     texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
@@ -74,20 +55,36 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hash of every range of bytes, in blocks of a quarter of a megabyte whatever the length of a text."""
+    """64-bit hash of every range of bytes, in blocks of a quarter of a megabyte.
+
+    A byte and its place are mixed together before they are summed, so words of equal bytes in other places have
+    no structure in common. A range longer than a block is hashed part by part.
+    """
     value = _BYTE if fold else _EXACT
     out = np.empty(len(starts), np.uint64)
     i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        power, inverse = _powers(hi - lo)
-        with np.errstate(over="ignore"):
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(value[data[lo:hi]] * power[:hi - lo], out=total[1:])
-            a, b = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * _ODD)
-        i = j
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+            lo, hi = int(starts[i]), int(ends[j - 1])
+            if hi - lo > BLOCK:
+                total = U(0)
+                for at in range(lo, hi, BLOCK):
+                    place = np.arange(at - lo, min(at + BLOCK, hi) - lo, dtype=np.uint64)
+                    total += mix(value[data[at:at + len(place)]] + place * _ODD).sum(dtype=np.uint64)
+                out[i] = mix(total + U(hi - lo) * _ODD)
+            else:
+                a, length = starts[i:j] - lo, ends[i:j] - starts[i:j]
+                begin = np.cumsum(length) - length
+                place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(begin, length)
+                own = data[lo:hi][place + np.repeat(a, length)]
+                mixed = mix(value[own] + place.astype(np.uint64) * _ODD)
+                sums = np.zeros(len(a), np.uint64)
+                has = length > 0
+                if has.any():
+                    sums[has] = np.add.reduceat(mixed, begin[has])
+                out[i:j] = mix(sums + length.astype(np.uint64) * _ODD)
+            i = j
     return out
 
 

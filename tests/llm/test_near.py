@@ -224,3 +224,25 @@ def test_neighbours_of_ids_beyond_doubles(spark, start, step):
     got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.compared(df).collect()}
     want = {i: hashlib.sha256(fingerprints.edited(t, rows[(k + 1) % n][1]).encode()).hexdigest() for k, (i, t) in enumerate(rows)}
     assert got == want
+
+
+def test_words_of_one_structure_are_not_alike(spark):
+    """Documents of words that a polynomial hash cannot tell apart stay apart in near_dedup and fingerprints."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one] * 30)), (2, " ".join([two] * 30)), (3, one[:1024]), (4, two[:1024])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in near_dedup.near_duplicates(docs, near_dedup.Near(words=4)).collect()}
+    assert [out[i].component_id for i in (1, 2, 3, 4)] == [1, 2, 3, 4]
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.searched(docs).collect()}
+    assert len(set(prints.values())) == 4
+
+
+def test_repeated_rows_meet_the_comparison_once(spark, monkeypatch):
+    base = prose(8, 80)
+    rows = [(1, base)] * 50 + [(2, base + " more")] * 50
+    seen = []
+    plain = near_dedup.sets_of
+    monkeypatch.setattr(near_dedup, "sets_of", lambda texts, near: seen.append(texts) or plain(texts, near))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r.component_id for r in out.collect()} == {1} and seen[0].count() == 2

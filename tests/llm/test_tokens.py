@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -179,3 +180,46 @@ def test_binary_rows(spark):
         assert not ids[r["n_tokens"]:].any() and not position[r["n_tokens"]:].any()
     with pytest.raises(Exception, match="do not fit"):
         token_output.packed_sequences(df, BYTE, 50256, length=256, kind="<u1").collect()
+
+
+def thue_morse(n):
+    """Two words of n letters with the structure that a polynomial hash cannot tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_of_one_structure_keep_their_ids(path):
+    library, rng, some = Tokenizer.from_file(path), random.Random(3), []
+    for n in (64, 128, 256, 1024, 2048):
+        some += [" ".join(thue_morse(n)), *thue_morse(n)]
+    for _ in range(40):  # words that differ by blocks that change places
+        blocks = ["".join(rng.choice("ab") for _ in range(16)) for _ in range(8)]
+        some.append(" ".join("".join(rng.sample(blocks, 8)) for _ in range(6)))
+    own = Vocabulary(path)
+    for text, ids in zip(some, own.encode(some)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    """Even where every word has the same hash."""
+    from loomcast.llm import vocab
+
+    monkeypatch.setattr(vocab, "word_hashes", lambda data, starts, ends, fold=True: np.zeros(len(starts), np.uint64))
+    for path in (BYTE, WORD):
+        library, own = Tokenizer.from_file(path), Vocabulary(path)
+        for _ in range(2):
+            for text, ids in zip(ODD, own.encode(ODD)):
+                assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_hashes_of_long_and_short_words(monkeypatch):
+    from loomcast.llm import words
+
+    text = " ".join([*thue_morse(4096), "a", "A", "b", "x" * 3000, "x" * 3001])
+    data, offsets = words.buffer_of(pa.array([text], pa.large_string()))
+    starts, ends = words.word_bounds(data, offsets)
+    whole = words.word_hashes(data, starts, ends)
+    assert whole[2] == whole[3] and len(set(whole.tolist())) == len(whole) - 1
+    monkeypatch.setattr(words, "BLOCK", 700)  # long words in parts
+    assert (words.word_hashes(data, starts, ends) == whole).all()
