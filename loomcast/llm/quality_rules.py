@@ -1,13 +1,14 @@
 """Line-first cleaning of documents. DataFrame functions only.
 
 Every line is judged on its own: too many symbols or shouting punctuation, navigation (many separators, few
-words between them), boilerplate (fixed phrases of licences, cookies, scripts), and whether an earlier line
-is the same. Failing lines go; a document that loses too large a part of its word characters is rejected, as
+words between them), boilerplate (fixed phrases of licences, cookies, scripts: one for every 15 words at least, so
+that prose which names a cookie stays), and whether an earlier line is the same. Failing lines go; a document that loses too large a part of its word characters is rejected, as
 is one that fails the base rule (too few words, or too many words in repeated windows).
 
 Nulls and empties: a null text has no words and is rejected by the base rule, so is an empty text. Rows with
 equal ids are judged one by one. An empty table gives an empty result. Working columns have names that
-the input does not have, so extra columns cannot clash. Windows are compared by 64-bit hashes.
+the input does not have, so extra columns cannot clash. Windows are compared by 64-bit hashes. A very long text is
+one row's work and needs memory for its words.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class Rules:
     window: int = 8
     max_line_symbols: int = 40  # symbols per 100 words of a line
     max_line_shouts: int = 40  # words that end in !! or ??, per 100 words of a line
+    boilerplate_words: int = 15  # a line of at most so many words per phrase in it is boilerplate
     min_separators: int = 3  # of a navigation line, and one for at most four words
     max_lost: int = 60  # word characters of failed lines, per 100 of all lines
 
@@ -62,7 +64,7 @@ def _line_fails(line: Column, rules: Rules) -> Column:
     separators = sum((_count(line, p) for p in BULLETS[1:]), _count(line, BULLETS[0]))
     return (symbols * 100 > n * rules.max_line_symbols) | (shouts * 100 > n * rules.max_line_shouts) \
         | ((separators >= rules.min_separators) & (separators * 4 >= n)) \
-        | F.lower(line).rlike("|".join(BOILERPLATE))
+        | (F.regexp_count(F.lower(line), F.lit("|".join(BOILERPLATE))) * rules.boilerplate_words >= n)
 
 
 def _letters(text: Column) -> Column:

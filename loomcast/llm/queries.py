@@ -131,7 +131,7 @@ judged as (
       (length(regexp_replace(x, '[^#*$%&<>]', '', 'g')) * 100 > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * 40)
       or (len(regexp_extract_all(x, '[!?]{2}([\x20\x09-\x0D]|$)')) * 100 > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * 40)
       or (seps(x) >= 3 and seps(x) * 4 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
-      or regexp_matches(lower(x), 'all rights reserved|copyright|cookie|creative commons|javascript|licensed under|lorem ipsum|privacy policy|spdx-license-identifier|terms of service|terms of use'))) as clean
+      or len(regexp_extract_all(lower(x), 'all rights reserved|copyright|cookie|creative commons|javascript|licensed under|lorem ipsum|privacy policy|spdx-license-identifier|terms of service|terms of use')) * 15 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) as clean
   from w)
 select cast(j.doc_id as bigint) as doc_id, cast(len(words) as bigint) as n_words,
        cast(length(array_to_string(words, '')) as bigint) as word_chars,

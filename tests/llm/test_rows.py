@@ -266,3 +266,13 @@ def test_fresh_names(spark):
 
 def test_texts_as_large_strings():
     assert quality_classifier.figures(pa.array(["a b", None])).shape == (2, 9)
+
+
+def test_a_phrase_in_prose_fails_no_line(spark):
+    """A clean text of one line stays, whatever it names; a line that is little but phrases goes."""
+    line = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, line), (2, line + " she baked a cookie."), (3, line + " the javascript course. copyright law"),
+            (4, "\n".join(f"copyright {i} all rights reserved by somebody" for i in range(30)))]
+    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].kept for i in (1, 2, 3, 4)] == [True, True, True, False]
+    assert out[2].lost_chars == out[3].lost_chars == 0 and out[4].lost_chars == out[4].word_chars
