@@ -3,12 +3,14 @@
 Several heuristic labellers vote good, bad or nothing on every document; none looks at the table of labels.
 The vote patterns of all documents are counted (at most three to the number of labellers), and
 expectation-maximisation over these counts estimates how often each labeller is right in good documents and
-in each way of being bad, and with that the probability that a pattern belongs to a bad document. A sample of at most ``sample`` documents of either kind
-trains a linear scorer over hashed shape 4-grams, in groups whose weights are averaged; it scores all texts.
+in each way of being bad, and with that the probability that a pattern belongs to a bad document. At most ``sample``
+distinct texts of either kind, those of the smallest hashes, train a linear scorer over hashed shape 4-grams, in
+groups whose weights are averaged; it scores all texts. A text with many copies is one text of the sample.
 
 Nulls and empties: a text without words is rejected; one of fewer than five is judged by its votes alone. Rows with equal ids or texts are each scored, equally.
 An empty table gives an empty result; with no document of one kind the posterior of its votes decides.
-``kept_documents`` returns the input's columns, whatever their names.
+``kept_documents`` returns the input's columns, whatever their names. Texts are read in slices of a few megabytes; a very
+long text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ _SYMBOL, _STOP, _BAR, _UPPER = (np.isin(np.arange(256), list(x)) for x in
 
 @dataclass(frozen=True)
 class Fit:
-    sample: int = 4000  # documents of each kind that train the scorer
+    sample: int = 4000  # distinct texts of each kind that train the scorer
     groups: int = 8  # of the sample, trained apart and averaged
     epochs: int = 30
     rate: float = 0.5
@@ -166,16 +168,16 @@ def train(x: np.ndarray, y: np.ndarray, fit: Fit) -> np.ndarray:
 
 
 def vote_codes(docs: DataFrame) -> DataFrame:
-    """pattern (votes in base three) of rows with one column of text."""
+    """pattern (votes in base three) and key of rows (text, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 3 ** np.arange(len(LABELLERS))
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
                 code = votes(figures(batch.column(0).slice(lo, hi - lo))) @ power
-                yield pa.RecordBatch.from_arrays([pa.array(code)], ["pattern"])
+                yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(1).slice(lo, hi - lo)], ["pattern", "key"])
 
-    return docs.transform(shipped).mapInArrow(run, "pattern long")
+    return docs.transform(shipped).mapInArrow(run, "pattern long, key long")
 
 
 @dataclass(frozen=True)
@@ -205,38 +207,41 @@ class Model:
 def learn(docs: DataFrame, fit: Fit = Fit(), text_col: str = "text") -> Model:
     """Votes of all documents, EM over their patterns, and a scorer trained on the posterior of a bounded sample."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counted = vote_codes(texts).groupBy("pattern").count().collect()  # at most 3 ** labellers rows
     power = 3 ** np.arange(len(LABELLERS))
+    # equal texts have one vote pattern and are one text of the sample
+    coded = stored(vote_codes(texts.withColumn("key", F.xxhash64("text"))).groupBy("key", "pattern").agg(F.count(F.lit(1)).alias("n")))
+    counted = coded.groupBy("pattern").agg(F.sum("n")).collect()  # at most 3 ** labellers rows
     codes = np.array([r[0] for r in counted], np.int64)
     counts = np.array([r[1] for r in counted], np.int64)
     bad, rates = estimate(codes[:, None] // power % 3, counts, fit.prior_bad)
     posterior = dict(zip(codes.tolist(), bad.tolist()))
-    n_bad, n_good = int(counts[bad > 0.5].sum()), int(counts[bad <= 0.5].sum())
-    if not n_bad or not n_good:
+    if not (bad > 0.5).any() or not (bad <= 0.5).any():
         return Model(posterior, rates, None, fit.threshold)
-    part = {True: min(1.0, fit.sample / n_bad), False: min(1.0, fit.sample / n_good)}
+    sample: dict[int, float] = {}
+    for kind in (codes[bad > 0.5], codes[bad <= 0.5]):
+        # at most ``sample`` rows of each kind: the smallest hashes
+        for key, pattern in coded.filter(F.col("pattern").isin(kind.tolist())).select("key", "pattern") \
+                .orderBy(F.xxhash64("key"), "key").limit(fit.sample).collect():
+            sample[key] = posterior[pattern]
+    keys = docs.sparkSession.sparkContext.broadcast(np.array(sorted(sample), np.int64))  # at most twice the sample
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Features of the sample: texts whose hash is below the part of their kind."""
+        """Texts of the sample."""
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                own, key = batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).to_numpy()
-                p = np.array([posterior[int(c)] for c in votes(figures(own)) @ power])
-                take = np.flatnonzero(key.view(np.uint64) / 2.0 ** 64 < np.where(p > 0.5, part[True], part[False]))
-                if len(take):
-                    x = [np.asarray(f, np.float32).tobytes() for f in features(own.take(pa.array(take)))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[take] % fit.groups), pa.array(p[take]), pa.array(x, pa.binary())], ["grp", "y", "x"])
+            own = batch.column(1).to_numpy()
+            at = np.minimum(np.searchsorted(keys.value, own), len(keys.value) - 1)
+            yield batch.filter(pa.array(keys.value[at] == own))
 
     def weigh(table: pa.Table) -> pa.Table:
-        x = np.stack([np.frombuffer(b.as_buffer(), np.float32) for b in table.column("x").combine_chunks()])
-        y = table.column("y").to_numpy()
-        order = np.lexsort((x @ np.arange(x.shape[1]), y))  # the sum does not depend on the order rows arrive in
+        x = np.stack(list(features(table.column("text").combine_chunks()))).astype(np.float32)
+        y = np.array([sample[k] for k in table.column("key").to_pylist()])
+        order = np.lexsort((table.column("key").to_numpy(), y))  # the sum does not depend on the order rows arrive in
         w = train(x[order].astype(float), y[order], fit)
         return pa.table({"slot": pa.array(np.arange(len(w))), "w": pa.array(w)})
 
-    rows = texts.withColumn("key", F.xxhash64("text"))
-    trained = rows.transform(shipped).mapInArrow(drawn, "grp long, y double, x binary").groupBy("grp").applyInArrow(weigh, "slot long, w double") \
+    rows = texts.withColumn("key", F.xxhash64("text")).transform(shipped).mapInArrow(drawn, "text string, key long") \
+        .groupBy("key").agg(F.first("text").alias("text"))
+    trained = rows.withColumn("grp", F.pmod("key", F.lit(fit.groups))).groupBy("grp").applyInArrow(weigh, "slot long, w double") \
         .groupBy("slot").agg(F.avg("w")).collect()  # one row per feature
     weights = np.zeros(SLOTS + RELATIONS)
     for slot, w in trained:
