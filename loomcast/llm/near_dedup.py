@@ -18,10 +18,11 @@ Nulls and empties: a null or empty text, or one without words, has an empty set,
 kept. A row with a null id takes the component of its copies with an id and is then not kept; without such a
 copy its component is null and it is kept. Rows with equal ids and texts are alike; rows with equal ids and
 other texts are documents of their own: a class is known by its set's digest, never by an id. An empty table
-gives an empty result. Other columns are ignored.
+gives an empty result. Other columns are ignored. A very long text needs memory for its set of shingle hashes; its
+words are hashed in blocks. Words and shingles are compared by 64-bit hashes, sets of one class by 128 bits.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -231,23 +232,23 @@ def mark(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def _perhaps_in(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows whose mark may be a member's, by a bit table of fixed size: no member is lost, and with few members
-    hardly another row is left. Texts of the others then need not be shuffled for the exact join."""
+def perhaps_in(members: DataFrame) -> Callable[[Column], Column]:
+    """Whether a mark may be among the members', by a bit table of fixed size: no member is missed, and with few
+    members hardly another one is taken. Texts of the others then need not be shuffled for an exact join."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     parts = members.select((place("mark") + 1).alias("p")) \
         .groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     for k, bits in parts:
         table[(k - 1) * len(bits):k * len(bits)] = np.frombuffer(bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = members.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def perhaps(p: pd.Series) -> pd.Series:
-        at = p.fillna(0).to_numpy().astype(np.int64)
+        at = p.to_numpy().astype(np.int64)
         return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
 
-    return docs.filter(F.col("doc_id").isNotNull()).filter(perhaps(place("mark")))
+    return lambda mark: perhaps(place(mark))
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +274,9 @@ def verdicts(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_
     members = clusters.select("node", F.col("root").alias("cluster")) \
         .union(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     members = stored(members.join(classes.select("node", "low.mark"), "node"))
-    texts = _perhaps_in(docs, members).join(members, "mark").select("node", "cluster", "text")
+    # rows that repeat an id and a text have one mark, and give their text once
+    named = docs.transform(shipped).filter(F.col("doc_id").isNotNull()).filter(perhaps_in(members)("mark"))
+    texts = named.groupBy("mark").agg(F.first("text").alias("text")).join(members, "mark").select("node", "cluster", "text")
     sets = stored(sets_of(texts, near))
     found = components(verified_links(sets, near))
     # stored, so that the last joins have plain exchanges on both sides and a class of many copies can be split
