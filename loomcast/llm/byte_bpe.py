@@ -1,4 +1,4 @@
-"""Byte-level BPE by ranks, with Spark's higher-order functions only.
+"""Byte-level BPE by ranks: Spark's higher-order functions fold the merges over distinct words.
 
 A text is cut into pieces by the vocabulary's pattern. A piece is an array of its bytes' ids; ``aggregate`` folds the
 merges over it: every step joins the leftmost pair of lowest rank and looks up the two new neighbours, until no pair
@@ -7,11 +7,12 @@ indexed by a remainder of the pair, as a plain map would be searched entry by en
 than ``LONG`` bytes joins all pairs of the lowest rank from the left, unless that would make a pair of a still lower
 rank at any point: then it joins the leftmost pair only. Both ways give the same tokens.
 
-All pieces of the table are counted, and the ``remembered`` most frequent ones of at most ``LONG`` bytes are encoded
-once, as a table of distinct words; with the tokens themselves they become a second literal of that bounded size. A
-rarer piece is folded where it stands. Which pieces are remembered changes no result.
+All pieces of the table are counted, and the ``remembered`` most frequent ones of at most ``LONG`` bytes are folded
+once, as a table of distinct words of bounded size that every worker holds. A document's other pieces, each once, are
+folded where the document is. Which pieces are remembered changes no result. Arrow tasks only put the ids of known
+pieces in their places; no document and no word list is shuffled.
 
-Decoding turns ids into the tokens' bytes and concatenates them.
+Decoding concatenates the tokens' bytes.
 
 Nulls and empties: a null or empty text has no ids and decodes to nothing. Rows with equal or null ids are
 encoded one by one; an empty table gives an empty result; other columns are ignored. A very long text needs
@@ -22,19 +23,25 @@ ranks that occur in it.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
-import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loomcast.llm.bpe import spread
 from loomcast.llm.storage import partitions
+from loomcast.shipping import shipped
 
 LONG = 64  # bytes of a piece
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -45,28 +52,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
 
 
-def table_of(entries: dict[str, list[int]], buckets: int = 1 << 16) -> Column:
-    """A literal map from strings to ids, as an array of maps by the CRC-32 of the key."""
-    parts: list[dict] = [{} for _ in range(buckets)]
-    for key, value in entries.items():
-        parts[zlib.crc32(key.encode()) % buckets][key] = value
-    return F.from_json(F.lit(json.dumps(parts)), "array<map<string,array<int>>>")
-
-
-def found(table: Column, key: Column, buckets: int = 1 << 16) -> Column:
-    """The entry of a key in a table made by ``table_of``, else NULL."""
-    return F.element_at(F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(buckets)).cast("int")), key)
-
-
-def whole_tokens(path: str) -> dict[str, list[int]]:
+def whole_tokens(path: str) -> dict[str, int]:
     """The tokens that a piece of text can be equal to."""
     out = {}
     for token, rank in load_ranks(path).items():
         try:
-            out[token.decode()] = [rank]
+            out[token.decode()] = rank
         except UnicodeDecodeError:
             pass
     return out
@@ -99,11 +93,9 @@ class Merges:
 
     def rank(self, a: Column, b: Column) -> Column:
         """Id of the token that a pair makes, else NULL."""
-        def entry(key: Column) -> Column:
-            return F.aggregate(F.get(self.table, (key % self.BUCKETS).cast("int")), F.lit(None).cast("int"), lambda v, e: F.when(
-                F.shiftright(e, 20) == key, e.bitwiseAND(F.lit(self.SPAN - 1)).cast("int")).otherwise(v))
-
-        return _let(a.cast("bigint") * F.lit(self.SPAN) + b, entry)
+        key = a.cast("bigint") * F.lit(self.SPAN) + b
+        return F.aggregate(F.get(self.table, (key % self.BUCKETS).cast("int")), F.lit(None).cast("int"), lambda v, e: F.when(
+            F.shiftright(e, 20) == key, e.bitwiseAND(F.lit(self.SPAN - 1)).cast("int")).otherwise(v))
 
     def ids(self, piece: Column) -> Column:
         """Ids of a piece that is no token itself."""
@@ -131,8 +123,8 @@ class Merges:
             rest = F.transform(F.filter(ids, lambda _, i: i != at), lambda x, i: F.when(i == at - 1, best).otherwise(x))
             # entry at-1 belonged to the pair that is joined and goes to the new id with its right neighbour
             near = F.transform(F.filter(ranks, lambda _, i: i != at), lambda r, i: F.when(
-                i == at - 1, self.rank(best, F.get(ids, at + 1))).when(
-                i == at - 2, self.rank(F.get(ids, at - 2), best)).otherwise(r))
+                i == at - 1, self.rank(best, F.get(ids, at + 1))).otherwise(F.when(
+                    i == at - 2, self.rank(F.get(ids, at - 2), best)).otherwise(r)))
             return F.struct(rest.alias("ids"), near.alias("ranks"))
 
         # positions count from 1
@@ -197,44 +189,186 @@ def pieces(spark: SparkSession, text: Column, pattern: str) -> Column:
         .otherwise(F.regexp_extract_all(text, F.lit(plain), F.lit(0)))
 
 
+def counted_pieces(cut: DataFrame) -> DataFrame:
+    """piece and n: how often each distinct piece of at most LONG bytes occurs; ``cut`` has arrays of pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _slices(batch.column(0)):
+                seen = batch.column(0).slice(lo, hi - lo).flatten().value_counts()
+                seen = seen.filter(pc.less_equal(pc.binary_length(seen.field("values")), LONG))
+                yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["piece", "n"])
+
+    return cut.select("pieces").transform(shipped).mapInArrow(run, "piece string, n long") \
+        .groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def _slices(lists: pa.ListArray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` pieces, at least one row each."""
+    total, i = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+    while i < len(lists):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
 def frequent_words(cut: DataFrame, path: str, most: int) -> DataFrame:
-    """piece and ids of the most frequent distinct pieces that are no tokens; ``cut`` has arrays of pieces."""
-    counted = cut.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")) \
-        .filter((F.octet_length("piece") <= LONG) & found(table_of(whole_tokens(path)), F.col("piece")).isNull())
-    top = counted.orderBy(F.desc("n"), "piece").limit(most).select("piece")
-    return top.repartition(partitions(cut.sparkSession)) \
-        .select("piece", Merges.bound(path, lambda merges: merges.ids(F.col("piece"))).alias("ids"))
+    """piece and ids of the most frequent distinct pieces that are no tokens."""
+    tokens = whole_tokens(path)
+    # more than are needed by the number of tokens, which are left out after the limit
+    top = counted_pieces(cut).orderBy(F.desc("n"), "piece").limit(most + len(tokens)).select("piece") \
+        .repartition(partitions(cut.sparkSession))
+    return _folded(top, path, F.array("piece")).select("piece", F.element_at("ids", 1).alias("ids"))
+
+
+def _folded(df: DataFrame, path: str, words: Column) -> DataFrame:
+    """``df`` with the ids of an array of words."""
+    return df.withColumn("ids", Merges.bound(path, lambda merges: F.transform(words, merges.ids)))
+
+
+class Words:
+    """Ids of known pieces, one after another."""
+
+    def __init__(self, tokens: dict[str, int], words: list[tuple[str, list[int]]]):
+        self.place = {piece: i for i, piece in enumerate(tokens)}
+        ids = [[i] for i in tokens.values()]
+        for piece, own in words:
+            if piece not in self.place:
+                self.place[piece] = len(ids)
+                ids.append(own)
+        self.size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.cumsum(self.size) - self.size
+        self.ids = np.fromiter((i for own in ids for i in own), np.int32, int(self.size.sum()))
+
+
+def known_ids(cut: DataFrame, words: Broadcast) -> DataFrame:
+    """doc_id, the ids of known pieces with -1, -2, ... for the first, second, ... unknown one, and the unknown pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        for batch in batches:
+            for lo, hi in _slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                lists = part.column(1)
+                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                coded = lists.flatten().dictionary_encode()
+                spelt, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                place = np.fromiter((known.place.get(p, -1) for p in spelt), np.int64, len(spelt))
+                start, size = np.where(place < 0, 0, known.start[place]), np.where(place < 0, 1, known.size[place])
+                flat = known.ids[spread(start[code], size[code])]
+                ends = np.cumsum(size[code])
+                odd = np.flatnonzero(place[code] < 0)
+                pair, where = np.unique(owner[odd] * max(1, len(spelt)) + code[odd], return_inverse=True)
+                doc = pair // max(1, len(spelt))
+                first = np.searchsorted(doc, np.arange(len(lists) + 1))
+                flat[ends[odd] - 1] = -1 - (where - first[doc[where]])
+                edge = np.concatenate([[0], ends])[np.searchsorted(owner, np.arange(len(lists) + 1))]
+                unknown = pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded.dictionary.take(pa.array(pair % max(1, len(spelt)))))
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(flat, edge), unknown], ["doc_id", "coded", "rare"])
+
+    return cut.transform(shipped).mapInArrow(run, "doc_id long, coded binary, rare array<string>")
+
+
+def _lists(flat: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Parts of an array of 32-bit numbers as bytes."""
+    data = np.ascontiguousarray(flat, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _whole(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of rows (doc_id, coded, ids of the unknown pieces), and where each row's begin."""
+    rows = part.num_rows
+    n = pc.binary_length(part.column(1)).to_numpy().astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(x.as_buffer() for x in part.column(1)), np.int32)
+    owner = np.repeat(np.arange(rows), n)
+    lists = part.column(2)
+    first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    inner = lists.flatten()
+    size = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    pool = np.concatenate([inner.flatten().to_numpy().astype(np.int32), flat])
+    odd = np.flatnonzero(flat < 0)
+    of = first[owner[odd]] - flat[odd] - 1
+    count, start = np.ones(len(flat), np.int64), np.arange(len(flat)) + int(size.sum())
+    count[odd], start[odd] = size[of], (np.cumsum(size) - size)[of]
+    total = np.concatenate([[0], np.cumsum(count)])
+    return pool[spread(start, count)], total[np.concatenate([[0], np.cumsum(n)])]
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, remembered: int) -> DataFrame:
+    """doc_id, coded and the ids of the unknown pieces."""
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                      pieces(docs.sparkSession, F.coalesce(F.col(text_col).cast("string"), F.lit("")), pattern).alias("pieces"))
+    words = Words(whole_tokens(path), [(r["piece"], r["ids"]) for r in frequent_words(cut, path, remembered).collect()])
+    coded = known_ids(cut, docs.sparkSession.sparkContext.broadcast(words))  # at most ``remembered`` short words and the tokens
+    return _folded(coded, path, F.col("rare")).select("doc_id", "coded", "ids")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            remembered: int = REMEMBERED) -> DataFrame:
     """doc_id and the text's ids as an array of integers."""
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                      pieces(docs.sparkSession, F.coalesce(F.col(text_col).cast("string"), F.lit("")), pattern).alias("pieces"))
-    words = {r["piece"]: r["ids"] for r in frequent_words(cut, path, remembered).collect()}
-    known = table_of({**whole_tokens(path), **words})
-    return cut.select("doc_id", _let(known, lambda table: Merges.bound(path, lambda merges: F.flatten(F.transform(
-        "pieces", lambda p: F.coalesce(found(table, p), merges.ids(p)))))).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _byte_slices(batch.column(1)):
+                ids, edge = _whole(batch.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(
+                    pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+
+    return _encoded(docs, path, pattern, id_col, text_col, remembered).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def _byte_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    total, i = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64)), 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+class Tokens:
+    """Bytes of all tokens, one after another."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of some ids."""
+        return self.data[spread(self.start[ids], self.size[ids])].tobytes()
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and the bytes of rows as ``encode`` gives them."""
-    ranks = load_ranks(path)
-    size = max(ranks.values()) + 1
-    tokens: list = [None] * size
-    for token, rank in ranks.items():
-        tokens[rank] = token.hex()
-    table = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
-    parts = F.transform("ids", lambda i: F.get(table, i))
-    return encoded.select("doc_id", F.unhex(F.array_join(parts, "")).alias("bytes"))
+    shared = encoded.sparkSession.sparkContext.broadcast(Tokens(load_ranks(path)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [None if not x.is_valid else shared.value.joined(x.values.to_numpy()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "bytes"])
+
+    return encoded.select("doc_id", "ids").transform(shipped).mapInArrow(run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                remembered: int = REMEMBERED) -> DataFrame:
-    """Digests of the ids and of the bytes decoded from them."""
-    ids = encode(docs, path, pattern, id_col, text_col, remembered)
-    with_bytes = decode(ids.select(F.struct("doc_id", "ids").alias("doc_id"), "ids"), path)
-    return with_bytes.select(
-        F.col("doc_id.doc_id").alias("doc_id"), F.size("doc_id.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("doc_id.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("bytes"), 256).alias("decoded_sha256"))
+    """Digests of the ids and of the bytes decoded from them, without moving either."""
+    shared = docs.sparkSession.sparkContext.broadcast(Tokens(load_ranks(path)))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _byte_slices(batch.column(1)):
+                ids, edge = _whole(batch.slice(lo, hi - lo))
+                of_ids, of_bytes = [], []
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    of_ids.append(hashlib.sha256(" ".join(map(str, ids[a:b].tolist())).encode()).hexdigest())
+                    of_bytes.append(hashlib.sha256(shared.value.joined(ids[a:b])).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(edge), pa.int64()),
+                                                  pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names)
+
+    return _encoded(docs, path, pattern, id_col, text_col, remembered) \
+        .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
