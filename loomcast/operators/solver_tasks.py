@@ -77,28 +77,45 @@ class _Samples:
         self.at = lags
         return self.s, self.rows + np.maximum(self.early - lags, 0)
 
-
-def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int, spec: dict):
-    """-> function(candidate, rows, steps) giving (forecasts (b, steps) of column 1, status (b,), sse (b,), rows (b,))."""
-    v, width, b = len(cols), lags + 1, part.num_rows
-    col = {name: part.column(i) for i, name in enumerate(part.schema.names)}
+    def own_scale(self, v, width):
+        """Mean and standard deviation (B, V) of all training values, and their number; 1 for a constant series."""
+        s, n = self.of(0)
+        at = 1 + width * np.arange(v)
+        mean = s[:, 0, at] / np.maximum(n, 1)[:, None]
+        square = s[:, at, at] / np.maximum(n, 1)[:, None]
+        sd = np.sqrt(np.maximum(square - mean * mean, 0.0))
+        return mean, np.where(sd > 1e-9 * (np.sqrt(square) + 1e-300), sd, 1.0), n
+
+
+def _samples(col: dict, v: int, width: int, b: int):
+    """Samples of a batch of lag products, its gaps, and the lags at the ends of the training sets."""
     rows = col["rows"].to_numpy(zero_copy_only=False).astype(float)
     early = col["early"].to_numpy(zero_copy_only=False)
     gaps = col["gaps"].to_numpy(zero_copy_only=False)
     head = _matrix(col["head"], v * width).reshape(b, v, width)
     tail = _matrix(col["tail"], v * width).reshape(b, v, width)
+    common = sv.normal_matrix(rows, _matrix(col["s"], v), _matrix(col["c"], v * v * width).reshape(b, v, v, width), head, tail)
+    common[rows == 0] = 0.0  # no row has all lags: the edges say nothing
+    return _Samples(common, rows, early, head), gaps, tail
+
+
+def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int, spec: dict):
+    """-> function(candidate, rows, steps) giving (forecasts (b, steps) of column 1, status (b,), sse (b,), rows (b,))."""
+    v, width, b = len(cols), lags + 1, part.num_rows
+    col = {name: part.column(i) for i, name in enumerate(part.schema.names)}
+    samples, gaps, tail = _samples(col, v, width, b)
     start = unknown = None
     if "state" in col:
         start = _matrix(col["state"], v * width).reshape(b, v, width)
         unknown = np.isnan(_raw(col["state"], v * width)).reshape(b, v, width)
     mu = _matrix(col["mu"], v)
-    common = sv.normal_matrix(rows, _matrix(col["s"], v), _matrix(col["c"], v * v * width).reshape(b, v, v, width), head, tail)
-    common[rows == 0] = 0.0  # no row has all lags: the edges say nothing
-    samples = _Samples(common, rows, early, head)
     future = None
     if exog:
         future = [_ragged(col[f"actual_{c}"]) - mu[:, i, None] for i, c in enumerate(cols) if i >= v - exog]
     starts = col["h"].to_numpy(zero_copy_only=False)
+    if spec["kind"] == "pooled":
+        return _pooled_forecaster(samples, gaps, tail if start is None else start, mu, unknown, starts,
+                                  col["fold"].to_numpy(zero_copy_only=False), spec)
     ready: dict = {}
 
     def prepare(cand):
@@ -143,6 +160,70 @@ def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int,
     return run
 
 
+def _pooled_forecaster(samples, gaps, state, mu, unknown, starts, fold, spec):
+    """Like ``_forecaster`` for a model that all series share: ``spec['pooled']`` has its sums by lags and fold."""
+    b, v, width = state.shape
+    mean, sd, known = samples.own_scale(v, width)
+    scaled = (state - mean[:, :, None]) / sd[:, :, None]
+    n_out = spec["n_out"]
+
+    def run(cand, pick, steps):
+        n_in, fitted = cand["n_in"], {}
+        yhat, params, used = np.full((len(pick), steps), np.nan), 1 + v * cand["n_in"], np.zeros(len(pick))
+        for f in np.unique(fold[pick]):
+            of = np.flatnonzero(fold[pick] == f)
+            pooled, rows = spec["pooled"].get((lags_of(cand, spec), int(f)), (None, 0.0))
+            used[of] = rows
+            if rows > params:
+                if f not in fitted:
+                    fitted[f] = sv.window_fit(pooled[None], v, width, n_in, n_out, cand["ridge"])[:2]
+                const, weights = (np.repeat(x, len(of), axis=0) for x in fitted[f])
+                at = pick[of]
+                out = sv.window_forecast(const, weights, scaled[at][:, :, :n_in], n_out, steps, starts[at])
+                yhat[of] = out[:, 0] * sd[at, :1] + mean[at, :1] + mu[at, :1]
+        missing = gaps[pick] > 0
+        if unknown is not None:
+            missing = missing | unknown[pick][:, :, :n_in].any(axis=(1, 2))
+        status = np.where(missing, sv.GAPS, np.where((used <= params) | (known[pick] < n_in), sv.SHORT, sv.OK))
+        return yhat, status, np.full(len(pick), np.nan), used
+
+    return run
+
+
+def pool_task(cols, lags, spec, candidates):
+    """Sums of the standardised normal matrices of a task's training sets: (lags, fold, pos, value), pos 0 the rows."""
+    v, width = len(cols), lags + 1
+    needs = sorted({lags_of(c, spec) for c in candidates}, reverse=True)
+
+    def run(batches):
+        total: dict = {}
+        for batch in batches:
+            for part in _slices(batch, _width(cols, lags), 0):
+                col = {name: part.column(i) for i, name in enumerate(part.schema.names)}
+                samples, gaps, _ = _samples(col, v, width, part.num_rows)
+                fold = col["fold"].to_numpy(zero_copy_only=False)
+                mean, sd, _ = samples.own_scale(v, width)
+                move = np.zeros((part.num_rows, v * width + 1, v * width + 1))
+                move[:, 0, 0] = 1.0
+                at = np.arange(1, v * width + 1)
+                move[:, at, at] = 1.0 / np.repeat(sd, width, axis=1)
+                move[:, at, 0] = -np.repeat(mean / sd, width, axis=1)
+                for need in needs:
+                    s, used = samples.of(need)
+                    for f in np.unique(fold):
+                        take = np.flatnonzero((fold == f) & (gaps == 0) & (used > 0))
+                        if len(take):
+                            own = (move[take] @ s[take] @ np.swapaxes(move[take], 1, 2)).sum(axis=0)
+                            flat = np.concatenate([[used[take].sum()], own.ravel()])
+                            total[need, int(f)] = total.get((need, int(f)), 0.0) + flat
+        for (need, f), flat in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(flat), need), pa.int32()), pa.array(np.full(len(flat), f), pa.int32()),
+                 pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat, pa.float64())], names=["lags", "fold", "pos", "value"])
+
+    return run
+
+
 def _width(cols, lags):
     return len(cols) * (lags + 1) + 1
 
@@ -348,6 +429,50 @@ class GridSearch:
         return self._paths(self._parts(rows.withColumn("state", shifted).drop("_e"), steps).drop("n"))
 
 
+class PooledSearch(GridSearch):
+    """Window models that all series of a panel share: one normal matrix per fold.
+
+    Every series is standardised by the mean and deviation of its own training rows, so large series do not drown
+    small ones and no test value is used. The matrices are added up in the tasks and then by Spark; the driver gets
+    one per fold and window length, whatever the number of series. A series too short to be fitted alone is forecast
+    as soon as it has the inputs of one window. Folds are counted per series: give the panel common bounds if
+    no series may train on periods that another is tested on. A series with missing values has status ``gaps``
+    and no part in the sums.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], cols: Sequence[str], candidates: list[dict], n_out: int,
+                 k: int, min_train: int = 0, *, size: int = CHUNK, horizon: int = HORIZON):
+        spec = {"kind": "pooled", "n_out": n_out}
+        super().__init__(df, keys, cols, candidates, spec, k, min_train, size=size, horizon=horizon)
+        self.min_train = min_train
+
+    def pooled(self, whole: bool = False) -> dict:
+        """{(lags, fold): (normal matrix, rows)}: all training sets of a fold, or of all values as fold k."""
+        sums = lag_products(self.df, self.keys, self.cols, self.lags, self.k, self.min_train, size=self.size, whole=whole)
+        parts = _spread(sums, *self.keys, "fold").transform(shipped).mapInArrow(
+            pool_task(self.cols, self.lags, self.spec, self.candidates), "lags int, fold int, pos int, value double")
+        z = _width(self.cols, self.lags)
+        flat: dict = {}
+        # folds x window lengths x z^2 numbers
+        for row in parts.groupBy("lags", "fold", "pos").agg(F.sum("value").alias("value")).collect():
+            flat.setdefault((row["lags"], row["fold"]), np.zeros(1 + z * z))[row["pos"]] = row["value"]
+        return {at: (x[1:].reshape(z, z), float(x[0])) for at, x in flat.items()}
+
+    def _args(self):
+        if "pooled" not in self.spec:
+            self.spec = {**self.spec, "pooled": self.pooled()}
+        return super()._args()
+
+    def future(self, chosen: DataFrame, steps: int, known: DataFrame | None = None) -> DataFrame:
+        """Forecasts beyond the end of every series by the model fitted on all values of all series."""
+        own = self.spec
+        try:
+            self.spec = {**own, "pooled": self.pooled(whole=True)}
+            return super().future(chosen, steps, known)
+        finally:
+            self.spec = own
+
+
 def arma_grid(p, d, q, sp=(0,), sd=(0,), sq=(0,), m: int = 1) -> list[dict]:
     """Candidates in the order of nested loops; sp, sd, sq are the seasonal orders."""
     return [dict(p=a, d=b, q=c, sp=e, sd=f, sq=g, m=m)

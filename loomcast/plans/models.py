@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomcast.operators import diagnostics as dg, scoring as so, slices, trend as tr
 from loomcast.operators.folds import test_rows
-from loomcast.operators.solver_tasks import GridSearch, arma_grid, with_candidate_parameters
+from loomcast.operators.solver_tasks import GridSearch, PooledSearch, arma_grid, with_candidate_parameters
 from loomcast.plans import panels as P
 from loomcast.plans.panels import r, rnd
 from loomcast.plans.registry import query
@@ -236,6 +236,79 @@ def fc12_one(spark, sf):
     return search.fold_scores().select("series_id", "fold", rnd("mae", 4).alias("mae"))
 
 
+_TWO = ("(var_pop({u}) * covar_pop({v}, {y}) - covar_pop({u}, {v}) * covar_pop({u}, {y})) "
+        "/ (var_pop({u}) * var_pop({v}) - power(covar_pop({u}, {v}), 2))")
+
+_POOLED_Z = ("m AS (SELECT series_id, fold, {moments} FROM train GROUP BY 1, 2), "
+             "z AS (SELECT series_id, fold, idx, {values} FROM train JOIN m USING (series_id, fold) WINDOW w AS (PARTITION BY series_id, fold ORDER BY idx))")
+
+
+@query("fc12_pooled_window_one_step",
+       f"WITH {folds_sql(P.F2, 5, 20)}, "
+       + _POOLED_Z.format(moments="avg(y) AS my, stddev_pop(y) AS sy", values="(y - my) / sy AS z, lag((y - my) / sy) OVER w AS x")
+       + ", f AS (SELECT fold, regr_slope(z, x) AS b, regr_intercept(z, x) AS a FROM z GROUP BY 1), "
+       "e AS (SELECT series_id, fold, max_by(z, idx) AS z0 FROM z GROUP BY 1, 2) "
+       "SELECT t.series_id, t.fold, "
+       f"{r('avg(abs(y - my - sy * (a * (1 - power(b, h + 1)) / (1 - b) + power(b, h + 1) * z0)))', 2)} AS mae "
+       "FROM test t JOIN m USING (series_id, fold) JOIN f USING (fold) JOIN e USING (series_id, fold) GROUP BY 1, 2")
+def fc12_pooled_one(spark, sf):
+    """One value in, one out, one map for all series: a regression over the standardised pairs of all of them."""
+    search = PooledSearch(P.lineitem_monthly(spark, sf), K, ["y"], [dict(n_in=1, ridge=0.0)], 1, 5, 20)
+    return search.fold_scores().select("series_id", "fold", rnd("mae", 2).alias("mae"))
+
+
+@query("fc12_pooled_window_wide_panel")
+def fc12_pooled_wide(spark, sf):
+    """One map from 6, 12 or 24 months to the next 4 for all part series."""
+    grid = [dict(n_in=n, ridge=x) for n in (6, 12, 24) for x in (0.0, 0.01, 0.1)]
+    return _best(PooledSearch(P.parts_monthly(spark, sf), K, ["y"], grid, 4, 5, 24), 4)
+
+
+@query("fc12_pooled_window_future")
+def fc12_pooled_future(spark, sf):
+    """The next 12 hours of every event type, by one map fitted on all types."""
+    search = PooledSearch(P.events_hourly(spark, sf), K, ["y"], [dict(n_in=24, ridge=0.01)], 12, 9, 200)
+    chosen = search.df.select("series_id").distinct().withColumn("candidate", F.lit(0))
+    return search.future(chosen, 12).select("series_id", "h", rnd("yhat", 4).alias("yhat"))
+
+
+def _pair_step_sql(by: str) -> str:
+    """First step of a map from one row of (y, x) to the next, fitted over rows grouped by ``by``."""
+    return (f"WITH {folds_sql(P.F4, 5, 20)}, "
+            + _POOLED_Z.format(moments="avg(y) AS my, stddev_pop(y) AS sy, avg(x) AS mx, stddev_pop(x) AS sx",
+                               values="(y - my) / sy AS y, (x - mx) / sx AS x, lag((y - my) / sy) OVER w AS u, lag((x - mx) / sx) OVER w AS v")
+            + f", f AS (SELECT {by}, {_TWO.format(u='v', v='u', y='y')} AS a, {_TWO.format(u='u', v='v', y='y')} AS b, "
+            f"avg(y) AS ay, avg(u) AS au, avg(v) AS av FROM z WHERE u IS NOT NULL GROUP BY {by}), "
+            "e AS (SELECT series_id, fold, max_by(y, idx) AS y0, max_by(x, idx) AS x0 FROM z GROUP BY 1, 2) "
+            f"SELECT e.series_id, e.fold, {r('my + sy * (ay + a * (y0 - au) + b * (x0 - av))', 1)} AS yhat "
+            f"FROM e JOIN m USING (series_id, fold) JOIN f USING ({by})")
+
+
+def _pair_step(search):
+    chosen = search.df.select("series_id").distinct().withColumn("candidate", F.lit(0))
+    return search.forecasts(chosen).filter("h = 0").select("series_id", "fold", rnd("yhat", 1).alias("yhat"))
+
+
+@query("fc13_one_row_window", _pair_step_sql("series_id, fold"))
+def fc13_one(spark, sf):
+    """One row of two variables in, one out, per series."""
+    return _pair_step(GridSearch(P.orders_monthly_pair(spark, sf), K, ["y", "x"], [dict(n_in=1, ridge=0.0)], {"kind": "window", "n_out": 1}, 5, 20))
+
+
+@query("fc13_pooled_one_row_window", _pair_step_sql("fold"))
+def fc13_pooled_one(spark, sf):
+    """One row of two variables in, one out, one map for all series."""
+    return _pair_step(PooledSearch(P.orders_monthly_pair(spark, sf), K, ["y", "x"], [dict(n_in=1, ridge=0.0)], 1, 5, 20))
+
+
+@query("fc13_pooled_multivariate_window")
+def fc13_pooled(spark, sf):
+    """4 rows of three variables in, 4 rows out, one map for all series."""
+    df = P.orders_monthly_pair(spark, sf).withColumn("z", F.col("y") + F.col("x"))
+    grid = [dict(n_in=n, ridge=x) for n in (2, 4) for x in (0.001, 0.01, 0.1, 1.0)]
+    return _best(PooledSearch(df, K, ["y", "x", "z"], grid, 4, 5, 20))
+
+
 @query("fc16_simple_smoothing_two_regressions",
        f"WITH {folds_sql(P.F2, 5, 20)}, "
        "d AS (SELECT *, y - lag(y) OVER w AS z, lag(y) OVER w - lag(y, 2) OVER w AS z1, lag(y, 2) OVER w - lag(y, 3) OVER w AS z2 "
@@ -252,10 +325,6 @@ def fc16_two(spark, sf):
     return search.fold_scores().select("series_id", "fold", rnd("mae", 2).alias("mae"))
 
 
-_TWO = ("(var_pop({u}) * covar_pop({v}, {y}) - covar_pop({u}, {v}) * covar_pop({u}, {y})) "
-        "/ (var_pop({u}) * var_pop({v}) - power(covar_pop({u}, {v}), 2))")
-
-
 @query("fc6_vector_one_step",
        f"WITH {folds_sql(P.F4, 5, 20)}, l AS (SELECT *, lag(y) OVER w AS u, lag(x) OVER w AS v FROM train "
        "WINDOW w AS (PARTITION BY series_id, fold ORDER BY idx)), "
