@@ -1,6 +1,8 @@
 """A corpus from raw documents to packed sequences: each stage's rows are written and read by the next.
 
-Every stage but the last returns the columns of ``documents`` and only drops rows: texts stay as they are.
+Every stage but the last returns the columns of ``documents`` and only drops rows: texts stay as they are. What the
+stages do with nulls, empty and very long texts, ties, repeated rows, empty tables and other columns is said in their
+operators' modules; near_dedup adds what is said at its function.
 """
 
 from __future__ import annotations
@@ -28,15 +30,16 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null id counts as one above all others, the same for equal texts. Rows with equal ids and other texts are
     documents of their own, of which any may stay. Of rows that repeat the id and the text that stay, one stays.
     """
-    own, key, n, mark = fresh(docs, "_own"), fresh(docs, "_key"), fresh(docs, "_rows"), fresh(docs, "_mark")
+    own, mark, key = fresh(docs, "_own"), fresh(docs, "_mark"), fresh(docs, "_key")
     above = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    docs_with = docs.withColumn(own, F.coalesce(F.col("doc_id"), above))
-    verdicts = near_dedup.verdicts(docs_with, near_dedup.Near(), id_col=own)
-    kept = verdicts.filter("chosen").groupBy(F.col("mark").alias(key)).agg(F.count(F.lit(1)).alias(n))
-    # the rows that stay grow with the documents: never broadcast
-    rows = docs_with.withColumn(mark, near_dedup.mark(own, "text")).join(stored(kept).hint("merge"), F.col(mark) == F.col(key))
-    return rows.filter(F.col(n) == 1).select(docs.columns) \
-        .union(rows.filter(F.col(n) > 1).dropDuplicates([mark]).select(docs.columns))
+    rows = docs.withColumn(own, F.coalesce(F.col("doc_id"), above)).withColumn(mark, near_dedup.mark(own, "text"))
+    verdicts = near_dedup.verdicts(rows, near_dedup.Near(), id_col=own)
+    marks = stored(verdicts.groupBy("mark").agg(F.max("chosen").alias("chosen"), F.count(F.lit(1)).alias("n")))
+    # rows that surely neither go nor repeat another one stay where they are; only the others' texts are shuffled
+    unsure = near_dedup.perhaps_in(marks.filter("not chosen or n > 1"))(F.col(mark))
+    winners = marks.filter("chosen").select(F.col("mark").alias(key)).hint("merge")  # grows with the documents: no broadcast
+    settled = rows.filter(unsure).join(winners, F.col(mark) == F.col(key)).dropDuplicates([mark, own, "text"])
+    return rows.filter(~unsure).select(docs.columns).union(settled.select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
