@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomcast.functions import errors
 from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix, with_blocks
 from loomcast.operators.lag_products import centred
+from loomcast.operators.scoring import MODELS
 from loomcast.operators.split import CHUNK, windowed
 
-MODELS = ["mean", "random_walk", "drift", "seasonal_naive", "ar1"]
 
 
 def slope_intercept(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tuple[Column, Column]:

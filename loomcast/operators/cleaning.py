@@ -30,8 +30,26 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name:
     return df.unpivot(list(ids), list(values), name, value)
 
 
-def long_to_wide(df: DataFrame, row: Sequence[str], column: str, names: Sequence, value: str) -> DataFrame:
-    return df.groupBy(*row).pivot(column, list(names)).agg(F.first(value, ignorenulls=True))
+def long_to_wide(df: DataFrame, row: Sequence[str], column: str, names: Sequence, value: str, other: str | None = None) -> DataFrame:
+    """One column per name, in one aggregation. A cell with two values is an error; ``other`` sums what has no column."""
+    def cell(name) -> Column:
+        own = F.when(F.col(column) == F.lit(name), F.col(value))
+        two = F.raise_error(F.concat(F.lit(f"two values of {column} = "), F.lit(str(name)).cast("string")))
+        return F.when(F.count(own) > 1, two.cast(df.schema[value].dataType)).otherwise(F.max(own)).alias(str(name))
+
+    cells = [cell(n) for n in names]
+    if other is not None:
+        known = F.coalesce(F.col(column).isin(list(names)), F.lit(False))
+        cells.append(F.sum(F.when(~known, F.col(value))).alias(other))
+    return df.groupBy(*row).agg(*cells)
+
+
+def column_values(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The sorted distinct values that become columns of a wide table; more than ``most`` are an error, not a cut."""
+    found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column} for a wide table")
+    return sorted(found)
 
 
 def column_means(df: DataFrame, columns: Sequence[str], name: str = "column", value: str = "mean") -> DataFrame:
@@ -45,8 +63,16 @@ def attach_series(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def attach_dimension(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Equi join with a dimension; Spark broadcasts it only while its measured size allows."""
-    return df.join(dim, key, "inner")
+    """Equi join with a dimension; Spark broadcasts it only while its measured size allows.
+
+    A row without an entry keeps its place, with NULL in the dimension's columns.
+    """
+    return df.join(dim, key, "left")
+
+
+def members(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in the dimension: a membership filter, as a step of its own."""
+    return df.join(dim.select(key), key, "left_semi")
 
 
 def append_rows(df: DataFrame, extra: DataFrame) -> DataFrame:

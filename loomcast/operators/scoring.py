@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomcast.functions import errors
 
+# the closed forms, numbered in this order
+MODELS = ["mean", "random_walk", "drift", "seasonal_naive", "ar1"]
+
 
 def pair(pred: DataFrame, actual: DataFrame, keys: Sequence[str], on: Sequence[str] = ("idx",)) -> DataFrame:
     """Forecasts next to actual values by key."""
@@ -24,11 +27,11 @@ def fold_scores(pairs: DataFrame, by: Sequence[str], y: str = "y", yhat: str = "
 
 
 def candidate_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean over folds and score of the last fold; a fold without score voids the mean."""
+    """Mean over folds and score of the last fold; a fold without score voids the mean, so does a series without folds."""
     return scores.groupBy(*by).agg(
         F.when(F.count("mae") == F.count(F.lit(1)), F.avg("mae")).alias("mean_mae"),
         F.max_by("mae", "fold").alias("last_mae"),
-        F.count(F.lit(1)).alias("folds"),
+        F.count("fold").alias("folds"),
     )
 
 
@@ -49,6 +52,22 @@ def selection_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
         "holdout_mae", "folds")
 
 
+def without_folds(df: DataFrame, keys: Sequence[str], k: int, min_train: int) -> DataFrame:
+    """Keys of the series of which no fold trains on more than ``min_train`` rows, also for want of periods."""
+    block = F.floor(F.col("n") / (k + 1))
+    return df.filter((F.col("idx") == 0) & ((block == 0) | (F.col("n") - block <= min_train))).select(*keys)
+
+
+def with_short(scores: DataFrame, df: DataFrame, keys: Sequence[str], k: int, min_train: int) -> DataFrame:
+    """Fold scores with a row per candidate, without fold and score, for every series that has no fold."""
+    few = without_folds(df, keys, k, min_train)
+    names = [c for c in scores.columns if c not in (*keys, "fold", "mae")]
+    models = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(m).alias("model")) for i, m in enumerate(MODELS)])
+    rows = few.select(*keys, F.inline(models))
+    return scores.unionByName(rows.select(
+        *keys, *names, F.lit(None).cast(scores.schema["fold"].dataType).alias("fold"), F.lit(None).cast("double").alias("mae")))
+
+
 def best_candidate(scores: DataFrame, keys: Sequence[str], candidate: str = "candidate") -> DataFrame:
     """Lowest mean MAE, missing scores last, the first candidate wins a tie; NULL when all failed.
 
@@ -61,7 +80,7 @@ def best_candidate(scores: DataFrame, keys: Sequence[str], candidate: str = "can
     return out.withColumn(candidate, F.when(F.col("mean_mae").isNotNull(), F.col(candidate)))
 
 
-def result_table(models: dict[str, DataFrame], digits: int = 3) -> DataFrame:
+def result_table(models: dict[str, DataFrame], digits: int = 3, second_digits: int = 3) -> DataFrame:
     """One row per model (and series): mean MAE, seconds, last MAE, rounded.
 
     ``models`` maps a label to a frame with mean_mae, last_mae and optionally seconds.
@@ -73,7 +92,7 @@ def result_table(models: dict[str, DataFrame], digits: int = 3) -> DataFrame:
         part = df.select(
             *keys, F.lit(label).alias("model"),
             F.round("mean_mae", digits).alias("mean_mae"),
-            F.round(seconds, digits).alias("seconds"),
+            F.round(seconds, second_digits).alias("seconds"),
             F.round("last_mae", digits).alias("last_mae"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -7,6 +7,7 @@ Spark has summed the data down to it. Batches are solved with stacked linear alg
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomcast.operators import solvers as sv
+from loomcast.operators import scoring as so, solvers as sv
 from loomcast.operators.lag_products import HORIZON, lag_products, solver_rows
 from loomcast.operators.split import CHUNK
 from loomcast.shipping import shipped
@@ -229,7 +230,10 @@ def _width(cols, lags):
 
 
 def score_task(keys, cols, lags, exog, spec, candidates):
-    """Sum of absolute errors of every candidate: abs_err and status arrays in candidate order."""
+    """Sum of absolute errors of every candidate, its status and its row's share of the seconds, in candidate order.
+
+    Work that candidates share (their common sample) counts for the first of them.
+    """
     order = by_sample(candidates, spec)
 
     def run(batches):
@@ -241,22 +245,26 @@ def score_task(keys, cols, lags, exog, spec, candidates):
                 known = ~np.isnan(target)
                 err = np.full((part.num_rows, len(candidates)), np.nan)
                 state = np.zeros((part.num_rows, len(candidates)), dtype=np.int32)
+                spent = np.zeros(len(candidates))
                 everything = np.arange(part.num_rows)
                 for no in order:
+                    begin = time.perf_counter()
                     with np.errstate(all="ignore"):
                         yhat, status, _, _ = predict(candidates[no], everything, target.shape[1])
                         gap = np.where(known, np.abs(target - yhat), 0.0).sum(axis=1)
                     status = np.where((status == sv.OK) & ~np.isfinite(gap), sv.UNSTABLE, status)
                     err[:, no] = np.where(status == sv.OK, gap, np.nan)
                     state[:, no] = status
+                    spent[no] = (time.perf_counter() - begin) / part.num_rows
                 keep = [part.column(part.schema.get_field_index(c)) for c in [*keys, "fold"]]
                 offsets = pa.array(np.arange(part.num_rows + 1) * len(candidates), pa.int32())
                 flat = err.ravel()
                 yield pa.RecordBatch.from_arrays(
                     [*keep, pa.array(known.sum(axis=1), pa.int64()),
                      pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64(), mask=np.isnan(flat))),
-                     pa.ListArray.from_arrays(offsets, pa.array(state.ravel(), pa.int32()))],
-                    names=[*keys, "fold", "steps", "abs_err", "status"])
+                     pa.ListArray.from_arrays(offsets, pa.array(state.ravel(), pa.int32())),
+                     pa.ListArray.from_arrays(offsets, pa.array(np.tile(spent, part.num_rows), pa.float64()))],
+                    names=[*keys, "fold", "steps", "abs_err", "status", "seconds"])
 
     return run
 
@@ -322,37 +330,38 @@ class GridSearch:
         self.lags = max(1, max(lags_of(c, spec) for c in candidates))
         if spec["kind"] != "arma":
             horizon = max(horizon - horizon % spec["n_out"], spec["n_out"])
-        self.df, self.k, self.size, self.horizon = df, k, size, horizon
+        self.df, self.k, self.min_train, self.size, self.horizon = df, k, min_train, size, horizon
         self.rows = solver_rows(df, keys, cols, self.lags, k, min_train, size=size, horizon=horizon)
         self._ddl = _key_ddl(df, keys)
 
     def _args(self):
         return self.keys, self.cols, self.lags, self.exog, self.spec, self.candidates
 
-    def fold_scores(self) -> DataFrame:
-        """(keys, candidate, fold, mae, status) - a failed candidate has NULL and a reason."""
+    def fold_scores(self, timed: bool = False) -> DataFrame:
+        """(keys, candidate, fold, mae, status) - a failed candidate has NULL and a reason; ``timed`` adds its seconds."""
         raw = _spread(self.rows, *self.keys, "fold", "h").transform(shipped).mapInArrow(
             score_task(*self._args()),
-            f"{self._ddl}, fold int, steps bigint, abs_err array<double>, status array<int>")
-        flat = raw.select(*self.keys, "fold", "steps", F.posexplode(F.arrays_zip("abs_err", "status")).alias("candidate", "z"))
+            f"{self._ddl}, fold int, steps bigint, abs_err array<double>, status array<int>, seconds array<double>")
+        flat = raw.select(*self.keys, "fold", "steps", F.posexplode(F.arrays_zip("abs_err", "status", "seconds")).alias("candidate", "z"))
         names = F.array(*[F.lit(x) for x in sv.STATUS])
         out = flat.groupBy(*self.keys, "candidate", "fold").agg(
             F.sum("z.abs_err").alias("_e"), F.count("z.abs_err").alias("_c"), F.count(F.lit(1)).alias("_m"),
-            F.sum("steps").alias("_n"), F.max("z.status").alias("_s"))
+            F.sum("steps").alias("_n"), F.max("z.status").alias("_s"), F.sum("z.seconds").alias("seconds"))
         scored = out.select(
             *self.keys, "candidate", "fold",
             F.when((F.col("_c") == F.col("_m")) & (F.col("_n") > 0), F.col("_e") / F.col("_n")).alias("mae"),
-            F.get(names, F.col("_s")).alias("status"))
-        # a series of fewer periods than folds has one row per candidate without a fold
-        few = self.df.filter((F.col("idx") == 0) & (F.col("n") <= self.k)).select(
+            F.get(names, F.col("_s")).alias("status"), *(["seconds"] if timed else []))
+        # a series without a fold that has more than ``min_train`` rows has one row per candidate
+        few = so.without_folds(self.df, self.keys, self.k, self.min_train).select(
             *self.keys, F.explode(F.sequence(F.lit(0), F.lit(len(self.candidates) - 1))).alias("candidate"))
         return scored.unionByName(few.select(
             *self.keys, "candidate", F.lit(None).cast("int").alias("fold"), F.lit(None).cast("double").alias("mae"),
-            F.lit("short").alias("status")))
+            F.lit("short").alias("status"), *([F.lit(0.0).alias("seconds")] if timed else [])))
 
-    def scores(self) -> DataFrame:
+    def scores(self, timed: bool = False) -> DataFrame:
         """(keys, candidate, mean_mae, last_mae, folds, failed) over the folds."""
-        return self.fold_scores().groupBy(*self.keys, "candidate").agg(
+        return self.fold_scores(timed).groupBy(*self.keys, "candidate").agg(
+            *([F.sum("seconds").alias("seconds")] if timed else []),
             F.when(F.count("mae") == F.count(F.lit(1)), F.avg("mae")).alias("mean_mae"),
             F.max_by("mae", "fold").alias("last_mae"),
             F.count("fold").alias("folds"),
@@ -444,7 +453,6 @@ class PooledSearch(GridSearch):
                  k: int, min_train: int = 0, *, size: int = CHUNK, horizon: int = HORIZON):
         spec = {"kind": "pooled", "n_out": n_out}
         super().__init__(df, keys, cols, candidates, spec, k, min_train, size=size, horizon=horizon)
-        self.min_train = min_train
 
     def pooled(self, whole: bool = False) -> dict:
         """{(lags, fold): (normal matrix, rows)}: all training sets of a fold, or of all values as fold k."""

@@ -171,9 +171,10 @@ def polynomial_value(beta: Column, idx: Column, n: Column) -> Column:
 
 
 def extrapolate(fits: DataFrame, keys: Sequence[str], upto: int, *, size: int = CHUNK) -> DataFrame:
-    """Values of the fitted polynomial for day numbers n+1..upto (rows idx n..upto-1)."""
-    parts = fits.filter(F.col("n") < upto).withColumn("_part", F.explode(F.sequence(
-        F.floor(F.col("n") / size), F.lit((upto - 1) // size).cast("bigint"))))
+    """Values of the fitted polynomial for day numbers n+1..upto (rows idx n..upto-1); a longer series has the next day."""
+    end = F.greatest(F.lit(upto).cast("bigint"), F.col("n") + 1)
+    parts = fits.withColumn("_end", end).withColumn("_part", F.explode(F.sequence(
+        F.floor(F.col("n") / size), F.floor((F.col("_end") - 1) / size))))
     rows = parts.withColumn("idx", F.explode(F.sequence(
-        F.greatest(F.col("n"), F.col("_part") * size), F.least(F.lit(upto).cast("bigint"), (F.col("_part") + 1) * size) - 1)))
+        F.greatest(F.col("n"), F.col("_part") * size), F.least(F.col("_end"), (F.col("_part") + 1) * size) - 1)))
     return rows.select(*keys, "idx", polynomial_value(F.col("beta"), F.col("idx"), F.col("n")).alias("yhat"))

@@ -154,7 +154,7 @@ def fc10(spark, sf):
 
 @query("fc10_polynomial_degree_one",
        f"WITH {P.F5}, f AS (SELECT series_id, max(n) AS n, regr_slope(y, idx) AS b, regr_intercept(y, idx) AS a FROM panel GROUP BY 1) "
-       f"SELECT series_id, i AS idx, {r('a + b * i', 3)} AS yhat FROM f, range(100) t(i) WHERE i >= n")
+       f"SELECT series_id, i AS idx, {r('a + b * i', 3)} AS yhat FROM (SELECT *, unnest(range(CAST(n AS BIGINT), greatest(100, CAST(n AS BIGINT) + 1))) AS i FROM f)")
 def fc10_line(spark, sf):
     fits = tr.polynomial_fits(P.parts_monthly(spark, sf), K, 1)
     return tr.extrapolate(fits, K, 100).select("series_id", "idx", rnd("yhat", 3).alias("yhat"))

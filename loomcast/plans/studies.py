@@ -107,8 +107,10 @@ def study_aligned(spark, sf):
     series = P.orders_monthly(spark, sf)
     diff = wn.difference(series, K, ["y"])
     search = GridSearch(diff, K, ["y"], arma_grid(range(4), [0], range(3)), {"kind": "arma", "long": 3}, 5, 20)
-    last = search.forecasts(so.best_candidate(search.scores(), K)).filter("fold = 4")
-    start = diff.select("series_id", "idx", "n").filter("idx = n - floor(n / 6)").select("series_id", F.col("idx").alias("first"))
+    k = search.k
+    last = search.forecasts(so.best_candidate(search.scores(), K)).filter(F.col("fold") == k - 1)
+    start = diff.select("series_id", "idx", "n").filter(F.col("idx") == F.col("n") - F.floor(F.col("n") / (k + 1))) \
+        .select("series_id", F.col("idx").alias("first"))
     base = series.join(start, "series_id").filter("idx = first").select("series_id", F.col("y").alias("b"))
     level = wn.undo_difference(last.select("series_id", "h", "yhat"), base, K, "yhat", "b", "forecast")
     placed = level.join(start, "series_id").select(
@@ -126,7 +128,8 @@ def country_panel(spark, sf) -> DataFrame:
     daily = panel(orders.join(customers, orders.o_custkey == customers.c_custkey), ["n_nationkey"],
                   "o_orderdate", "day", {"y": F.count("o_custkey").cast("double")})
     total = split.running_sum(daily, ["n_nationkey"], {"total": F.col("y")})
-    people = cl.attach_dimension(total, _population(spark), "n_nationkey")
+    # the panel study's own membership filter: countries whose population is known
+    people = cl.attach_dimension(cl.members(total, _population(spark), "n_nationkey"), _population(spark), "n_nationkey")
     marked = people.withColumn("v", sc.sentinel_below("total", 10)).withColumn(
         "v", F.when(F.col("v") == -1, F.lit(-1.0)).otherwise(sc.per_million("v", "population")))
     aligned = wn.align_to_threshold(marked, ["n_nationkey"], "v")
@@ -141,7 +144,7 @@ _COUNTRY = (
     "spine AS (SELECT k, unnest(range(lo, hi + 1)) AS pos, lo FROM (SELECT DISTINCT k FROM cells), edge), "
     "tot AS (SELECT s.k, s.pos - s.lo AS idx, sum(coalesce(c.y, 0)) OVER (PARTITION BY s.k ORDER BY s.pos) AS total "
     "FROM spine s LEFT JOIN cells c ON c.k = s.k AND c.pos = s.pos), "
-    "mark AS (SELECT k, idx, population, CASE WHEN total < 10 THEN -1.0 ELSE total / population * 1e6 END AS v FROM tot JOIN pop ON n_nationkey = k), "
+    "mark AS (SELECT k, idx, population, CASE WHEN total < 10 THEN -1.0 ELSE total / population * 1e6 END AS v FROM tot JOIN pop ON n_nationkey = k WHERE k IN (SELECT n_nationkey FROM pop)), "
     "al AS (SELECT k, idx + 1 - sum(CASE WHEN v = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS day, v FROM mark), "
     "al1 AS (SELECT k, day, v FROM al WHERE day >= 1), "
     "roll AS (SELECT k, day, CASE WHEN count(v) OVER w = 7 THEN avg(v) OVER w END AS m FROM al1 WINDOW w AS (PARTITION BY k ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)), "

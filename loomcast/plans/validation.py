@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from loomcast.functions import errors
 from loomcast.operators import baselines as bl, cleaning as cl, diagnostics as dg, folds as fd
 from loomcast.operators import scoring as so, slices, split, windows as wn
+from loomcast.operators.solver_tasks import GridSearch, arma_grid
 from loomcast.plans import panels as P
 from loomcast.plans.panels import r, rnd
 from loomcast.plans.registry import query
@@ -46,10 +45,14 @@ def closed_forms_sql(panel_cte: str, k: int, min_train: int, m: int, source: str
         "lng AS (" + " UNION ALL ".join(
             f"SELECT series_id, fold, idx, h, y, {i} AS candidate, '{name}' AS model, {name} AS yhat FROM fc"
             for i, name in enumerate(bl.MODELS)) + "), "
-        "per_fold AS (SELECT series_id, candidate, model, fold, avg(abs(y - yhat)) AS mae FROM lng GROUP BY 1, 2, 3, 4), "
-        "score AS (SELECT series_id, candidate, model, avg(mae) AS mean_mae, arg_max(mae, fold) AS last_mae, count(*) AS folds "
+        "per_fold AS (SELECT series_id, candidate, model, fold, avg(abs(y - yhat)) AS mae FROM lng GROUP BY 1, 2, 3, 4 "
+        # a series without a fold has a row per model
+        "UNION ALL SELECT series_id, candidate, model, NULL, NULL FROM "
+        f"(SELECT series_id FROM geo GROUP BY 1 HAVING max(ts) = 0 OR max(n) - max(ts) <= {min_train}), "
+        "(VALUES " + ", ".join(f"({i}, '{name}')" for i, name in enumerate(bl.MODELS)) + ") m(candidate, model)), "
+        "score AS (SELECT series_id, candidate, model, avg(mae) AS mean_mae, arg_max(mae, fold) AS last_mae, count(fold) AS folds "
         "FROM per_fold GROUP BY 1, 2, 3), "
-        "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mean_mae ASC NULLS LAST, candidate) AS rn FROM score) WHERE rn = 1)"
+        "best AS (SELECT * REPLACE (CASE WHEN mean_mae IS NOT NULL THEN candidate END AS candidate) FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mean_mae ASC NULLS LAST, candidate) AS rn FROM score) WHERE rn = 1)"
     )
 
 
@@ -62,7 +65,8 @@ def _f1_long(spark, sf):
 
 
 def _f1_fold_scores(spark, sf):
-    return bl.fold_scores(bl.forecasts(P.orders_monthly(spark, sf), K, 5, 20, 12), K)
+    df = P.orders_monthly(spark, sf)
+    return so.with_short(bl.fold_scores(bl.forecasts(df, K, 5, 20, 12), K), df, K, 5, 20)
 
 
 def _f1_scores(spark, sf):
@@ -177,7 +181,8 @@ def ord6(spark, sf):
 @query("val6_grid_search",
        f"WITH {F3_FORMS} SELECT series_id, candidate, model, {r('mean_mae', 4)} AS mean_mae FROM best")
 def val6(spark, sf):
-    per_fold = bl.fold_scores(bl.forecasts(P.events_hourly(spark, sf), K, 9, 200, 24), K)
+    df = P.events_hourly(spark, sf)
+    per_fold = so.with_short(bl.fold_scores(bl.forecasts(df, K, 9, 200, 24), K), df, K, 9, 200)
     best = so.best_candidate(so.candidate_scores(per_fold, ["series_id", "candidate", "model"]), K)
     return best.select("series_id", "candidate", "model", rnd("mean_mae", 4).alias("mean_mae"))
 
@@ -208,8 +213,8 @@ def val10(spark, sf):
 
 
 @query("val10_selection_and_holdout",
-       f"WITH {F1_FORMS}, sel AS (SELECT series_id, candidate, model, avg(CASE WHEN fold < 4 THEN mae END) AS mean_mae, "
-       "max(CASE WHEN fold = 4 THEN mae END) AS holdout FROM per_fold GROUP BY 1, 2, 3), "
+       f"WITH {F1_FORMS}, sel AS (SELECT series_id, candidate, model, avg(CASE WHEN fold < newest THEN mae END) AS mean_mae, "
+       "max(CASE WHEN fold = newest THEN mae END) AS holdout FROM per_fold JOIN (SELECT series_id, max(fold) AS newest FROM per_fold GROUP BY 1) USING (series_id) GROUP BY 1, 2, 3), "
        "pick AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mean_mae, candidate) AS rn FROM sel) "
        f"SELECT series_id, model, {r('mean_mae', 2)} AS selection_mae, {r('holdout', 2)} AS holdout_mae FROM pick WHERE rn = 1")
 def val10_holdout(spark, sf):
@@ -240,18 +245,18 @@ def snk2(spark, sf):
     return so.result_table(parts, 3)
 
 
-@query("val9_seconds_per_model")
+@query("val9_seconds_per_model",
+       f"WITH {F1_FORMS} SELECT series_id, model, round(mean_mae, 3) AS mean_mae, round(last_mae, 3) AS last_mae, true AS timed "
+       "FROM score WHERE model IN ('mean', 'drift', 'ar1')")
 def val9(spark, sf):
-    """Wall-clock of each model's validation, joined to its scores (an action per model)."""
-    df = P.orders_monthly(spark, sf)
-    timed = {}
-    for name in ("mean", "seasonal_naive", "ar1"):
-        start = time.perf_counter()
-        long = bl.long_forecasts(bl.forecasts(df, K, 5, 20, 12), K).filter(F.col("model") == name)
-        scores = so.candidate_scores(so.fold_scores(long, ["series_id"]), ["series_id"])
-        scores.write.format("noop").mode("overwrite").save()
-        timed[name] = scores.withColumn("seconds", F.lit(time.perf_counter() - start))
-    return so.result_table(timed, 3)
+    """Seconds of each model's own fits and forecasts, measured in the tasks of the one job that scores them all."""
+    labels = {"mean": arma_grid([0], [0], [0]), "drift": arma_grid([0], [1], [0]), "ar1": arma_grid([1], [0], [0])}
+    search = GridSearch(P.orders_monthly(spark, sf), K, ["y"], [c for grid in labels.values() for c in grid],
+                        {"kind": "arma", "long": 4}, 5, 20)
+    scores = search.scores(timed=True)
+    table = so.result_table({name: scores.filter(F.col("candidate") == i).select("series_id", "mean_mae", "last_mae", "seconds")
+                             for i, name in enumerate(labels)}, 3, second_digits=9)
+    return table.select("series_id", "model", "mean_mae", "last_mae", (F.col("seconds") > 0).alias("timed"))
 
 
 # ---- closed-form forecasts ---------------------------------------------------------------
@@ -265,7 +270,11 @@ def fc1(spark, sf):
 
 
 @query("fc2_seasonal_naive",
-       f"WITH {closed_forms_sql(P.F5, 5, 20, 12)} SELECT series_id, fold, idx, {r('seasonal_naive', 2)} AS yhat FROM fc")
+       f"WITH {P.F5}, geo AS (SELECT series_id, max(n) AS n, max(n) // 6 AS ts FROM panel GROUP BY 1), "
+       "folds AS (SELECT series_id, CAST(j AS INT) AS fold, n - (5 - j) * ts AS train_size, ts FROM geo, range(5) t(j) WHERE n - (5 - j) * ts > 20), "
+       "test AS (SELECT series_id, fold, train_size, unnest(range(0, ts)) AS h FROM folds) "
+       f"SELECT t.series_id, fold, train_size + h AS idx, {r('y', 2)} AS yhat FROM test t LEFT JOIN panel p "
+       "ON p.series_id = t.series_id AND p.idx = train_size - 12 + h % 12")
 def fc2(spark, sf):
     df = P.parts_monthly(spark, sf)
     rows = fd.test_rows(df.select("series_id", "idx", "n"), 5, 20)
@@ -332,7 +341,9 @@ def set2(spark, sf):
     df = P.orders_monthly(spark, sf)
     last = fd.with_blocks(df, 5)
     seen = last.filter("block < 5").select("series_id", "idx", F.lit(False).alias("is_forecast"), "y")
-    pred = bl.forecasts(df, K, 5, 20, 12).filter("fold = 4").select(
+    paths = bl.forecasts(df, K, 5, 20, 12)
+    newest = paths.groupBy("series_id").agg(F.max("fold").alias("fold"))
+    pred = paths.join(newest, ["series_id", "fold"]).select(
         "series_id", "idx", F.lit(True).alias("is_forecast"), F.col("drift").alias("y"))
     return seen.unionByName(pred).select("series_id", "idx", "is_forecast", rnd("y", 2).alias("y"))
 

@@ -41,15 +41,13 @@ def densify(
     ``bounds='panel'``: all series share the first and last period of the panel;
     ``'series'``: each its own. ``drop_last`` leaves out incomplete last periods.
     Output: keys, pos, idx (0-based), n (series length), values (gaps = ``fill``).
+    A series whose values are all missing keeps its rows.
     The spine is spread by (series, chunk) before it is exploded to single periods, into a
     stated number of partitions: these rows are few, but each becomes up to ``size`` rows, so
     their bytes say nothing about the work to come.
     """
     spread = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    span = obs.groupBy(*keys).agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"),
-        sum((F.count(v) for v in values[1:]), F.count(values[0])).alias("n_obs"),
-    ).filter("n_obs > 0")
+    span = obs.groupBy(*keys).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     if bounds == "panel":
         edge = span.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         span = span.select(*keys, edge.select("lo").scalar().alias("lo"),

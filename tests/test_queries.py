@@ -29,7 +29,7 @@ ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))
 
 
 @needs_data
-@pytest.mark.parametrize("name", [n for n in ROWS_ONLY if n.startswith(("fc10", "dia", "val7", "fc16"))])
+@pytest.mark.parametrize("name", ROWS_ONLY)
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, ROOT).count() > 0
 
