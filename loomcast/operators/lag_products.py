@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomcast.operators.folds import attach_fold_values, test_rows, train_prefix_packed, with_blocks
 from loomcast.operators.split import CHUNK, windowed, with_series_totals
+from loomcast.shipping import shipped
 
 HORIZON = 4096  # test values per solver row; longer test blocks are split
 
@@ -87,6 +90,98 @@ def lag_products(
         F.col("ends").alias("tail"))
 
 
+def with_gaps(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Rows of the series that miss a value of any of the columns."""
+    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in cols], F.lit(0))
+    return df.join(df.groupBy(*keys).agg(F.max(missing).alias("_m")).filter("_m > 0").select(*keys), list(keys), "left_semi")
+
+
+def masked_products(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], needs: Sequence[int], lags: int, k: int, min_train: int = 0,
+    *, size: int = CHUNK, whole: bool = False,
+) -> DataFrame:
+    """(keys, fold, masked, recent) of the training sets of series with missing values.
+
+    A missing value breaks the Toeplitz structure, so the normal matrices of these series are summed as they are:
+    ``masked`` has, for each number of lags in ``needs``, the matrix over the rows of which the value and that many lags
+    are known in every column. A task sums a chunk of a series, with the rows before it; chunks and blocks are added up
+    by Spark. ``recent`` are the last values of a training set, oldest first, missing ones as NULL.
+    """
+    centre = with_blocks(with_gaps(df.select(*keys, "idx", "n", *cols), keys, cols), k).filter(F.col("block") <= k)
+    centre = centred(centre, keys, cols, size=size)
+    for c in cols:
+        centre = centre.withColumn(c, F.col(c) - F.col(f"mu_{c}"))
+    top = k if whole else k - 1
+    at = [F.floor(F.col("idx") / size), F.floor((F.col("idx") + lags) / size)]
+    chunk = centre.filter(F.col("block") <= top).withColumn("_chunk", F.explode(F.sequence(*at)))
+    row = F.struct("idx", "block", *[F.coalesce(F.col(c), F.lit(float("nan"))).alias(c) for c in cols])
+    chunks = chunk.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(row)).alias("_r")).select(
+        *keys, (F.col("_chunk") * size).alias("start"), F.col("_r.idx").alias("idx"), F.col("_r.block").alias("block"),
+        *[F.col(f"_r.{c}").alias(f"v_{i}") for i, c in enumerate(cols)])
+    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+    sums = chunks.transform(shipped).mapInArrow(
+        masked_task(list(keys), len(cols), sorted(needs), lags), f"{ddl}, lags int, block int, packed array<double>")
+    z = len(cols) * (lags + 1) + 1
+    add = lambda parts: f"aggregate({parts}, array_repeat(0D, {z * z}), (a, b) -> zip_with(a, b, (x, y) -> x + y))"
+    blocks = sums.groupBy(*keys, "lags", "block").agg(F.expr(add("collect_list(packed)")).alias("packed"))
+    # every fold up to the last, also where a block has no complete row
+    each = blocks.select(*keys, "lags", "packed", F.explode(F.sequence(F.col("block"), F.lit(top))).alias("fold"))
+    per_fold = each.groupBy(*keys, "fold", "lags").agg(F.expr(add("collect_list(packed)")).alias("packed")) \
+        .groupBy(*keys, "fold").agg(F.collect_list(F.struct("lags", "packed")).alias("masked"))
+    # the last values before the end of each training set
+    keep = recent_rows(lags)
+    lo = F.greatest(F.ceil((F.col("idx") + 1 - F.col("first")) / F.col("test_size")), F.lit(0))
+    hi = F.least(F.floor((F.col("idx") + keep - F.col("first")) / F.col("test_size")), F.lit(top))
+    last = centre.filter(lo <= hi).withColumn("fold", F.explode(F.sequence(lo.cast("int"), hi.cast("int")))) \
+        .groupBy(*keys, "fold").agg(F.sort_array(F.collect_list(F.struct("idx", *cols))).alias("_r"), F.max("first").alias("first"),
+                                    F.max("test_size").alias("test_size")) \
+        .filter(F.col("first") + F.col("fold") * F.col("test_size") > min_train) \
+        .select(*keys, "fold", *[F.col(f"_r.{c}").alias(f"recent_{c}") for c in cols])
+    return last.join(per_fold, [*keys, "fold"], "left").filter(F.col("fold") == k if whole else F.col("fold") < k)
+
+
+def recent_rows(lags: int) -> int:
+    """How far back a forecast from a training set with gaps looks for known values."""
+    return 4 * (lags + 1) + 32
+
+
+def masked_task(keys: list[str], v: int, needs: list[int], lags: int):
+    """Normal matrices of chunks of a series: (keys, lags, block, packed)."""
+    width = lags + 1
+    z = v * width + 1
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                col = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
+                idx, block = (col[n].values.to_numpy(zero_copy_only=False) for n in ("idx", "block"))
+                values = np.array([col[f"v_{u}"].values.to_numpy(zero_copy_only=False) for u in range(v)])
+                padded = np.concatenate([np.full((v, lags), np.nan), values], axis=1)
+                windows = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[:, :, ::-1]  # (v, rows, lag)
+                own = idx >= col["start"].as_py()
+                out = []
+                for need in needs:
+                    known = own & (idx >= need) & ~np.isnan(windows[:, :, :need + 1]).any(axis=(0, 2))
+                    for b in np.unique(block[known]):
+                        at = np.flatnonzero(known & (block == b))
+                        s = np.zeros((z, z))
+                        for lo in range(0, len(at), 8192):
+                            rows = np.zeros((len(at[lo:lo + 8192]), v, width))
+                            rows[:, :, :need + 1] = windows[:, at[lo:lo + 8192], :need + 1].swapaxes(0, 1)
+                            x = np.concatenate([np.ones((len(rows), 1)), rows.reshape(len(rows), -1)], axis=1)
+                            s += x.T @ x
+                        out.append((need, int(b), s.ravel()))
+                if out:
+                    flat = np.concatenate([x[2] for x in out])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([col[c].as_py()] * len(out), batch.schema.field(c).type) for c in keys]
+                        + [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()),
+                           pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * z * z, pa.int32()), pa.array(flat))],
+                        names=[*keys, "lags", "block", "packed"])
+
+    return run
+
+
 def test_chunks(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int, min_train: int = 0, *, horizon: int = HORIZON
 ) -> DataFrame:

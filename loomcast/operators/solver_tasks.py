@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.operators import scoring as so, solvers as sv
-from loomcast.operators.lag_products import HORIZON, lag_products, solver_rows
+from loomcast.operators.lag_products import HORIZON, lag_products, masked_products, recent_rows, solver_rows
 from loomcast.operators.split import CHUNK
 from loomcast.shipping import shipped
 
@@ -110,6 +110,7 @@ def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int,
         start = _matrix(col["state"], v * width).reshape(b, v, width)
         unknown = np.isnan(_raw(col["state"], v * width)).reshape(b, v, width)
     mu = _matrix(col["mu"], v)
+    broken = _Broken(col, cols, lags, spec) if "masked" in col else None
     future = None
     if exog:
         future = [_ragged(col[f"actual_{c}"]) - mu[:, i, None] for i, c in enumerate(cols) if i >= v - exog]
@@ -156,11 +157,55 @@ def _forecaster(part: pa.RecordBatch, cols: Sequence[str], lags: int, exog: int,
             missing = missing | unknown[pick][:, :, :reach].any(axis=(1, 2))
         used = now["used"][pick]
         status = np.where(missing, sv.GAPS, np.where(used <= params, sv.SHORT, sv.OK))
+        if broken is not None and missing.any():
+            at = np.flatnonzero(missing)
+            paths, rows, errors = broken.run(cand, pick[at], steps, starts)
+            yhat[at], used = paths + mu[pick[at], :1], used.copy()
+            used[at], sse[at] = rows, errors
+            status[at] = np.where(rows == 0, sv.GAPS, np.where(rows <= params, sv.SHORT, sv.OK))
         return yhat, status, sse, used
 
     return run
 
 
+class _Broken:
+    """Training sets with missing values: normal matrices over complete rows, and a filled end to forecast from."""
+
+    def __init__(self, col: dict, cols: Sequence[str], lags: int, spec: dict):
+        self.v, self.width, self.spec = len(cols), lags + 1, spec
+        self.b, self.z = len(col["masked"]), len(cols) * (lags + 1) + 1
+        self.masked = [{m["lags"]: m["packed"] for m in x.as_py() or ()} for x in col["masked"]]
+        last = [col[f"recent_{c}"].fill_null([]) for c in cols]
+        length = max(recent_rows(lags), *(int(pc.max(x.value_lengths()).as_py() or 0) for x in last))
+        self.recent = np.full((self.b, self.v, length), np.nan)
+        for u, lists in enumerate(last):
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(size):
+                self.recent[i, u, length - size[i]:] = lists[int(i)].values.to_numpy(zero_copy_only=False)
+
+    def filled(self, const, coef, rows):
+        """The last values, each missing one as the model's own step from those before; the level stands before them all."""
+        out, back = self.recent[rows].copy(), coef[:, :, :, ::-1]
+        reach = coef.shape[3]
+        out = np.concatenate([np.zeros((len(rows), self.v, reach)), out], axis=2)
+        begun = np.zeros((len(rows), self.v), bool)
+        for t in range(reach, out.shape[2]):
+            gone = np.isnan(out[:, :, t])
+            step = const + np.einsum("busk,bsk->bu", back, out[:, :, t - reach:t])
+            begun |= ~gone
+            out[:, :, t] = np.where(gone, np.where(begun, step, 0.0), out[:, :, t])
+        return out[:, :, ::-1][:, :, :self.width]
+
+    def run(self, cand, rows, steps, starts):
+        need = lags_of(cand, self.spec)
+        s = np.array([self.masked[i].get(need, np.zeros(self.z * self.z)) for i in rows]).reshape(len(rows), self.z, self.z)
+        const, coef, _, _, _ = sv.Models(s, np.zeros((len(rows), self.v, self.width)), self.spec.get("long", 6)).fit(cand)
+        end = self.filled(const, coef, rows)
+        const, coef, extra, sse, _ = sv.Models(s, end, self.spec.get("long", 6)).fit(cand)
+        out = sv.recurse(const, coef, extra, end[:, :, :coef.shape[3]], steps, starts[rows])
+        return out[:, 0], s[:, 0, 0], sse[:, 0]
+
+
 def _pooled_forecaster(samples, gaps, state, mu, unknown, starts, fold, spec):
     """Like ``_forecaster`` for a model that all series share: ``spec['pooled']`` has its sums by lags and fold."""
     b, v, width = state.shape
@@ -321,19 +366,33 @@ class GridSearch:
 
     spec: ``{'kind': 'arma', 'long': 6}`` with candidates p,d,q,sp,sd,sq,m or
     ``{'kind': 'window', 'n_out': 4}`` with candidates n_in, ridge. ``exog`` counts the last
-    columns of ``cols`` that are regressors with known future values.
+    columns of ``cols`` that are regressors with known future values. With ``missing``, training sets that miss
+    values are fitted on the rows of which a candidate's lags are known, and the missing values before the forecast
+    are the model's own steps; status ``gaps`` is left to those without such a row. Without it (the cheaper way, for
+    panels without gaps) one missing value gives status ``gaps``.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], cols: Sequence[str], candidates: list[dict], spec: dict,
-                 k: int, min_train: int = 0, *, exog: int = 0, size: int = CHUNK, horizon: int = HORIZON):
+                 k: int, min_train: int = 0, *, exog: int = 0, missing: bool = False, size: int = CHUNK, horizon: int = HORIZON):
+        if missing and (exog or spec["kind"] != "arma"):
+            raise ValueError("missing values are fitted by models of the kind 'arma' without regressors")
         self.keys, self.cols, self.candidates, self.spec, self.exog = list(keys), list(cols), candidates, spec, exog
+        self.missing = missing
         self.lags = max(1, max(lags_of(c, spec) for c in candidates))
         if spec["kind"] != "arma":
             horizon = max(horizon - horizon % spec["n_out"], spec["n_out"])
         self.df, self.k, self.min_train, self.size, self.horizon = df, k, min_train, size, horizon
         self.rows = solver_rows(df, keys, cols, self.lags, k, min_train, size=size, horizon=horizon)
+        if missing:
+            self.rows = self._with_masked(self.rows)
         self._ddl = _key_ddl(df, keys)
 
+    def _with_masked(self, rows: DataFrame, whole: bool = False) -> DataFrame:
+        needs = {lags_of(c, self.spec) for c in self.candidates}
+        sums = masked_products(self.df, self.keys, self.cols, sorted(needs), self.lags, self.k, 0 if whole else self.min_train,
+                               size=self.size, whole=whole)
+        return rows.join(sums, [*self.keys, "fold"], "left")
+
     def _args(self):
         return self.keys, self.cols, self.lags, self.exog, self.spec, self.candidates
 
@@ -384,8 +443,9 @@ class GridSearch:
         return self._paths(rows)
 
     def _whole(self) -> DataFrame:
-        return lag_products(self.df, self.keys, self.cols, self.lags, self.k, size=self.size, whole=True).drop(
+        out = lag_products(self.df, self.keys, self.cols, self.lags, self.k, size=self.size, whole=True).drop(
             "train_size", "test_size")
+        return self._with_masked(out, whole=True) if self.missing else out
 
     def _parts(self, rows: DataFrame, steps: Column) -> DataFrame:
         """One row per part of the horizon: ``h`` the first step, ``steps`` how many."""

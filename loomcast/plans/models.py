@@ -88,6 +88,31 @@ def fc4_ar1(spark, sf):
     return search.fold_scores().select("series_id", "fold", rnd("mae", 4).alias("mae"))
 
 
+_GAPPY = P.F3 + ", gappy AS (SELECT series_id, idx, n, CASE WHEN y >= 60 THEN y END AS y FROM panel)"
+
+
+@query("fc4_ar1_with_missing_values",
+       f"WITH {folds_sql(_GAPPY, 9, 200, 'gappy')}, "
+       "l AS (SELECT *, lag(y) OVER (PARTITION BY series_id, fold ORDER BY idx) AS x FROM train), "
+       "fit AS (SELECT series_id, fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, max_by(y, CASE WHEN y IS NOT NULL THEN idx END) AS y0, "
+       "max(train_size) - 1 - max(CASE WHEN y IS NOT NULL THEN idx END) AS gone FROM l GROUP BY 1, 2), "
+       "fc AS (SELECT t.series_id, t.fold, t.y, a * (1 - power(b, h + 1 + gone)) / (1 - b) + power(b, h + 1 + gone) * y0 AS yhat "
+       "FROM test t JOIN fit f ON f.series_id = t.series_id AND f.fold = t.fold) "
+       f"SELECT series_id, fold, {r('avg(abs(y - yhat))', 4)} AS mae, 'ok' AS status FROM fc GROUP BY 1, 2")
+def fc4_gaps(spark, sf):
+    """Hours of little value are unknown: order (1, 0, 0) on the pairs of which both are known."""
+    df = P.events_hourly(spark, sf).withColumn("y", F.when(F.col("y") >= 60, F.col("y")))
+    search = GridSearch(df, K, ["y"], arma_grid([1], [0], [0]), ARMA, 9, 200, missing=True)
+    return search.fold_scores().select("series_id", "fold", rnd("mae", 4).alias("mae"), "status")
+
+
+@query("fc4_arima_grid_with_missing_values")
+def fc4_grid_gaps(spark, sf):
+    """36 orders on the panel with unknown hours, best by mean MAE over the folds."""
+    df = P.events_hourly(spark, sf).withColumn("y", F.when(F.col("y") >= 60, F.col("y")))
+    return _best(GridSearch(df, K, ["y"], arma_grid(range(3), range(2), range(3)), ARMA, 9, 200, missing=True), 4)
+
+
 @query("fc4_arima_wide_panel")
 def fc4_wide(spark, sf):
     """One series per part: orders p, d, q up to 2, 1, 2 for all of them in one job."""
