@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
+from loomcast.operators.recurrence import recurrence
 from loomcast.operators.split import CHUNK, running_sum, windowed, with_series_totals
 
 
@@ -82,19 +82,12 @@ def exponential_mean(df: DataFrame, keys: Sequence[str], col: str, span: float,
     """Exponentially weighted mean with bias-adjusted weights.
 
     A row weighs (1 - alpha) to the power of its distance in rows, known or not; missing values have no
-    weight. Rows further back than ``reach`` weigh less than the double precision of the sum.
+    weight. Both sums, of weighted values and of weights, are recurrences over the whole series. NULL before the first value.
     """
-    alpha = 2.0 / (span + 1.0)
-    keep = 1.0 - alpha
-    reach = math.ceil(math.log(1e-17) / math.log(keep)) if keep > 0 else 0
-    seen = F.when(F.col(col).isNotNull(), F.struct(F.col("idx").alias("i"), F.col(col).cast("double").alias("v")))
-    out = windowed(
-        df.withColumn("_seen", seen), keys, lambda w: {"_a": F.collect_list("_seen").over(w.rowsBetween(-reach, 0))},
-        before=reach, size=size)
-    weight = lambda e: F.pow(F.lit(keep), (F.col("idx") - e["i"]).cast("double"))
-    total = F.aggregate("_a", F.lit(0.0), lambda acc, e: acc + e["v"] * weight(e))
-    weights = F.aggregate("_a", F.lit(0.0), lambda acc, e: acc + weight(e))
-    return out.withColumn(name, total / F.nullif(weights, F.lit(0.0))).drop("_a", "_seen")
+    keep = 1.0 - 2.0 / (span + 1.0)
+    known = F.col(col).isNotNull().cast("double")
+    out = recurrence(df, keys, [[keep, 0.0], [0.0, keep]], {"_sum": F.coalesce(F.col(col).cast("double"), F.lit(0.0)), "_weight": known}, size=size)
+    return out.withColumn(name, F.col("_sum") / F.nullif(F.col("_weight"), F.lit(0.0))).drop("_sum", "_weight")
 
 
 def align_to_threshold(
