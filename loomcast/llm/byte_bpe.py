@@ -38,10 +38,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomcast.llm.bpe import spread
 from loomcast.llm.storage import partitions
+from loomcast.llm.words import buffer_of, word_hashes
 from loomcast.shipping import shipped
 
 LONG = 64  # bytes of a piece
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -75,6 +76,8 @@ class Merges:
 
     BUCKETS = 50021
     SPAN = 1 << 20  # above every id: a pair and its id are one number
+    NONE = 1 << 20  # rank of a pair that makes no token
+    PLACES = 1 << 24  # above every place in a piece
 
     @classmethod
     def bound(cls, path: str, use: Callable[[Merges], Column]) -> Column:
@@ -91,61 +94,60 @@ class Merges:
         single = [ranks[bytes([b])] for b in range(256)]
         return _let(F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>"), lambda table: use(cls(table, single)))
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """Id of the token that a pair makes, else NULL."""
-        key = a.cast("bigint") * F.lit(self.SPAN) + b
-        return F.aggregate(F.get(self.table, (key % self.BUCKETS).cast("int")), F.lit(None).cast("int"), lambda v, e: F.when(
-            F.shiftright(e, 20) == key, e.bitwiseAND(F.lit(self.SPAN - 1)).cast("int")).otherwise(v))
+    def _pair(self, a: Column, b: Column) -> Column:
+        """Id of the token that a pair makes, NONE for no token or no right part, before the id ``a`` in one number."""
+        key = a * F.lit(self.SPAN) + b
+        entries = F.get(self.table, (key % self.BUCKETS).cast("int"))
+        rank = F.aggregate(entries, F.lit(self.NONE).cast("bigint"), lambda v, e: F.when(F.shiftright(e, 20) == key, e.bitwiseAND(F.lit(self.SPAN - 1))).otherwise(v))
+        return F.coalesce(rank, F.lit(self.NONE)) * F.lit(self.SPAN) + a
+
+    @classmethod
+    def _id(cls, entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit(cls.SPAN - 1))
+
+    def _chain(self, ids: Column) -> Column:
+        return F.transform(ids, lambda a, i: self._pair(a, F.get(ids, i + 1)))
 
     def ids(self, piece: Column) -> Column:
-        """Ids of a piece that is no token itself."""
+        """Ids of a piece that is no token itself. The state has, for every id, the rank of its pair with the next one."""
         # one character per byte
-        letters = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "(?s)(?<=.)(?=.)")
-        single = F.from_json(F.lit(json.dumps(self.single)), "array<int>")
-        state = _let(F.transform(letters, lambda c: F.get(single, F.ascii(c))),
-                     lambda ids: F.struct(ids.alias("ids"), self._ranks(ids).alias("ranks")))
+        letters = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
+        single = F.from_json(F.lit(json.dumps(self.single)), "array<bigint>")
+        state = _let(F.transform(letters, lambda c: F.get(single, F.ascii(c))), self._chain)
         turns = F.sequence(F.lit(1), F.octet_length(piece))
 
         def fold(step):
-            return F.aggregate(turns, state, lambda s, _: _let(F.array_min(s["ranks"]), lambda best: F.when(
-                best.isNull(), s).otherwise(step(s, best))))["ids"]
+            def turn(s: Column, _: Column) -> Column:
+                # lowest rank first, then place
+                lowest = F.array_min(F.transform(s, lambda e, i: F.shiftright(e, 20) * F.lit(self.PLACES) + i))
+                return _let(lowest, lambda m: F.when(m >= F.lit(self.NONE * self.PLACES), s).otherwise(
+                    step(s, F.shiftright(m, 24), m.bitwiseAND(F.lit(self.PLACES - 1)))))
 
-        return F.when(F.octet_length(piece) > LONG, fold(self._lowest)).otherwise(fold(self._leftmost))
+            return F.transform(F.aggregate(turns, state, turn), self._id)
 
-    def _ranks(self, ids: Column) -> Column:
-        """Rank of every id with the next one; none for the last."""
-        return F.transform(ids, lambda a, i: self.rank(a, F.get(ids, i + 1)))
+        folded = F.when(F.octet_length(piece) > LONG, fold(self._lowest)).otherwise(fold(self._leftmost))
+        return folded.cast("array<int>")
 
-    def _leftmost(self, state: Column, best: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
+    def _leftmost(self, state: Column, best: Column, at: Column) -> Column:
+        return F.transform(F.filter(state, lambda _, i: i != at + 1), lambda e, i: F.when(
+            i == at, self._pair(best, self._id(F.get(state, (at + 2).cast("int"))))).otherwise(F.when(
+                i == at - 1, self._pair(self._id(e), best)).otherwise(e)))
 
-        def merged(at: Column) -> Column:
-            rest = F.transform(F.filter(ids, lambda _, i: i != at), lambda x, i: F.when(i == at - 1, best).otherwise(x))
-            # entry at-1 belonged to the pair that is joined and goes to the new id with its right neighbour
-            near = F.transform(F.filter(ranks, lambda _, i: i != at), lambda r, i: F.when(
-                i == at - 1, self.rank(best, F.get(ids, at + 1))).otherwise(F.when(
-                    i == at - 2, self.rank(F.get(ids, at - 2), best)).otherwise(r)))
-            return F.struct(rest.alias("ids"), near.alias("ranks"))
-
-        # positions count from 1
-        return _let(F.array_min(F.transform(ranks, lambda r, i: F.when(r == best, i + 1))), merged)
-
-    def _lowest(self, state: Column, best: Column) -> Column:
+    def _lowest(self, state: Column, best: Column, at: Column) -> Column:
         """All pairs of the lowest rank, from the left and without overlap, if no lower rank can come between."""
-        ids, ranks = state["ids"], state["ranks"]
-        hits = F.array_join(F.transform(ranks, lambda r: F.when(r == best, "1").otherwise("0")), "")
+        hits = F.array_join(F.transform(state, lambda e: F.when(F.shiftright(e, 20) == best, "1").otherwise("0")), "")
         # of pairs that overlap, every second one
-        marks = F.split(F.regexp_replace(hits, "11", "10"), "(?s)(?<=.)(?=.)")
+        marks = F.split(F.regexp_replace(hits, "11", "10"), "")
 
         def rebuilt(mark: Column) -> Column:
             # a pair that was just joined meets the first id of the next pair before that is joined
-            between = F.exists(F.sequence(F.lit(0), F.size(ids)), lambda i: (F.get(mark, i) == "1") & (F.get(mark, i + 2) == "1")
-                               & (self.rank(best, F.get(ids, i + 2)) < best))
-            joined = F.filter(F.transform(ids, lambda x, i: F.when(F.get(mark, i) == "1", best).when(
-                (i > 0) & (F.get(mark, i - 1) == "1"), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
-            after = _let(joined, lambda rest: F.struct(rest.alias("ids"), self._ranks(rest).alias("ranks")))
-            return _let(after, lambda s: F.when(F.coalesce(between, F.lit(False)) | F.coalesce(F.array_min(s["ranks"]) < best, F.lit(False)),
-                                                self._leftmost(state, best)).otherwise(s))
+            between = F.exists(F.sequence(F.lit(0), F.size(state)), lambda i: (F.get(mark, i) == "1") & (F.get(mark, i + 2) == "1")
+                               & (F.shiftright(self._pair(best, self._id(F.get(state, i + 2))), 20) < best))
+            joined = F.filter(F.transform(state, lambda e, i: F.when(F.get(mark, i) == "1", best).otherwise(F.when(
+                (i > 0) & (F.get(mark, i - 1) == "1"), F.lit(None)).otherwise(self._id(e)))), lambda x: x.isNotNull())
+            return _let(_let(joined, self._chain), lambda s: F.when(
+                F.coalesce(between, F.lit(False)) | (F.array_min(F.transform(s, lambda e: F.shiftright(e, 20))) < best),
+                self._leftmost(state, best, at)).otherwise(s))
 
         return _let(marks, rebuilt)
 
@@ -213,11 +215,8 @@ def _slices(lists: pa.ListArray, most: int = 1 << 19) -> Iterator[tuple[int, int
 
 
 def frequent_words(cut: DataFrame, path: str, most: int) -> DataFrame:
-    """piece and ids of the most frequent distinct pieces that are no tokens."""
-    tokens = whole_tokens(path)
-    # more than are needed by the number of tokens, which are left out after the limit
-    top = counted_pieces(cut).orderBy(F.desc("n"), "piece").limit(most + len(tokens)).select("piece") \
-        .repartition(partitions(cut.sparkSession))
+    """piece and ids of the most frequent distinct pieces, folded from their bytes also where they are tokens."""
+    top = counted_pieces(cut).orderBy(F.desc("n"), "piece").limit(most).select("piece").repartition(partitions(cut.sparkSession))
     return _folded(top, path, F.array("piece")).select("piece", F.element_at("ids", 1).alias("ids"))
 
 
@@ -227,18 +226,34 @@ def _folded(df: DataFrame, path: str, words: Column) -> DataFrame:
 
 
 class Words:
-    """Ids of known pieces, one after another."""
-
-    def __init__(self, tokens: dict[str, int], words: list[tuple[str, list[int]]]):
-        self.place = {piece: i for i, piece in enumerate(tokens)}
-        ids = [[i] for i in tokens.values()]
-        for piece, own in words:
-            if piece not in self.place:
-                self.place[piece] = len(ids)
-                ids.append(own)
-        self.size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.cumsum(self.size) - self.size
-        self.ids = np.fromiter((i for own in ids for i in own), np.int32, int(self.size.sum()))
+    """Known pieces by the hash of their bytes, and their ids; a few dozen bytes each."""
+
+    def __init__(self, tokens: dict[str, int], words: pa.Table):
+        pieces, ids, size = [pa.array(list(tokens), pa.large_string())], [np.fromiter(tokens.values(), np.int32, len(tokens))], \
+            [np.ones(len(tokens), np.int64)]
+        for batch in words.to_batches():
+            pieces.append(batch.column(0).cast(pa.large_string()))
+            ids.append(batch.column(1).flatten().to_numpy().astype(np.int32))
+            size.append(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        self.letters, edge = buffer_of(pa.concat_arrays(pieces))
+        self.ids, of = np.concatenate(ids), np.concatenate(size)
+        # a piece that is a token has its own id, whatever its bytes would be merged to: the first of equal hashes stays
+        self.hash, first = np.unique(word_hashes(self.letters, edge[:-1], edge[1:], fold=False), return_index=True)
+        self.at, self.length = edge[:-1][first], np.diff(edge)[first]
+        self.start, self.size = (np.cumsum(of) - of)[first], of[first]
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece is, -1 where it is not known; pieces are compared byte by byte."""
+        data, edge = buffer_of(pieces)
+        hashes, length = word_hashes(data, edge[:-1], edge[1:], fold=False), np.diff(edge)
+        place = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        same = np.flatnonzero((self.hash[place] == hashes) & (self.length[place] == length))
+        differ = data[spread(edge[:-1][same], length[same])] != self.letters[spread(self.at[place[same]], length[same])]
+        total, ends = np.concatenate([[0], np.cumsum(differ)]), np.concatenate([[0], np.cumsum(length[same])])
+        same = same[total[ends[1:]] == total[ends[:-1]]]
+        out = np.full(len(pieces), -1)
+        out[same] = place[same]
+        return out
 
 
 def known_ids(cut: DataFrame, words: Broadcast) -> DataFrame:
@@ -252,8 +267,8 @@ def known_ids(cut: DataFrame, words: Broadcast) -> DataFrame:
                 lists = part.column(1)
                 owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
                 coded = lists.flatten().dictionary_encode()
-                spelt, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-                place = np.fromiter((known.place.get(p, -1) for p in spelt), np.int64, len(spelt))
+                spelt, code = coded.dictionary, coded.indices.to_numpy()
+                place = known.places(spelt)
                 start, size = np.where(place < 0, 0, known.start[place]), np.where(place < 0, 1, known.size[place])
                 flat = known.ids[spread(start[code], size[code])]
                 ends = np.cumsum(size[code])
@@ -298,8 +313,8 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
     """doc_id, coded and the ids of the unknown pieces."""
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       pieces(docs.sparkSession, F.coalesce(F.col(text_col).cast("string"), F.lit("")), pattern).alias("pieces"))
-    words = Words(whole_tokens(path), [(r["piece"], r["ids"]) for r in frequent_words(cut, path, remembered).collect()])
-    coded = known_ids(cut, docs.sparkSession.sparkContext.broadcast(words))  # at most ``remembered`` short words and the tokens
+    words = Words(whole_tokens(path), frequent_words(cut, path, remembered).toArrow())  # ``remembered`` short words
+    coded = known_ids(cut, docs.sparkSession.sparkContext.broadcast(words))  # and the tokens
     return _folded(coded, path, F.col("rare")).select("doc_id", "coded", "ids")
 
 
