@@ -9,7 +9,8 @@ every value that differs from its own in so few bits that no pair is missed. The
 
 Nulls and empties: a null text is empty; a text without words has the fingerprint of zeros. Equal texts have
 equal fingerprints. Rows with equal ids are each fingerprinted; null ids come first in the order. An empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result. Other columns are ignored. A very long text needs memory for the hashes of its
+words, which are made in blocks.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ longest first, each into the packs with the most room, and a pack pattern carrie
 
 Nulls and empties: a null or empty text has the end token only, so every row is packed. Rows with equal or
 null ``doc_id`` are packed one by one. An empty table gives an empty result. Columns beyond the two that are
-named are ignored, so their names cannot clash.
+named are ignored, so their names cannot clash. A very long text is encoded in parts and cut into full sequences.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ to the shard in which the middle of its bytes lies, so a shard is off its target
 
 Nulls and empties: a null text has no bytes and the checksum 0; a row weighs its bytes plus ``overhead``.
 Null ids come first. Rows with equal ids are ordered by size and checksum and may lie in two neighbouring
-shards; rows equal in all of these are alike. An empty table gives an empty result. Other columns are ignored.
+shards; rows equal in all of these are alike. An empty table gives an empty result. Other columns are ignored. A very
+long text is one row of its shard: a shard can exceed its target by one row.
 """
 
 from __future__ import annotations

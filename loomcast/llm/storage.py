@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomcast.session import shared_dir
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared folder; a local one only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="loomcast-llm-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/loomcast-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder."""
+    return f"{shared_dir(spark)}/loomcast-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ least room that still holds it. A sequence is one row of the written table:
 bits, starting from 0 again in each segment, 0 in the padding), ``doc_ids``, ``doc_starts``, ``doc_tokens``.
 
 Nulls and empties: a null or empty text is the end token alone. Rows with equal or null ``doc_id`` are
-packed one by one. An empty table gives an empty result; other columns are ignored.
+packed one by one. An empty table gives an empty result; other columns are ignored. A very long text is encoded in
+parts and cut into full sequences.
 """
 
 from __future__ import annotations

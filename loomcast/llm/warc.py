@@ -11,6 +11,7 @@ the response, the others are revisits that name it. Smaller ones are all respons
 Nulls and empties: a null payload is empty. Rows with equal ids each get a record; among equal payloads all
 rows with the smallest id are responses. Rows with a null id have records without an id; they are responses
 unless a row with an id has the same payload. An empty table gives an empty result. Other columns are ignored.
+A very long payload needs memory for itself.
 """
 
 from __future__ import annotations
