@@ -314,6 +314,46 @@ def score_task(keys, cols, lags, exog, spec, candidates):
     return run
 
 
+def residual_task(keys, cols, lags, spec, candidates, reach):
+    """Rows, parameters, squared errors and portmanteau statistic over ``reach`` lags of every candidate's residuals.
+
+    A residual is a combination of a row's lags, so its products with earlier residuals are quadratic forms of the lag
+    products, over the rows that have both.
+    """
+    v, width = len(cols), lags + 1
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, _width(cols, lags), 0):
+                col = {name: part.column(i) for i, name in enumerate(part.schema.names)}
+                samples, gaps, tail = _samples(col, v, width, part.num_rows)
+                out = np.full((4, part.num_rows, len(candidates)), np.nan)
+                state = np.zeros((part.num_rows, len(candidates)), np.int32)
+                for no in by_sample(candidates, spec):
+                    need = lags_of(candidates[no], spec)
+                    with np.errstate(all="ignore"):
+                        s, used = samples.of(need)
+                        model = sv.Models(s, tail, spec["long"])
+                        e, params = model.residuals(candidates[no])
+                        e = e[:, 0]
+                        sse, q = np.einsum("bz,bzw,bw->b", e, s, e), np.zeros(part.num_rows)
+                        for h in range(reach, 0, -1):
+                            later, _ = samples.of(need + h)
+                            both = np.einsum("bz,bzw,bw->b", e, later, model.earlier(e, h))
+                            q += (both / sse) ** 2 / (used - h)
+                    status = np.where(gaps > 0, sv.GAPS, np.where(used <= params, sv.SHORT, sv.OK))
+                    out[:, :, no] = used, np.full(part.num_rows, params), sse, used * (used + 2) * q
+                    out[:, status != sv.OK, no] = np.nan
+                    state[:, no] = status
+                offsets = pa.array(np.arange(part.num_rows + 1) * len(candidates), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.float64(), mask=np.isnan(x.ravel()))) for x in out]
+                yield pa.RecordBatch.from_arrays(
+                    [*[col[c] for c in keys], *lists, pa.ListArray.from_arrays(offsets, pa.array(state.ravel(), pa.int32()))],
+                    names=[*keys, "rows", "params", "sse", "q", "status"])
+
+    return run
+
+
 def forecast_task(keys, cols, lags, exog, spec, candidates):
     """``steps`` forecasts of the candidate chosen in column ``candidate``, from step ``h`` on.
 
@@ -426,6 +466,27 @@ class GridSearch:
             F.count("fold").alias("folds"),
             F.count_if(F.col("mae").isNull()).alias("failed"))
 
+    def information(self, reach: int = 24) -> DataFrame:
+        """(keys, candidate, rows, params, sse, aicc, q, status) of every candidate fitted on the whole series.
+
+        ``q`` is the portmanteau statistic of the residuals over ``reach`` lags. Nothing is scanned again per candidate.
+        For orders without regressors and missing values.
+        """
+        if self.spec["kind"] != "arma" or self.exog:
+            raise ValueError("information is for the kind 'arma' without regressors")
+        lags = self.lags + reach
+        whole = lag_products(self.df, self.keys, self.cols, lags, self.k, size=self.size, whole=True)
+        raw = _spread(whole, *self.keys).transform(shipped).mapInArrow(
+            residual_task(self.keys, self.cols, lags, self.spec, self.candidates, reach),
+            f"{self._ddl}, rows array<double>, params array<double>, sse array<double>, q array<double>, status array<int>")
+        fields = ("rows", "params", "sse", "q", "status")
+        flat = raw.select(*self.keys, F.posexplode(F.arrays_zip(*fields)).alias("candidate", "z")).select(
+            *self.keys, "candidate", *[F.col(f"z.{c}").alias(c) for c in fields])
+        n, p = F.col("rows"), F.col("params") + 1  # with the variance
+        aicc = n * F.log(F.col("sse") / n) + 2 * p + 2 * p * (p + 1) / F.nullif(n - p - 1, F.lit(0.0))
+        return flat.select(*self.keys, "candidate", n.cast("bigint").alias("rows"), F.col("params").cast("int").alias("params"), "sse",
+                           aicc.alias("aicc"), "q", F.get(F.array(*[F.lit(x) for x in sv.STATUS]), F.col("status")).alias("status"))
+
     def with_parameters(self, df: DataFrame) -> DataFrame:
         """Put the parameters of each candidate next to its number."""
         return with_candidate_parameters(df, self.candidates)

@@ -156,8 +156,8 @@ class Models:
             self._past[key] = np.einsum("bvz,bz->bv", self._shock_rows(poly, lags, at), flat)
         return self._past[key]
 
-    def fit(self, cand):
-        """-> const (B, V), coef (B, V, V, K), extra (B, V, steps), sse (B, V), number of parameters."""
+    def _design(self, cand):
+        """Polynomial, lags, and the regressors (B, P, Z) and targets (V, Z) as combinations of z."""
         poly = difference_polynomial(cand["d"], cand["sd"], cand["m"])
         ar = lag_set(cand["p"], cand["sp"], cand["m"])
         ma = lag_set(cand["q"], cand["sq"], cand["m"])
@@ -170,6 +170,27 @@ class Models:
         parts += [self._shock_rows(poly, lags, a) for a in ma]
         x = np.concatenate(parts, axis=1)
         y = np.array([self._pick(poly, u, 0) for u in range(self.v)])
+        return poly, ar, ma, lags, x, y
+
+    def residuals(self, cand):
+        """(B, V, Z): what the fitted candidate leaves of each column, as a combination of z; number of parameters."""
+        _, _, ma, lags, x, y = self._design(cand)
+        sx = x @ self.s
+        beta = least_squares(sx @ np.swapaxes(x, 1, 2), sx @ y.T)
+        return y[None] - np.swapaxes(beta, 1, 2) @ x, max(x.shape[1], 1 + self.v * len(lags)) if ma else x.shape[1]
+
+    def earlier(self, rows, by):
+        """The same combinations ``by`` steps before."""
+        out = np.zeros_like(rows)
+        out[..., 0] = rows[..., 0]
+        for u in range(self.v):
+            lo, hi = 1 + u * self.width, 1 + (u + 1) * self.width
+            out[..., lo + by:hi] = rows[..., lo:hi - by]
+        return out
+
+    def fit(self, cand):
+        """-> const (B, V), coef (B, V, V, K), extra (B, V, steps), sse (B, V), number of parameters."""
+        poly, ar, ma, lags, x, y = self._design(cand)
         sx = x @ self.s
         gram, rhs = sx @ np.swapaxes(x, 1, 2), sx @ y.T
         beta = least_squares(gram, rhs)

@@ -421,3 +421,38 @@ def fc7_future_two(spark, sf):
     search = GridSearch(past, K, ["y", "x", "w"], arma_grid([0], [0], [0]), ARMA, 5, 20, exog=2)
     chosen = past.select("series_id").distinct().withColumn("candidate", F.lit(0))
     return search.future(chosen, 12, known).select("series_id", "h", rnd("yhat", 1).alias("yhat"))
+
+
+@query("dia3_aicc_of_candidates",
+       f"WITH {P.F5}, l AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY idx) AS x FROM panel), "
+       "f AS (SELECT series_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_count(y, x) AS n FROM l GROUP BY 1), "
+       "s AS (SELECT l.series_id, max(f.n) AS n, sum(power(y - a - b * x, 2)) AS sse FROM l JOIN f ON f.series_id = l.series_id WHERE x IS NOT NULL GROUP BY 1), "
+       "m AS (SELECT series_id, count(*) AS n, var_pop(y) * count(*) AS sse FROM panel GROUP BY 1) "
+       f"SELECT series_id, 0 AS candidate, {r('n * ln(sse / n) + 4 + 12.0 / (n - 3)', 6)} AS aicc FROM m "
+       f"UNION ALL SELECT series_id, 1, {r('n * ln(sse / n) + 6 + 24.0 / (n - 4)', 6)} FROM s")
+def dia3_grid(spark, sf):
+    """Orders (0, 0, 0) and (1, 0, 0) of all part series, from the sums that also score them."""
+    search = GridSearch(P.parts_monthly(spark, sf), K, ["y"], arma_grid(range(2), [0], [0]), ARMA, 5, 20)
+    return search.information(2).select("series_id", "candidate", rnd("aicc", 6).alias("aicc"))
+
+
+@query("dia4_portmanteau_of_residuals",
+       f"WITH {P.F3}, l AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY idx) AS x FROM panel), "
+       "f AS (SELECT series_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l GROUP BY 1), "
+       "e AS (SELECT l.series_id, idx, y - a - b * x AS e FROM l JOIN f USING (series_id) WHERE x IS NOT NULL), "
+       "v AS (SELECT series_id, count(*) AS n, sum(e * e) AS s FROM e GROUP BY 1), "
+       "c AS (SELECT a.series_id, k, sum(a.e * b.e) AS c FROM e a, range(1, 25) t(k) JOIN e b ON b.series_id = a.series_id AND b.idx = a.idx - k GROUP BY 1, 2) "
+       f"SELECT series_id, {r('max(n) * (max(n) + 2) * sum(power(c / s, 2) / (n - k))', 6)} AS q FROM c JOIN v USING (series_id) GROUP BY 1")
+def dia4_residuals(spark, sf):
+    """Residuals of order (1, 0, 0) of the hourly series, over 24 lags."""
+    search = GridSearch(P.events_hourly(spark, sf), K, ["y"], arma_grid([1], [0], [0]), ARMA, 9, 200)
+    return search.information(24).select("series_id", rnd("q", 6).alias("q"))
+
+
+@query("dia3_best_order_by_aicc")
+def dia3_best(spark, sf):
+    """Of 36 orders of the monthly series, that of the smallest AICc, with its residuals' portmanteau statistic."""
+    search = GridSearch(P.lineitem_monthly(spark, sf), K, ["y"], arma_grid(range(3), range(2), range(3)), ARMA, 5, 20)
+    found = search.information(12).filter("aicc is not null")
+    best = found.groupBy("series_id").agg(F.min_by(F.struct("candidate", "aicc", "q"), F.struct("aicc", "candidate")).alias("b"))
+    return best.select("series_id", "b.candidate", rnd("b.aicc", 4).alias("aicc"), rnd("b.q", 4).alias("q"))

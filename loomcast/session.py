@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,11 +28,14 @@ def local_session(cores: str = "8", app: str = "loomcast") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) a fresh local folder is set.
+    Only where the session names none and all tasks run in this process (tests, a laptop) a fresh local folder is
+    set; on a cluster that is an error, as executors do not see each other's folders.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = known or tempfile.mkdtemp(prefix="loomcast-")
         if not known:
             spark.sparkContext.setCheckpointDir(current)
