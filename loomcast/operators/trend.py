@@ -145,6 +145,33 @@ def additive_forecasts(
     ).select(*keys, "fold", "idx", "h", "y", "candidate", dot(design, F.col("beta")).alias("yhat"))
 
 
+def additive_future(
+    df: DataFrame, keys: Sequence[str], chosen: DataFrame, steps: int, m: int, grid: list[dict],
+    *, knots: int = 8, order: int = 5, regressors: Sequence[str] = (), known: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, h, idx, candidate, yhat): the candidate chosen per series, fitted on all of it, ``steps`` periods beyond its end.
+
+    Time goes on beyond the fitted range, the last slope of the hinges with it. With regressors, ``known`` has their
+    values by (keys, h); a step without them has a NULL forecast, a series without a candidate no row.
+    """
+    if regressors and known is None:
+        raise ValueError("the regressors' values beyond the end are needed")
+    design = additive_design(m, knots, order, regressors)
+    z, free = len(design), 2 + len(regressors)
+    sums = train_prefix_packed(with_design(df, design), keys, 1, normal_sums(z), whole=True).drop("train_size", "test_size")
+    keep = [*keys, "fold"]
+    fits = _spread(sums, *keys).transform(shipped).mapInArrow(
+        _penalised_task(keep, z, free, knots, grid), f"{_key_ddl(df, keys)}, fold int, betas array<array<double>>").drop("fold")
+    pick = chosen.filter("candidate is not null").select(*keys, F.col("candidate").cast("int").alias("candidate"))
+    ends = df.filter(F.col("idx") == F.col("n") - 1).select(*keys, "n", F.col("pos").alias("_end"))
+    rows = ends.join(pick, list(keys)).join(fits, list(keys)).withColumn("beta", F.get("betas", F.col("candidate"))).drop("betas")
+    rows = rows.withColumn("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint")))) \
+        .withColumns({"idx": F.col("n") + F.col("h"), "pos": F.col("_end") + 1 + F.col("h")})
+    if regressors:
+        rows = rows.join(known.select(*keys, "h", *regressors), [*keys, "h"], "left")
+    return rows.select(*keys, "h", "idx", "candidate", dot(design, F.col("beta")).alias("yhat"))
+
+
 def polynomial_fits(df: DataFrame, keys: Sequence[str], degree: int, y: str = "y") -> DataFrame:
     """(keys, n, coef) of a polynomial in scaled time over the whole series.
 

@@ -13,6 +13,8 @@ from loomcast.plans.registry import query
 from loomcast.plans.validation import folds_sql
 
 K = P.K
+_TWO = ("(var_pop({u}) * covar_pop({v}, {y}) - covar_pop({u}, {v}) * covar_pop({u}, {y})) "
+        "/ (var_pop({u}) * var_pop({v}) - power(covar_pop({u}, {v}), 2))")
 ARMA = {"kind": "arma", "long": 4}
 PDQ = arma_grid(range(5), range(3), range(5))
 
@@ -170,6 +172,40 @@ def fc8_regressor(spark, sf):
     return _additive(P.orders_monthly_pair(spark, sf), 5, 20, 12, tr.scale_grid(YEARLY_SCALES), regressors=["x"])
 
 
+@query("fc8_additive_future_line",
+       f"WITH {P.F2}, f AS (SELECT series_id, max(n) AS n, regr_slope(y, idx) AS b, regr_intercept(y, idx) AS a FROM panel GROUP BY 1) "
+       f"SELECT series_id, CAST(h AS BIGINT) AS h, {r('a + b * (n + h)', 2)} AS yhat FROM f, range(12) t(h)")
+def fc8_future_line(spark, sf):
+    """Without hinges and waves the additive model is a line in time: 12 months beyond the end."""
+    df = P.lineitem_monthly(spark, sf)
+    chosen = df.select("series_id").distinct().withColumn("candidate", F.lit(0))
+    out = tr.additive_future(df, K, chosen, 12, 12, tr.scale_grid([1]), knots=0, order=0)
+    return out.select("series_id", "h", rnd("yhat", 2).alias("yhat"))
+
+
+@query("fc8_additive_future_regressor",
+       f"WITH {P.F4}, two AS (SELECT *, CAST(idx AS DOUBLE) AS w FROM panel), "
+       f"f AS (SELECT series_id, {_TWO.format(u='w', v='x', y='y')} AS a, {_TWO.format(u='x', v='w', y='y')} AS b, "
+       "avg(y) AS my, avg(x) AS mx, avg(w) AS mw FROM two WHERE idx < n - 12 GROUP BY 1) "
+       f"SELECT series_id, CAST(idx - n + 12 AS BIGINT) AS h, {r('my + a * (x - mx) + b * (w - mw)', 1)} AS yhat "
+       "FROM two JOIN f USING (series_id) WHERE idx >= n - 12")
+def fc8_future_regressor(spark, sf):
+    """A line in time and one regressor that is known beyond the end."""
+    past, known = _ahead(P.orders_monthly_pair(spark, sf), ["x"], 12)
+    chosen = past.select("series_id").distinct().withColumn("candidate", F.lit(0))
+    out = tr.additive_future(past, K, chosen, 12, 12, tr.scale_grid([1]), knots=0, order=0, regressors=["x"], known=known)
+    return out.select("series_id", "h", rnd("yhat", 1).alias("yhat"))
+
+
+@query("fc8_additive_future_best")
+def fc8_future_best(spark, sf):
+    """Two years beyond the end by each series' best prior scale, hinges and waves included."""
+    df, grid = P.lineitem_monthly(spark, sf), tr.scale_grid(YEARLY_SCALES)
+    pred = tr.additive_forecasts(df, K, 5, 20, 12, grid)
+    best = so.best_candidate(so.candidate_scores(so.fold_scores(pred, ["series_id", "candidate"]), ["series_id", "candidate"]), K)
+    return tr.additive_future(df, K, best, 24, 12, grid).select("series_id", "h", "candidate", rnd("yhat", 2).alias("yhat"))
+
+
 @query("fc10_polynomial_trend")
 def fc10(spark, sf):
     """Degree 8 in scaled time per series, continued to day 100."""
@@ -261,9 +297,6 @@ def fc12_one(spark, sf):
     return search.fold_scores().select("series_id", "fold", rnd("mae", 4).alias("mae"))
 
 
-_TWO = ("(var_pop({u}) * covar_pop({v}, {y}) - covar_pop({u}, {v}) * covar_pop({u}, {y})) "
-        "/ (var_pop({u}) * var_pop({v}) - power(covar_pop({u}, {v}), 2))")
-
 _POOLED_Z = ("m AS (SELECT series_id, fold, {moments} FROM train GROUP BY 1, 2), "
              "z AS (SELECT series_id, fold, idx, {values} FROM train JOIN m USING (series_id, fold) WINDOW w AS (PARTITION BY series_id, fold ORDER BY idx))")
 

@@ -128,3 +128,27 @@ def test_additive_model_learns_trend_and_season(panel_of):
     mae = {r.candidate: r.m for r in out.groupBy("candidate").agg({"*": "count"}).withColumnRenamed("count(1)", "m").collect()}
     assert mae == {0: 80, 1: 80}
     assert all(abs(r.y - r.yhat) < 0.2 for r in out.collect())
+
+
+def test_additive_model_beyond_the_end(panel_of):
+    """Line, one pair of waves and a hinge grid without penalty, against plain least squares on the same columns."""
+    import math
+
+    import numpy as np
+    from loomcast.operators import trend as tr
+
+    rng = np.random.default_rng(4)
+    y = [3 + 0.2 * i + math.sin(i) + rng.normal() for i in range(60)]
+    df = panel_of({"a": y, "b": [2 * v for v in y]})
+    chosen = df.select("series_id").distinct().selectExpr("series_id", "1 as candidate")
+    grid = tr.scale_grid([1e-9, 1e9], [1e9])[:2]
+    out = {(r.series_id, r.h): r.yhat for r in tr.additive_future(df, ["series_id"], chosen, 6, 12, grid, knots=1, order=1).collect()}
+
+    def row(i):
+        u, angle = 2 * i / 59 - 1, 2 * math.pi * ((100 + i) % 12) / 12
+        return [1.0, u, max(u, 0.0), math.sin(angle), math.cos(angle)]
+
+    beta = np.linalg.lstsq(np.array([row(i) for i in range(60)]), np.array(y), rcond=None)[0]
+    for h in range(6):
+        want = float(np.dot(row(60 + h), beta))
+        assert abs(out["a", h] - want) < 1e-5 and abs(out["b", h] - 2 * want) < 1e-5
