@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomcast.operators import diagnostics as dg, scoring as so, slices, trend as tr
 from loomcast.operators.folds import test_rows
+from loomcast.operators.rescaled import DifferencedSearch
 from loomcast.operators.solver_tasks import GridSearch, PooledSearch, arma_grid, with_candidate_parameters
 from loomcast.plans import panels as P
 from loomcast.plans.panels import r, rnd
@@ -489,3 +490,41 @@ def dia3_best(spark, sf):
     found = search.information(12).filter("aicc is not null")
     best = found.groupBy("series_id").agg(F.min_by(F.struct("candidate", "aicc", "q"), F.struct("aicc", "candidate")).alias("b"))
     return best.select("series_id", "b.candidate", rnd("b.aicc", 4).alias("aicc"), rnd("b.q", 4).alias("q"))
+
+
+def _inverted_sql(lost: int, value: str) -> str:
+    """Mean of the differences of training rows, summed back from the last actual values; ``value`` gives a step."""
+    diff = "y - lag(y, 12) OVER w" if lost == 12 else "y - lag(y) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w"
+    return (f"WITH {P.F2}, d AS (SELECT series_id, idx - {lost} AS idx, n - {lost} AS n, {diff} AS y FROM panel "
+            "WINDOW w AS (PARTITION BY series_id ORDER BY idx)), t AS (SELECT * FROM d WHERE idx >= 0), "
+            + folds_sql("one AS (SELECT 1)", 5, 20, "t")
+            + f", fit AS (SELECT series_id, fold, avg(y) AS c, max(train_size) + {lost} AS origin FROM train GROUP BY 1, 2), "
+            "g AS (SELECT t2.series_id, t2.fold, t2.h, c, origin, t2.h // 12 AS q FROM test t2 JOIN fit USING (series_id, fold)) "
+            f"SELECT g.series_id, g.fold, CAST(origin + h AS BIGINT) AS idx, {r(value, 1)} AS yhat FROM g "
+            "JOIN panel b ON b.series_id = g.series_id AND b.idx = origin - 12 + h % 12 "
+            "JOIN panel e ON e.series_id = g.series_id AND e.idx = origin - 1 JOIN panel f ON f.series_id = g.series_id AND f.idx = origin - 13")
+
+
+def _mean_of_differences(spark, sf, d):
+    search = DifferencedSearch(P.lineitem_monthly(spark, sf), K, ["y"], arma_grid([0], [0], [0]), ARMA, 5, 20, d=d, D=1, m=12)
+    chosen = search.df.select("series_id").distinct().withColumn("candidate", F.lit(0))
+    return search.forecasts(chosen).select("series_id", "fold", "idx", rnd("yhat", 1).alias("yhat"))
+
+
+@query("fc15_seasonal_difference_inverted", _inverted_sql(12, "b.y + (q + 1) * c"))
+def fc15_seasonal(spark, sf):
+    """Order (0, 0, 0) on seasonal differences, in original units."""
+    return _mean_of_differences(spark, sf, 0)
+
+
+@query("fc15_both_differences_inverted", _inverted_sql(13, "b.y + (q + 1) * (e.y - f.y) + c * ((q + 1) * (h + 1) - 6 * q * (q + 1))"))
+def fc15_both(spark, sf):
+    """Order (0, 0, 0) on first and seasonal differences, in original units."""
+    return _mean_of_differences(spark, sf, 1)
+
+
+@query("fc15_best_order_on_original_scale")
+def fc15_best(spark, sf):
+    """Best of 18 orders on seasonal differences, a year beyond the end in original units."""
+    search = DifferencedSearch(P.lineitem_monthly(spark, sf), K, ["y"], arma_grid(range(3), range(2), range(3)), ARMA, 5, 20, D=1, m=12)
+    return search.future(so.best_candidate(search.scores(), K), 12).select("series_id", "h", "idx", "candidate", rnd("yhat", 2).alias("yhat"))
