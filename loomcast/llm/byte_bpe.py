@@ -42,7 +42,7 @@ from loomcast.llm.words import buffer_of, word_hashes
 from loomcast.shipping import shipped
 
 LONG = 64  # bytes of a piece
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -314,6 +314,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       pieces(docs.sparkSession, F.coalesce(F.col(text_col).cast("string"), F.lit("")), pattern).alias("pieces"))
     words = Words(whole_tokens(path), frequent_words(cut, path, remembered).toArrow())  # ``remembered`` short words
+    pa.default_memory_pool().release_unused()
     coded = known_ids(cut, docs.sparkSession.sparkContext.broadcast(words))  # and the tokens
     return _folded(coded, path, F.col("rare")).select("doc_id", "coded", "ids")
 
