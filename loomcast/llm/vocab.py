@@ -38,6 +38,15 @@ def _is_rare(text: str) -> bool:
     return _RARE.search(text) is not None
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; beyond the end they are zero."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data), "<u8", padded, strides=(1,))
+
+
 class Vocabulary:
     """Encoder and decoder for one tokenizer file; one instance per Python worker."""
 
@@ -145,15 +154,17 @@ class Vocabulary:
         return place, known
 
     def _other(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Which ranges are not the word that is remembered under their hash."""
+        """Which ranges are not the word that is remembered under their hash: eight bytes are compared at a time."""
         length = ends - starts
         other = length != self.size[place]
-        length = np.where(other, 0, length)
-        differ = self._folded(data[spread(starts, length)]) != self.letters[spread(self.at[place], length)]
-        if differ.any():
-            total = np.concatenate([[0], np.cumsum(differ)])
-            edge = np.concatenate([[0], np.cumsum(length)])
-            other |= total[edge[1:]] > total[edge[:-1]]
+        own, kept = _eights(self._folded(data)), _eights(self.letters[:self.written])
+        left, at, word = np.flatnonzero(~other), starts, self.at[place]
+        for done in range(0, LONGEST, 8):
+            left = left[length[left] > done]
+            if not len(left):
+                break
+            differ = (own[at[left] + done] ^ kept[word[left] + done]) & _MASKS[np.minimum(length[left] - done, 8)]
+            other[left[differ != 0]] = True
         return other
 
     def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
