@@ -202,7 +202,155 @@ def solver_rows(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], lags: int, k: int, min_train: int = 0,
     *, size: int = CHUNK, horizon: int = HORIZON,
 ) -> DataFrame:
-    """Lag products next to the test values they are scored on."""
-    sums = lag_products(df, keys, cols, lags, k, min_train, size=size)
-    chunks = test_chunks(df, keys, cols, k, min_train, horizon=horizon)
-    return attach_fold_values(chunks, sums, keys, size=size)
+    """Lag products next to the test values they are scored on.
+
+    A series of at most ``size`` periods is summed where its rows meet once; a longer one is summed by chunks.
+    """
+    long = df.filter(F.col("n") > size)
+    sums = lag_products(long, keys, cols, lags, k, min_train, size=size)
+    chunks = test_chunks(long, keys, cols, k, min_train, horizon=horizon)
+    return whole_rows(df.filter(F.col("n") <= size), keys, cols, lags, k, min_train, horizon=horizon).unionByName(
+        attach_fold_values(chunks, sums, keys, size=size))
+
+
+def whole_rows(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], lags: int, k: int, min_train: int = 0, *, horizon: int = HORIZON
+) -> DataFrame:
+    """``solver_rows`` of series that fit into a chunk: one exchange, and no row is copied per lag or fold."""
+    rows = with_blocks(df.select(*keys, "idx", "n", *[F.col(c).cast("double").alias(c) for c in cols]), k)
+    rows = rows.filter(F.col("block") <= k).select(*keys, "idx", "first", "test_size", "block", *cols)
+    # rows are few bytes and much work: a stated number of partitions
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "idx")
+    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+    actual = ", ".join(f"`actual_{c}` array<double>" for c in cols)
+    return rows.transform(shipped).mapInArrow(
+        whole_task(list(keys), list(cols), lags, k, min_train, horizon),
+        f"{ddl}, fold int, h bigint, {actual}, gaps bigint, rows bigint, early bigint, mu array<double>, s array<double>, "
+        "c array<double>, head array<double>, tail array<double>")
+
+
+TASK_ROWS = 1 << 17  # rows summed at a time, and those of the last series
+
+
+def whole_task(keys: list[str], cols: list[str], lags: int, k: int, min_train: int, horizon: int):
+    """Sums of whole series, from rows sorted by (keys, idx); a series may lie across batches."""
+    def run(batches):
+        waiting, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            held += batch.num_rows
+            if held >= TASK_ROWS:
+                table = pa.Table.from_batches(waiting).combine_chunks()
+                cut = int(_starts(table, keys)[-1])  # the last series may go on
+                yield from _whole(table.slice(0, cut), keys, cols, lags, k, min_train, horizon)
+                waiting = table.slice(cut).combine_chunks().to_batches()
+                held = table.num_rows - cut
+        if waiting:
+            yield from _whole(pa.Table.from_batches(waiting).combine_chunks(), keys, cols, lags, k, min_train, horizon)
+
+    return run
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a series begins: a null key equals a null key, as in a group."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in keys:
+        codes = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    values = np.ascontiguousarray(values)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
+def _whole(table: pa.Table, keys: list[str], cols: list[str], lags: int, k: int, min_train: int, horizon: int):
+    if not table.num_rows:
+        return
+    v, width = len(cols), lags + 1
+    at = {c: table.column(c).to_numpy() for c in ("idx", "first", "test_size", "block")}
+    idx, block = at["idx"], at["block"]
+    begin = _starts(table, keys)
+    series = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(idx)))
+    place = np.arange(len(idx)) - begin[series]  # of the row in its series
+    null = np.array([table.column(c).combine_chunks().is_null().to_numpy(zero_copy_only=False) for c in cols])
+    y = np.array([table.column(c).combine_chunks().fill_null(0.0).to_numpy() for c in cols])
+    actual = np.where(null, np.nan, y)
+
+    cell = series * (k + 1) + block  # rows of a cell follow each other
+    edge = np.flatnonzero(np.diff(cell, prepend=-1))
+    cells, shape = cell[edge], (len(begin), k + 1)
+
+    def per_cell(x):
+        out = np.zeros(shape[0] * shape[1])
+        out[cells] = np.add.reduceat(x, edge)
+        return out.reshape(shape)
+
+    with np.errstate(all="ignore"):
+        first = np.where(null, 0.0, np.where(block == 0, y, 0.0))
+        known = ~null & (block == 0)
+        mu = np.array([per_cell(first[u])[:, 0] / np.maximum(per_cell(known[u].astype(float))[:, 0], 1.0) for u in range(v)])
+        y = np.where(null, 0.0, y - mu[:, series])  # a missing value adds nothing to a sum
+        usable = idx >= lags
+
+        def back(u, i):
+            """The value i rows before, 0 where there is none."""
+            out = np.zeros(len(idx))
+            out[i:] = y[u, :max(len(idx) - i, 0)]
+            out[place < i] = 0.0
+            return out
+
+        shifted = [[back(u, i) for i in range(width)] for u in range(v)]
+        gaps, rows, early = (np.cumsum(per_cell(x.astype(float)), axis=1) for x in (null.sum(axis=0), usable, ~usable))
+        own = [np.where(usable, y[u], 0.0) for u in range(v)]
+        total = lambda x: np.cumsum(per_cell(x), axis=1)
+        s = np.stack([total(own[u]) for u in range(v)], axis=-1)
+        c = np.stack([total(np.where(usable & ~null[u], y[u] * shifted[w][i], 0.0)) for u in range(v) for w in range(v) for i in range(width)], axis=-1)
+
+    # a few rows per series: the first lags + 1, and the last of each block
+    head, ends = np.zeros((*shape, v, width)), np.zeros((*shape, v, width))
+    few = np.flatnonzero(idx <= lags)
+    last = np.flatnonzero(idx == at["first"] + block * at["test_size"] - 1)
+    for u in range(v):
+        np.add.at(head, (series[few], block[few], u, lags - idx[few]), y[u, few])
+        for i in range(width):
+            ends[series[last], block[last], u, i] = shifted[u][i][last]
+    head = np.cumsum(head, axis=1)
+
+    present = np.zeros(shape[0] * shape[1], np.int64)
+    present[cells] = np.diff(edge, append=len(idx))
+    start = np.zeros(shape[0] * shape[1], np.int64)
+    start[cells] = edge
+    present, start = present.reshape(shape), start.reshape(shape)
+    train = at["first"][begin][:, None] + np.arange(k + 1) * at["test_size"][begin][:, None]
+    ok = (present[:, :-1] > 0) & (present[:, 1:] > 0) & (train[:, :-1] > min_train)
+    who, fold = np.nonzero(ok)
+    lo = start[who, fold + 1]
+    hi = lo + present[who, fold + 1]
+    # a long test block is several parts, by the step ahead
+    step = idx - (at["first"] + (block - 1) * at["test_size"])
+    part = step // horizon
+    if len(lo) and (part[hi - 1] > 0).any():
+        cuts = [lo[j] + np.flatnonzero(np.diff(part[lo[j]:hi[j]], prepend=-1)) for j in range(len(lo))]
+        times = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        ends_of = [np.append(x[1:], h) for x, h in zip(cuts, hi)]
+        who, fold, lo, hi = np.repeat(who, times), np.repeat(fold, times), np.concatenate(cuts), np.concatenate(ends_of)
+    size = hi - lo
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    pick = np.arange(offsets[-1]) + np.repeat(lo - offsets[:-1], size)
+    names = [table.column(x).combine_chunks().take(pa.array(begin[who])) for x in keys]
+    columns = [*names, pa.array(fold, pa.int32()), pa.array(part[lo] * horizon, pa.int64())]
+    columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(actual[u, pick])) for u in range(v)]
+    columns += [pa.array(x[who, fold].astype(np.int64)) for x in (gaps, rows, early)]
+    columns += [_lists(mu.T[who]), _lists(s[who, fold]), _lists(c[who, fold])]
+    columns += [_lists(x[who, fold].reshape(len(who), v * width)) for x in (head, ends)]
+    out = pa.RecordBatch.from_arrays(columns, names=[
+        *keys, "fold", "h", *[f"actual_{x}" for x in cols], "gaps", "rows", "early", "mu", "s", "c", "head", "tail"])
+    for lo in range(0, out.num_rows, 8192):
+        yield out.slice(lo, 8192)

@@ -19,6 +19,7 @@ from loomcast.operators import scoring as so, solvers as sv
 from loomcast.operators.lag_products import HORIZON, lag_products, masked_products, recent_rows, solver_rows
 from loomcast.operators.split import CHUNK
 from loomcast.shipping import shipped
+from loomcast.sources.series import stored
 
 DOUBLES_PER_SLICE = 2_000_000
 
@@ -68,22 +69,27 @@ class _Samples:
         if lags > self.at:
             self.at, self.s = self.head.shape[2] - 1, self.common
         b, v, width = self.head.shape
-        for t in range(self.at - 1, lags - 1, -1):
-            z = np.zeros((b, 1 + v * width))
-            z[:, 0] = 1.0
-            # lag i at position t is the value at position t - i
-            z[:, 1:].reshape(b, v, width)[:, :, :t + 1] = self.head[:, :, width - 1 - t:]
-            z[self.early <= t] = 0.0
-            self.s = self.s + z[:, :, None] * z[:, None, :]
+        if lags < self.at:
+            z = np.zeros((b, self.at - lags, 1 + v * width))
+            z[:, :, 0] = 1.0
+            each = z[:, :, 1:].reshape(b, self.at - lags, v, width)
+            for t in range(lags, self.at):
+                # lag i at position t is the value at position t - i
+                each[:, t - lags, :, :t + 1] = self.head[:, :, width - 1 - t:]
+            z *= (np.arange(lags, self.at) < self.early[:, None])[:, :, None]
+            self.s = self.s + np.swapaxes(z, 1, 2) @ z
         self.at = lags
         return self.s, self.rows + np.maximum(self.early - lags, 0)
 
     def own_scale(self, v, width):
         """Mean and standard deviation (B, V) of all training values, and their number; 1 for a constant series."""
-        s, n = self.of(0)
+        n = self.rows + np.maximum(self.early, 0)
         at = 1 + width * np.arange(v)
-        mean = s[:, 0, at] / np.maximum(n, 1)[:, None]
-        square = s[:, at, at] / np.maximum(n, 1)[:, None]
+        # the values before position ``lags`` are in ``head``, newest first
+        before = np.where(np.arange(width - 1, -1, -1) < self.early[:, None], 1.0, 0.0)[:, None, :] * self.head
+        before[:, :, 0] = 0.0
+        mean = (self.common[:, 0, at] + before.sum(axis=2)) / np.maximum(n, 1)[:, None]
+        square = (self.common[:, at, at] + (before * before).sum(axis=2)) / np.maximum(n, 1)[:, None]
         sd = np.sqrt(np.maximum(square - mean * mean, 0.0))
         return mean, np.where(sd > 1e-9 * (np.sqrt(square) + 1e-300), sd, 1.0), n
 
@@ -223,7 +229,7 @@ def _pooled_forecaster(samples, gaps, state, mu, unknown, starts, fold, spec):
             if rows > params:
                 if f not in fitted:
                     fitted[f] = sv.window_fit(pooled[None], v, width, n_in, n_out, cand["ridge"])[:2]
-                const, weights = (np.repeat(x, len(of), axis=0) for x in fitted[f])
+                const, weights = (np.broadcast_to(x, (len(of), *x.shape[1:])) for x in fitted[f])
                 at = pick[of]
                 out = sv.window_forecast(const, weights, scaled[at][:, :, :n_in], n_out, steps, starts[at])
                 yhat[of] = out[:, 0] * sd[at, :1] + mean[at, :1] + mu[at, :1]
@@ -249,17 +255,12 @@ def pool_task(cols, lags, spec, candidates):
                 samples, gaps, _ = _samples(col, v, width, part.num_rows)
                 fold = col["fold"].to_numpy(zero_copy_only=False)
                 mean, sd, _ = samples.own_scale(v, width)
-                move = np.zeros((part.num_rows, v * width + 1, v * width + 1))
-                move[:, 0, 0] = 1.0
-                at = np.arange(1, v * width + 1)
-                move[:, at, at] = 1.0 / np.repeat(sd, width, axis=1)
-                move[:, at, 0] = -np.repeat(mean / sd, width, axis=1)
                 for need in needs:
                     s, used = samples.of(need)
                     for f in np.unique(fold):
                         take = np.flatnonzero((fold == f) & (gaps == 0) & (used > 0))
                         if len(take):
-                            own = (move[take] @ s[take] @ np.swapaxes(move[take], 1, 2)).sum(axis=0)
+                            own = _standardised(s[take], mean[take], sd[take], width)
                             flat = np.concatenate([[used[take].sum()], own.ravel()])
                             total[need, int(f)] = total.get((need, int(f)), 0.0) + flat
         for (need, f), flat in total.items():
@@ -270,6 +271,23 @@ def pool_task(cols, lags, spec, candidates):
     return run
 
 
+def _standardised(s, mean, sd, width):
+    """Sum over a batch of normal matrices as those of (value - mean) / sd: weights per matrix, no matrix per matrix."""
+    v, z = mean.shape[1], s.shape[1]
+    a, m = 1.0 / sd, mean / sd
+    out = np.zeros((z, z))
+    out[0, 0] = s[:, 0, 0].sum()
+    first = [s[:, 0, 1 + u * width:1 + (u + 1) * width] for u in range(v)]
+    for u in range(v):
+        at = slice(1 + u * width, 1 + (u + 1) * width)
+        out[0, at] = out[at, 0] = a[:, u] @ first[u] - m[:, u] @ s[:, 0, 0]
+        for w in range(v):
+            to = slice(1 + w * width, 1 + (w + 1) * width)
+            out[at, to] = np.tensordot(a[:, u] * a[:, w], s[:, at, to], axes=(0, 0)) \
+                - ((a[:, u] * m[:, w]) @ first[u])[:, None] - (m[:, u] * a[:, w]) @ first[w] + (m[:, u] * m[:, w]) @ s[:, 0, 0]
+    return out
+
+
 def _width(cols, lags):
     return len(cols) * (lags + 1) + 1
 
@@ -438,8 +456,9 @@ class GridSearch:
 
     def fold_scores(self, timed: bool = False) -> DataFrame:
         """(keys, candidate, fold, mae, status) - a failed candidate has NULL and a reason; ``timed`` adds its seconds."""
+        args = self._args()  # a pooled search writes its rows here
         raw = _spread(self.rows, *self.keys, "fold", "h").transform(shipped).mapInArrow(
-            score_task(*self._args()),
+            score_task(*args),
             f"{self._ddl}, fold int, steps bigint, abs_err array<double>, status array<int>, seconds array<double>")
         flat = raw.select(*self.keys, "fold", "steps", F.posexplode(F.arrays_zip("abs_err", "status", "seconds")).alias("candidate", "z"))
         names = F.array(*[F.lit(x) for x in sv.STATUS])
@@ -500,6 +519,7 @@ class GridSearch:
     def forecasts(self, chosen: DataFrame) -> DataFrame:
         """(keys, fold, h, candidate, yhat) over the test blocks for the candidate chosen per series."""
         pick = chosen.filter("candidate is not null").select(*self.keys, F.col("candidate").cast("int").alias("candidate"))
+        self._args()
         rows = self.rows.withColumn("steps", F.size(f"actual_{self.cols[0]}")).join(pick, self.keys)
         return self._paths(rows)
 
@@ -574,10 +594,16 @@ class PooledSearch(GridSearch):
                  k: int, min_train: int = 0, *, size: int = CHUNK, horizon: int = HORIZON):
         spec = {"kind": "pooled", "n_out": n_out}
         super().__init__(df, keys, cols, candidates, spec, k, min_train, size=size, horizon=horizon)
+        self.kept = False  # whether ``rows`` are written: the sums and the scores read the same
 
     def pooled(self, whole: bool = False) -> dict:
         """{(lags, fold): (normal matrix, rows)}: all training sets of a fold, or of all values as fold k."""
-        sums = lag_products(self.df, self.keys, self.cols, self.lags, self.k, self.min_train, size=self.size, whole=whole)
+        if whole:
+            sums = lag_products(self.df, self.keys, self.cols, self.lags, self.k, size=self.size, whole=True)
+        else:  # a training set is there once per part of its test block
+            if not self.kept:
+                self.rows, self.kept = stored(self.rows), True
+            sums = self.rows.filter("h = 0")
         parts = _spread(sums, *self.keys, "fold").transform(shipped).mapInArrow(
             pool_task(self.cols, self.lags, self.spec, self.candidates), "lags int, fold int, pos int, value double")
         z = _width(self.cols, self.lags)

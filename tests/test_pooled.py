@@ -91,3 +91,8 @@ def test_gaps_stay_out_of_the_sums(panel_of):
     for at, (mae, status) in scores[0].items():
         assert status == "ok" and mae == pytest.approx(scores[1][at][0], rel=1e-9)
     assert {v for (name, _), v in scores[1].items() if name == "gap"} == {(None, "gaps")}
+
+
+def test_scores_read_the_rows_that_the_sums_were_taken_from(panel_of):
+    search = PooledSearch(panel_of({f"s{i}": series(i, 40) for i in range(4)}), K, ["y"], [dict(n_in=2, ridge=0.0)], 1, 3, 0)
+    assert search.fold_scores().inputFiles()
