@@ -2,8 +2,8 @@
 
 A text is cut into pieces by the vocabulary's pattern. A piece is an array of its bytes' ids; ``aggregate`` folds the
 merges over it: every step joins the leftmost pair of lowest rank and looks up the two new neighbours, until no pair
-has a rank (a rank is the id of the joined token). The ranks of pairs are one literal: an array of short lists
-indexed by a remainder of the pair, as a plain map would be searched entry by entry. A step over a piece of more
+has a rank (a rank is the id of the joined token). The ranks of pairs are one literal: an array in which a pair stands
+in one of two places, as a plain map would be searched entry by entry. A step over a piece of more
 than ``LONG`` bytes joins all pairs of the lowest rank from the left, unless that would make a pair of a still lower
 rank at any point: then it joins the leftmost pair only. Both ways give the same tokens.
 
@@ -42,7 +42,7 @@ from loomcast.llm.words import buffer_of, word_hashes
 from loomcast.shipping import shipped
 
 LONG = 64  # bytes of a piece
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 @lru_cache(maxsize=4)
@@ -67,39 +67,84 @@ def whole_tokens(path: str) -> dict[str, int]:
     return out
 
 
+ODD = (0x5BD1D, 0x3A8F5)  # the two places of a pair in its table are middle bits of its products with these
+
+
+def _slots(keys: list[int], entries: list[int]) -> list[int]:
+    """Every entry in the lower or upper half of an array, at one of its key's two places; zero where there is none."""
+    half = 1 << max(10, (len(keys) * 21 // 20).bit_length())
+    while True:
+        held = [-1] * (2 * half)
+        for i in range(len(keys)):
+            side = 0
+            for _ in range(500):
+                at = side * half + (keys[i] * ODD[side] >> 18 & half - 1)
+                held[at], i = i, held[at]
+                if i < 0:
+                    break
+                side = int(at < half)  # the one that stood there goes to its other place
+            else:
+                break
+        else:
+            return [0 if i < 0 else entries[i] for i in held]
+        half *= 2
+
+
+@lru_cache(maxsize=4)
+def _pair_slots(path: str, span: int) -> list[int]:
+    """All pairs of tokens that make a token, as numbers left, right, token, dealt by ``_slots``."""
+    ranks = load_ranks(path)
+    keys, entries = [], []
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                keys.append(a * span + b)
+                entries.append(keys[-1] * span + rank)
+    return _slots(keys, entries)
+
+
 @dataclass(frozen=True)
 class Merges:
-    """The fold over one vocabulary; ``table`` is the literal made by ``pairs``, bound by ``_let``."""
+    """The fold over one vocabulary; ``table`` is the literal made by ``_pair_slots``, bound by ``_let``."""
 
     table: Column
-    single: list[int]  # id of every byte
+    half: int  # of the table's length
+    ones: Column  # a short piece's number of a byte that is the last one, by the byte
+    twos: Column  # of a byte before another one, by both
 
-    BUCKETS = 50021
     SPAN = 1 << 20  # above every id: a pair and its id are one number
     NONE = 1 << 20  # rank of a pair that makes no token
     PLACES = 1 << 24  # above every place in a piece
+    LOW = 28  # bits of an id and of a place in a short piece
 
     @classmethod
     def bound(cls, path: str, use: Callable[[Merges], Column]) -> Column:
         ranks = load_ranks(path)
-        if max(ranks.values()) >= cls.SPAN:
+        if max(ranks.values()) >= cls.SPAN - 1:
             raise ValueError("too many ids for one number per pair")
-        parts: list[list[int]] = [[] for _ in range(cls.BUCKETS)]
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    key = a * cls.SPAN + b
-                    parts[key % cls.BUCKETS].append(key * cls.SPAN + rank)
-        single = [ranks[bytes([b])] for b in range(256)]
-        return _let(F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>"), lambda table: use(cls(table, single)))
+        slots = _pair_slots(path, cls.SPAN)
+        ones = [(cls.NONE << cls.LOW) + ranks[bytes([b])] for b in range(256)]
+        twos = [(ranks.get(bytes([a, b]), cls.NONE) << cls.LOW) + ranks[bytes([a])] for a in range(256) for b in range(256)]
+        literal = lambda numbers: F.from_json(F.lit(json.dumps(numbers, separators=(",", ":"))), "array<bigint>")
+        return _let(literal(slots), lambda table: _let(literal(ones), lambda one: _let(literal(twos), lambda two: use(
+            cls(table, len(slots) // 2, one, two)))))
+
+    def _rank(self, a: Column, b: Column) -> Column:
+        """Id of the token that a pair makes, NONE for no token or no right part."""
+
+        def found(key: Column) -> Column:
+            at = lambda odd: F.shiftright(key * F.lit(odd), 18).bitwiseAND(F.lit(self.half - 1)).cast("int")
+            one, two = F.get(self.table, at(ODD[0])), F.get(self.table, at(ODD[1]) + F.lit(self.half))
+            rank = lambda e: e.bitwiseAND(F.lit(self.SPAN - 1))
+            return F.when(F.shiftright(one, 20) == key, rank(one)).when(F.shiftright(two, 20) == key, rank(two)) \
+                .otherwise(F.lit(self.NONE).cast("bigint"))
+
+        return _let(F.shiftleft(a, 20) + b, found)
 
     def _pair(self, a: Column, b: Column) -> Column:
-        """Id of the token that a pair makes, NONE for no token or no right part, before the id ``a`` in one number."""
-        key = a * F.lit(self.SPAN) + b
-        entries = F.get(self.table, (key % self.BUCKETS).cast("int"))
-        rank = F.aggregate(entries, F.lit(self.NONE).cast("bigint"), lambda v, e: F.when(F.shiftright(e, 20) == key, e.bitwiseAND(F.lit(self.SPAN - 1))).otherwise(v))
-        return F.coalesce(rank, F.lit(self.NONE)) * F.lit(self.SPAN) + a
+        """``_rank`` before the id ``a`` in one number."""
+        return self._rank(a, b) * F.lit(self.SPAN) + a
 
     @classmethod
     def _id(cls, entry: Column) -> Column:
@@ -112,21 +157,49 @@ class Merges:
         """Ids of a piece that is no token itself. The state has, for every id, the rank of its pair with the next one."""
         # one character per byte
         letters = F.split(F.decode(piece.cast("binary"), "ISO-8859-1"), "")
-        single = F.from_json(F.lit(json.dumps(self.single)), "array<bigint>")
-        state = _let(F.transform(letters, lambda c: F.get(single, F.ascii(c))), self._chain)
-        turns = F.sequence(F.lit(1), F.octet_length(piece))
+        values = F.transform(letters, F.ascii)
+        folded = F.when(F.octet_length(piece) > LONG, self._fold_long(piece, values)).otherwise(self._fold_short(piece, values))
+        return folded.cast("array<int>")
 
-        def fold(step):
-            def turn(s: Column, _: Column) -> Column:
-                # lowest rank first, then place
-                lowest = F.array_min(F.transform(s, lambda e, i: F.shiftright(e, 20) * F.lit(self.PLACES) + i))
-                return _let(lowest, lambda m: F.when(m >= F.lit(self.NONE * self.PLACES), s).otherwise(
-                    step(s, F.shiftright(m, 24), m.bitwiseAND(F.lit(self.PLACES - 1)))))
+    def _fold_short(self, piece: Column, values: Column) -> Column:
+        """A number has rank, place of the first byte and id, so the least one is the leftmost pair of lowest rank.
 
-            return F.transform(F.aggregate(turns, state, turn), self._id)
+        Before the first stands an id that makes no pair, so that every id has one before it.
+        """
+        keep, before = F.lit((1 << self.LOW) - 1), (self.NONE << self.LOW) + (1 << self.LOW) - 1
 
-        folded = F.when(F.octet_length(piece) > LONG, fold(self._lowest)).otherwise(fold(self._leftmost))
-        return folded.cast("array<int>")
+        def begun(values: Column) -> Column:
+            first = lambda b, i: F.get(self.twos, b * F.lit(256) + F.get(values, i + 1))
+            last = lambda b: F.get(self.ones, b)
+            return F.flatten(F.array(F.array(F.lit(before)), F.transform(
+                values, lambda b, i: F.coalesce(first(b, i), last(b)) + F.shiftleft(i.cast("bigint"), 20))))
+
+        def joined(s: Column, least: Column) -> Column:
+            best = F.shiftright(least, self.LOW)
+
+            def at(i: Column) -> Column:
+                left, right = F.get(s, i - 2), self._id(F.get(s, i + 1))
+                own = F.shiftleft(self._rank(best, right), self.LOW) + (least.bitwiseAND(keep) - self._id(least) + best)
+                other = F.shiftleft(self._rank(self._id(left), best), self.LOW) + left.bitwiseAND(keep)
+                return F.flatten(F.array(F.slice(s, F.lit(1), i - 2), F.array(other, own), F.slice(s, i + 2, F.lit(LONG))))
+
+            return _let(F.array_position(s, least).cast("int"), at)
+
+        def turn(s: Column, _: Column) -> Column:
+            return _let(F.array_min(s), lambda least: F.when(least >= F.lit(self.NONE << self.LOW), s).otherwise(joined(s, least)))
+
+        state = F.aggregate(F.sequence(F.lit(1), F.octet_length(piece)), _let(values, begun), turn)
+        return F.transform(F.slice(state, F.lit(2), F.lit(LONG)), self._id)
+
+    def _fold_long(self, piece: Column, values: Column) -> Column:
+        def turn(s: Column, _: Column) -> Column:
+            # lowest rank first, then place
+            lowest = F.array_min(F.transform(s, lambda e, i: F.shiftright(e, 20) * F.lit(self.PLACES) + i))
+            return _let(lowest, lambda m: F.when(m >= F.lit(self.NONE * self.PLACES), s).otherwise(
+                self._lowest(s, F.shiftright(m, 24), m.bitwiseAND(F.lit(self.PLACES - 1)))))
+
+        turns, ids = F.sequence(F.lit(1), F.octet_length(piece)), F.transform(values, lambda b: self._id(F.get(self.ones, b)))
+        return F.transform(F.aggregate(turns, _let(ids, self._chain), turn), self._id)
 
     def _leftmost(self, state: Column, best: Column, at: Column) -> Column:
         return F.transform(F.filter(state, lambda _, i: i != at + 1), lambda e, i: F.when(
@@ -226,21 +299,23 @@ def _folded(df: DataFrame, path: str, words: Column) -> DataFrame:
 
 
 class Words:
-    """Known pieces by the hash of their bytes, and their ids; a few dozen bytes each."""
+    """Known pieces by the hash of their bytes, and their ids; some thirty bytes each."""
 
     def __init__(self, tokens: dict[str, int], words: pa.Table):
         pieces, ids, size = [pa.array(list(tokens), pa.large_string())], [np.fromiter(tokens.values(), np.int32, len(tokens))], \
-            [np.ones(len(tokens), np.int64)]
+            [np.ones(len(tokens), np.int32)]
         for batch in words.to_batches():
             pieces.append(batch.column(0).cast(pa.large_string()))
             ids.append(batch.column(1).flatten().to_numpy().astype(np.int32))
-            size.append(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            size.append(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int32))
         self.letters, edge = buffer_of(pa.concat_arrays(pieces))
         self.ids, of = np.concatenate(ids), np.concatenate(size)
+        if max(len(self.letters), len(self.ids)) > np.iinfo(np.int32).max:
+            raise ValueError("too many words to remember")
         # a piece that is a token has its own id, whatever its bytes would be merged to: the first of equal hashes stays
         self.hash, first = np.unique(word_hashes(self.letters, edge[:-1], edge[1:], fold=False), return_index=True)
-        self.at, self.length = edge[:-1][first], np.diff(edge)[first]
-        self.start, self.size = (np.cumsum(of) - of)[first], of[first]
+        self.at, self.length = edge[:-1][first].astype(np.int32), np.diff(edge)[first].astype(np.int32)
+        self.start, self.size = (np.cumsum(of, dtype=np.int64) - of)[first].astype(np.int32), of[first]
 
     def places(self, pieces: pa.Array) -> np.ndarray:
         """Where each piece is, -1 where it is not known; pieces are compared byte by byte."""

@@ -58,3 +58,25 @@ def test_repeated_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert byte_bpe.round_trip(docs, PATH, public_tokenizers.PATTERN).count() == 3
     assert byte_bpe.round_trip(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_every_pair_has_one_of_its_two_places(n):
+    keys = RANDOM.sample(range(1 << 36), n)
+    slots = byte_bpe._slots(keys, [k * 4 + 1 for k in keys])
+    half = len(slots) // 2
+    for k in keys:
+        at = [side * half + (k * byte_bpe.ODD[side] >> 18 & half - 1) for side in (0, 1)]
+        assert [slots[i] for i in at].count(k * 4 + 1) == 1
+    assert len(slots) - slots.count(0) == n
+
+
+def test_short_pieces_equal_the_library_wherever_they_are_folded(spark, library):
+    """Pieces up to the length at which the step changes, once remembered and once folded in their document."""
+    texts = ["".join(RANDOM.choice("thearinosé") for _ in range(n)) for n in range(1, 70) for _ in range(4)]
+    want = {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+    for remembered in (0, 1000):
+        out = byte_bpe.encode(rows(spark, texts), PATH, public_tokenizers.PATTERN, remembered=remembered)
+        assert {r[0]: list(r[1]) for r in out.collect()} == want
+    words = byte_bpe.Words({"a": 1}, byte_bpe.frequent_words(spark.createDataFrame([(["a", "bc"],)], "pieces array<string>"), PATH, 5).toArrow())
+    assert {x.itemsize for x in (words.at, words.length, words.start, words.size)} == {4}  # memory of a known word
