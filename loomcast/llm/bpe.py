@@ -13,6 +13,7 @@ import numpy as np
 
 NONE = np.iinfo(np.int64).max
 MISSES = 1 << 12  # words in one array
+ODD = np.uint64(0x9E3779B97F4A7C15)
 LONG = 64  # bytes; longer words have a tree of their own
 
 
@@ -24,7 +25,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class PairTable:
-    """Ranks and products of mergeable pairs as sorted arrays."""
+    """Ranks and products of mergeable pairs as arrays, found by hashes."""
+
+    BITS = 18
 
     def __init__(self, model: dict):
         vocab = model["vocab"]
@@ -43,11 +46,17 @@ class PairTable:
         letters, end = byte_letters(), model.get("end_of_word_suffix") or ""
         self.first = np.array([vocab[letters[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
-        bits = 18
-        self.bits = bits
-        slot = (self.key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[slot] = True
+        # one table of places after another: a pair that finds its place taken goes to the next table
+        self.known = np.append(self.key, -1)  # the last one is no pair
+        self.rank_or_none = np.append(self.rank, NONE)
+        self.tables: list[np.ndarray] = []
+        left, level = np.arange(len(self.key)), 0
+        while len(left):
+            table = np.full(1 << self.BITS, len(self.key), np.int32)
+            slot = self._slot(self.key[left], level)
+            table[slot] = left
+            self.tables.append(table)
+            left, level = left[table[slot] != left], level + 1
 
     def lookup(self) -> dict[tuple[int, int], tuple[int, int]]:
         """(left, right) -> (rank, product)."""
@@ -60,15 +69,21 @@ class PairTable:
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it cannot be merged."""
         key = a * self.size + b
-        out = np.full(len(key), NONE, np.int64)
+        if not self.tables:
+            return np.full(len(key), NONE, np.int64)
+        at = self.tables[0][self._slot(key, 0)]
+        other = np.flatnonzero((self.known[at] != key) & (at < len(self.key)))
+        for level in range(1, len(self.tables)):
+            if not len(other):
+                break
+            at[other] = self.tables[level][self._slot(key[other], level)]
+            other = other[(self.known[at[other]] != key[other]) & (at[other] < len(self.key))]
+        at[other] = len(self.key)
+        return self.rank_or_none[at]
+
+    def _slot(self, key: np.ndarray, level: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
-        hit = np.flatnonzero(self.maybe[slot])
-        if len(hit) and len(self.key):
-            at = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
-            same = self.key[at] == key[hit]
-            out[hit[same]] = self.rank[at[same]]
-        return out
+            return (key.astype(np.uint64) * (ODD + np.uint64(2 * level))) >> np.uint64(64 - self.BITS)
 
 
 def _merge_all(pairs: PairTable, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,14 +193,20 @@ def _merge_long(pairs: PairTable, symbols: list[int]) -> list[int]:
 def encode_words(pairs: PairTable, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, one after another, and the number of ids of each word."""
     length = np.fromiter(map(len, words), np.int64, len(words))
-    counts = np.zeros(len(words), np.int64)
+    return encode_ranges(pairs, np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length, length)
+
+
+def encode_ranges(pairs: PairTable, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``encode_words`` of ranges of one buffer."""
+    counts = np.zeros(len(length), np.int64)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     order = np.argsort(length, kind="stable")
     order = order[length[order] > 0]
     i, short = 0, int(np.searchsorted(length[order], LONG, "right"))
     for k in order[short:]:
-        symbols = pairs.first[np.frombuffer(words[k], np.uint8)]
-        symbols[-1] = pairs.last[words[k][-1]]
+        word = data[begin[k]:begin[k] + length[k]]
+        symbols = pairs.first[word]
+        symbols[-1] = pairs.last[word[-1]]
         left = np.array(_merge_long(pairs, symbols.tolist()), np.int64)
         counts[k] = len(left)
         parts.append((np.array([k]), left, counts[k:k + 1]))
@@ -197,7 +218,7 @@ def encode_words(pairs: PairTable, words: list[bytes]) -> tuple[np.ndarray, np.n
         rows = order[i:j]
         n = length[rows]
         longest = int(n[-1])
-        flat = np.frombuffer(b"".join([words[k] for k in rows]), np.uint8)
+        flat = data[spread(begin[rows], n)]
         inside = np.arange(longest) < n[:, None]
         symbols = np.zeros((len(rows), longest), np.int64)
         symbols[inside] = pairs.first[flat]

@@ -1,7 +1,8 @@
 """Ids of whole texts from a public tokenizer file, with a bounded memory of words already encoded.
 
 Texts are cut at white space by array arithmetic; words are found by 64-bit hashes and compared byte by byte, so two
-words of one hash never share ids. Each new word of at most ``LONGEST`` bytes is pre-tokenised once (the library's own pre-tokeniser, or the whole library where the file has a normaliser,
+words of one hash never share ids. Each new word of at most ``LONGEST`` bytes is pre-tokenised once (letters,
+digits and marks of ASCII and letters of Latin-1 by array arithmetic; else the library's own pre-tokeniser, or the whole library where the file has a normaliser,
 for letters outside ASCII and Latin-1), merged by ``bpe.encode_words`` and kept in a pool. The ids of a
 text are then gathered from the pool. A very long text is taken in parts, a very long word is encoded alone.
 """
@@ -13,7 +14,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from loomcast.llm.bpe import PairTable, byte_letters, encode_words, load_model, spread
+from loomcast.llm.bpe import PairTable, byte_letters, encode_ranges, encode_words, load_model, spread
+from loomcast.llm.memory import give_back
 from loomcast.llm.words import FOLD, buffer_of, word_bounds, word_hashes
 
 KEEP = 500_000  # words remembered by a worker
@@ -38,6 +40,30 @@ def _is_rare(text: str) -> bool:
     return _RARE.search(text) is not None
 
 
+# 1 letters, 2 digits, 3 marks of ASCII; 0 the rest and the apostrophe, which begins pieces of its own kind
+_KIND = np.array([0 if not "!" <= c <= "~" or c == "'" else 1 if c.isalpha() else 2 if c.isdigit() else 3 for c in map(chr, range(256))], np.uint8)
+_LATIN = 0xC3  # first byte of the letters of Latin-1, of which these second bytes are signs
+_SIGNS = (0x97, 0xB7)
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte; both bytes of a letter of Latin-1 are letters."""
+    kind = _KIND[data]
+    at = np.flatnonzero(data[:-1] == _LATIN)
+    at = at[~np.isin(data[at + 1], _SIGNS)]
+    kind[at] = kind[at + 1] = 1
+    return kind
+
+
+def _lower(data: np.ndarray) -> np.ndarray:
+    """Small letters of ASCII and Latin-1."""
+    out = FOLD[data]
+    at = np.flatnonzero(data[:-1] == _LATIN) + 1
+    at = at[(data[at] <= 0x9E) & (data[at] != _SIGNS[0])]
+    out[at] += 32
+    return out
+
+
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
@@ -71,7 +97,9 @@ class Vocabulary:
         self.normalised = spec["normalizer"] is not None
         self.byte_of = {v: k for k, v in byte_letters().items()}
         self._decoder(spec["model"]["vocab"])
-        self._forget()
+        self.forget()
+        del spec  # tens of megabytes of letters
+        give_back()
 
     def _decoder(self, vocab: dict[str, int]):
         byte_of = self.byte_of
@@ -82,15 +110,52 @@ class Vocabulary:
         self.token_length = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.token_start = np.concatenate([[0], np.cumsum(self.token_length)[:-1]])
 
-    def _forget(self):
+    def forget(self):
+        """Remembered words go; the next texts begin anew."""
         self.hash = np.zeros(0, np.uint64)
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.count, self.at, self.size = (np.zeros(0, np.int32) for _ in range(4))
         self.letters, self.written = np.zeros(1 << 16, np.uint8), 0  # bytes of the remembered words
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, one after another, and the number of ids of each."""
+    def _encode_new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ranges of bytes, and where the ids of each begin and how many they are."""
+        at = np.empty((2, len(starts)), np.int64)
+        begin = starts if self.normalised or not len(starts) else starts + (data[starts] == 32)
+        kinds = _kinds(data)
+        others = np.concatenate([[0], np.cumsum(kinds == 0)])
+        plain = (begin < ends) & (others[begin] == others[ends])
+        ids = np.zeros(0, np.int64)
+        if plain.any():
+            piece, size, first = self._runs(kinds, starts[plain], begin[plain], ends[plain])
+            ids, count = encode_ranges(self.pairs, _lower(data) if self.normalised else data, piece, size)
+            count = np.add.reduceat(count, first)
+            at[0, plain], at[1, plain] = np.cumsum(count) - count, count
+        if not plain.all():
+            rest = ~plain
+            more, own = self._encode_mixed([data[a:b].tobytes() for a, b in zip(starts[rest].tolist(), ends[rest].tolist())])
+            at[0, rest], at[1, rest] = own[0] + len(ids), own[1]
+            ids = np.concatenate([ids, more])
+        return ids, at
+
+    def _runs(self, kinds: np.ndarray, starts: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces of ranges that have one known kind after another from ``begin`` on, and a space before it at most: where
+        each piece begins, its bytes, and the number of each range's first piece."""
+        n = ends - begin
+        head, place = np.cumsum(n) - n, spread(begin, n)
+        kind = kinds[place]
+        cut = np.ones(len(kind), bool)
+        cut[1:] = kind[1:] != kind[:-1]
+        if self.normalised:
+            cut |= kind == 2  # every digit is a piece
+        cut[head] = True
+        cuts = np.flatnonzero(cut)
+        first = np.searchsorted(cuts, head)
+        piece, size = place[cuts], np.diff(np.append(cuts, len(kind)))
+        piece[first], size[first] = starts, size[first] + (begin - starts)
+        return piece, size, first
+
+    def _encode_mixed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``_encode_new`` of words of any characters."""
         texts = [w.decode() for w in words]
         plain = np.fromiter((t.isascii() or _PLAIN.fullmatch(t) is not None for t in texts), bool, len(texts))
         simple = "\x00".join([t for t, ok in zip(texts, plain) if ok])
@@ -124,12 +189,13 @@ class Vocabulary:
         start[order], count[order] = begin, per_word
         return ids, np.stack([start, count])
 
-    def _remember(self, hashes: np.ndarray, words: list[bytes]):
-        ids, at = self._encode_new(words)
+    def _remember(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        ids, at = self._encode_new(data, starts, ends)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
         self.pool[self.used:self.used + len(ids)] = ids
-        own, size = self._folded(np.frombuffer(b"".join(words), np.uint8)), np.fromiter(map(len, words), np.int64, len(words))
+        size = ends - starts
+        own = self._folded(data[spread(starts, size)])
         if self.written + len(own) > len(self.letters):
             self.letters = np.resize(self.letters, 2 * (self.written + len(own)))
         self.letters[self.written:self.written + len(own)] = own
@@ -175,10 +241,10 @@ class Vocabulary:
         place, known = self._lookup(distinct)
         if not known.all():
             if len(self.hash) + int((~known).sum()) > KEEP:
-                self._forget()
+                self.forget()
                 known[:] = False
             new = usual[first[~known]]
-            self._remember(distinct[~known], [data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            self._remember(distinct[~known], data, starts[new], ends[new])
             place, _ = self._lookup(distinct)
         place = place[code]
         n, begin = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
@@ -187,7 +253,7 @@ class Vocabulary:
         n[usual], begin[usual] = self.count[place], self.start[place]
         pool = self.pool[:self.used]
         if len(alone):
-            ids, at = self._encode_new([data[a:b].tobytes() for a, b in zip(starts[alone].tolist(), ends[alone].tolist())])
+            ids, at = self._encode_new(data, starts[alone], ends[alone])
             n[alone], begin[alone] = at[1], at[0] + len(pool)
             pool = np.concatenate([pool, ids.astype(np.uint32)])
         return pool[spread(begin, n)], n

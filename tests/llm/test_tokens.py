@@ -223,3 +223,22 @@ def test_hashes_of_long_and_short_words(monkeypatch):
     assert whole[2] == whole[3] and len(set(whole.tolist())) == len(whole) - 1
     monkeypatch.setattr(words, "BLOCK", 700)  # long words in parts
     assert (words.word_hashes(data, starts, ends) == whole).all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_plain_words_are_cut_without_a_pattern(monkeypatch, name):
+    """Letters, digits and marks of ASCII and letters of Latin-1 are cut by arrays; the rest goes to the patterns."""
+    vocabulary = Vocabulary(P.path(name))
+    mixed, own = [], vocabulary._encode_mixed
+    monkeypatch.setattr(vocabulary, "_encode_mixed", lambda words: mixed.extend(words) or own(words))
+    pick = random.Random(5).choice
+    some = ["a", "The", "ing", " ", "  ", "9", "12", ",", "...", "(", "é", "É", "\n", "-", "_", "Ñandú", "Æ", "ÿ", "~", "ß"]
+    odd = ["'s", "'", "x'll", "÷", "×", "Ÿ", "日", "\x01", "\xa0", "Ā"]
+    plain = ["".join(pick(some) for _ in range(60)) for _ in range(80)]
+    rare = ["".join(pick(some + odd) for _ in range(60)) for _ in range(80)]
+    for texts in (plain, rare):
+        want = [e.ids for e in vocabulary.library.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in vocabulary.encode(texts)] == want
+        if texts is plain:
+            assert all(not w.strip() for w in mixed)
+    assert mixed
