@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomcast.llm.components import components, local_forest
+from loomcast.llm.memory import lean, small_batches
 from loomcast.llm.storage import partitions, stored
 from loomcast.llm.superminhash import band_keys, signatures
 from loomcast.llm.words import mix, shingles, slices, words_of
@@ -81,7 +82,7 @@ def described(docs: DataFrame, near: Near) -> DataFrame:
                     [part.column(0), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands,
                      part.column(2)], ["doc_id", "n_shingles", "h1", "h2", "bands", "mark"])
 
-    return docs.transform(shipped).mapInArrow(run, SETS)
+    return docs.transform(shipped).mapInArrow(lean(run), SETS)
 
 
 def sets_of(docs: DataFrame, near: Near) -> DataFrame:
@@ -94,7 +95,7 @@ def sets_of(docs: DataFrame, near: Near) -> DataFrame:
                 data = pa.array([s.tobytes() for s in shingle_sets(part.column(2), near.words)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), data], ["node", "cluster", "shingles"])
 
-    return docs.transform(shipped).mapInArrow(run, "node long, cluster long, shingles binary")
+    return docs.transform(shipped).mapInArrow(lean(run), "node long, cluster long, shingles binary")
 
 
 def compare(node: np.ndarray, group: np.ndarray, probe: np.ndarray, sets: list[np.ndarray], per_hundred: int):
@@ -260,7 +261,8 @@ def verdicts(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_
     """``near_duplicates`` with the row's ``mark`` and ``chosen``: of a component, only one id with one text is."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        mark(id_col, text_col).alias("mark"))
-    rows = stored(described(docs, near))
+    with small_batches(docs.sparkSession):
+        rows = stored(described(docs, near))
     # a class is an equal set; its node is 64 bits of the digest, and a row with the smallest id has its text
     low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
     classes = rows.filter("n_shingles > 0").groupBy("h1", "h2").agg(low.alias("low"), F.first("bands").alias("bands")) \
@@ -277,7 +279,8 @@ def verdicts(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_
     # rows that repeat an id and a text have one mark, and give their text once
     named = docs.transform(shipped).filter(F.col("doc_id").isNotNull()).filter(perhaps_in(members)("mark"))
     texts = named.groupBy("mark").agg(F.first("text").alias("text")).join(members, "mark").select("node", "cluster", "text")
-    sets = stored(sets_of(texts, near))
+    with small_batches(docs.sparkSession):
+        sets = stored(sets_of(texts, near))
     found = components(verified_links(sets, near))
     # stored, so that the last joins have plain exchanges on both sides and a class of many copies can be split
     of_class = stored(classes.select("h1", "h2", "node", "low").join(found, "node", "left")

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loomcast.llm.memory import lean, small_batches
 from loomcast.llm.storage import partitions, stored
 from loomcast.llm.vocab import Vocabulary
 from loomcast.llm.words import slices
@@ -45,9 +46,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col: st
                         cut = ids[at:at + length]
                         rows.append((name, at, len(cut), zlib.crc32(cut.tobytes()), len(ids)))
                 yield _batch(rows, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        vocab.forget()  # an idle worker holds no words
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .transform(shipped).mapInArrow(run, PIECES)
+        .transform(shipped).mapInArrow(lean(run), PIECES)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -172,4 +174,6 @@ def place(cut: DataFrame, length: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """Every document in sequences of at most ``length`` tokens: one row per piece."""
-    return place(stored(pieces(docs, tokenizer, end_id, length, id_col, text_col)), length)
+    with small_batches(docs.sparkSession):
+        cut = stored(pieces(docs, tokenizer, end_id, length, id_col, text_col))
+    return place(cut, length)

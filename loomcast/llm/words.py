@@ -108,7 +108,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return acc
 
 
-def slices(texts: pa.Array, most: int = 4 << 20):
+def slices(texts: pa.Array, most: int = 1 << 20):
     """Ranges of rows with about ``most`` bytes of text, at least one row each."""
     _, offsets = buffer_of(texts)
     i = 0
