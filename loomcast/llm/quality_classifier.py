@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomcast.llm.memory import lean
+from loomcast.llm.memory import lean, small_batches
 from loomcast.llm.storage import fresh, stored
 from loomcast.llm.words import buffer_of, slices, word_bounds, word_hashes
 from loomcast.shipping import shipped
@@ -211,7 +211,8 @@ def learn(docs: DataFrame, fit: Fit = Fit(), text_col: str = "text") -> Model:
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     power = 3 ** np.arange(len(LABELLERS))
     # equal texts have one vote pattern and are one text of the sample
-    coded = stored(vote_codes(texts.withColumn("key", F.xxhash64("text"))).groupBy("key", "pattern").agg(F.count(F.lit(1)).alias("n")))
+    with small_batches(docs.sparkSession):
+        coded = stored(vote_codes(texts.withColumn("key", F.xxhash64("text"))).groupBy("key", "pattern").agg(F.count(F.lit(1)).alias("n")))
     counted = coded.groupBy("pattern").agg(F.sum("n")).collect()  # at most 3 ** labellers rows
     codes = np.array([r[0] for r in counted], np.int64)
     counts = np.array([r[1] for r in counted], np.int64)
@@ -235,16 +236,20 @@ def learn(docs: DataFrame, fit: Fit = Fit(), text_col: str = "text") -> Model:
             yield batch.filter(pa.array(keys.value[at] == own))
 
     def weigh(table: pa.Table) -> pa.Table:
-        x = np.stack(list(features(table.column("text").combine_chunks()))).astype(np.float32)
         y = np.array([sample[k] for k in table.column("key").to_pylist()])
         order = np.lexsort((table.column("key").to_numpy(), y))  # the sum does not depend on the order rows arrive in
-        w = train(x[order].astype(float), y[order], fit)
+        x = np.empty((len(order), SLOTS + RELATIONS))
+        for row, one in zip(x, features(table.column("text").take(pa.array(order)).combine_chunks())):
+            row[:] = one.astype(np.float32)
+        w = train(x, y[order], fit)
         return pa.table({"slot": pa.array(np.arange(len(w))), "w": pa.array(w)})
 
     rows = texts.withColumn("key", F.xxhash64("text")).transform(shipped).mapInArrow(drawn, "text string, key long") \
         .groupBy("key").agg(F.first("text").alias("text"))
     trained = rows.withColumn("grp", F.pmod("key", F.lit(fit.groups))).groupBy("grp").applyInArrow(weigh, "slot long, w double") \
-        .groupBy("slot").agg(F.avg("w")).collect()  # one row per feature
+        .groupBy("slot").agg(F.avg("w"))
+    with small_batches(docs.sparkSession):
+        trained = trained.collect()  # one row per feature
     weights = np.zeros(SLOTS + RELATIONS)
     for slot, w in trained:
         weights[slot] = w
