@@ -2,10 +2,11 @@
 
 A text is cut into pieces by the vocabulary's pattern. A piece is an array of its bytes' ids; ``aggregate`` folds the
 merges over it: every step joins the leftmost pair of lowest rank and looks up the two new neighbours, until no pair
-has a rank (a rank is the id of the joined token). The ranks of pairs are one literal: an array in which a pair stands
-in one of two places, as a plain map would be searched entry by entry. A step over a piece of more
-than ``LONG`` bytes joins all pairs of the lowest rank from the left, unless that would make a pair of a still lower
-rank at any point: then it joins the leftmost pair only. Both ways give the same tokens.
+has a rank (a rank is the id of the joined token). The ranks of pairs are one array in which a pair stands in one of two
+places, as a plain map would be searched entry by entry. It is the value of a subquery, not a literal: Spark writes a
+literal out in the text of every plan, and the driver keeps those texts. A step over a piece of more than ``LONG``
+bytes joins all pairs of the lowest rank from the left, unless that would make a pair of a still lower rank at any
+point: then it joins the leftmost pair only. Both ways give the same tokens.
 
 All pieces of the table are counted, and the ``remembered`` most frequent ones of at most ``LONG`` bytes are folded
 once, as a table of distinct words of bounded size that every worker holds. A document's other pieces, each once, are
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,7 +37,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomcast.llm.bpe import spread
-from loomcast.llm.storage import partitions
+from loomcast.llm.memory import give_back
+from loomcast.llm.storage import fresh, partitions
 from loomcast.llm.words import buffer_of, word_hashes
 from loomcast.shipping import shipped
 
@@ -90,10 +91,8 @@ def _slots(keys: list[int], entries: list[int]) -> list[int]:
         half *= 2
 
 
-@lru_cache(maxsize=4)
-def _pair_slots(path: str, span: int) -> list[int]:
+def _pair_slots(ranks: dict[bytes, int], span: int) -> list[int]:
     """All pairs of tokens that make a token, as numbers left, right, token, dealt by ``_slots``."""
-    ranks = load_ranks(path)
     keys, entries = [], []
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
@@ -106,7 +105,7 @@ def _pair_slots(path: str, span: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Merges:
-    """The fold over one vocabulary; ``table`` is the literal made by ``_pair_slots``, bound by ``_let``."""
+    """The fold over one vocabulary; ``table`` is the array made by ``_pair_slots``, bound by ``_let``."""
 
     table: Column
     half: int  # of the table's length
@@ -119,16 +118,28 @@ class Merges:
     LOW = 28  # bits of an id and of a place in a short piece
 
     @classmethod
-    def bound(cls, path: str, use: Callable[[Merges], Column]) -> Column:
+    @lru_cache(maxsize=4)
+    def arrays(cls, path: str) -> pa.Table:
+        """One row of the arrays ``table``, ``ones`` and ``twos``."""
         ranks = load_ranks(path)
         if max(ranks.values()) >= cls.SPAN - 1:
             raise ValueError("too many ids for one number per pair")
-        slots = _pair_slots(path, cls.SPAN)
         ones = [(cls.NONE << cls.LOW) + ranks[bytes([b])] for b in range(256)]
         twos = [(ranks.get(bytes([a, b]), cls.NONE) << cls.LOW) + ranks[bytes([a])] for a in range(256) for b in range(256)]
-        literal = lambda numbers: F.from_json(F.lit(json.dumps(numbers, separators=(",", ":"))), "array<bigint>")
-        return _let(literal(slots), lambda table: _let(literal(ones), lambda one: _let(literal(twos), lambda two: use(
-            cls(table, len(slots) // 2, one, two)))))
+        columns = (_pair_slots(ranks, cls.SPAN), ones, twos)
+        return pa.table([pa.array([x], pa.list_(pa.int64())) for x in columns], ["table", "ones", "twos"])
+
+    @classmethod
+    def put(cls, df: DataFrame, name: str, path: str, use: Callable[[Merges], Column]) -> DataFrame:
+        """``df`` with a column that is made by the fold."""
+        arrays = cls.arrays(path)
+        half = len(arrays["table"][0]) // 2
+        one_row = df.sparkSession.createDataFrame(arrays).select(F.struct(*arrays.column_names)).scalar()
+        # a higher-order function takes a subquery only by a column's name; Spark puts it in place of a name used once
+        held = fresh(df, "arrays")
+        value = _let(F.col(held), lambda row: _let(row["table"], lambda table: _let(row["ones"], lambda ones: _let(
+            row["twos"], lambda twos: use(cls(table, half, ones, twos))))))
+        return df.withColumn(held, one_row).select(*df.columns, value.alias(name))
 
     def _rank(self, a: Column, b: Column) -> Column:
         """Id of the token that a pair makes, NONE for no token or no right part."""
@@ -295,7 +306,7 @@ def frequent_words(cut: DataFrame, path: str, most: int) -> DataFrame:
 
 def _folded(df: DataFrame, path: str, words: Column) -> DataFrame:
     """``df`` with the ids of an array of words."""
-    return df.withColumn("ids", Merges.bound(path, lambda merges: F.transform(words, merges.ids)))
+    return Merges.put(df, "ids", path, lambda merges: F.transform(words, merges.ids))
 
 
 class Words:
@@ -384,13 +395,20 @@ def _whole(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return pool[spread(start, count)], total[np.concatenate([[0], np.cumsum(n)])]
 
 
+def _shared_words(cut: DataFrame, path: str, remembered: int) -> Broadcast:
+    """``remembered`` short words and the tokens; the driver's Python keeps none of them."""
+    words = Words(whole_tokens(path), frequent_words(cut, path, remembered).toArrow())
+    shared = cut.sparkSession.sparkContext.broadcast(words)
+    del words
+    give_back()
+    return shared
+
+
 def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, remembered: int) -> DataFrame:
     """doc_id, coded and the ids of the unknown pieces."""
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       pieces(docs.sparkSession, F.coalesce(F.col(text_col).cast("string"), F.lit("")), pattern).alias("pieces"))
-    words = Words(whole_tokens(path), frequent_words(cut, path, remembered).toArrow())  # ``remembered`` short words
-    pa.default_memory_pool().release_unused()
-    coded = known_ids(cut, docs.sparkSession.sparkContext.broadcast(words))  # and the tokens
+    coded = known_ids(cut, _shared_words(cut, path, remembered))
     return _folded(coded, path, F.col("rare")).select("doc_id", "coded", "ids")
 
 

@@ -80,3 +80,13 @@ def test_short_pieces_equal_the_library_wherever_they_are_folded(spark, library)
         assert {r[0]: list(r[1]) for r in out.collect()} == want
     words = byte_bpe.Words({"a": 1}, byte_bpe.frequent_words(spark.createDataFrame([(["a", "bc"],)], "pieces array<string>"), PATH, 5).toArrow())
     assert {x.itemsize for x in (words.at, words.length, words.start, words.size)} == {4}  # memory of a known word
+
+
+def test_plans_do_not_spell_out_the_pairs(spark):
+    """The driver keeps the text of every plan; the array of pairs is a subquery's value in it, and no row carries it."""
+    words = byte_bpe.frequent_words(spark.createDataFrame([(["thearinos", "bc"],)], "pieces array<string>"), PATH, 5)
+    modes = spark._jvm.org.apache.spark.sql.execution.ExplainMode
+    text = words._jdf.queryExecution().explainString(modes.fromString("formatted"))
+    assert len(text) < 100_000
+    folds = [part for part in text.split("\n\n") if "transform(array(Subquery" in part]
+    assert len(folds) == 1 and "arrays" not in folds[0].split("Input")[1]
